@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Month and weekday spellings, and named zones as +hhmm offsets.
@@ -48,10 +48,54 @@ def _int(s: Column) -> Column:
     return F.when(s.rlike(r"^[+-]?[0-9]{1,9}$"), s.cast("long"))
 
 
-# [d Mon | Mon d] year HH:MM[:SS] zone -- groups: 1 day, 2 month | 3 month, 4 day,
-# 5 year, 6 hour, 7 minute, 8 second, 9 zone token
-_DATE_RE = (r"^(?:(\d{1,2}),?\s+([A-Za-z]+)\.?|([A-Za-z]+)\.?,?\s+(\d{1,2}))"
-            r",?\s+(\d{1,4}),?\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?,?\s*(\S*)")
+# [Day,] [d Mon | Mon d] year HH:MM[:SS] zone -- groups: 1 day, 2 month | 3 month, 4 day,
+# 5 year, 6 hour, 7 minute, 8 second, 9 zone token; anything after the zone is ignored
+_DATE_BODY = (r"(?:(\d{1,2}),?\s+([A-Za-z]+)\.?|([A-Za-z]+)\.?,?\s+(\d{1,2}))"
+              r",?\s+(\d{1,4}),?\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?,?\s*(\S*)")
+_SEP = "\u0001"
+_CANON_RE = "^" + _DATE_BODY + ".*$"
+_CANON_TO = _SEP.join(["$1$4", "$2$3", "$5", "$6", "$7", "$8", "$9"])
+# a leading weekday, with or without comma (or junk up to a comma in the first word)
+_LEAD_RE = r"^\s*(?:\S*,\s*|(?i:" + "|".join(DAY_NAMES) + r")(?:\s+|$))?"
+
+
+def date_parts(date: Column | str) -> Column:
+    """Date header -> ``[day, month, year, hour, minute, second, zone]`` text, one regex pass.
+
+    A header that does not fit the grammar gives a one-element array.
+    """
+    s = F.regexp_replace(_c(date), _LEAD_RE, "")
+    return F.split(F.regexp_replace(s, _CANON_RE, _CANON_TO), _SEP)
+
+
+def zone_hhmm(zone_text: Column | str) -> Column:
+    """Zone token -> signed ``hhmm`` number; null for no / unknown zone and for ``-0000``."""
+    zone = F.upper(_c(zone_text))
+    named = F.create_map(*[x for k, v in NAMED_ZONES.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    numeric = F.when(zone.rlike(r"^[+-]?[0-9]{1,9}$") & ~zone.rlike(r"^-0+$"), zone.cast("long"))
+    return F.coalesce(F.try_element_at(named, zone), numeric)
+
+
+def timestamp_from_parts(parts: Column | str, hhmm: Column | str | None = None) -> Column:
+    """Absolute TIMESTAMP from :func:`date_parts`, null when no absolute time exists.
+
+    The numeric parts are digit strings by construction of the regex, so they
+    are cast directly; only the zone needs checking (:func:`zone_hhmm`).
+    """
+    p = _c(parts)
+    hh = zone_hhmm(F.get(p, 6)) if hhmm is None else _c(hhmm)
+    months = F.array(*[F.lit(m) for m in MONTH_NAMES])
+    m_at = F.array_position(months, F.lower(F.get(p, 1)))
+    month = F.when(m_at > 12, m_at - 12).otherwise(m_at)
+    y = F.get(p, 2).cast("int")
+    year = F.when(y < 100, F.when(y > 68, y + 1900).otherwise(y + 2000)).otherwise(y)
+    sec = F.coalesce(F.nullif(F.get(p, 5), F.lit("")).cast("int"), F.lit(0))
+    # (hhmm div 100, hhmm % 100) keep the sign, so -0530 -> -5 h -30 min
+    offset = (hh.cast("long") / 100).cast("long") * 3600 + (hh % 100) * 60
+    ok = (F.size(p) == 7) & (m_at > 0) & (sec < 60) & (F.abs(offset) < 86400)
+    local = F.try_make_timestamp(year, month.cast("int"), F.get(p, 0).cast("int"), F.get(p, 3).cast("int"),
+                                 F.get(p, 4).cast("int"), sec.cast("decimal(16,6)"), F.lit("UTC"))
+    return F.when(ok, F.timestamp_micros(F.unix_micros(local) - offset * 1_000_000))
 
 
 def rfc2822_timestamp(date: Column | str) -> Column:
@@ -60,33 +104,22 @@ def rfc2822_timestamp(date: Column | str) -> Column:
     Accepted: ``[Day,] d Mon yyyy HH:MM[:SS] zone`` and ``[Day,] Mon d yyyy ...``;
     the zone may follow the time without a space; anything after the zone is
     ignored (e.g. ``(UTC)``). Two-digit years map 00-68 to 20xx, 69-99 to 19xx.
+    For whole tables prefer :func:`with_date_ts`, which evaluates the regex once.
     """
-    s = F.regexp_replace(_c(date), r"^\s+", "")
-    s = F.regexp_replace(s, r"^\S*,\s*", "")                      # 'Mon,' or 'junk,1'
-    s = F.regexp_replace(s, r"(?i)^(" + "|".join(DAY_NAMES) + r")(\s+|$)", "")
-    g = [F.regexp_extract(s, _DATE_RE, i) for i in range(10)]
-    day_txt = F.concat(g[1], g[4])
-    mon_txt = F.lower(F.concat(g[2], g[3]))
+    return timestamp_from_parts(date_parts(date))
 
-    months = F.array(*[F.lit(m) for m in MONTH_NAMES])
-    m_at = F.array_position(months, mon_txt)
-    month = F.when(m_at > 12, m_at - 12).otherwise(m_at)
 
-    y = _int(g[5])
-    year = F.when(y < 100, F.when(y > 68, y + 1900).otherwise(y + 2000)).otherwise(y)
-    sec = F.when(g[8] == "", F.lit(0).cast("long")).otherwise(_int(g[8]))
+def with_date_ts(df: DataFrame, date_col: str = "date", ts_col: str = "ts") -> DataFrame:
+    """Adds ``ts_col`` parsed from ``date_col``.
 
-    zone = F.upper(g[9])
-    named = F.create_map(*[x for k, v in NAMED_ZONES.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    numeric = F.when(~((zone.rlike(r"^-0+$"))), _int(zone))     # '-0000' means "no zone"
-    hhmm = F.coalesce(F.try_element_at(named, zone), numeric)
-    offset = F.signum(hhmm).cast("long") * ((F.abs(hhmm) / 100).cast("long") * 3600 + (F.abs(hhmm) % 100) * 60)
-
-    ok = (g[0] != "") & (m_at > 0) & (sec < 60) & (F.abs(offset) < 86400)
-    local = F.try_make_timestamp(year.cast("int"), month.cast("int"), _int(day_txt).cast("int"),
-                                 _int(g[6]).cast("int"), _int(g[7]).cast("int"), sec.cast("decimal(16,6)"),
-                                 F.lit("UTC"))
-    return F.when(ok, F.timestamp_micros(F.unix_micros(local) - offset * 1_000_000))
+    The parts array is its own projection, so the regex runs once per row and
+    the field look-ups read the column (Spark does not inline a non-trivial
+    expression that is referenced several times).
+    """
+    return (df.withColumn("_date_parts", date_parts(date_col))
+              .withColumn("_date_hhmm", zone_hhmm(F.get(F.col("_date_parts"), 6)))
+              .withColumn(ts_col, timestamp_from_parts("_date_parts", "_date_hhmm"))
+              .drop("_date_parts", "_date_hhmm"))
 
 
 def age_days_from_ts(ts: Column | str, as_of=None) -> Column:

@@ -1,21 +1,36 @@
-"""Header look-up over ``ARRAY<STRUCT<name, value>>``."""
+"""Header look-up over ``ARRAY<STRUCT<name, value>>``.
+
+Built from ``array_join`` / ``split`` / ``array_position`` / ``get`` so the
+look-up stays in generated code (no interpreted array lambda per row).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# header names are printable ASCII, so this separator never occurs inside one
+_SEP = "\u0001"
+
+
+def header_names_lower(headers: Column | str) -> Column:
+    """Lower-cased header names, position for position (null names become '')."""
+    h = F.col(headers) if isinstance(headers, str) else headers
+    return F.split(F.lower(F.array_join(h["name"], _SEP, "")), _SEP)
+
 
-def header_value(headers: Column | str, name: str, default: str | None = "") -> Column:
+def header_value(headers: Column | str, name: str, default: str | None = "",
+                 names_lower: Column | str | None = None) -> Column:
     """Value of the first header whose name equals ``name`` ignoring case.
 
-    A missing array or no match gives ``default``; a present but empty value
-    stays empty. ``get`` is null-safe for an empty match list under ANSI mode.
+    A missing array or no match gives ``default``. Pass ``names_lower``
+    (see :func:`header_names_lower`) when several headers are read from the
+    same array, so the names are lower-cased once.
     """
     h = F.col(headers) if isinstance(headers, str) else headers
-    wanted = name.lower()
-    matches = F.filter(h, lambda x: F.lower(x["name"]) == F.lit(wanted))
-    first = F.get(matches, 0)["value"]
-    # a matching header whose value is null still wins over the default
-    found = F.size(matches) > 0
-    return F.when(F.coalesce(found, F.lit(False)), first).otherwise(F.lit(default))
+    if names_lower is None:
+        names = header_names_lower(h)
+    else:
+        names = F.col(names_lower) if isinstance(names_lower, str) else names_lower
+    pos = F.array_position(names, F.lit(name.lower()))      # 1-based, 0 when absent
+    return F.coalesce(F.get(h["value"], pos.cast("int") - 1), F.lit(default))

@@ -12,28 +12,44 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# one Unicode-aware pass: runs of word characters are the words
+_NON_WORD = r"(?U)[^\w]+"
+
+
+def words(text: Column | str) -> Column:
+    """Words of the lower-cased text: maximal runs of Unicode word characters.
+
+    Equal to splitting the cleaned text (punctuation to spaces, whitespace
+    runs collapsed, trimmed) on spaces, in a single regex pass.
+    """
+    parts = F.split(F.lower(F.coalesce(_c(text), F.lit(""))), _NON_WORD)
+    return F.array_remove(parts, "")
+
+
 def clean_text(text: Column | str) -> Column:
     """Lower-case, punctuation to spaces, whitespace runs to one space, trimmed.
 
-    ``(?U)`` makes ``\\w`` and ``\\s`` Unicode-aware, so accented letters and
-    non-Latin scripts stay word characters.
+    ``(?U)`` makes ``\\w`` Unicode-aware, so accented letters and non-Latin
+    scripts stay word characters.
     """
-    t = F.lower(F.coalesce(_c(text), F.lit("")))
-    t = F.regexp_replace(t, r"(?U)[^\w\s]", " ")
-    t = F.regexp_replace(t, r"(?U)\s+", " ")
-    return F.trim(t)
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), _NON_WORD, " "))
 
 
 def tokens(text: Column | str) -> Column:
     """Words of the cleaned text (no empty strings)."""
-    return F.filter(F.split(clean_text(text), " "), lambda w: F.length(w) > 0)
+    return words(text)
 
 
 def keyword_tokens(text: Column | str) -> Column:
     """Keywords of a text: cleaned words longer than two letters, minus stop words."""
     stop = F.array(*[F.lit(w) for w in KEYWORD_STOP_WORDS])
-    return F.filter(F.split(clean_text(text), " "),
-                    lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return F.filter(words(text), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+
+
+def is_keyword(word: Column | str) -> Column:
+    """Row-level keyword test for exploded words (stays in generated code)."""
+    w = _c(word)
+    return (F.length(w) > 2) & ~w.isin(*KEYWORD_STOP_WORDS)
 
 
 def common_words_filtered(words: Column | str) -> Column:

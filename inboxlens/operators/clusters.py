@@ -8,6 +8,8 @@ statistics (one global aggregate), as the audited tool does.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -35,7 +37,7 @@ def standardize(features: DataFrame) -> DataFrame:
 
 
 def cluster_senders(senders: DataFrame, n_clusters: int = 5, seed: int = DEFAULT_SEED,
-                    starts: int = DEFAULT_STARTS, max_iter: int = 100) -> DataFrame:
+                    starts: int = DEFAULT_STARTS, max_iter: int = 100, parallel_starts: int = 4) -> DataFrame:
     """``(from, cluster)`` with stable ids 0..k-1 (see :func:`stable_ids`).
 
     Best of ``starts`` K-Means runs (seeds ``seed``, ``seed+1``, ...) by
@@ -54,15 +56,19 @@ def cluster_senders(senders: DataFrame, n_clusters: int = 5, seed: int = DEFAULT
         return feats.select("from", F.lit(0).alias("cluster"))
     scaled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(standardize(feats))
     scaled = scaled.select("from", "features").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(s: int):
+        model = KMeans(k=n_clusters, seed=s, maxIter=max_iter, featuresCol="features",
+                       predictionCol="raw_cluster").fit(scaled)
+        return model.summary.trainingCost, s, model
+
     try:
-        best = None
-        for s in range(seed, seed + starts):
-            model = KMeans(k=n_clusters, seed=s, maxIter=max_iter, featuresCol="features",
-                           predictionCol="raw_cluster").fit(scaled)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, model)
-        assigned = best[1].transform(scaled).select("from", F.col("raw_cluster").cast("int"))
+        # the starts are independent Spark jobs; submitting them from a few
+        # threads overlaps their scheduling and keeps executors busy
+        with ThreadPoolExecutor(max_workers=min(starts, parallel_starts)) as pool:
+            results = list(pool.map(fit, range(seed, seed + starts)))
+        best = min(results, key=lambda r: (r[0], r[1]))
+        assigned = best[2].transform(scaled).select("from", F.col("raw_cluster").cast("int"))
         out = stable_ids(assigned, senders)
         # written once so the k-means lineage is not replayed by every consumer
         return out.checkpoint(eager=True)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inboxlens.functions.text import clean_text, common_words_filtered, keyword_tokens, subject_class
+from inboxlens.functions.text import clean_text, common_words_filtered, is_keyword, subject_class, words
 from inboxlens.schemas import ENTITY_LABELS, INTENT_KEYWORDS, INTENT_ORDER, MONEY_BONUS, NEWSLETTER_BONUS
 
 # ---------------------------------------------------------------------------
@@ -75,8 +75,13 @@ def cleaned(messages: DataFrame, column: str = "snippet") -> DataFrame:
 
 
 def message_keywords(messages: DataFrame, column: str = "snippet") -> DataFrame:
-    """``(from, id, keyword)``, one row per keyword occurrence."""
-    return messages.select("from", "id", F.explode(keyword_tokens(column)).alias("keyword"))
+    """``(from, id, keyword)``, one row per keyword occurrence.
+
+    Words are exploded and filtered as rows, so the test runs in generated
+    code rather than in an interpreted array lambda.
+    """
+    w = messages.select("from", "id", F.explode(words(column)).alias("keyword"))
+    return w.where(is_keyword("keyword"))
 
 
 def keyword_counts(messages: DataFrame, column: str = "snippet") -> DataFrame:
@@ -145,10 +150,14 @@ def message_entities(messages: DataFrame, gazetteer: DataFrame | None = None,
                        F.explode(F.regexp_extract_all("_t", F.lit(DATE_PATTERN), 0)).alias("entity"))
     out = money.unionByName(dates)
     if gazetteer is not None:
-        toks = src.select("from", "id", F.split(clean_text("_t"), " ").alias("_tok"))
-        grams = toks.select("from", "id", F.explode(F.flatten(F.array(
-            *[_ngrams("_tok", n) for n in range(1, MAX_NGRAM + 1)]))).alias("_gram"))
-        g = gazetteer.select("label", "surface", clean_text("surface").alias("_gram"))
+        g = gazetteer.select("label", "surface", clean_text("surface").alias("_gram"),
+                             F.size(words("surface")).alias("_n"))
+        # only the n-gram lengths the dictionary has (at most MAX_NGRAM small ints reach the driver)
+        lengths = sorted(r[0] for r in g.select("_n").distinct().collect() if 0 < r[0] <= MAX_NGRAM)
+        toks = src.select("from", "id", words("_t").alias("_tok"))
+        grams = toks.select("from", "id", F.explode(
+            F.flatten(F.array(*[_ngrams("_tok", n) for n in lengths])) if lengths
+            else F.array().cast("array<string>")).alias("_gram"))
         hits = grams.join(g, "_gram", "inner").select("from", "id", "label", F.col("surface").alias("entity"))
         out = out.unionByName(hits)
     return out.where(F.length("entity") > 0).dropDuplicates(["id", "label", "entity", "from"])
@@ -215,7 +224,7 @@ def intent_scores(messages: DataFrame, key: str = "from", gazetteer: DataFrame |
     grid = keys.crossJoin(F.broadcast(intents))  # 4 rows per key: fixed bound
     if not content_features:
         return grid.withColumn("score", F.lit(0).cast("long"))
-    toks = messages.select(key, F.explode(F.split(clean_text(column), " ")).alias("form"))
+    toks = messages.select(key, F.explode(words(column)).alias("form"))
     lex = intent_lexicon(spark)
     hits = (toks.join(F.broadcast(lex), "form", "inner")  # lexicon: ~200 fixed rows
             .groupBy(key, "intent").agg(F.count(F.lit(1)).alias("_hits")))

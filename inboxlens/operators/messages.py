@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inboxlens.functions.dates import age_days, rfc2822_timestamp
-from inboxlens.functions.headers import header_value
+from inboxlens.functions.dates import age_days_from_ts, with_date_ts
+from inboxlens.functions.headers import header_names_lower, header_value
 from inboxlens.functions.labels import has_label
 from inboxlens.schemas import FLAG_LABELS, HEADER_DEFAULTS
 from inboxlens.sources.cache import response_of
@@ -18,25 +18,30 @@ def unwrap(cache: DataFrame) -> DataFrame:
 
 
 def extract(cache: DataFrame, as_of=None) -> DataFrame:
-    """The 12 message columns from cache rows (no listing join)."""
-    m = unwrap(cache)
-    headers = F.col("msg.payload.headers")
-    labels = F.col("msg.labelIds")
-    date = header_value(headers, "Date", HEADER_DEFAULTS["Date"])
-    return m.select(
+    """The 12 message columns from cache rows (no listing join).
+
+    Staged projections: headers are looked up once, the Date header is parsed
+    once, and only then ages and flags are derived.
+    """
+    m = unwrap(cache).select("id", F.col("msg.payload.headers").alias("_h"), F.col("msg.labelIds").alias("_l"),
+                             F.col("msg.snippet").alias("_s"))
+    m = m.withColumn("_hn", header_names_lower("_h"))
+    base = m.select(
         "id",
-        *[has_label(labels, lab).alias(name) for name, lab in FLAG_LABELS.items()],
-        header_value(headers, "From", HEADER_DEFAULTS["From"]).alias("from"),
-        header_value(headers, "Subject", HEADER_DEFAULTS["Subject"]).alias("subject"),
-        date.alias("date"),
-        age_days(date, as_of).alias("age_days"),
-        F.coalesce(F.col("msg.snippet"), F.lit("")).alias("snippet"),
+        *[has_label("_l", lab).alias(name) for name, lab in FLAG_LABELS.items()],
+        header_value("_h", "From", HEADER_DEFAULTS["From"], "_hn").alias("from"),
+        header_value("_h", "Subject", HEADER_DEFAULTS["Subject"], "_hn").alias("subject"),
+        header_value("_h", "Date", HEADER_DEFAULTS["Date"], "_hn").alias("date"),
+        F.coalesce(F.col("_s"), F.lit("")).alias("snippet"),
     )
+    dated = with_date_ts(base, "date", "_ts")
+    return dated.select("id", *FLAG_LABELS, "from", "subject", "date",
+                        age_days_from_ts("_ts", as_of).alias("age_days"), "snippet")
 
 
 def message_ts(messages: DataFrame) -> DataFrame:
     """Adds the absolute time ``ts`` parsed from the Date header."""
-    return messages.withColumn("ts", rfc2822_timestamp("date"))
+    return with_date_ts(messages, "date", "ts")
 
 
 def process_messages(cache: DataFrame, listing: DataFrame, as_of=None) -> DataFrame:
