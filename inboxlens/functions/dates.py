@@ -110,16 +110,33 @@ def rfc2822_timestamp(date: Column | str) -> Column:
 
 
 def with_date_ts(df: DataFrame, date_col: str = "date", ts_col: str = "ts") -> DataFrame:
-    """Adds ``ts_col`` parsed from ``date_col``.
+    """Adds ``ts_col`` parsed from ``date_col`` (same result as :func:`rfc2822_timestamp`).
 
-    The parts array is its own projection, so the regex runs once per row and
-    the field look-ups read the column (Spark does not inline a non-trivial
-    expression that is referenced several times).
+    Staged projections: the regex runs once, each numeric field is computed
+    once, and the timestamp reads them as columns. Spark keeps these
+    projections apart because their outputs are referenced several times, so
+    the generated code stays small (no duplicated sub-expressions, well under
+    the JVM method size limit) and nothing falls back to interpretation.
     """
-    return (df.withColumn("_date_parts", date_parts(date_col))
-              .withColumn("_date_hhmm", zone_hhmm(F.get(F.col("_date_parts"), 6)))
-              .withColumn(ts_col, timestamp_from_parts("_date_parts", "_date_hhmm"))
-              .drop("_date_parts", "_date_hhmm"))
+    months = F.array(*[F.lit(m) for m in MONTH_NAMES])
+    p = F.col("_dp")
+    staged = (df.withColumn("_dp", date_parts(date_col))
+                .withColumn("_dn", F.size(p))
+                .withColumn("_dm", F.array_position(months, F.lower(F.get(p, 1))).cast("int"))
+                .withColumn("_dy", F.get(p, 2).cast("int"))
+                .withColumn("_ds", F.coalesce(F.nullif(F.get(p, 5), F.lit("")).cast("int"), F.lit(0)))
+                .withColumn("_dz", zone_hhmm(F.get(p, 6))))
+    m, y, sec, hh = F.col("_dm"), F.col("_dy"), F.col("_ds"), F.col("_dz")
+    staged = staged.select(
+        "*",
+        ((hh / 100).cast("long") * 3600 + (hh % 100) * 60).alias("_doff"),
+        F.try_make_timestamp(F.when(y < 100, F.when(y > 68, y + 1900).otherwise(y + 2000)).otherwise(y),
+                             F.when(m > 12, m - 12).otherwise(m), F.get(p, 0).cast("int"), F.get(p, 3).cast("int"),
+                             F.get(p, 4).cast("int"), sec.cast("decimal(16,6)"), F.lit("UTC")).alias("_dl"))
+    off = F.col("_doff")
+    ok = (F.col("_dn") == 7) & (m > 0) & (sec < 60) & (F.abs(off) < 86400)
+    return (staged.withColumn(ts_col, F.when(ok, F.timestamp_micros(F.unix_micros("_dl") - off * 1_000_000)))
+                  .drop("_dp", "_dn", "_dm", "_dy", "_ds", "_dz", "_doff", "_dl"))
 
 
 def age_days_from_ts(ts: Column | str, as_of=None) -> Column:

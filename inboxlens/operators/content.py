@@ -210,56 +210,93 @@ def intent_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(intent_lexicon_rows(), "form string, intent string")
 
 
-def intent_scores(messages: DataFrame, key: str = "from", gazetteer: DataFrame | None = None,
-                  column: str = "snippet", content_features: bool = True) -> DataFrame:
-    """``(key, intent, score)`` for all four intents of every key.
+# above this many "newsletter" organisations the check runs as a join instead of inline
+NEWS_INLINE_LIMIT = 1000
+
+
+def _newsletter_orgs(gazetteer: DataFrame | None) -> list[str] | None:
+    """Cleaned ORG surfaces containing "newsletter" ([] when none); None when too many to inline."""
+    if gazetteer is None:
+        return []
+    g = (gazetteer.where((F.col("label") == "ORG") & F.contains(F.lower("surface"), F.lit("newsletter")))
+         .select(clean_text("surface").alias("s"), F.size(words("surface")).alias("n"))
+         .where((F.length("s") > 0) & (F.col("n") <= MAX_NGRAM)).select("s").distinct())
+    rows = g.limit(NEWS_INLINE_LIMIT + 1).collect()       # bounded: at most the limit + 1 short strings
+    return None if len(rows) > NEWS_INLINE_LIMIT else [r.s for r in rows]
+
+
+def intent_scores_wide(messages: DataFrame, key: str = "from", gazetteer: DataFrame | None = None,
+                       column: str = "snippet", content_features: bool = True) -> DataFrame:
+    """One row per key with the four intent scores as columns.
 
     score = lexicon hits over all the key's texts, +2 transactional when any
-    text mentions an amount, +2 promotional when an ORG entity contains
-    "newsletter". Scores add up over texts, so no text is concatenated.
+    text mentions an amount, +2 promotional when an ORG of the gazetteer that
+    contains "newsletter" occurs. Texts are tokenised once and joined to the
+    broadcast lexicon (a fixed ~300 rows); one aggregation (partial before the
+    shuffle) yields all four scores, so no per-key grid or distinct is needed.
     """
     spark = messages.sparkSession
-    keys = messages.select(key).distinct()
-    intents = spark.createDataFrame([(i, r) for r, i in enumerate(INTENT_ORDER, 1)], "intent string, intent_rank int")
-    grid = keys.crossJoin(F.broadcast(intents))  # 4 rows per key: fixed bound
     if not content_features:
-        return grid.withColumn("score", F.lit(0).cast("long"))
-    toks = messages.select(key, F.explode(words(column)).alias("form"))
-    lex = intent_lexicon(spark)
-    hits = (toks.join(F.broadcast(lex), "form", "inner")  # lexicon: ~200 fixed rows
-            .groupBy(key, "intent").agg(F.count(F.lit(1)).alias("_hits")))
-    ents = message_entities(messages.select(F.col(key).alias("from"), "id", column), gazetteer, column)
-    flags = ents.groupBy(F.col("from").alias(key)).agg(
-        F.bool_or(F.col("label") == "MONEY").alias("_money"),
-        F.bool_or((F.col("label") == "ORG") & F.contains(F.lower("entity"), F.lit("newsletter"))).alias("_news"))
-    bonus = flags.select(key, F.explode(F.array(
-        F.struct(F.lit("transactional").alias("intent"), F.when(F.col("_money"), MONEY_BONUS).otherwise(0).alias("_b")),
-        F.struct(F.lit("promotional").alias("intent"), F.when(F.col("_news"), NEWSLETTER_BONUS).otherwise(0).alias("_b")),
-    )).alias("_x")).select(key, "_x.intent", "_x._b")
-    return (grid.join(hits, [key, "intent"], "left").join(bonus, [key, "intent"], "left")
-            .select(key, "intent", "intent_rank",
-                    (F.coalesce("_hits", F.lit(0)) + F.coalesce("_b", F.lit(0))).cast("long").alias("score")))
+        return messages.groupBy(key).agg(*[F.lit(0).cast("long").alias(i) for i in INTENT_ORDER])
+    text = F.coalesce(F.col(column), F.lit(""))
+    orgs = _newsletter_orgs(gazetteer)
+    if orgs is None:
+        news_keys = (message_entities(messages.select(F.col(key).alias("from"), "id", column),
+                                      gazetteer.where(F.contains(F.lower("surface"), F.lit("newsletter"))), column)
+                     .where(F.col("label") == "ORG").select(F.col("from").alias(key)).distinct()
+                     .withColumn("_news_join", F.lit(True)))
+        news = F.lit(False)
+    else:
+        padded = F.concat(F.lit(" "), clean_text(text), F.lit(" "))
+        news = F.lit(False)
+        for o in orgs:
+            news = news | F.contains(padded, F.lit(f" {o} "))
+    base = messages.select(key, words(text).alias("_w"), text.rlike(MONEY_PATTERN).alias("_money"),
+                           news.alias("_news"))
+    toks = base.select(key, "_money", "_news", F.explode_outer("_w").alias("form"))
+    hits = toks.join(F.broadcast(intent_lexicon(spark)), "form", "left")
+    wide = hits.groupBy(key).agg(*[F.count_if(F.col("intent") == i).alias(f"_{i}") for i in INTENT_ORDER],
+                                 F.bool_or("_money").alias("_money"), F.bool_or("_news").alias("_news"))
+    if orgs is None:
+        wide = wide.join(news_keys, key, "left").withColumn(
+            "_news", F.col("_news") | F.coalesce(F.col("_news_join"), F.lit(False)))
+    bonus = {"transactional": F.when(F.col("_money"), MONEY_BONUS).otherwise(0),
+             "promotional": F.when(F.col("_news"), NEWSLETTER_BONUS).otherwise(0)}
+    return wide.select(key, *[(F.col(f"_{i}") + bonus.get(i, F.lit(0))).cast("long").alias(i) for i in INTENT_ORDER])
+
+
+def intent_scores(messages: DataFrame, key: str = "from", gazetteer: DataFrame | None = None,
+                  column: str = "snippet", content_features: bool = True) -> DataFrame:
+    """``(key, intent, intent_rank, score)``: the four scores of every key as rows."""
+    wide = intent_scores_wide(messages, key, gazetteer, column, content_features)
+    stack = ", ".join(f"'{i}', {r}, `{i}`" for r, i in enumerate(INTENT_ORDER, 1))
+    return wide.selectExpr(f"`{key}`", f"stack({len(INTENT_ORDER)}, {stack}) AS (intent, intent_rank, score)")
 
 
 def top_intents(messages: DataFrame, n: int = 3, key: str = "from", gazetteer: DataFrame | None = None,
                 column: str = "snippet", content_features: bool = True) -> DataFrame:
     """Top ``n`` intents per key by score (ties: promotional, transactional,
-    informational, social). A key whose best score is 0 gets ``unknown`` / 0."""
-    s = intent_scores(messages, key, gazetteer, column, content_features)
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("intent_rank"))
-    ranked = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    best = F.max("score").over(Window.partitionBy(key))
-    ranked = ranked.withColumn("_best", best)
-    known = ranked.where(F.col("_best") > 0).select(key, "rank", "intent", "score")
-    unknown = (ranked.where((F.col("_best") == 0) & (F.col("rank") == 1))
-               .select(key, "rank", F.lit("unknown").alias("intent"), F.lit(0).cast("long").alias("score")))
-    return known.unionByName(unknown)
+    informational, social). A key whose best score is 0 gets ``unknown`` / 0.
+
+    Ranking is row-local: the four scores are sorted as an array, so no
+    window or second shuffle is involved.
+    """
+    wide = intent_scores_wide(messages, key, gazetteer, column, content_features)
+    entries = F.array(*[F.struct((-F.col(i)).alias("k"), F.lit(r).alias("r"), F.lit(i).alias("intent"),
+                                 F.col(i).alias("score")) for r, i in enumerate(INTENT_ORDER, 1)])
+    best = F.greatest(*[F.col(i) for i in INTENT_ORDER])
+    unknown = F.array(F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).alias("r"), F.lit("unknown").alias("intent"),
+                               F.lit(0).cast("long").alias("score")))
+    top = F.when(best > 0, F.slice(F.array_sort(entries), 1, n)).otherwise(unknown)
+    return (wide.select(key, F.posexplode(top).alias("_pos", "_x"))
+            .select(key, (F.col("_pos") + 1).cast("int").alias("rank"), F.col("_x.intent").alias("intent"),
+                    F.col("_x.score").alias("score")))
 
 
 __all__ = [
     "sender_subjects", "sender_snippets", "top_senders_by_subjects", "first_subject", "snippet_counts",
     "classify_subjects", "subject_class_counts", "subject_words", "cleaned", "message_keywords",
     "keyword_counts", "top_k", "top_keywords", "gazetteer_from_tables", "message_entities",
-    "entity_counts", "top_entities", "intent_lexicon_rows", "intent_lexicon", "intent_scores",
+    "entity_counts", "top_entities", "intent_lexicon_rows", "intent_lexicon", "intent_scores", "intent_scores_wide",
     "top_intents", "ENTITY_LABELS",
 ]

@@ -30,17 +30,16 @@ def aggregate_and_score(messages: DataFrame) -> DataFrame:
     shuffle on ``from``: a sender holding a third of all mail costs one
     partial row per input partition, not a third of the data in one task.
     """
-    dated = messages.where(F.col("age_days").isNotNull() & F.col("from").isNotNull())
-    agg = dated.groupBy("from").agg(
-        F.count("id").alias("total_volume"),
-        F.count_if("unread").alias("unread_count"),
-        F.count_if("starred").alias("starred_count"),
-        F.count_if("important").alias("important_count"),
-        F.count_if("social").alias("social_count"),
-        F.count_if("updates").alias("updates_count"),
-        F.count_if("promotions").alias("promotions_count"),
+    # "dated messages only" is folded into the aggregates (and a total > 0
+    # check after grouping) rather than a filter below them: a pushed-down
+    # filter would repeat the whole date-parsing expression in its condition.
+    dated = F.col("age_days").isNotNull()
+    agg = messages.where(F.col("from").isNotNull()).groupBy("from").agg(
+        F.count(F.when(dated, F.col("id"))).alias("total_volume"),
+        *[F.count_if(dated & F.col(flag)).alias(f"{flag}_count")
+          for flag in ("unread", "starred", "important", "social", "updates", "promotions")],
         F.avg(F.col("age_days").cast("double")).alias("avg_recency_days"),
-    )
+    ).where(F.col("total_volume") > 0)
     total = F.col("total_volume").cast("double")
     open_rate = F.try_divide(total - F.col("unread_count"), total) * F.lit(100.0)
     scored = (agg.withColumn("open_rate", open_rate)

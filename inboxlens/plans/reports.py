@@ -35,21 +35,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def audit(listing: DataFrame, cache: DataFrame, fetch, as_of=None, refresh: bool = False,
-          ttl_days: int = DEFAULT_CACHE_TTL_DAYS) -> dict[str, DataFrame]:
+          ttl_days: int = DEFAULT_CACHE_TTL_DAYS, out_dir: str | None = None) -> dict[str, DataFrame]:
     """Refresh the cache for ``listing`` and aggregate the listed messages.
 
     ``fetch`` maps the fetch plan ``(id, reason)`` to fetched cache rows (the
     mail-service client lives outside Spark). Returns the new cache (pruned to
     the listing), the removed entries, the message table and the sender table.
+
+    The refreshed cache meets the listing in one join (listing ids are first
+    counted per id, so duplicates listed twice are read twice, as listed). Its
+    result is written once under the shared folder, partitioned by whether the
+    id is still listed: the new cache, the pruned ids and the message table
+    are then partition-pruned scans of that write, and a lost executor costs
+    a re-read instead of a replay of the refresh.
     """
+    spark = listing.sparkSession
     plan = RF.fetch_plan(listing, cache, refresh, ttl_days, as_of)
     fetched = fetch(plan)
     updated = RF.upsert(cache, fetched)
-    kept, removed = RF.prune(updated, listing)
-    msgs = MS.process_messages(updated, listing, as_of)
+    listed = listing.groupBy("id").agg(F.count(F.lit(1)).alias("_listed"))
+    flagged = (updated.join(listed, "id", "left")
+               .withColumn("state", F.when(F.col("_listed").isNotNull(), F.lit("listed"))
+                                     .otherwise(F.lit("removed"))))
+    path = out_dir or shared_dir(spark, "audit-cache")
+    flagged.write.mode("overwrite").partitionBy("state").parquet(path)
+    snap = spark.read.parquet(path)
+    kept = snap.where(F.col("state") == "listed").drop("state", "_listed")
+    removed = snap.where(F.col("state") == "removed").drop("state", "_listed")
+    # one message row per listing occurrence
+    occurrences = (snap.where(F.col("state") == "listed")
+                   .withColumn("_occurrence", F.explode(F.sequence(F.lit(1), F.col("_listed").cast("int")))))
+    msgs = MS.extract(occurrences, as_of)
     senders = SN.aggregate_and_score(msgs)
     return {"plan": plan, "fetched": fetched, "cache": kept, "removed": removed,
-            "messages": msgs, "senders": senders}
+            "messages": msgs, "senders": senders, "path": path}
 
 
 # ---------------------------------------------------------------------------
