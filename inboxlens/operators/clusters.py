@@ -37,7 +37,7 @@ def standardize(features: DataFrame) -> DataFrame:
 
 
 def cluster_senders(senders: DataFrame, n_clusters: int = 5, seed: int = DEFAULT_SEED,
-                    starts: int = DEFAULT_STARTS, max_iter: int = 100, parallel_starts: int = 4) -> DataFrame:
+                    starts: int = DEFAULT_STARTS, max_iter: int = 100, parallel_starts: int = 10) -> DataFrame:
     """``(from, cluster)`` with stable ids 0..k-1 (see :func:`stable_ids`).
 
     Best of ``starts`` K-Means runs (seeds ``seed``, ``seed+1``, ...) by

@@ -177,10 +177,13 @@ def analyze_patterns(messages: DataFrame, senders: DataFrame, top_n: int = 5, by
     after the top-n cut.
 
     The top-n senders are broadcast (``top_n`` rows) and semi-joined to the
-    messages, so only their mail is tokenised.
+    messages, so only their mail is tokenised. Both the chosen senders and
+    their messages are written once to the shared folder: the six branches
+    below (counts, subjects, keywords, intents, entities, assembly) read them
+    instead of re-running the sender aggregation and the scan each time.
     """
-    top = SN.top_senders_for_patterns(senders, top_n, by).select("from", "rank")
-    mine = messages.join(F.broadcast(top.select("from")), "from", "left_semi")
+    top = materialize(SN.top_senders_for_patterns(senders, top_n, by).select("from", "rank"), "pattern-senders")
+    mine = materialize(messages.join(F.broadcast(top.select("from")), "from", "left_semi"), "pattern-messages")
     snippets = CT.sender_snippets(mine)
     counts = CT.snippet_counts(mine)
     subjects = CT.first_subject(mine)
