@@ -111,6 +111,16 @@ DATE_PATTERN = (r"(?i)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}"
                 r"|\d{1,2} (?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*(?: \d{4})?"
                 r"|(?:mon|tues|wednes|thurs|fri|satur|sun)day|today|tomorrow|yesterday)\b")
 MAX_NGRAM = 4
+# a gazetteer up to this many rows is broadcast; a larger one is joined by shuffle
+GAZETTEER_BROADCAST_ROWS = 200_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    The check counts at most ``max_rows + 1`` rows, so it is cheap for any size.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def gazetteer_from_tables(spark: SparkSession, sf_dir: str, extra: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -127,8 +137,11 @@ def gazetteer_from_tables(spark: SparkSession, sf_dir: str, extra: list[tuple[st
 
 
 def _ngrams(tokens_col: str, n: int):
+    return _ngrams_of(F.col(tokens_col), n)
+
+
+def _ngrams_of(tok, n: int):
     """Space-joined n-grams of an array column, as an array (empty when too short)."""
-    tok = F.col(tokens_col)
     grams = F.transform(F.sequence(F.lit(1), F.size(tok) - n + 1),
                         lambda i: F.array_join(F.slice(tok, i, n), " "))
     return F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
@@ -139,28 +152,35 @@ def message_entities(messages: DataFrame, gazetteer: DataFrame | None = None,
     """``(from, id, label, entity)``, distinct per message.
 
     MONEY and DATE come from patterns; other labels from the gazetteer,
-    matched on 1..4-word n-grams of the cleaned text by an equi-join. The
-    gazetteer is broadcast only when it is small (its size is checked by
-    Spark's broadcast threshold; AQE falls back to a shuffle join beyond it).
+    matched on 1..4-word n-grams of the cleaned text by an equi-join. All
+    candidates come out of one generator over a single scan of the text
+    (pattern hits carry their label, n-grams carry none), and one left join to
+    the gazetteer labels the n-grams. The gazetteer is broadcast only when
+    Spark's size-checked threshold allows; beyond it the join shuffles.
     """
     src = messages.select("from", "id", F.coalesce(F.col(column), F.lit("")).alias("_t"))
-    money = src.select("from", "id", F.lit("MONEY").alias("label"),
-                       F.explode(F.regexp_extract_all("_t", F.lit(MONEY_PATTERN), 0)).alias("entity"))
-    dates = src.select("from", "id", F.lit("DATE").alias("label"),
-                       F.explode(F.regexp_extract_all("_t", F.lit(DATE_PATTERN), 0)).alias("entity"))
-    out = money.unionByName(dates)
+    cands = [F.struct(F.lit("MONEY").alias("label"), F.regexp_extract_all("_t", F.lit(MONEY_PATTERN), 0).alias("v")),
+             F.struct(F.lit("DATE").alias("label"), F.regexp_extract_all("_t", F.lit(DATE_PATTERN), 0).alias("v"))]
+    g = None
     if gazetteer is not None:
-        g = gazetteer.select("label", "surface", clean_text("surface").alias("_gram"),
-                             F.size(words("surface")).alias("_n"))
+        g = gazetteer.select(F.col("label").alias("_g_label"), F.col("surface").alias("_g_surface"),
+                             clean_text("surface").alias("_gram"), F.size(words("surface")).alias("_n"))
         # only the n-gram lengths the dictionary has (at most MAX_NGRAM small ints reach the driver)
         lengths = sorted(r[0] for r in g.select("_n").distinct().collect() if 0 < r[0] <= MAX_NGRAM)
-        toks = src.select("from", "id", words("_t").alias("_tok"))
-        grams = toks.select("from", "id", F.explode(
-            F.flatten(F.array(*[_ngrams("_tok", n) for n in lengths])) if lengths
-            else F.array().cast("array<string>")).alias("_gram"))
-        hits = grams.join(g, "_gram", "inner").select("from", "id", "label", F.col("surface").alias("entity"))
-        out = out.unionByName(hits)
-    return out.where(F.length("entity") > 0).dropDuplicates(["id", "label", "entity", "from"])
+        if lengths:
+            tok = words("_t")
+            grams = F.flatten(F.array(*[_ngrams_of(tok, n) for n in lengths]))
+            cands.append(F.struct(F.lit(None).cast("string").alias("label"), grams.alias("v")))
+    rows = (src.select("from", "id", F.explode(F.array(*cands)).alias("_c"))
+               .select("from", "id", F.col("_c.label").alias("label"), F.explode("_c.v").alias("entity")))
+    if g is not None and len(cands) > 2:
+        gz = sized_broadcast(g.select("_g_label", "_g_surface", "_gram"), GAZETTEER_BROADCAST_ROWS)
+        j = rows.join(gz,
+                      rows["label"].isNull() & (rows["entity"] == gz["_gram"]), "left")
+        rows = j.select("from", "id", F.coalesce("label", "_g_label").alias("label"),
+                        F.when(F.col("label").isNull(), F.col("_g_surface")).otherwise(F.col("entity")).alias("entity"))
+    out = rows.where(F.col("label").isNotNull() & (F.length("entity") > 0))
+    return out.dropDuplicates(["id", "label", "entity", "from"])
 
 
 def entity_counts(messages: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:

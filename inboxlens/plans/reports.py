@@ -194,14 +194,15 @@ def analyze_patterns(messages: DataFrame, senders: DataFrame, top_n: int = 5, by
     if hide_zero_intents:
         intents = intents.where(F.col("score") > 0)
     it = intents.groupBy("from").agg(F.sort_array(F.collect_list(F.struct("rank", "intent", "score"))).alias("_it"))
-    out = (top.join(counts, "from", "inner").join(subjects, "from", "left").join(kw, "from", "left")
-           .join(it, "from", "left"))
+    # every side below holds at most top_n rows (one per chosen sender): broadcast is bounded
+    out = (top.join(F.broadcast(counts), "from", "inner").join(F.broadcast(subjects), "from", "left")
+           .join(F.broadcast(kw), "from", "left").join(F.broadcast(it), "from", "left"))
     if content_features:
         ents = CT.top_entities(mine, gazetteer, 5)
         ent = (ents.groupBy("from", "label")
                .agg(F.sort_array(F.collect_list(F.struct("rank", "entity", "n"))).alias("_e"))  # <= 5 each
                .groupBy("from").agg(F.sort_array(F.collect_list(F.struct("label", "_e"))).alias("_ents")))
-        out = out.join(ent, "from", "left")
+        out = out.join(F.broadcast(ent), "from", "left")
     else:
         out = out.withColumn("_ents", F.lit(None).cast("array<struct<label:string,_e:array<struct<rank:int,"
                                                        "entity:string,n:bigint>>>>"))
