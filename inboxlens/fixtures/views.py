@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from inboxlens.functions.dates import age_days_from_ts
 from inboxlens.schemas import CACHE
+from inboxlens.sources.tables import read_table
 
 # The "now" each view is audited at.
 ORDERS_AS_OF = "2001-09-01 00:00:00"
@@ -30,8 +31,9 @@ MAILBOX_SINCE = "1996-01-01"
 CACHED_BEFORE = "2001-01-01"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return read_table(spark, path) if spread_rows else spark.read.parquet(path)
 
 
 def _flags_from_orders():

@@ -1,0 +1,22 @@
+"""Reading input tables with enough parallelism for per-row work."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_partitions`` partitions when its scan gives fewer.
+
+    A file stored as one Parquet row group is read by one task, which would
+    run all per-row parsing and tokenising before the first shuffle on one
+    core. A large table already scans as many partitions and passes through
+    untouched, so no data is moved for it.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def read_table(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
+    """``spark.read.parquet(path)`` spread over the cluster's default parallelism when small."""
+    return spread(spark.read.parquet(path), min_partitions)
