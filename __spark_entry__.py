@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inboxlens.fixtures import oracle as O
 from inboxlens.fixtures import views as V
+from inboxlens.functions.numbers import percentage
 from inboxlens.operators import clusters as CL
 from inboxlens.operators import content as CT
 from inboxlens.operators import messages as MS
@@ -163,8 +163,7 @@ def q_i3(spark, sf):
 
 def q_c5(spark, sf):
     s = _senders_v1(spark, sf)
-    total = s.agg(F.sum("total_volume").alias("_all"))
-    from inboxlens.functions.numbers import percentage
+    total = s.agg(F.sum("total_volume").alias("_all"))     # one row: the cross join is a broadcast of it
     return _r(s.crossJoin(total).select("from", "total_volume",
                                         percentage("total_volume", "_all").alias("share_pct")))
 

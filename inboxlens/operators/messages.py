@@ -17,14 +17,17 @@ def unwrap(cache: DataFrame) -> DataFrame:
     return cache.select("id", "fetched_at", response_of().alias("msg"))
 
 
-def extract(cache: DataFrame, as_of=None) -> DataFrame:
+def extract(cache: DataFrame, as_of=None, keep: list[str] | None = None) -> DataFrame:
     """The 12 message columns from cache rows (no listing join).
 
     Staged projections: headers are looked up once, the Date header is parsed
-    once, and only then ages and flags are derived.
+    once, and only then ages and flags are derived. ``keep`` carries extra
+    cache columns through to the end.
     """
-    m = unwrap(cache).select("id", F.col("msg.payload.headers").alias("_h"), F.col("msg.labelIds").alias("_l"),
-                             F.col("msg.snippet").alias("_s"))
+    keep = list(keep or [])
+    m = cache.select("id", response_of().alias("msg"), *keep)
+    m = m.select("id", F.col("msg.payload.headers").alias("_h"), F.col("msg.labelIds").alias("_l"),
+                 F.col("msg.snippet").alias("_s"), *keep)
     m = m.withColumn("_hn", header_names_lower("_h"))
     base = m.select(
         "id",
@@ -33,10 +36,11 @@ def extract(cache: DataFrame, as_of=None) -> DataFrame:
         header_value("_h", "Subject", HEADER_DEFAULTS["Subject"], "_hn").alias("subject"),
         header_value("_h", "Date", HEADER_DEFAULTS["Date"], "_hn").alias("date"),
         F.coalesce(F.col("_s"), F.lit("")).alias("snippet"),
+        *keep,
     )
     dated = with_date_ts(base, "date", "_ts")
     return dated.select("id", *FLAG_LABELS, "from", "subject", "date",
-                        age_days_from_ts("_ts", as_of).alias("age_days"), "snippet")
+                        age_days_from_ts("_ts", as_of).alias("age_days"), "snippet", *keep)
 
 
 def message_ts(messages: DataFrame) -> DataFrame:

@@ -19,12 +19,14 @@ def _by(metric: str) -> list[Column]:
     return [F.col(metric).desc_nulls_last(), F.col("from").asc()]
 
 
-def aggregate_and_score(messages: DataFrame) -> DataFrame:
+def aggregate_and_score(messages: DataFrame, weight: str | None = None) -> DataFrame:
     """Sender table from message rows (the audit's core aggregation).
 
     Undated messages are left out. Group key is the raw ``from`` header.
     ``open_rate = (total - unread) / total * 100`` and
-    ``ignorance_score = total * (100 - open_rate)``.
+    ``ignorance_score = total * (100 - open_rate)``. ``weight`` names an
+    optional count column: a row then stands for that many identical
+    messages (e.g. an id listed several times), so nothing is replicated.
 
     Every aggregate is algebraic, so Spark runs a partial aggregate before the
     shuffle on ``from``: a sender holding a third of all mail costs one
@@ -34,12 +36,21 @@ def aggregate_and_score(messages: DataFrame) -> DataFrame:
     # check after grouping) rather than a filter below them: a pushed-down
     # filter would repeat the whole date-parsing expression in its condition.
     dated = F.col("age_days").isNotNull()
-    agg = messages.where(F.col("from").isNotNull()).groupBy("from").agg(
-        F.count(F.when(dated, F.col("id"))).alias("total_volume"),
-        *[F.count_if(dated & F.col(flag)).alias(f"{flag}_count")
-          for flag in ("unread", "starred", "important", "social", "updates", "promotions")],
-        F.avg(F.col("age_days").cast("double")).alias("avg_recency_days"),
-    ).where(F.col("total_volume") > 0)
+    flags = ("unread", "starred", "important", "social", "updates", "promotions")
+    src = messages.where(F.col("from").isNotNull())
+    if weight is None:
+        aggs = [F.count(F.when(dated, F.col("id"))).alias("total_volume"),
+                *[F.count_if(dated & F.col(f)).alias(f"{f}_count") for f in flags],
+                F.avg(F.col("age_days").cast("double")).alias("avg_recency_days")]
+    else:
+        w = F.col(weight).cast("long")
+        n = F.sum(F.when(dated & F.col("id").isNotNull(), w)).cast("long")
+        aggs = [F.coalesce(n, F.lit(0)).alias("total_volume"),
+                *[F.coalesce(F.sum(F.when(dated & F.col(f), w)), F.lit(0)).cast("long").alias(f"{f}_count")
+                  for f in flags],
+                F.try_divide(F.sum(F.col("age_days") * w).cast("double"),
+                             F.sum(F.when(dated, w)).cast("double")).alias("avg_recency_days")]
+    agg = src.groupBy("from").agg(*aggs).where(F.col("total_volume") > 0)
     total = F.col("total_volume").cast("double")
     open_rate = F.try_divide(total - F.col("unread_count"), total) * F.lit(100.0)
     scored = (agg.withColumn("open_rate", open_rate)

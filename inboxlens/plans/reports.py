@@ -62,11 +62,13 @@ def audit(listing: DataFrame, cache: DataFrame, fetch, as_of=None, refresh: bool
     snap = spark.read.parquet(path)
     kept = snap.where(F.col("state") == "listed").drop("state", "_listed")
     removed = snap.where(F.col("state") == "removed").drop("state", "_listed")
-    # one message row per listing occurrence
-    occurrences = (snap.where(F.col("state") == "listed")
-                   .withColumn("_occurrence", F.explode(F.sequence(F.lit(1), F.col("_listed").cast("int")))))
-    msgs = MS.extract(occurrences, as_of)
-    senders = SN.aggregate_and_score(msgs)
+    listed_rows = MS.extract(snap.where(F.col("state") == "listed"), as_of, keep=["_listed"])
+    # the sender table weights each cached message by how often it is listed: an id
+    # listed many times is never replicated into one task
+    senders = SN.aggregate_and_score(listed_rows, weight="_listed")
+    # the message table keeps one row per listing occurrence, as listed (computed only if used)
+    msgs = (listed_rows.withColumn("_occurrence", F.explode(F.sequence(F.lit(1), F.col("_listed").cast("int"))))
+            .drop("_occurrence", "_listed"))
     return {"plan": plan, "fetched": fetched, "cache": kept, "removed": removed,
             "messages": msgs, "senders": senders, "path": path}
 

@@ -118,3 +118,16 @@ def test_pattern_sender_choice(spark):
     assert by_vol == ["newsletter@company.com", "promo@store.com"]
     with pytest.raises(ValueError):
         SN.top_senders_for_patterns(f1(spark), 2, "bogus")
+
+
+def test_weighted_equals_replicated(spark):
+    from pyspark.sql import functions as F
+    base = f3(spark).withColumn("w", F.when(F.col("id") == "id3", 3).otherwise(1))
+    replicated = base.withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("w")))).drop("_r")
+    a = sorted(SN.aggregate_and_score(replicated.drop("w")).collect())
+    b = sorted(SN.aggregate_and_score(base, weight="w").collect())
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        assert x["from"] == y["from"] and x.total_volume == y.total_volume and x.unread_count == y.unread_count
+        assert x.avg_recency_days == pytest.approx(y.avg_recency_days)
+        assert x.ignorance_score == pytest.approx(y.ignorance_score)
