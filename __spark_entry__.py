@@ -509,13 +509,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _in_utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Ages are whole UTC days: pin the session zone before the plan is analysed."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the audit's top-10 noise makers over sf0.001."""
-    return q_c13(spark, FLAGSHIP_SF)
+    return _in_utc(q_c13)(spark, FLAGSHIP_SF)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {k: _in_utc(v) for k, v in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

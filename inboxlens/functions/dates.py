@@ -12,6 +12,7 @@ differences: an e-mail one hour in the future is ``-1`` day old.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +34,22 @@ def _c(x) -> Column:
 
 
 def as_of_column(as_of=None) -> Column:
-    """``as_of`` as a TIMESTAMP column: None -> now, str/datetime -> literal."""
+    """``as_of`` as a TIMESTAMP column: None -> now, str/datetime -> literal.
+
+    Text or a naive datetime without a zone means UTC, whatever the session zone.
+    """
     if as_of is None:
         return F.current_timestamp()
     if isinstance(as_of, Column):
         return as_of.cast("timestamp")
     if isinstance(as_of, _dt.datetime):
+        if as_of.tzinfo is None:
+            as_of = as_of.replace(tzinfo=_dt.UTC)
         as_of = as_of.isoformat(sep=" ")
-    return F.lit(str(as_of)).cast("timestamp")
+    text = str(as_of).strip()
+    if not re.search(r"(Z|[+-]\d{2}:?\d{2}|\s[A-Za-z][A-Za-z_/]+)$", text):
+        text += "Z"
+    return F.lit(text).cast("timestamp")
 
 
 def _int(s: Column) -> Column:
