@@ -226,7 +226,7 @@ def _patterns(order_metric: str, nlp: bool, hide_zero: bool) -> str:
  itf AS (SELECT k AS "from", string_agg(intent || ' (' || CAST(score AS VARCHAR) || ')', ', ' ORDER BY rank) AS top_intents
          FROM topi{zero} GROUP BY k){ent_part}
 SELECT tp."from", tp.rank, coalesce(subj.sample_subject, '') AS sample_subject, cnt.email_count,
-       coalesce(kf.top_keywords, '') AS top_keywords, coalesce(itf.top_intents, '') AS top_intents,
+       coalesce(kf.top_keywords, '') AS top_keywords, coalesce(itf.top_intents, '{'unknown' if hide_zero else ''}') AS top_intents,
        {ent_sel}, {'TRUE' if nlp else 'FALSE'} AS nlp_used
 FROM tp JOIN cnt ON cnt."from" = tp."from" LEFT JOIN subj ON subj."from" = tp."from"
      LEFT JOIN kf ON kf."from" = tp."from" LEFT JOIN itf ON itf."from" = tp."from"{ent_join}"""

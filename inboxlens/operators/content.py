@@ -32,6 +32,19 @@ def sender_snippets(messages: DataFrame) -> DataFrame:
             .select("from", "id", "snippet"))
 
 
+def cache_subjects(cache: DataFrame) -> DataFrame:
+    """``(from, id, subject)`` straight from cache rows: every cached message,
+    undated ones included, a missing Subject read as ''."""
+    from inboxlens.operators.messages import extract
+    return sender_subjects(extract(cache, subject_default=""))
+
+
+def cache_snippets(cache: DataFrame) -> DataFrame:
+    """``(from, id, snippet)`` of cached messages with a non-empty snippet."""
+    from inboxlens.operators.messages import extract
+    return sender_snippets(extract(cache))
+
+
 def top_senders_by_subjects(messages: DataFrame, n: int) -> DataFrame:
     """Senders by number of subjects, most first (ties by address)."""
     return (sender_subjects(messages).groupBy("from").agg(F.count(F.lit(1)).alias("email_count"))
@@ -314,7 +327,7 @@ def top_intents(messages: DataFrame, n: int = 3, key: str = "from", gazetteer: D
 
 
 __all__ = [
-    "sender_subjects", "sender_snippets", "top_senders_by_subjects", "first_subject", "snippet_counts",
+    "sender_subjects", "sender_snippets", "cache_subjects", "cache_snippets", "top_senders_by_subjects", "first_subject", "snippet_counts",
     "classify_subjects", "subject_class_counts", "subject_words", "cleaned", "message_keywords",
     "keyword_counts", "top_k", "top_keywords", "gazetteer_from_tables", "message_entities",
     "entity_counts", "top_entities", "intent_lexicon_rows", "intent_lexicon", "intent_scores", "intent_scores_wide",

@@ -17,12 +17,14 @@ def unwrap(cache: DataFrame) -> DataFrame:
     return cache.select("id", "fetched_at", response_of().alias("msg"))
 
 
-def extract(cache: DataFrame, as_of=None, keep: list[str] | None = None) -> DataFrame:
+def extract(cache: DataFrame, as_of=None, keep: list[str] | None = None,
+            subject_default: str = HEADER_DEFAULTS["Subject"]) -> DataFrame:
     """The 12 message columns from cache rows (no listing join).
 
     Staged projections: headers are looked up once, the Date header is parsed
     once, and only then ages and flags are derived. ``keep`` carries extra
-    cache columns through to the end.
+    cache columns through to the end. The sender -> subjects map of the cache
+    uses ``subject_default=""`` (the message table uses "No Subject").
     """
     keep = list(keep or [])
     m = cache.select("id", response_of().alias("msg"), *keep)
@@ -33,7 +35,7 @@ def extract(cache: DataFrame, as_of=None, keep: list[str] | None = None) -> Data
         "id",
         *[has_label("_l", lab).alias(name) for name, lab in FLAG_LABELS.items()],
         header_value("_h", "From", HEADER_DEFAULTS["From"], "_hn").alias("from"),
-        header_value("_h", "Subject", HEADER_DEFAULTS["Subject"], "_hn").alias("subject"),
+        header_value("_h", "Subject", subject_default, "_hn").alias("subject"),
         header_value("_h", "Date", HEADER_DEFAULTS["Date"], "_hn").alias("date"),
         F.coalesce(F.col("_s"), F.lit("")).alias("snippet"),
         *keep,

@@ -218,7 +218,8 @@ def analyze_patterns(messages: DataFrame, senders: DataFrame, top_n: int = 5, by
         "from", "rank", F.coalesce("sample_subject", F.lit("")).alias("sample_subject"),
         F.col("email_count").cast("long").alias("email_count"),
         F.coalesce(_pairs("_kw", "keyword", "n"), F.lit("")).alias("top_keywords"),
-        F.coalesce(_pairs("_it", "intent", "score"), F.lit("")).alias("top_intents"),
+        # with zero scores hidden, a sender left with no intent reads "unknown"
+        F.coalesce(_pairs("_it", "intent", "score"), F.lit("unknown" if hide_zero_intents else "")).alias("top_intents"),
         F.coalesce(ent_txt, F.lit("")).alias("top_entities"), "nlp_used")
 
 

@@ -74,12 +74,15 @@ def test_subjects_and_snippets(spark):
         ("m3", None, True, [("From", "sender2")], "snip c", []),
         ("m4", None, True, None, "", []),
     ])
-    m = MS.extract(c, AS_OF)
-    subj = CT.sender_subjects(m).groupBy("from").count()
-    assert {r["from"]: r["count"] for r in subj.collect()} == {"sender1": 2, "sender2": 1, "Unknown": 1}
-    assert {r["from"] for r in CT.sender_snippets(m).collect()} == {"sender1", "sender2"}
-    first = {r["from"]: r.sample_subject for r in CT.first_subject(m).collect()}
-    assert first["sender1"] == "s-a" and first["sender2"] == "No Subject"
+    subj = CT.cache_subjects(c)
+    counts = subj.groupBy("from").count()
+    assert {r["from"]: r["count"] for r in counts.collect()} == {"sender1": 2, "sender2": 1, "Unknown": 1}
+    # a missing Subject is '' in the subject map (the message table says "No Subject")
+    assert {r.id: r.subject for r in subj.collect()}["m3"] == ""
+    assert {r.id: r.subject for r in MS.extract(c, AS_OF).collect()}["m3"] == "No Subject"
+    assert {r["from"] for r in CT.cache_snippets(c).collect()} == {"sender1", "sender2"}
+    first = {r["from"]: r.sample_subject for r in CT.first_subject(CT.cache_subjects(c)).collect()}
+    assert first["sender1"] == "s-a" and first["sender2"] == ""
 
 
 def test_staleness(spark):
