@@ -16,6 +16,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inboxlens.session import materialize
+
 FEATURES = ["total_volume", "unread_count", "open_rate", "ignorance_score"]
 DEFAULT_SEED = 42
 DEFAULT_STARTS = 10
@@ -48,7 +50,8 @@ def cluster_senders(senders: DataFrame, n_clusters: int = 5, seed: int = DEFAULT
         raise ValueError("n_clusters must be positive")
     spark = senders.sparkSession
     empty = spark.createDataFrame([], "from string, cluster int")
-    feats = feature_table(senders)
+    # written once: the count, the statistics, the fits and the renumbering all read it
+    feats = materialize(feature_table(senders), "cluster-features")
     n = feats.count()
     if n == 0 or n < n_clusters:
         return empty
@@ -69,7 +72,7 @@ def cluster_senders(senders: DataFrame, n_clusters: int = 5, seed: int = DEFAULT
             results = list(pool.map(fit, range(seed, seed + starts)))
         best = min(results, key=lambda r: (r[0], r[1]))
         assigned = best[2].transform(scaled).select("from", F.col("raw_cluster").cast("int"))
-        out = stable_ids(assigned, senders)
+        out = stable_ids(assigned, feats)
         # written once so the k-means lineage is not replayed by every consumer
         return out.checkpoint(eager=True)
     finally:

@@ -18,16 +18,12 @@ from inboxlens.operators import metrics as MT
 from inboxlens.operators import refresh as RF
 from inboxlens.operators import senders as SN
 from inboxlens.schemas import DEFAULT_CACHE_TTL_DAYS
-from inboxlens.session import shared_dir
+from inboxlens.session import materialize, shared_dir
 
 LONG_SCHEMA = "section string, rank int, item string, metric string, value double"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+__all__ = ["materialize"]
 
 
 # ---------------------------------------------------------------------------
