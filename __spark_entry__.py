@@ -295,6 +295,10 @@ def q_e7(spark, sf):
     return CT.sender_subjects(V.mail_docs(spark, sf))
 
 
+def q_e7_cache(spark, sf):
+    return CT.cache_subjects(V.mail_cache(spark, sf))
+
+
 def q_e8(spark, sf):
     return CT.sender_snippets(V.mail_events(spark, sf))
 
@@ -466,6 +470,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e5_category_distribution": q_e5,
     "e6_engagement_tiers": q_e6,
     "e7_sender_subjects": q_e7,
+    "e7b_cache_subjects": q_e7_cache,
     "e8_sender_snippets": q_e8,
     "e9_top_senders_by_volume": q_e9,
     "e10_keyword_frequency": q_e10,

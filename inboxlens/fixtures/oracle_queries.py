@@ -397,6 +397,7 @@ ORACLES: dict[str, str] = {
     "c9_subject_classes": C9,
     "c9_subject_classes_events": C9E,
     "e7_sender_subjects": O.with_v3('SELECT "from", id, coalesce(subject, \'\') AS subject FROM m'),
+    "e7b_cache_subjects": f'SELECT "from", id, \'\' AS subject FROM ({V4_ALL})',
     "e8_sender_snippets": O.with_v2('SELECT "from", id, snippet FROM m WHERE length(snippet) > 0'),
     "e9_top_senders_by_volume": O.with_v2('SELECT "from", CAST(count(*) AS BIGINT) AS email_count FROM m '
                                           'GROUP BY "from" ORDER BY email_count DESC, "from" LIMIT 10'),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inboxlens.functions.text import clean_text, common_words_filtered, is_keyword, subject_class, words
-from inboxlens.schemas import ENTITY_LABELS, INTENT_KEYWORDS, INTENT_ORDER, MONEY_BONUS, NEWSLETTER_BONUS
+from inboxlens.schemas import INTENT_KEYWORDS, INTENT_ORDER, MONEY_BONUS, NEWSLETTER_BONUS
 
 # ---------------------------------------------------------------------------
 # sender -> subjects / snippets as long tables
@@ -331,5 +331,5 @@ __all__ = [
     "classify_subjects", "subject_class_counts", "subject_words", "cleaned", "message_keywords",
     "keyword_counts", "top_k", "top_keywords", "gazetteer_from_tables", "message_entities",
     "entity_counts", "top_entities", "intent_lexicon_rows", "intent_lexicon", "intent_scores", "intent_scores_wide",
-    "top_intents", "ENTITY_LABELS",
+    "top_intents",
 ]

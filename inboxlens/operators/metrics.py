@@ -7,7 +7,7 @@ Spark broadcasts: their size is fixed at one row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inboxlens.functions.numbers import percentage
@@ -147,4 +147,4 @@ def success_bands(senders: DataFrame) -> DataFrame:
 
 
 __all__ = ["overall_metrics", "distribution_summary", "tier_overview", "category_distribution",
-           "compare_metrics", "health_score", "success_bands", "Window"]
+           "compare_metrics", "health_score", "success_bands"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inboxlens.functions.tiers import engagement_tier, tier_name, tier_rank
+from inboxlens.functions.tiers import engagement_tier, tier_name
 from inboxlens.schemas import SENDERS
 
 SUMMARY_COLUMNS = ["from", "total_volume", "open_rate", "avg_recency_days", "ignorance_score"]
@@ -171,5 +171,5 @@ __all__ = [
     "aggregate_and_score", "with_tier", "engagement_tiers", "top_noise_makers", "audit_summary",
     "sort_by_score", "never_opened", "over_volume", "high_volume", "filter_matches",
     "unsubscribe_candidates", "review_candidates", "top_engaged", "tier_listing", "sender_lookup",
-    "top_senders_for_patterns", "tier_rank",
+    "top_senders_for_patterns",
 ]

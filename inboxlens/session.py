@@ -49,13 +49,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only when nothing is configured (local runs, tests) a private folder is
     created and registered as the checkpoint directory.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext in this client: use the configured folder
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and sc is not None:
+        d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="inboxlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if sc is None:
+        return d
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 

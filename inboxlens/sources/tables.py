@@ -13,8 +13,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     core. A large table already scans as many partitions and passes through
     untouched, so no data is moved for it.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without an RDD view (e.g. Spark Connect): leave as is
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def read_table(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:

@@ -1,6 +1,3 @@
-import pytest
-from pyspark.sql import functions as F
-
 from inboxlens.functions.text import clean_text, common_words_filtered, keyword_tokens, subject_class
 from inboxlens.operators import content as CT
 from inboxlens.schemas import INTENT_KEYWORDS

@@ -36,3 +36,22 @@ def test_small_dimensions_broadcast(spark):
     msgs = V.mail_events(spark, SF001)
     p = _plan(CT.intent_scores(CT.sender_snippets(msgs), "from"))
     assert "BroadcastHashJoin" in p
+
+
+def test_counts_gather_nothing_and_tokenise_once(spark):
+    docs = V.mail_docs(spark, SF001)
+    events = V.mail_events(spark, SF001)
+    gaz = CT.gazetteer_from_tables(spark, SF001, [("ORG", "newsletter")])
+    for df in (CT.keyword_counts(docs), CT.entity_counts(events, gaz), CT.intent_scores(events, "from", gaz)):
+        p = _plan(df)
+        assert "collect_list" not in p and "PythonUDF" not in p
+    p = _plan(CT.top_intents(events, 3, "from", gaz))
+    assert p.count("Generate explode") == 1          # the words of each text are exploded once
+    assert "Window" not in p                          # ranking is row-local
+
+
+def test_cluster_topk_uses_group_limit(spark):
+    from inboxlens.operators import clusters as CL
+    s = SN.aggregate_and_score(V.mail_orders(spark, SF001))
+    c = CL.cluster_senders(s, 3, starts=2)
+    assert "WindowGroupLimit" in _plan(CL.top_per_cluster(c, s, 5))
