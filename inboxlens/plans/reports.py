@@ -31,7 +31,8 @@ __all__ = ["materialize"]
 # ---------------------------------------------------------------------------
 
 def audit(listing: DataFrame, cache: DataFrame, fetch, as_of=None, refresh: bool = False,
-          ttl_days: int = DEFAULT_CACHE_TTL_DAYS, out_dir: str | None = None) -> dict[str, DataFrame]:
+          ttl_days: int = DEFAULT_CACHE_TTL_DAYS, out_dir: str | None = None,
+          allow_prune_all: bool = False) -> dict[str, DataFrame]:
     """Refresh the cache for ``listing`` and aggregate the listed messages.
 
     ``fetch`` maps the fetch plan ``(id, reason)`` to fetched cache rows (the
@@ -44,8 +45,16 @@ def audit(listing: DataFrame, cache: DataFrame, fetch, as_of=None, refresh: bool
     id is still listed: the new cache, the pruned ids and the message table
     are then partition-pruned scans of that write, and a lost executor costs
     a re-read instead of a replay of the refresh.
+
+    An empty listing gives an empty sender table; it empties the cache only
+    with ``allow_prune_all=True`` (otherwise the cache is kept as it is).
     """
     spark = listing.sparkSession
+    if not allow_prune_all and listing.limit(1).count() == 0:
+        empty_msgs = MS.extract(cache.limit(0), as_of)
+        return {"plan": listing.select("id", F.lit("missing").alias("reason")), "fetched": cache.limit(0),
+                "cache": cache, "removed": cache.limit(0), "messages": empty_msgs,
+                "senders": SN.aggregate_and_score(empty_msgs), "path": None}
     plan = RF.fetch_plan(listing, cache, refresh, ttl_days, as_of)
     fetched = fetch(plan)
     updated = RF.upsert(cache, fetched)

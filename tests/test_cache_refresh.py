@@ -136,3 +136,33 @@ def test_sender_table_csv_roundtrip(spark, tmp_dir):
     assert dict(back.dtypes)["total_volume"] == "bigint" and dict(back.dtypes)["open_rate"] == "double"
     assert sorted(back.collect()) == sorted(f2(spark).collect())
     assert SIO.load_senders(spark, os.path.join(tmp_dir, "missing.csv")).count() == 0
+
+
+def test_audit_plan_end_to_end(spark, tmp_dir):
+    from inboxlens.plans import reports as RP
+    d = "Mon, 1 Jan 2024 10:00:00 +0000"
+    cache = cache_item(spark, [("m1", "2024-01-09T00:00:00", True, [("From", "a@x"), ("Date", d)], "", ["UNREAD"]),
+                               ("m2", "2023-12-01T00:00:00", True, [("From", "b@x"), ("Date", d)], "", []),
+                               ("gone", "2024-01-09T00:00:00", True, [("From", "c@x"), ("Date", d)], "", [])])
+    listing = spark.createDataFrame([("m1",), ("m2",), ("m3",), ("m1",)], "id string")
+    fetched = cache_item(spark, [("m2", "2024-01-10T00:00:00", True, [("From", "b@x"), ("Date", d)], "", ["UNREAD"]),
+                                 ("m3", "2024-01-10T00:00:00", True, [("From", "b@x"), ("Date", d)], "", [])])
+    out = RP.audit(listing, cache, lambda plan: fetched.join(plan.select("id"), "id", "left_semi"), AS_OF,
+                   out_dir=os.path.join(tmp_dir, "audit"))
+    assert sorted(r.id for r in out["cache"].collect()) == ["m1", "m2", "m3"]
+    assert [r.id for r in out["removed"].collect()] == ["gone"]
+    assert sorted(r.id for r in out["messages"].collect()) == ["m1", "m1", "m2", "m3"]   # listed twice, read twice
+    s = {r["from"]: r for r in out["senders"].collect()}
+    assert s["a@x"].total_volume == 2 and s["a@x"].unread_count == 2
+    assert s["b@x"].total_volume == 2 and s["b@x"].unread_count == 1
+
+
+def test_audit_empty_listing_keeps_cache(spark, tmp_dir):
+    from inboxlens.plans import reports as RP
+    cache = cache_item(spark, [("m1", None, True, [("From", "a@x")], "", [])])
+    empty = spark.createDataFrame([], "id string")
+    out = RP.audit(empty, cache, lambda plan: plan, AS_OF)
+    assert out["senders"].count() == 0 and out["cache"].count() == 1 and out["removed"].count() == 0
+    out = RP.audit(empty, cache, lambda plan: cache.limit(0), AS_OF, out_dir=os.path.join(tmp_dir, "a2"),
+                   allow_prune_all=True)
+    assert out["cache"].count() == 0 and out["removed"].count() == 1
