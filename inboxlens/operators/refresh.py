@@ -38,10 +38,10 @@ def fetch_plan(listing: DataFrame, cache: DataFrame, refresh: bool = False,
 def latest_per_id(fetched: DataFrame) -> DataFrame:
     """One row per id: the newest ``fetched_at`` wins (ties: larger stamp text, then row content)."""
     cols_all = [f.name for f in CACHE.fields if f.name != "id"]
-    # ties on the stamp fall back to the stamp text, then to the row's JSON, so the pick is deterministic
+    # ties on the stamp fall back to the stamp text, then to a hash of the row, so the pick is deterministic
     key = F.struct(F.coalesce(F.unix_micros(iso_timestamp("fetched_at")), F.lit(-(2 ** 62))).alias("t"),
                    F.coalesce(F.col("fetched_at"), F.lit("")).alias("s"),
-                   F.to_json(F.struct(*cols_all)).alias("j"))
+                   F.xxhash64(*cols_all).alias("h"))
     cols = [f.name for f in CACHE.fields if f.name != "id"]
     # max_by is an ordinary aggregate: partial per partition, so a hot id never lands whole in one task
     best = fetched.groupBy("id").agg(F.max_by(F.struct(*cols), key).alias("_row"))
