@@ -28,6 +28,7 @@ from inboxlens.session import shared_dir
 from inboxlens.sources import cache as SC
 from inboxlens.sources import listing as SL
 from inboxlens.sources import senders_io as SIO
+from inboxlens.streaming import AuditPaths, start_incremental_audit
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 LOOKUP_PATTERN = "CUST1[0-9]{2}@"
@@ -222,6 +223,32 @@ def q_a6(spark, sf):
     return lst.select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
+def q_e1b(spark, sf):
+    """E1 straight from the raw nested cache: written as JSON lines, read back, extracted, aggregated."""
+    path = shared_dir(spark, "raw-cache-json")
+    SC.save_cache(V.mail_cache(spark, sf), path, "json")
+    return _r(SN.aggregate_and_score(MS.extract(SC.load_cache(spark, path, "json"), V.ORDERS_AS_OF)))
+
+
+def q_s1(spark, sf):
+    """The streaming incremental audit: the cache arrives as two file batches (orders before 1998, then the
+    rest plus a fresh fetch of every open order); the final sender table is E1 over the whole cache."""
+    root = shared_dir(spark, "stream-audit")
+    orders = V.table(spark, sf, "orders")
+    early = orders.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    late = orders.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+    refetch = (V.cache_rows(orders.where(F.col("o_orderstatus") == "O"))
+               .withColumn("fetched_at", F.lit("2001-08-31T00:00:00+00:00")))
+    V.cache_rows(early).write.mode("overwrite").json(f"{root}/incoming/b1")
+    V.cache_rows(late).unionByName(refetch).write.mode("overwrite").json(f"{root}/incoming/b2")
+    # one micro-batch takes as many files as the first delivery has (a file list, not the data)
+    per_batch = max(1, len(spark.read.json(f"{root}/incoming/b1").inputFiles()))
+    paths = AuditPaths(f"{root}/incoming/*", f"{root}/snapshot", f"{root}/senders", f"{root}/checkpoint")
+    start_incremental_audit(spark, paths, "json", as_of=V.ORDERS_AS_OF,
+                            max_files_per_trigger=per_batch).awaitTermination()
+    return _r(SIO.load_senders(spark, paths.senders, "parquet"))
+
+
 def q_b1(spark, sf):
     return RF.stale_entries(V.mail_cache(spark, sf), 7, V.ORDERS_AS_OF).select("id", "stale")
 
@@ -464,6 +491,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d5_first_subject": q_d5,
     "d6_cluster_metrics_join": q_d6,
     "e1_aggregate_and_score": q_e1,
+    "e1b_aggregate_from_raw_cache": q_e1b,
     "e2_overall_metrics": q_e2,
     "e3_distribution_summary": q_e3,
     "e4_tier_overview": q_e4,
@@ -511,6 +539,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j5_analyze_patterns": q_j5,
     "j6_analyze_clusters": q_j6,
     "j7_sender": q_j7,
+    "s1_incremental_audit_stream": q_s1,
 }
 
 

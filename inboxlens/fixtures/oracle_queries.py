@@ -340,7 +340,13 @@ J4 = O.with_v1("SELECT * FROM (\n" + "\nUNION ALL ".join([
 ]) + ")")
 
 
+RAW_E1 = f"""WITH m AS ({V4_ALL}),
+ s AS ({O.senders_from('m')})
+SELECT {SC} FROM s"""
+
 ORACLES: dict[str, str] = {
+    "e1b_aggregate_from_raw_cache": RAW_E1,
+    "s1_incremental_audit_stream": RAW_E1,
     "e1_aggregate_and_score": O.with_v1(f"SELECT {SC} FROM s"),
     "c13_audit_summary": O.with_v1('SELECT "from", total_volume, round(open_rate, 6) AS open_rate, '
                                    'round(avg_recency_days, 6) AS avg_recency_days, '

@@ -67,9 +67,13 @@ def apply_batch(spark: SparkSession, batch: DataFrame, epoch: int, paths: AuditP
 
 def start_incremental_audit(spark: SparkSession, paths: AuditPaths, fmt: str = "json", as_of=None,
                             listing: DataFrame | None = None, available_now: bool = True,
-                            processing_time: str | None = None) -> StreamingQuery:
+                            processing_time: str | None = None,
+                            max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the streaming refresh; ``available_now`` processes what is there and stops."""
-    stream = spark.readStream.schema(CACHE).format(fmt).load(paths.source)
+    reader = spark.readStream.schema(CACHE).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.load(paths.source)
 
     def run(batch: DataFrame, epoch: int) -> None:
         apply_batch(spark, batch, epoch, paths, as_of, listing)
