@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inboxlens.schemas import CACHE, CACHE_MAP
+from inboxlens.sources.tables import spread
 
 log = logging.getLogger(__name__)
 
@@ -47,7 +48,8 @@ def load_cache(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
             log.warning("cache %s not found, starting empty", path)
             return empty_cache(spark)
         raise
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CACHE.fields])
+    # a single file (or the one-record legacy object) would otherwise feed all extraction from one task
+    return spread(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CACHE.fields]))
 
 
 def save_cache(cache: DataFrame, path: str, fmt: str = "parquet") -> bool:
