@@ -35,11 +35,6 @@ def clean_text(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), _NON_WORD, " "))
 
 
-def tokens(text: Column | str) -> Column:
-    """Words of the cleaned text (no empty strings)."""
-    return words(text)
-
-
 def keyword_tokens(text: Column | str) -> Column:
     """Keywords of a text: cleaned words longer than two letters, minus stop words."""
     stop = F.array(*[F.lit(w) for w in KEYWORD_STOP_WORDS])

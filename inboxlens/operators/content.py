@@ -1,11 +1,12 @@
 """Content analysis over subjects and snippets: keywords, subject classes,
 entities and intents, per message and per sender.
 
-Text is tokenised once into a long ``(from, id, token)`` table; keyword,
-entity and intent branches are joins and grouped counts over it. Per-sender
-top-k uses ``row_number`` windows, which Spark plans with a partial
-WindowGroupLimit before the shuffle, so a sender with a huge vocabulary only
-moves its per-partition top-k.
+Each branch splits a text into words once (one Unicode regex pass) and works
+on exploded rows: keywords are grouped counts, entities one generator plus a
+join to the gazetteer, intents a broadcast join to the lexicon and one
+aggregate. Per-sender top-k uses ``row_number`` windows, which Spark plans
+with a partial WindowGroupLimit before the shuffle, so a sender with a huge
+vocabulary only moves its per-partition top-k; the intent top-n is row-local.
 """
 
 from __future__ import annotations
@@ -149,10 +150,6 @@ def gazetteer_from_tables(spark: SparkSession, sf_dir: str, extra: list[tuple[st
     return g.dropDuplicates()
 
 
-def _ngrams(tokens_col: str, n: int):
-    return _ngrams_of(F.col(tokens_col), n)
-
-
 def _ngrams_of(tok, n: int):
     """Space-joined n-grams of an array column, as an array (empty when too short)."""
     grams = F.transform(F.sequence(F.lit(1), F.size(tok) - n + 1),

@@ -196,8 +196,7 @@ def analyze_patterns(messages: DataFrame, senders: DataFrame, top_n: int = 5, by
     subjects = CT.first_subject(mine)
     kw = CT.top_keywords(mine, 10).groupBy("from").agg(
         F.sort_array(F.collect_list(F.struct("rank", "keyword", "n"))).alias("_kw"))  # <= 10 per sender
-    intents = CT.top_intents(snippets.withColumnRenamed("snippet", "snippet"), 3, "from", gazetteer,
-                             content_features=content_features)
+    intents = CT.top_intents(snippets, 3, "from", gazetteer, content_features=content_features)
     if hide_zero_intents:
         intents = intents.where(F.col("score") > 0)
     it = intents.groupBy("from").agg(F.sort_array(F.collect_list(F.struct("rank", "intent", "score"))).alias("_it"))
