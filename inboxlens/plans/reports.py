@@ -103,34 +103,52 @@ def _ranked(df: DataFrame, order: list) -> DataFrame:
 # J2 / J3 / J4
 # ---------------------------------------------------------------------------
 
-def generate_report(senders: DataFrame, brief: bool = False) -> DataFrame:
-    """The full report as one long table; ``brief`` keeps status and the top 3."""
+def report_parts(senders: DataFrame) -> dict[str, DataFrame]:
+    """The full report as separate frames (the sender table is written once first)."""
     s = materialize(senders, "report-senders")
-    status = to_long(MT.overall_metrics(s), "status",
-                     ["total_senders", "total_emails", "unread_percentage", "average_open_rate",
-                      "senders_never_opened", "top_ignorance_score"])
     by_score = [F.col("ignorance_score").desc(), F.col("from")]
+    by_volume = [F.col("total_volume").desc(), F.col("from")]
+    return {
+        "status": MT.overall_metrics(s),
+        "distribution": MT.distribution_summary(s),
+        "engagement": MT.tier_overview(s),
+        "categories": MT.category_distribution(s),
+        "top_noise_makers": _ranked(SN.top_noise_makers(s, 10), by_score),
+        "unsubscribe": _ranked(SN.unsubscribe_candidates(s, 5), by_volume),
+        "review": _ranked(SN.review_candidates(s, 5, low_engagement_only=True), by_score),
+        "keep": _ranked(SN.top_engaged(s, 3), by_volume),
+        "top_priorities": _ranked(SN.top_noise_makers(s, 3), by_score),
+    }
+
+
+STATUS_METRICS = ["total_senders", "total_emails", "unread_percentage", "average_open_rate",
+                  "senders_never_opened", "top_ignorance_score"]
+
+
+def generate_report(senders: DataFrame, brief: bool = False) -> DataFrame:
+    """The full report as one long ``(section, rank, item, metric, value)`` table;
+    ``brief`` keeps the headline status and the top 3 noise makers."""
+    p = report_parts(senders)
+    status = to_long(p["status"], "status", STATUS_METRICS)
     if brief:
-        top3 = _ranked(SN.top_noise_makers(s, 3), by_score)
-        return status.where(F.col("metric").isin("total_senders", "total_emails", "unread_percentage",
-                                                 "average_open_rate")).unionByName(
-            to_long(top3, "top_priorities", ["total_volume", "ignorance_score"], "from", "rank"))
-    dist = to_long(MT.distribution_summary(s), "distribution",
-                   ["top10_volume_emails", "top10_volume_pct", "top10_noise_emails", "top10_noise_pct",
-                    "zero_open_senders", "zero_open_emails", "zero_open_pct", "high_volume_senders",
-                    "high_volume_emails", "high_volume_pct"])
-    tiers = to_long(MT.tier_overview(s), "engagement", ["senders", "emails", "share_pct"], "tier_name", "tier_rank")
-    cats = to_long(MT.category_distribution(s), "categories", ["emails", "share_pct"], "category", "category_rank")
-    top10 = to_long(_ranked(SN.top_noise_makers(s, 10), by_score), "top_noise_makers",
-                    ["total_volume", "open_rate", "ignorance_score"], "from", "rank")
-    unsub = to_long(_ranked(SN.unsubscribe_candidates(s, 5), [F.col("total_volume").desc(), F.col("from")]),
-                    "unsubscribe", ["total_volume"], "from", "rank")
-    review = to_long(_ranked(SN.review_candidates(s, 5, low_engagement_only=True), by_score),
-                     "review", ["total_volume", "open_rate"], "from", "rank")
-    keep = to_long(_ranked(SN.top_engaged(s, 3), [F.col("total_volume").desc(), F.col("from")]),
-                   "keep", ["total_volume", "open_rate"], "from", "rank")
-    out = status
-    for part in (dist, tiers, cats, top10, unsub, review, keep):
+        return status.where(F.col("metric").isin(*STATUS_METRICS[:4])).unionByName(
+            to_long(p["top_priorities"], "top_priorities", ["total_volume", "ignorance_score"], "from", "rank"))
+    parts = [
+        status,
+        to_long(p["distribution"], "distribution",
+                ["top10_volume_emails", "top10_volume_pct", "top10_noise_emails", "top10_noise_pct",
+                 "zero_open_senders", "zero_open_emails", "zero_open_pct", "high_volume_senders",
+                 "high_volume_emails", "high_volume_pct"]),
+        to_long(p["engagement"], "engagement", ["senders", "emails", "share_pct"], "tier_name", "tier_rank"),
+        to_long(p["categories"], "categories", ["emails", "share_pct"], "category", "category_rank"),
+        to_long(p["top_noise_makers"], "top_noise_makers", ["total_volume", "open_rate", "ignorance_score"],
+                "from", "rank"),
+        to_long(p["unsubscribe"], "unsubscribe", ["total_volume"], "from", "rank"),
+        to_long(p["review"], "review", ["total_volume", "open_rate"], "from", "rank"),
+        to_long(p["keep"], "keep", ["total_volume", "open_rate"], "from", "rank"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
