@@ -166,3 +166,18 @@ def test_audit_empty_listing_keeps_cache(spark, tmp_dir):
     out = RP.audit(empty, cache, lambda plan: cache.limit(0), AS_OF, out_dir=os.path.join(tmp_dir, "a2"),
                    allow_prune_all=True)
     assert out["cache"].count() == 0 and out["removed"].count() == 1
+
+
+def test_messages_partitioned_by_month(spark, tmp_dir):
+    from inboxlens.sources import load_messages, save_messages
+    c = cache_item(spark, [("m1", None, True, [("From", "a@x"), ("Date", "Mon, 1 Jan 2024 10:00:00 +0000")], "", []),
+                           ("m2", None, True, [("From", "a@x"), ("Date", "Thu, 15 Feb 2024 10:00:00 +0000")], "", []),
+                           ("m3", None, True, [("From", "b@x"), ("Date", "Unknown")], "", [])])
+    p = os.path.join(tmp_dir, "messages")
+    save_messages(MS.extract(c, AS_OF), p)
+    assert sorted(r.id for r in load_messages(spark, p).collect()) == ["m1", "m2", "m3"]
+    feb = load_messages(spark, p, since="2024-02-01 00:00:00")
+    assert [r.id for r in feb.collect()] == ["m2"]
+    plan = feb._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    assert load_messages(spark, os.path.join(tmp_dir, "none")).count() == 0
