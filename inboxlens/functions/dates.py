@@ -57,13 +57,19 @@ def _int(s: Column) -> Column:
     return F.when(s.rlike(r"^[+-]?[0-9]{1,9}$"), s.cast("long"))
 
 
-# [Day,] [d[,] Mon | Mon d[,]] year[,] HH:MM[:SS][,] (space zone [anything] | glued +zone/-zone at the end)
-# groups: 1 day, 2 month | 3 month, 4 day, 5 year, 6 hour, 7 minute, 8 second, 9 zone | 10 glued zone
-_DATE_BODY = (r"(?:(\d{1,2}),?\s+([A-Za-z]+)|([A-Za-z]+)\s+(\d{1,2}),?)"
-              r"\s+(\d{1,4}),?\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?,?(?:\s+(\S+).*|([+-]\S*))?")
+# [Day,] (d[,] Mon | Mon d[,]) then either
+#   year[,] time[,]   with time HH:MM[:SS] or HH.MM[.SS]
+#   HH:MM[:SS][,] year[,]
+# then (space zone [anything]) or a +zone/-zone glued to the last token at the end.
+# groups: 1 day, 2 month | 3 month, 4 day, 5 year, 6-8 h:m:s, 9-11 h.m.s | 12-14 h:m:s, 15 year,
+#         16 zone | 17 glued zone
+_DATE_BODY = (r"(?:(\d{1,2}),?\s+([A-Za-z]+)|([A-Za-z]+)\s+(\d{1,2}),?)\s+"
+              r"(?:(\d{1,4}),?\s+(?:(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?|(\d{1,2})\.(\d{1,2})(?:\.(\d{1,2}))?),?"
+              r"|(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?,?\s+(\d{1,4}),?)"
+              r"(?:\s+(\S+).*|([+-]\S*))?")
 _SEP = "\u0001"
 _CANON_RE = "^" + _DATE_BODY + "$"
-_CANON_TO = _SEP.join(["$1$4", "$2$3", "$5", "$6", "$7", "$8", "$9$10"])
+_CANON_TO = _SEP.join(["$1$4", "$2$3", "$5$15", "$6$9$12", "$7$10$13", "$8$11$14", "$16$17"])
 # a leading weekday, with or without comma (or junk up to a comma in the first word)
 _LEAD_RE = r"^\s*(?:\S*,\s*|(?i:" + "|".join(DAY_NAMES) + r")(?:\s+|$))?"
 

@@ -28,13 +28,16 @@ order = st.booleans()
 def headers(draw):
     d, m = draw(day), draw(month)
     head = f"{d} {m}" if draw(order) else f"{m} {d}"
-    t = f"{draw(hour)}:{draw(minute)}"
+    sep = draw(st.sampled_from([":", ":", ".", ":."]))
+    t = f"{draw(hour)}{sep[0]}{draw(minute)}"
     sec = draw(second)
     if sec is not None:
-        t += f":{sec}"
+        t += f"{sep[-1]}{sec}"
     z = draw(zone)
     rest = f"{draw(glue)}{z}{draw(tail)}" if z else draw(tail)
-    return f"{draw(weekday)}{head} {draw(year)} {t}{rest}"
+    y = draw(year)
+    middle = f"{y} {t}" if draw(st.integers(0, 3)) else f"{t} {y}"      # mostly year first
+    return f"{draw(weekday)}{head} {middle}{rest}"
 
 
 def stdlib_age(h):
