@@ -30,6 +30,19 @@ from inboxlens.sources import listing as SL
 from inboxlens.sources import senders_io as SIO
 from inboxlens.streaming import AuditPaths, start_incremental_audit
 
+# The training-data operators live in one optional subpackage; without it everything else still works.
+try:
+    import corpus_pipeline
+    from inboxlens.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "inboxlens.llm"):
+        raise
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+else:
+    LLM_QUERIES = {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_ORACLES = {**llm_queries.ORACLE_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL
+                                                else {})}
+
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 LOOKUP_PATTERN = "CUST1[0-9]{2}@"
 BEFORE_AS_OF = "1998-01-01 00:00:00"
@@ -559,9 +572,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _in_utc(v) for k, v in QUERIES.items()}
+    return {k: _in_utc(v) for k, v in {**QUERIES, **LLM_QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     from inboxlens.fixtures.oracle_queries import ORACLES
-    return {k: v for k, v in ORACLES.items() if k in QUERIES}
+    return {k: v for k, v in {**ORACLES, **LLM_ORACLES}.items() if k in QUERIES or k in LLM_QUERIES}
