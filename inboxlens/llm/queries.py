@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, lines, simhash
+from . import exact, langid, lines, pii, sharding, simhash
 from .common import doc_bucket, documents
 
 
+def op1_sharding(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.shard(rows, 40, F.col("size")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_exact_dedup(spark, sf_dir):
+    return exact.exact_duplicates(documents(spark, sf_dir)).withColumnRenamed("sha256", "text_sha256")
+
+
+def op6_pii(spark, sf_dir):
+    return pii.digest(pii.spans(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op5_line_dedup(spark, sf_dir):
     return lines.dedup_lines(documents(spark, sf_dir)).select(
         "doc_id", "text", "n_chunks", "removed_chunks", "removed_lines")
@@ -26,6 +43,6 @@ def op8_language_id(spark, sf_dir):
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op7_simhash_near_dedup, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op5_line_dedup, op6_pii, op7_simhash_near_dedup, op8_language_id)}
 
-ORACLE_SQL = {"op5_line_dedup": lines.oracle_sql()}
+ORACLE_SQL = {"op2_exact_dedup": exact.oracle_sql(), "op5_line_dedup": lines.oracle_sql()}
