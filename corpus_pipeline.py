@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inboxlens.llm import langid, lines, simhash
+from inboxlens.llm import decontaminate, langid, lines, pieces, simhash
 from inboxlens.llm.common import doc_bucket, documents, materialize
 
 
@@ -25,12 +25,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    stays = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near-duplicates the document with the smallest id stays; documents without an id stay."""
+    goes = simhash.near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(goes, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that quote a test item, question and answer."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    goes = found.select(F.col("doc_id").alias("quoting")).distinct()
+    return docs.join(goes, F.col("doc_id").eqNullSafe(F.col("quoting")), "left_anti").select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, and whether they decode to its text again."""
+    return pieces.encode_documents(docs).select("doc_id", "lang", "source", "token_ids", "n_tokens", "round_trip")
+
+
+STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup),
+          ("benchmark decontamination", decontamination), ("SentencePiece", encoding)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

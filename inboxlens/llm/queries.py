@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, langid, lines, pii, sharding, simhash
+from . import decontaminate, exact, langid, licenses, lines, pieces, pii, sharding, simhash
 from .common import doc_bucket, documents
 
 
@@ -21,6 +21,18 @@ def op2_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(documents(spark, sf_dir)).withColumnRenamed("sha256", "text_sha256")
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir)).select("doc_id", "license", "template", "containment")
+
+
+def op10_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op6_pii(spark, sf_dir):
     return pii.digest(pii.spans(documents(spark, sf_dir).select("doc_id", "text")))
 
@@ -43,6 +55,9 @@ def op8_language_id(spark, sf_dir):
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op5_line_dedup, op6_pii, op7_simhash_near_dedup, op8_language_id)}
+QUERIES = {f.__name__: f for f in (
+    op1_sharding, op2_exact_dedup, op3_decontamination, op5_line_dedup, op6_pii, op7_simhash_near_dedup, op8_language_id,
+    op9_license_scan, op10_sentencepiece)}
 
-ORACLE_SQL = {"op2_exact_dedup": exact.oracle_sql(), "op5_line_dedup": lines.oracle_sql()}
+ORACLE_SQL = {"op2_exact_dedup": exact.oracle_sql(), "op5_line_dedup": lines.oracle_sql(),
+              "op9_license_scan": licenses.oracle_sql()}
