@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, langid, licenses, lines, pieces, pii, sharding, simhash
+from . import decontaminate, exact, langid, licenses, lines, lm, pieces, pii, sharding, simhash
 from .common import doc_bucket, documents
 
 
@@ -25,6 +25,11 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return lm.score(docs, doc_bucket(F.col("doc_id"), 10) == 0)
+
+
 def op9_license_scan(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir)).select("doc_id", "license", "template", "containment")
 
@@ -56,8 +61,8 @@ def op8_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_exact_dedup, op3_decontamination, op5_line_dedup, op6_pii, op7_simhash_near_dedup, op8_language_id,
-    op9_license_scan, op10_sentencepiece)}
+    op1_sharding, op2_exact_dedup, op3_decontamination, op4_lm_scoring, op5_line_dedup, op6_pii, op7_simhash_near_dedup,
+    op8_language_id, op9_license_scan, op10_sentencepiece)}
 
 ORACLE_SQL = {"op2_exact_dedup": exact.oracle_sql(), "op5_line_dedup": lines.oracle_sql(),
               "op9_license_scan": licenses.oracle_sql()}
