@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop_strays, materialize, slices
@@ -86,13 +87,12 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     of at most ``paired`` members; a larger variant is indexed again with one or two bits of the other half left out,
     which leaves groups of four at most. So rows stay in proportion to the fingerprints, whatever they look like.
     """
-    every = _variants(fps)
-    shared = every.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"),
-                                              F.max("fp").alias("v")).where("n > 1")
-    shared = materialize(shared, "variants")
-    members = every.join(shared.where("n > 2").select("kind", "key", "n"), ["kind", "key"])
-    members = materialize(members.select("kind", "key", "n", "fp"), "variant-members")
-    two = shared.where("n = 2").select("u", "v")
+    # One shuffle of narrow rows; variants of a single fingerprint end here.
+    alike = W.partitionBy("kind", "key")
+    members = _variants(fps).withColumn("n", F.count(F.lit(1)).over(alike)).where("n > 1")
+    members = materialize(members.select("kind", "key", "n", "fp"), "variants")
+    two = members.where("n = 2").groupBy("kind", "key").agg(F.min("fp").alias("u"), F.max("fp").alias("v"))
+    two, members = two.select("u", "v"), members.where("n > 2")
     few = members.where(F.col("n") <= paired)
     few = few.withColumn("one", F.col("fp").bitwiseAND(F.when(F.col("kind") < 64, _bit(F.col("kind")))
                                                        .otherwise(F.lit(0))) != 0)
