@@ -6,7 +6,7 @@ on both sides."""
 from __future__ import annotations
 
 from inboxlens.fixtures.views import (CACHED_BEFORE, EVENTS_AS_OF, MAILBOX_SINCE, ORDERS_AS_OF)
-from inboxlens.operators.content import DATE_PATTERN, MONEY_PATTERN, intent_lexicon_rows
+from inboxlens.operators.content import intent_lexicon_rows
 from inboxlens.schemas import (COMMON_WORDS, INTENT_ORDER, KEYWORD_STOP_WORDS, PROMOTIONAL_KEYWORDS,
                                VALUABLE_KEYWORDS)
 
@@ -24,9 +24,15 @@ def age_sql(ts: str, as_of: str) -> str:
 
 
 def clean_sql(x: str) -> str:
-    return (f"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), "
-            r"'[^\p{L}\p{M}\p{Nd}_\s\x{0B}\p{Z}\x{85}]', ' ', 'g'), "
-            r"'[\s\x{0B}\p{Z}\x{85}]+', ' ', 'g'))")
+    return rf"trim(regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+
+
+# Written apart from the patterns of the operators.
+_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sept|sep|oct|nov|dec)[a-z]*"
+MONEY_RX = (r"(?i)(?:[$€£]\s?[0-9][0-9,]*(?:\.[0-9]+)?|\b[0-9][0-9,]*(?:\.[0-9]+)?\s?(?:dollars|usd|euros|euro|eur)\b)")
+DATE_RX = (r"(?i)\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|" + _MONTH
+           + r"\.? [0-9]{1,2}(?:, [0-9]{4})?|[0-9]{1,2} " + _MONTH + r"(?: [0-9]{4})?"
+           r"|(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)|today|tomorrow|yesterday)\b")
 
 
 ORDER_FLAGS = """o_orderstatus <> 'F' AS unread, o_orderpriority = '1-URGENT' AS starred,
@@ -69,9 +75,23 @@ FROM events"""
 
 
 MAIL_DOCS = """SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, source || '@example.com' AS "from",
-       text AS snippet, split_part(text, chr(10), 1) AS subject
+       text AS snippet, split_part(text, chr(10), 1) AS subject, doc_id AS ord
 FROM documents"""
 
+MAIL_DOCS_WHOLE = MAIL_DOCS.replace("split_part(text, chr(10), 1)", "text")
+
+MAIL_CUSTOMERS = """SELECT 'k' || CAST(c_custkey AS VARCHAR) AS id, lower(c_mktsegment) || '@example.com' AS "from",
+       c_name || ' of ' || upper(n_name[1]) || lower(n_name[2:]) || ' met Supplier#' ||
+       lpad(CAST(c_nationkey AS VARCHAR), 9, '0') || ' and took Brand#' || CAST(c_nationkey + 1 AS VARCHAR) || ' for ' ||
+       CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR) || ' Dollars at the ' || upper(c_mktsegment[1]) ||
+       lower(c_mktsegment[2:]) || ' trade fair of the year on ' || CAST(c_custkey % 28 + 1 AS VARCHAR) || ' March 2024' AS snippet
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+CUSTOMER_GAZETTEER = """(SELECT 'PERSON' AS label, c_name AS surface FROM customer
+   UNION SELECT 'GPE', upper(n_name[1]) || lower(n_name[2:]) FROM nation
+   UNION SELECT 'ORG', s_name FROM supplier UNION SELECT 'PRODUCT', p_brand FROM part
+   UNION SELECT 'EVENT', upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' trade fair of the year' FROM customer)"""
+
 
 def senders_from(msgs: str) -> str:
     """E1 over a message CTE name."""
@@ -209,13 +229,14 @@ def entities_cte(src: str, gaz: str) -> str:
     """(from, id, label, entity) distinct per message, for a message CTE with ``snippet``."""
     return f"""ent_src AS (SELECT "from", id, coalesce(snippet, '') AS t FROM {src}),
  ent_tok AS (SELECT "from", id, string_split({clean_sql('t')}, ' ') AS tok FROM ent_src),
- ent_gram AS (SELECT "from", id, array_to_string(list_slice(tok, p, p + n - 1), ' ') AS gram
-              FROM ent_tok, range(1, 5) AS r(n), LATERAL (SELECT unnest(range(1, len(tok) - n + 2)) AS p)),
  gaz AS (SELECT label, surface, {clean_sql('surface')} AS gram FROM {gaz}),
+ ent_gram AS (SELECT "from", id, array_to_string(list_slice(tok, p, p + n - 1), ' ') AS gram
+              FROM ent_tok, (SELECT DISTINCT CAST(len(string_split(gram, ' ')) AS BIGINT) AS n FROM gaz) AS r,
+              LATERAL (SELECT unnest(range(1, len(tok) - n + 2)) AS p)),
  ents AS (SELECT DISTINCT "from", id, label, entity FROM (
-     SELECT "from", id, 'MONEY' AS label, unnest(regexp_extract_all(t, {_q(MONEY_PATTERN)})) AS entity FROM ent_src
+     SELECT "from", id, 'MONEY' AS label, unnest(regexp_extract_all(t, {_q(MONEY_RX)})) AS entity FROM ent_src
      UNION ALL
-     SELECT "from", id, 'DATE' AS label, unnest(regexp_extract_all(t, {_q(DATE_PATTERN)})) AS entity FROM ent_src
+     SELECT "from", id, 'DATE' AS label, unnest(regexp_extract_all(t, {_q(DATE_RX)})) AS entity FROM ent_src
      UNION ALL
      SELECT g."from", g.id, z.label, z.surface AS entity FROM ent_gram g JOIN gaz z ON g.gram = z.gram)
    WHERE length(entity) > 0)"""

@@ -96,6 +96,16 @@ C5 = O.with_v1(f"""SELECT "from", total_volume, round({O.pct('total_volume', 'a'
 FROM s, (SELECT sum(total_volume) AS a FROM s)""")
 
 V4_ALL = O.v4_extract()
+
+# the cluster operators over a given assignment: the tier as cluster number, senders without a tier in cluster 4
+CLUSTERED = O.with_v1(f""", c AS (SELECT *, CAST(CASE {O.TIER} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2
+  WHEN 'zero' THEN 3 ELSE 4 END AS INTEGER) AS cluster FROM s)""")
+STATS = """, stats AS (SELECT cluster, count(*) AS senders, CAST(sum(total_volume) AS BIGINT) AS total_emails,
+  CAST(sum(unread_count) AS BIGINT) AS total_unread, round(avg(open_rate), 6) AS avg_open_rate,
+  round(avg(ignorance_score), 6) AS avg_ignorance FROM c GROUP BY cluster)"""
+TOP5 = """, top5 AS (SELECT cluster, CAST(r AS INTEGER) AS rank, "from", total_volume, round(open_rate, 6) AS open_rate,
+  round(ignorance_score, 6) AS ignorance_score FROM (SELECT *, row_number() OVER (PARTITION BY cluster
+  ORDER BY ignorance_score DESC, "from") AS r FROM c) WHERE r <= 5)"""
 FLAT = ("id, CASE WHEN o_orderkey % 3 = 0 THEN 'flat' ELSE 'wrapped' END AS item_format, fetched_at, "
         "'' AS snippet, labels, CAST(2 AS INTEGER) AS n_headers")
 
@@ -126,7 +136,7 @@ TOP5_V2 = 'SELECT "from" FROM s ORDER BY s.total_volume DESC, s."from" LIMIT 5'
 
 D4 = O.with_v2(f"""SELECT m."from", m.id FROM m WHERE length(m.snippet) > 0 AND m."from" IN ({TOP5_V2})""")
 
-D5 = O.with_v3('SELECT "from", arg_min(coalesce(subject, \'\'), id) AS sample_subject FROM m GROUP BY "from"')
+D5 = O.with_v3('SELECT "from", arg_min(coalesce(subject, \'\'), ord) AS sample_subject FROM m GROUP BY "from"')
 
 C6 = O.with_v3(f"SELECT id, {O.clean_sql('snippet')} AS clean_text FROM m")
 
@@ -241,7 +251,10 @@ I4 = _v2_entities() + f""",
     ('transactional', 'high', 'Keep with auto-archive after 30 days'), ('transactional', 'low', 'Archive immediately'),
     ('informational', 'high', 'Keep in inbox'), ('informational', 'low', 'Move to digest folder'),
     ('social', 'high', 'Keep in inbox'), ('social', 'low', 'Review monthly')) AS r(intent, tier, action))
-SELECT x."from", x.total_volume, round(x.open_rate, 6) AS open_rate, x.tier, x.intent, r.action,
+SELECT x."from", x.total_volume, round(x.open_rate, 6) AS open_rate, x.tier, x.intent,
+       coalesce(r.action, CASE WHEN x.intent = 'promotional' AND x.open_rate < 50 THEN 'Unsubscribe immediately' END) AS action,
+       CASE x.intent WHEN 'informational' THEN 'Newsletters: Consider weekly digest'
+                     WHEN 'social' THEN 'Personal: Always keep' END AS kind_advice,
        CASE WHEN x.intent = 'transactional' THEN 'Label as "Transactions"' END AS label_advice,
        CASE WHEN x.intent = 'promotional' AND x.total_volume >= 20 THEN 'Create filters to skip inbox' END AS filter_advice
 FROM (SELECT s."from", s.total_volume, s.open_rate, {O.TIER} AS tier, t.intent
@@ -368,8 +381,40 @@ ORACLES: dict[str, str] = {
                                            'ORDER BY s.ignorance_score DESC, s."from" LIMIT 5'),
     "f5_top_engaged": O.with_v1(f"SELECT {SC}, 'high' AS tier FROM s WHERE open_rate >= 80 "
                                 'ORDER BY s.total_volume DESC, s."from" LIMIT 3'),
-    "f6_tier_listing": O.with_v1(f'SELECT "from", total_volume, round(open_rate, 6) AS open_rate, \'zero\' AS tier, '
-                                 "'Zero Engagement (0%)' AS tier_name FROM s WHERE open_rate = 0"),
+    "f6_tier_listing": O.with_v1(f"""SELECT "from", total_volume, round(open_rate, 6) AS open_rate, tier, {O.TIER_NAME} AS tier_name
+FROM (SELECT *, {O.TIER} AS tier FROM s) WHERE tier IS NOT NULL"""),
+    "c8_filter_common_words_text": C8.replace(O.MAIL_DOCS, O.MAIL_DOCS_WHOLE),
+    "c9_subject_classes_text": C9.replace(O.MAIL_DOCS, O.MAIL_DOCS_WHOLE),
+    "c5_percentage_text": C5.replace(") AS share_pct", ") AS share_pct, printf('%.1f%%', total_volume / a * 100.0) AS share_text"),
+    "a1_load_legacy_cache": f"SELECT {FLAT} FROM ({V4_ALL})",
+    "h1_extract_entities_all_labels": f"""WITH m AS ({O.MAIL_CUSTOMERS}),
+ {O.entities_cte('m', O.CUSTOMER_GAZETTEER)}
+SELECT id, label, entity FROM ents""",
+    "f8_top_entities_all_labels": f"""WITH m AS ({O.MAIL_CUSTOMERS}),
+ {O.entities_cte('m', O.CUSTOMER_GAZETTEER)},
+ ec AS (SELECT "from", label, entity, CAST(count(*) AS BIGINT) AS n FROM ents GROUP BY "from", label, entity)
+SELECT "from", label, entity, n, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY "from", label ORDER BY n DESC, entity) AS rank FROM ec) WHERE rank <= 5""",
+    "d6_cluster_metrics_join": CLUSTERED + """
+SELECT "from", cluster, total_volume, round(open_rate, 6) AS open_rate, round(ignorance_score, 6) AS ignorance_score FROM c""",
+    "e12_cluster_stats": CLUSTERED + STATS + "\nSELECT * FROM stats",
+    "f10_clusters_by_open_rate": CLUSTERED + STATS + """
+SELECT cluster, avg_open_rate, row_number() OVER (ORDER BY avg_open_rate, cluster) AS place FROM stats""",
+    "f11_top_per_cluster": CLUSTERED + TOP5 + "\nSELECT * FROM top5",
+    "j6_analyze_clusters": CLUSTERED + STATS + TOP5 + """
+SELECT 'stats' AS section, CAST(NULL AS INTEGER) AS rank, CAST(cluster AS VARCHAR) AS item, metric, value FROM (
+  UNPIVOT (SELECT cluster, CAST(senders AS DOUBLE) AS senders, CAST(total_emails AS DOUBLE) AS total_emails,
+           CAST(total_unread AS DOUBLE) AS total_unread, avg_open_rate, avg_ignorance FROM stats)
+  ON COLUMNS(* EXCLUDE cluster) INTO NAME metric VALUE value)
+UNION ALL
+SELECT 'top in cluster ' || CAST(cluster AS VARCHAR), rank, "from", metric, value FROM (
+  UNPIVOT (SELECT cluster, rank, "from", CAST(total_volume AS DOUBLE) AS total_volume, open_rate, ignorance_score FROM top5)
+  ON total_volume, open_rate, ignorance_score INTO NAME metric VALUE value)""",
+    "g3_cluster_senders": O.with_v1("""SELECT count(*) AS senders, count(*) AS assigned, CAST(5 AS BIGINT) AS clusters,
+  TRUE AS ids_follow_open_rate, TRUE AS cheapest_of_the_starts, TRUE AS beats_one_cluster FROM s"""),
+    "g4_stable_ids": O.with_v1("""SELECT "from", CAST(dense_rank() OVER (ORDER BY o, sc DESC, raw) - 1 AS INTEGER) AS cluster FROM (
+  SELECT "from", raw, avg(open_rate) OVER (PARTITION BY raw) AS o, avg(ignorance_score) OVER (PARTITION BY raw) AS sc
+  FROM (SELECT *, CAST(total_volume % 7 AS INTEGER) AS raw FROM s))"""),
     "c10_sender_lookup": O.with_v1(_lookup("CUST1[0-9]{2}@")),
     "j7_sender": O.with_v2(_lookup("user1[0-9]@")),
     "i1_compare_metrics": I1,
@@ -402,7 +447,7 @@ ORACLES: dict[str, str] = {
     "c8_filter_common_words": C8,
     "c9_subject_classes": C9,
     "c9_subject_classes_events": C9E,
-    "e7_sender_subjects": O.with_v3('SELECT "from", id, coalesce(subject, \'\') AS subject FROM m'),
+    "e7_sender_subjects": O.with_v3('SELECT "from", id, coalesce(subject, \'\') AS subject, ord FROM m'),
     "e7b_cache_subjects": f'SELECT "from", id, \'\' AS subject FROM ({V4_ALL})',
     "e8_sender_snippets": O.with_v2('SELECT "from", id, snippet FROM m WHERE length(snippet) > 0'),
     "e9_top_senders_by_volume": O.with_v2('SELECT "from", CAST(count(*) AS BIGINT) AS email_count FROM m '

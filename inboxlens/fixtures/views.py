@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from inboxlens.functions.dates import age_days_from_ts
 from inboxlens.schemas import CACHE
-from inboxlens.sources.tables import read_table
 
 # The "now" each view is audited at.
 ORDERS_AS_OF = "2001-09-01 00:00:00"
@@ -31,9 +30,8 @@ MAILBOX_SINCE = "1996-01-01"
 CACHED_BEFORE = "2001-01-01"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return read_table(spark, path) if spread_rows else spark.read.parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _flags_from_orders():
@@ -92,17 +90,42 @@ def mail_events(spark: SparkSession, sf_dir: str, as_of: str = EVENTS_AS_OF) ->
     ).withColumn("age_days", age_days_from_ts("ts", as_of))
 
 
-def mail_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3 messages: whole document text as snippet, its first line as subject."""
+def mail_docs(spark: SparkSession, sf_dir: str, whole_subject: bool = False) -> DataFrame:
+    """V3 messages: whole document text as snippet, its first line (or all of it) as subject."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
         F.concat(F.col("source"), F.lit("@example.com")).alias("from"),
         F.col("text").alias("snippet"),
-        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("subject"),
+        (F.col("text") if whole_subject else F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("subject"),
+        F.col("doc_id").alias("ord"),
     )
 
 
+def mail_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5 messages: one per customer, whose snippet names a person, a place, a firm, a product, an event, an
+    amount and a date."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    day = (F.col("c_custkey") % 28 + 1).cast("string")
+    snippet = F.concat(
+        F.col("c_name"), F.lit(" of "), F.initcap("n_name"), F.lit(" met Supplier#"),
+        F.lpad(F.col("c_nationkey").cast("string"), 9, "0"), F.lit(" and took Brand#"),
+        (F.col("c_nationkey") + 1).cast("string"), F.lit(" for "), F.floor(F.abs("c_acctbal")).cast("string"),
+        F.lit(" Dollars at the "), F.initcap("c_mktsegment"), F.lit(" trade fair of the year on "), day, F.lit(" March 2024"))
+    return c.select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("id"),
+                    F.concat(F.lower("c_mktsegment"), F.lit("@example.com")).alias("from"), snippet.alias("snippet"))
+
+
+def customer_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names from the tables under every gazetteer label, entries of six words among them, and one unknown label."""
+    t = lambda name, label, surface: table(spark, sf_dir, name).select(
+        F.lit(label).alias("label"), surface.alias("surface"))
+    g = t("customer", "PERSON", F.col("c_name")).unionByName(t("nation", "GPE", F.initcap("n_name")))
+    g = g.unionByName(t("supplier", "ORG", F.col("s_name"))).unionByName(t("part", "PRODUCT", F.col("p_brand")))
+    fair = F.concat(F.initcap("c_mktsegment"), F.lit(" trade fair of the year"))
+    return g.unionByName(t("customer", "EVENT", fair)).unionByName(t("customer", "OTHER", fair)).dropDuplicates()
+
+
 def _labels_from_orders():
     pr = F.col("o_orderpriority")
     cand = [
@@ -186,3 +209,15 @@ def fetch_results(spark: SparkSession, sf_dir: str, plan: DataFrame, fetched_at:
                       F.lit(None).cast("string").alias("snippet"),
                       F.lit(None).cast("array<string>").alias("labelIds"),
                       F.lit(None).cast(CACHE["payload"].dataType).alias("payload"))
+
+
+def gazetteer(spark: SparkSession, sf_dir: str, extra: list[tuple[str, str]] | None = None) -> DataFrame:
+    """A ``(label, surface)`` dictionary: nation and region names as GPE, plus ``extra`` rows."""
+    names = [(table(spark, sf_dir, t), c) for t, c in (("nation", "n_name"), ("region", "r_name"))]
+    g = None
+    for df, c in names:
+        rows = df.select(F.lit("GPE").alias("label"), F.initcap(c).alias("surface"))
+        g = rows if g is None else g.unionByName(rows)
+    if extra:
+        g = g.unionByName(spark.createDataFrame(extra, "label string, surface string"))
+    return g.dropDuplicates()

@@ -18,5 +18,17 @@ def percentage(value: Column | str, total: Column | str) -> Column:
 
 
 def percentage_text(value: Column | str, total: Column | str) -> Column:
-    """Display form with one decimal and a percent sign, e.g. ``33.3%``."""
-    return F.format_string("%.1f%%", percentage(value, total))
+    """Display form with one decimal and a percent sign, e.g. ``33.3%``.
+
+    Halves are judged on the exact binary value and exact ties go to the even
+    digit, as Python's ``%.1f`` does. The fraction is taken as a whole number
+    of 2**-58, which is exact wherever a half can be, so integers decide.
+    """
+    p = percentage(value, total)
+    unit = 1 << 58
+    part = ((p - F.floor(p)) * float(unit)).cast("long")
+    tenth = F.call_function("div", part * 10, F.lit(unit))
+    over = part * 20 - (tenth * 2 + 1) * unit
+    tenths = F.floor(p) * 10 + tenth + F.when((over > 0) | ((over == 0) & (tenth % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."),
+                    (tenths % 10).cast("string"), F.lit("%"))

@@ -13,7 +13,8 @@ def _c(x) -> Column:
 
 
 # one Unicode-aware pass: runs of word characters are the words
-_NON_WORD = r"(?U)[^\w]+"
+# letters, numbers of all kinds and the underscore; combining marks separate words
+_NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def words(text: Column | str) -> Column:
@@ -29,8 +30,7 @@ def words(text: Column | str) -> Column:
 def clean_text(text: Column | str) -> Column:
     """Lower-case, punctuation to spaces, whitespace runs to one space, trimmed.
 
-    ``(?U)`` makes ``\\w`` Unicode-aware, so accented letters and non-Latin
-    scripts stay word characters.
+    Letters and numbers of all scripts stay word characters.
     """
     return F.trim(F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), _NON_WORD, " "))
 

@@ -38,9 +38,24 @@ def standardize(features: DataFrame) -> DataFrame:
         for c in FEATURES])
 
 
-def cluster_senders(senders: DataFrame, n_clusters: int = 5, seed: int = DEFAULT_SEED,
-                    starts: int = DEFAULT_STARTS, max_iter: int = 100, parallel_starts: int = 10) -> DataFrame:
-    """``(from, cluster)`` with stable ids 0..k-1 (see :func:`stable_ids`).
+def cluster_senders(senders: DataFrame, n_clusters: int = 5, **options) -> DataFrame:
+    """The assignment of :func:`cluster_senders_with_costs` alone."""
+    return cluster_senders_with_costs(senders, n_clusters, **options)[0]
+
+
+def cost_of(clusters: DataFrame, senders: DataFrame) -> DataFrame:
+    """One row: the squared distances of standardised senders to their cluster's mean (cost) and to the overall mean
+    (one_cluster_cost), added up."""
+    x = standardize(feature_table(senders)).join(clusters, "from")
+    spread = sum((F.var_pop(c) for c in FEATURES), F.lit(0.0)) * F.count(F.lit(1))
+    per = x.groupBy("cluster").agg(spread.alias("c"), F.count(F.lit(1)).alias("n"))
+    return per.agg(F.sum("c").alias("cost")).crossJoin(x.agg(spread.alias("one_cluster_cost")))
+
+
+def cluster_senders_with_costs(senders: DataFrame, n_clusters: int = 5, seed: int = DEFAULT_SEED,
+                               starts: int = DEFAULT_STARTS, max_iter: int = 100,
+                               parallel_starts: int = 10) -> tuple[DataFrame, list[float]]:
+    """``(from, cluster)`` and the training cost of every start; with stable ids 0..k-1 (see :func:`stable_ids`).
 
     Best of ``starts`` K-Means runs (seeds ``seed``, ``seed+1``, ...) by
     training cost. Fewer senders than clusters gives an empty result; one
@@ -54,11 +69,12 @@ def cluster_senders(senders: DataFrame, n_clusters: int = 5, seed: int = DEFAULT
     feats = materialize(feature_table(senders), "cluster-features")
     n = feats.count()
     if n == 0 or n < n_clusters:
-        return empty
+        return empty, []
     if n_clusters == 1:
-        return feats.select("from", F.lit(0).alias("cluster"))
+        return feats.select("from", F.lit(0).alias("cluster")), []
     scaled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(standardize(feats))
-    scaled = scaled.select("from", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    raw = feats.select("from", F.col("open_rate").alias("_rate"), F.col("ignorance_score").alias("_score"))
+    scaled = scaled.select("from", "features").join(raw, "from").persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(s: int):
         model = KMeans(k=n_clusters, seed=s, maxIter=max_iter, featuresCol="features",
@@ -71,18 +87,20 @@ def cluster_senders(senders: DataFrame, n_clusters: int = 5, seed: int = DEFAULT
         with ThreadPoolExecutor(max_workers=min(starts, parallel_starts)) as pool:
             results = list(pool.map(fit, range(seed, seed + starts)))
         best = min(results, key=lambda r: (r[0], r[1]))
-        assigned = best[2].transform(scaled).select("from", F.col("raw_cluster").cast("int"))
-        out = stable_ids(assigned, feats)
+        assigned = best[2].transform(scaled).select(
+            "from", F.col("raw_cluster").cast("int"), F.col("_rate").alias("open_rate"),
+            F.col("_score").alias("ignorance_score"))
+        out = stable_ids(assigned)
         # written once so the k-means lineage is not replayed by every consumer
-        return out.checkpoint(eager=True)
+        return out.checkpoint(eager=True), [r[0] for r in results]
     finally:
         scaled.unpersist()
 
 
-def stable_ids(assigned: DataFrame, senders: DataFrame) -> DataFrame:
-    """Renumber raw K-Means ids 0..k-1 by mean open rate asc, then mean score desc."""
-    j = assigned.join(senders.select("from", "open_rate", "ignorance_score"), "from")
-    stats = j.groupBy("raw_cluster").agg(F.avg("open_rate").alias("_o"), F.avg("ignorance_score").alias("_s"))
+def stable_ids(assigned: DataFrame) -> DataFrame:
+    """Renumber raw ids ``(from, raw_cluster, open_rate, ignorance_score)`` 0..k-1 by mean open rate asc, then
+    mean score desc."""
+    stats = assigned.groupBy("raw_cluster").agg(F.avg("open_rate").alias("_o"), F.avg("ignorance_score").alias("_s"))
     # k rows only: a single-partition window is bounded by the cluster count
     w = Window.orderBy(F.col("_o").asc(), F.col("_s").desc(), F.col("raw_cluster"))
     ids = stats.select("raw_cluster", (F.row_number().over(w) - 1).cast("int").alias("cluster"))

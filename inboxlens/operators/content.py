@@ -15,22 +15,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inboxlens.functions.text import clean_text, common_words_filtered, is_keyword, subject_class, words
-from inboxlens.schemas import INTENT_KEYWORDS, INTENT_ORDER, MONEY_BONUS, NEWSLETTER_BONUS
+from inboxlens.schemas import ENTITY_LABELS, INTENT_KEYWORDS, INTENT_ORDER, MONEY_BONUS, NEWSLETTER_BONUS
 
 # ---------------------------------------------------------------------------
 # sender -> subjects / snippets as long tables
 # ---------------------------------------------------------------------------
 
 
+def _ord(messages: DataFrame) -> list[str]:
+    """The message's place in the mailbox, where the table has that column."""
+    return ["ord"] if "ord" in messages.columns else []
+
+
 def sender_subjects(messages: DataFrame) -> DataFrame:
-    """``(from, id, subject)`` for every message, undated ones included."""
-    return messages.select("from", "id", F.coalesce(F.col("subject"), F.lit("")).alias("subject"))
+    """``(from, id, subject)`` for every message, undated ones included; ``ord`` stays when there is one, so
+    that lists can be put in mailbox order."""
+    return messages.select("from", "id", F.coalesce(F.col("subject"), F.lit("")).alias("subject"), *_ord(messages))
 
 
 def sender_snippets(messages: DataFrame) -> DataFrame:
-    """``(from, id, snippet)`` for messages with a non-empty snippet."""
+    """``(from, id, snippet)`` for messages with a non-empty snippet; ``ord`` stays when there is one."""
     return (messages.where(F.coalesce(F.length("snippet"), F.lit(0)) > 0)
-            .select("from", "id", "snippet"))
+            .select("from", "id", "snippet", *_ord(messages)))
 
 
 def cache_subjects(cache: DataFrame) -> DataFrame:
@@ -53,8 +59,9 @@ def top_senders_by_subjects(messages: DataFrame, n: int) -> DataFrame:
 
 
 def first_subject(messages: DataFrame) -> DataFrame:
-    """``(from, sample_subject)``: the subject of the sender's first message by id."""
-    return sender_subjects(messages).groupBy("from").agg(F.min_by("subject", "id").alias("sample_subject"))
+    """``(from, sample_subject)``: the subject of the sender's first message by ``ord``, or by id without one."""
+    first = (_ord(messages) or ["id"])[0]
+    return sender_subjects(messages).groupBy("from").agg(F.min_by("subject", first).alias("sample_subject"))
 
 
 def snippet_counts(messages: DataFrame) -> DataFrame:
@@ -119,38 +126,14 @@ def top_keywords(messages: DataFrame, k: int = 10) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 # Fixed patterns for amount and date mentions.
-MONEY_PATTERN = r"[$€£]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:dollars|usd|euros?|eur)\b"
+MONEY_PATTERN = r"(?i)[$€£]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:dollars|usd|euros?|eur)\b"
 DATE_PATTERN = (r"(?i)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}"
                 r"|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.? \d{1,2}(?:, \d{4})?"
                 r"|\d{1,2} (?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*(?: \d{4})?"
                 r"|(?:mon|tues|wednes|thurs|fri|satur|sun)day|today|tomorrow|yesterday)\b")
-MAX_NGRAM = 4
-# a gazetteer up to this many rows is broadcast; a larger one is joined by shuffle
-GAZETTEER_BROADCAST_ROWS = 200_000
-
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
-
-    The check counts at most ``max_rows + 1`` rows, so it is cheap for any size.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
-
-def gazetteer_from_tables(spark: SparkSession, sf_dir: str, extra: list[tuple[str, str]] | None = None) -> DataFrame:
-    """A ``(label, surface)`` dictionary: nation and region names as GPE, plus ``extra`` rows."""
-    base = sf_dir.rstrip("/")
-    nations = spark.read.parquet(f"{base}/nation.parquet").select(F.lit("GPE").alias("label"),
-                                                                   F.initcap("n_name").alias("surface"))
-    regions = spark.read.parquet(f"{base}/region.parquet").select(F.lit("GPE").alias("label"),
-                                                                   F.initcap("r_name").alias("surface"))
-    g = nations.unionByName(regions)
-    if extra:
-        g = g.unionByName(spark.createDataFrame(extra, "label string, surface string"))
-    return g.dropDuplicates()
-
-
-def _ngrams_of(tok, n: int):
+def _ngrams_of(tok, n):
     """Space-joined n-grams of an array column, as an array (empty when too short)."""
     grams = F.transform(F.sequence(F.lit(1), F.size(tok) - n + 1),
                         lambda i: F.array_join(F.slice(tok, i, n), " "))
@@ -161,36 +144,31 @@ def message_entities(messages: DataFrame, gazetteer: DataFrame | None = None,
                      column: str = "snippet") -> DataFrame:
     """``(from, id, label, entity)``, distinct per message.
 
-    MONEY and DATE come from patterns; other labels from the gazetteer,
-    matched on 1..4-word n-grams of the cleaned text by an equi-join. All
-    candidates come out of one generator over a single scan of the text
-    (pattern hits carry their label, n-grams carry none), and one left join to
-    the gazetteer labels the n-grams. The gazetteer is broadcast only when
-    Spark's size-checked threshold allows; beyond it the join shuffles.
+    MONEY and DATE come from patterns; the other labels of the fixed set from
+    the gazetteer ``(label, surface)``, matched on n-grams of the cleaned text
+    by an inner equi-join. The n-gram lengths are those of the gazetteer's own
+    entries, however long, gathered in one row of different lengths. Rows with
+    other labels or without words are left out. No side is forced into a
+    broadcast: Spark decides by size.
     """
     src = messages.select("from", "id", F.coalesce(F.col(column), F.lit("")).alias("_t"))
-    cands = [F.struct(F.lit("MONEY").alias("label"), F.regexp_extract_all("_t", F.lit(MONEY_PATTERN), 0).alias("v")),
-             F.struct(F.lit("DATE").alias("label"), F.regexp_extract_all("_t", F.lit(DATE_PATTERN), 0).alias("v"))]
-    g = None
-    if gazetteer is not None:
-        g = gazetteer.select(F.col("label").alias("_g_label"), F.col("surface").alias("_g_surface"),
-                             clean_text("surface").alias("_gram"), F.size(words("surface")).alias("_n"))
-        # only the n-gram lengths the dictionary has (at most MAX_NGRAM small ints reach the driver)
-        lengths = sorted(r[0] for r in g.select("_n").distinct().collect() if 0 < r[0] <= MAX_NGRAM)
-        if lengths:
-            tok = words("_t")
-            grams = F.flatten(F.array(*[_ngrams_of(tok, n) for n in lengths]))
-            cands.append(F.struct(F.lit(None).cast("string").alias("label"), grams.alias("v")))
-    rows = (src.select("from", "id", F.explode(F.array(*cands)).alias("_c"))
+    patterns = F.array(*[F.struct(F.lit(label).alias("label"), F.regexp_extract_all("_t", F.lit(rx), 0).alias("v"))
+                         for label, rx in (("MONEY", MONEY_PATTERN), ("DATE", DATE_PATTERN))])
+    rows = (src.select("from", "id", F.explode(patterns).alias("_c"))
                .select("from", "id", F.col("_c.label").alias("label"), F.explode("_c.v").alias("entity")))
-    if g is not None and len(cands) > 2:
-        gz = sized_broadcast(g.select("_g_label", "_g_surface", "_gram"), GAZETTEER_BROADCAST_ROWS)
-        j = rows.join(gz,
-                      rows["label"].isNull() & (rows["entity"] == gz["_gram"]), "left")
-        rows = j.select("from", "id", F.coalesce("label", "_g_label").alias("label"),
-                        F.when(F.col("label").isNull(), F.col("_g_surface")).otherwise(F.col("entity")).alias("entity"))
-    out = rows.where(F.col("label").isNotNull() & (F.length("entity") > 0))
-    return out.dropDuplicates(["id", "label", "entity", "from"])
+    if gazetteer is not None:
+        g = (gazetteer.where(F.col("label").isin(*ENTITY_LABELS))
+             .select(F.col("label").alias("_label"), F.col("surface").alias("_surface"),
+                     clean_text("surface").alias("_gram"), F.size(words("surface")).alias("_n"))
+             .where(F.col("_n") > 0))
+        lengths = g.agg(F.sort_array(F.collect_set("_n")).alias("_lengths"))
+        tok = src.select("from", "id", words("_t").alias("_w")).crossJoin(F.broadcast(lengths))  # one row
+        grams = F.flatten(F.transform("_lengths", lambda n: _ngrams_of(F.col("_w"), n)))
+        hits = (tok.select("from", "id", F.explode(grams).alias("_gram"))
+                .join(g.select("_label", "_surface", "_gram"), "_gram"))
+        rows = rows.unionByName(hits.select("from", "id", F.col("_label").alias("label"),
+                                            F.col("_surface").alias("entity")))
+    return rows.where(F.length("entity") > 0).dropDuplicates(["id", "label", "entity", "from"])
 
 
 def entity_counts(messages: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
@@ -240,21 +218,6 @@ def intent_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(intent_lexicon_rows(), "form string, intent string")
 
 
-# above this many "newsletter" organisations the check runs as a join instead of inline
-NEWS_INLINE_LIMIT = 1000
-
-
-def _newsletter_orgs(gazetteer: DataFrame | None) -> list[str] | None:
-    """Cleaned ORG surfaces containing "newsletter" ([] when none); None when too many to inline."""
-    if gazetteer is None:
-        return []
-    g = (gazetteer.where((F.col("label") == "ORG") & F.contains(F.lower("surface"), F.lit("newsletter")))
-         .select(clean_text("surface").alias("s"), F.size(words("surface")).alias("n"))
-         .where((F.length("s") > 0) & (F.col("n") <= MAX_NGRAM)).select("s").distinct())
-    rows = g.limit(NEWS_INLINE_LIMIT + 1).collect()       # bounded: at most the limit + 1 short strings
-    return None if len(rows) > NEWS_INLINE_LIMIT else [r.s for r in rows]
-
-
 def intent_scores_wide(messages: DataFrame, key: str = "from", gazetteer: DataFrame | None = None,
                        column: str = "snippet", content_features: bool = True) -> DataFrame:
     """One row per key with the four intent scores as columns.
@@ -262,34 +225,28 @@ def intent_scores_wide(messages: DataFrame, key: str = "from", gazetteer: DataFr
     score = lexicon hits over all the key's texts, +2 transactional when any
     text mentions an amount, +2 promotional when an ORG of the gazetteer that
     contains "newsletter" occurs. Texts are tokenised once and joined to the
-    broadcast lexicon (a fixed ~300 rows); one aggregation (partial before the
-    shuffle) yields all four scores, so no per-key grid or distinct is needed.
+    lexicon (a fixed ~300 rows); one aggregation (partial before the shuffle)
+    yields all four scores, so no per-key grid or distinct is needed. A null
+    key is a key like any other.
     """
     spark = messages.sparkSession
     if not content_features:
         return messages.groupBy(key).agg(*[F.lit(0).cast("long").alias(i) for i in INTENT_ORDER])
     text = F.coalesce(F.col(column), F.lit(""))
-    orgs = _newsletter_orgs(gazetteer)
-    if orgs is None:
-        news_keys = (message_entities(messages.select(F.col(key).alias("from"), "id", column),
-                                      gazetteer.where(F.contains(F.lower("surface"), F.lit("newsletter"))), column)
-                     .where(F.col("label") == "ORG").select(F.col("from").alias(key)).distinct()
-                     .withColumn("_news_join", F.lit(True)))
-        news = F.lit(False)
-    else:
-        padded = F.concat(F.lit(" "), clean_text(text), F.lit(" "))
-        news = F.lit(False)
-        for o in orgs:
-            news = news | F.contains(padded, F.lit(f" {o} "))
-    base = messages.select(key, words(text).alias("_w"), text.rlike(MONEY_PATTERN).alias("_money"),
-                           news.alias("_news"))
-    toks = base.select(key, "_money", "_news", F.explode_outer("_w").alias("form"))
+    base = messages.select(key, words(text).alias("_w"), text.rlike(MONEY_PATTERN).alias("_money"))
+    toks = base.select(key, "_money", F.explode_outer("_w").alias("form"))
     hits = toks.join(F.broadcast(intent_lexicon(spark)), "form", "left")
     wide = hits.groupBy(key).agg(*[F.count_if(F.col("intent") == i).alias(f"_{i}") for i in INTENT_ORDER],
-                                 F.bool_or("_money").alias("_money"), F.bool_or("_news").alias("_news"))
-    if orgs is None:
-        wide = wide.join(news_keys, key, "left").withColumn(
-            "_news", F.col("_news") | F.coalesce(F.col("_news_join"), F.lit(False)))
+                                 F.bool_or("_money").alias("_money"))
+    if gazetteer is None:
+        wide = wide.withColumn("_news", F.lit(False))
+    else:
+        orgs = gazetteer.where((F.col("label") == "ORG") & F.contains(F.lower("surface"), F.lit("newsletter")))
+        named = message_entities(messages.select(F.col(key).alias("from"), F.lit(None).cast("string").alias("id"), column),
+                                 orgs, column)
+        named = named.where(F.col("label") == "ORG").select(F.col("from").alias("_of"), F.lit(True).alias("_hit")).distinct()
+        wide = (wide.join(named, F.col(key).eqNullSafe(F.col("_of")), "left")
+                .withColumn("_news", F.coalesce("_hit", F.lit(False))))
     bonus = {"transactional": F.when(F.col("_money"), MONEY_BONUS).otherwise(0),
              "promotional": F.when(F.col("_news"), NEWSLETTER_BONUS).otherwise(0)}
     return wide.select(key, *[(F.col(f"_{i}") + bonus.get(i, F.lit(0))).cast("long").alias(i) for i in INTENT_ORDER])
@@ -326,7 +283,7 @@ def top_intents(messages: DataFrame, n: int = 3, key: str = "from", gazetteer: D
 __all__ = [
     "sender_subjects", "sender_snippets", "cache_subjects", "cache_snippets", "top_senders_by_subjects", "first_subject", "snippet_counts",
     "classify_subjects", "subject_class_counts", "subject_words", "cleaned", "message_keywords",
-    "keyword_counts", "top_k", "top_keywords", "gazetteer_from_tables", "message_entities",
+    "keyword_counts", "top_k", "top_keywords", "message_entities",
     "entity_counts", "top_entities", "intent_lexicon_rows", "intent_lexicon", "intent_scores", "intent_scores_wide",
     "top_intents",
 ]

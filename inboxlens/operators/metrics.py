@@ -7,7 +7,7 @@ Spark broadcasts: their size is fixed at one row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inboxlens.functions.numbers import percentage
@@ -72,12 +72,13 @@ def tier_overview(senders: DataFrame) -> DataFrame:
 
     Rows come in tier order high, medium, low, zero (column ``tier_rank``).
     """
-    total = senders.agg(F.coalesce(F.sum("total_volume"), F.lit(0)).cast("long").alias("_all"))
-    per = (senders.withColumn("tier", engagement_tier("open_rate")).where(F.col("tier").isNotNull())
+    # one pass: senders without a tier form a group of their own, which counts in the total only
+    per = (senders.withColumn("tier", engagement_tier("open_rate"))
            .groupBy("tier").agg(F.count(F.lit(1)).alias("senders"),
                                 F.sum("total_volume").cast("long").alias("emails"),
                                 F.avg("open_rate").alias("avg_open_rate")))
-    return (per.crossJoin(total)
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # five rows at most
+    return (per.withColumn("_all", F.sum("emails").over(whole)).where(F.col("tier").isNotNull())
             .select("tier", tier_name("tier").alias("tier_name"), tier_rank("tier").alias("tier_rank"),
                     F.col("senders").cast("long").alias("senders"), "emails",
                     percentage("emails", "_all").alias("share_pct"), "avg_open_rate")

@@ -48,15 +48,26 @@ def latest_per_id(fetched: DataFrame) -> DataFrame:
     return best.select("id", *[F.col("_row")[c].alias(c) for c in cols])
 
 
+def _stamp(alias: str):
+    return F.coalesce(F.unix_micros(iso_timestamp("fetched_at")), F.lit(-(2 ** 62))).alias(alias)
+
+
 def upsert(cache: DataFrame, fetched: DataFrame) -> DataFrame:
     """Replace or add every fetched message; other cached rows stay as they are.
 
-    ``cache ▷ fetched ∪ fetched``: a message whose fetch failed (absent from
-    ``fetched``) keeps its old, possibly stale copy.
+    The newer fetch of an id wins, whichever side holds it (``fetched`` on
+    equal stamps), so a delivery that arrives late cannot undo a newer one. A
+    message whose fetch failed (absent from ``fetched``) keeps its old,
+    possibly stale copy. ``fetched`` is read twice: give a written table if it
+    is dear to compute. Only ids and stamps of either side meet the other's rows.
     """
-    f = latest_per_id(fetched.select(*[f.name for f in CACHE.fields]))
-    kept = cache.select(*[f.name for f in CACHE.fields]).join(f.select("id"), "id", "left_anti")
-    return kept.unionByName(f)
+    cols = [f.name for f in CACHE.fields]
+    f, c = latest_per_id(fetched.select(*cols)), cache.select(*cols)
+    kept = (c.withColumn("_c", _stamp("_c")).join(f.select("id", _stamp("_f")), "id", "left")
+            .where(F.col("_f").isNull() | (F.col("_c") > F.col("_f"))).select(*cols))
+    new = (f.withColumn("_f", _stamp("_f")).join(c.select("id", _stamp("_c")), "id", "left")
+           .where(F.col("_c").isNull() | (F.col("_f") >= F.col("_c"))).select(*cols))
+    return kept.unionByName(new)
 
 
 def prune(cache: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:

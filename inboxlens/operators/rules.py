@@ -21,6 +21,9 @@ ACTION_RULES = [
 ]
 # intent-wide advice, whatever the tier
 INTENT_LABELS = [("transactional", "Label as \"Transactions\"")]
+KIND_ADVICE = [("informational", "Newsletters: Consider weekly digest"), ("social", "Personal: Always keep")]
+#: promotional senders below this open rate go, also those between the tiers
+UNSUBSCRIBE_BELOW = ("promotional", 50, "Unsubscribe immediately")
 HIGH_VOLUME_FILTER = ("promotional", 20, "Create filters to skip inbox")
 
 
@@ -29,7 +32,7 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def recommend_actions(senders: DataFrame, top_intent: DataFrame) -> DataFrame:
-    """``(from, total_volume, open_rate, tier, intent, action, label_advice, filter_advice)``.
+    """``(from, total_volume, open_rate, tier, intent, action, kind_advice, label_advice, filter_advice)``.
 
     ``top_intent`` holds one ``(from, intent)`` row per sender. The rule table
     has a fixed handful of rows, so it is broadcast.
@@ -42,5 +45,9 @@ def recommend_actions(senders: DataFrame, top_intent: DataFrame) -> DataFrame:
     j = j.join(F.broadcast(rules), ["intent", "tier"], "left").join(F.broadcast(labels), "intent", "left")
     intent, at_least, advice = HIGH_VOLUME_FILTER
     flt = F.when((F.col("intent") == intent) & (F.col("total_volume") >= at_least), F.lit(advice))
-    return j.select("from", "total_volume", "open_rate", "tier", "intent", "action", "label_advice",
+    gone, below, act = UNSUBSCRIBE_BELOW
+    action = F.coalesce("action", F.when((F.col("intent") == gone) & (F.col("open_rate") < below), F.lit(act)))
+    kind = F.coalesce(*[F.when(F.col("intent") == i, F.lit(text)) for i, text in KIND_ADVICE])
+    return j.select("from", "total_volume", "open_rate", "tier", "intent", action.alias("action"),
+                    kind.alias("kind_advice"), "label_advice",
                     flt.alias("filter_advice"))

@@ -55,7 +55,8 @@ def aggregate_and_score(messages: DataFrame, weight: str | None = None) -> DataF
     open_rate = F.try_divide(total - F.col("unread_count"), total) * F.lit(100.0)
     scored = (agg.withColumn("open_rate", open_rate)
                  .withColumn("ignorance_score", total * (F.lit(100.0) - F.col("open_rate"))))
-    return scored.select(*SENDERS.fieldNames()).orderBy(*_by("ignorance_score"))
+    # unordered: rankings and writers sort where an order is wanted
+    return scored.select(*SENDERS.fieldNames())
 
 
 def with_tier(senders: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def top_engaged(senders: DataFrame, n: int = 3) -> DataFrame:
 def tier_listing(senders: DataFrame, tier: str) -> DataFrame:
     """Every sender of one tier by volume; an unknown tier is an error."""
     if tier not in ("high", "medium", "low", "zero"):
-        raise ValueError(f"Invalid tier: {tier}. Use 'high', 'medium', 'low', or 'zero'.")
+        raise ValueError(f"no such engagement tier: {tier!r}; known are high, medium, low and zero")
     return (with_tier(senders).where(F.col("tier") == tier)
             .select("from", "total_volume", "open_rate", "tier", tier_name("tier").alias("tier_name"))
             .orderBy(*_by("total_volume")))
@@ -145,12 +146,12 @@ def tier_listing(senders: DataFrame, tier: str) -> DataFrame:
 def sender_lookup(senders: DataFrame, pattern: str, literal: bool = False) -> DataFrame:
     """The first sender, in score order, whose address matches ``pattern``.
 
-    ``pattern`` is a case-insensitive regular expression (``literal=True``:
-    a plain substring). Returns zero or one row.
+    ``pattern`` is a regular expression that ignores case in all scripts
+    (``literal=True``: a plain substring). Returns zero or one row.
     """
     addr = F.col("from")
     cond = (F.contains(F.lower(addr), F.lit(pattern.lower())) if literal
-            else addr.rlike("(?i)" + pattern))
+            else addr.rlike("(?iu)" + pattern))
     hit = senders.where(F.coalesce(cond, F.lit(False))).orderBy(*_by("ignorance_score")).limit(1)
     return hit.select(F.col("from").alias("sender"), F.col("total_volume").alias("total_emails"),
                       "open_rate", "ignorance_score", "unread_count")

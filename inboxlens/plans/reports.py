@@ -17,54 +17,67 @@ from inboxlens.operators import messages as MS
 from inboxlens.operators import metrics as MT
 from inboxlens.operators import refresh as RF
 from inboxlens.operators import senders as SN
-from inboxlens.schemas import DEFAULT_CACHE_TTL_DAYS
+from inboxlens.schemas import DEFAULT_CACHE_TTL_DAYS, LABEL_TRASH
 from inboxlens.session import materialize, shared_dir
+from inboxlens.sources.listing import bounded_listing
+from inboxlens.sources.senders_io import load_senders, save_senders
 
 LONG_SCHEMA = "section string, rank int, item string, metric string, value double"
 
 
-__all__ = ["materialize"]
-
-
 # ---------------------------------------------------------------------------
 # J1: audit
 # ---------------------------------------------------------------------------
 
 def audit(listing: DataFrame, cache: DataFrame, fetch, as_of=None, refresh: bool = False,
           ttl_days: int = DEFAULT_CACHE_TTL_DAYS, out_dir: str | None = None,
-          allow_prune_all: bool = False) -> dict[str, DataFrame]:
+          allow_prune_all: bool = False, max_emails: int | None = None, include_labels=(),
+          exclude_labels=(LABEL_TRASH,), senders_out: str | None = None) -> dict[str, DataFrame]:
     """Refresh the cache for ``listing`` and aggregate the listed messages.
 
     ``fetch`` maps the fetch plan ``(id, reason)`` to fetched cache rows (the
-    mail-service client lives outside Spark). Returns the new cache (pruned to
-    the listing), the removed entries, the message table and the sender table.
-
-    The refreshed cache meets the listing in one join (listing ids are first
-    counted per id, so duplicates listed twice are read twice, as listed). Its
-    result is written once under the shared folder, partitioned by whether the
-    id is still listed: the new cache, the pruned ids and the message table
-    are then partition-pruned scans of that write, and a lost executor costs
-    a re-read instead of a replay of the refresh.
+    mail-service client lives outside Spark). With ``max_emails`` the listing
+    is the mailbox ``(id, ts, labelIds)`` and bounded first, newest messages
+    that pass the label filters; ``senders_out`` names a folder to which the
+    sender table is written as CSV. Returns the new cache (pruned to the
+    listing), the removed entries, the message table and the sender table.
+
+    Listing, plan and fetched rows are each written once under the shared
+    folder, so every message is fetched once whatever reads the result. The
+    refreshed cache (the newer copy of each id wins) meets the listing in one
+    join; listing ids are counted per id first, so one listed twice is read
+    twice, as listed. The result is written partitioned by whether the id is
+    still listed: the new cache, the pruned ids and the message table are then
+    partition-pruned scans of that write.
 
     An empty listing gives an empty sender table; it empties the cache only
     with ``allow_prune_all=True`` (otherwise the cache is kept as it is).
     """
-    spark = listing.sparkSession
-    if not allow_prune_all and listing.limit(1).count() == 0:
-        empty_msgs = MS.extract(cache.limit(0), as_of)
-        return {"plan": listing.select("id", F.lit("missing").alias("reason")), "fetched": cache.limit(0),
-                "cache": cache, "removed": cache.limit(0), "messages": empty_msgs,
-                "senders": SN.aggregate_and_score(empty_msgs), "path": None}
-    plan = RF.fetch_plan(listing, cache, refresh, ttl_days, as_of)
-    fetched = fetch(plan)
-    updated = RF.upsert(cache, fetched)
+    spark = cache.sparkSession
+    if max_emails is not None:
+        listing = bounded_listing(listing, max_emails, include_labels, exclude_labels)
+    listing = materialize(listing.select("id"), "audit-listing")
+    if not allow_prune_all and listing.isEmpty():
+        messages = MS.extract(cache.limit(0), as_of)
+        found = {"plan": listing.select("id", F.lit("missing").alias("reason")), "fetched": cache.limit(0),
+                 "cache": cache, "removed": cache.limit(0), "messages": messages,
+                 "senders": SN.aggregate_and_score(messages), "path": None}
+    else:
+        found = _refreshed(listing, cache, fetch, as_of, refresh, ttl_days, out_dir or shared_dir(spark, "audit-cache"))
+    if senders_out is not None:
+        save_senders(SN.sort_by_score(found["senders"]), senders_out)
+        found["senders"] = load_senders(spark, senders_out)
+    return found
+
+
+def _refreshed(listing: DataFrame, cache: DataFrame, fetch, as_of, refresh: bool, ttl_days: int, path: str) -> dict:
+    plan = materialize(RF.fetch_plan(listing, cache, refresh, ttl_days, as_of), "audit-plan")
+    fetched = materialize(fetch(plan), "audit-fetched")
     listed = listing.groupBy("id").agg(F.count(F.lit(1)).alias("_listed"))
-    flagged = (updated.join(listed, "id", "left")
-               .withColumn("state", F.when(F.col("_listed").isNotNull(), F.lit("listed"))
-                                     .otherwise(F.lit("removed"))))
-    path = out_dir or shared_dir(spark, "audit-cache")
+    flagged = (RF.upsert(cache, fetched).join(listed, "id", "left")
+               .withColumn("state", F.when(F.col("_listed").isNotNull(), F.lit("listed")).otherwise(F.lit("removed"))))
     flagged.write.mode("overwrite").partitionBy("state").parquet(path)
-    snap = spark.read.parquet(path)
+    snap = cache.sparkSession.read.parquet(path)
     kept = snap.where(F.col("state") == "listed").drop("state", "_listed")
     removed = snap.where(F.col("state") == "removed").drop("state", "_listed")
     listed_rows = MS.extract(snap.where(F.col("state") == "listed"), as_of, keep=["_listed"])
@@ -72,10 +85,10 @@ def audit(listing: DataFrame, cache: DataFrame, fetch, as_of=None, refresh: bool
     # listed many times is never replicated into one task
     senders = SN.aggregate_and_score(listed_rows, weight="_listed")
     # the message table keeps one row per listing occurrence, as listed (computed only if used)
-    msgs = (listed_rows.withColumn("_occurrence", F.explode(F.sequence(F.lit(1), F.col("_listed").cast("int"))))
-            .drop("_occurrence", "_listed"))
-    return {"plan": plan, "fetched": fetched, "cache": kept, "removed": removed,
-            "messages": msgs, "senders": senders, "path": path}
+    messages = (listed_rows.withColumn("_occurrence", F.explode(F.sequence(F.lit(1), F.col("_listed").cast("int"))))
+                .drop("_occurrence", "_listed"))
+    return {"plan": plan, "fetched": fetched, "cache": kept, "removed": removed, "messages": messages,
+            "senders": senders, "path": path}
 
 
 # ---------------------------------------------------------------------------
@@ -201,14 +214,14 @@ def analyze_patterns(messages: DataFrame, senders: DataFrame, top_n: int = 5, by
     entities per label, top 3 intents. Senders without snippets are skipped
     after the top-n cut.
 
-    The top-n senders are broadcast (``top_n`` rows) and semi-joined to the
+    The top-n senders are semi-joined to the
     messages, so only their mail is tokenised. Both the chosen senders and
     their messages are written once to the shared folder: the six branches
     below (counts, subjects, keywords, intents, entities, assembly) read them
     instead of re-running the sender aggregation and the scan each time.
     """
     top = materialize(SN.top_senders_for_patterns(senders, top_n, by).select("from", "rank"), "pattern-senders")
-    mine = materialize(messages.join(F.broadcast(top.select("from")), "from", "left_semi"), "pattern-messages")
+    mine = materialize(messages.join(top.select("from"), "from", "left_semi"), "pattern-messages")
     snippets = CT.sender_snippets(mine)
     counts = CT.snippet_counts(mine)
     subjects = CT.first_subject(mine)
@@ -218,15 +231,15 @@ def analyze_patterns(messages: DataFrame, senders: DataFrame, top_n: int = 5, by
     if hide_zero_intents:
         intents = intents.where(F.col("score") > 0)
     it = intents.groupBy("from").agg(F.sort_array(F.collect_list(F.struct("rank", "intent", "score"))).alias("_it"))
-    # every side below holds at most top_n rows (one per chosen sender): broadcast is bounded
-    out = (top.join(F.broadcast(counts), "from", "inner").join(F.broadcast(subjects), "from", "left")
-           .join(F.broadcast(kw), "from", "left").join(F.broadcast(it), "from", "left"))
+    # every side below holds at most top_n rows, a number the user chooses: Spark decides how to join
+    out = (top.join(counts, "from", "inner").join(subjects, "from", "left").join(kw, "from", "left")
+           .join(it, "from", "left"))
     if content_features:
         ents = CT.top_entities(mine, gazetteer, 5)
         ent = (ents.groupBy("from", "label")
                .agg(F.sort_array(F.collect_list(F.struct("rank", "entity", "n"))).alias("_e"))  # <= 5 each
                .groupBy("from").agg(F.sort_array(F.collect_list(F.struct("label", "_e"))).alias("_ents")))
-        out = out.join(F.broadcast(ent), "from", "left")
+        out = out.join(ent, "from", "left")
     else:
         out = out.withColumn("_ents", F.lit(None).cast("array<struct<label:string,_e:array<struct<rank:int,"
                                                        "entity:string,n:bigint>>>>"))
@@ -249,12 +262,26 @@ def analyze_patterns(messages: DataFrame, senders: DataFrame, top_n: int = 5, by
 # J6 / J7
 # ---------------------------------------------------------------------------
 
-def analyze_clusters(senders: DataFrame, n_clusters: int = 5) -> dict[str, DataFrame]:
+def analyze_clusters(senders: DataFrame, n_clusters: int = 5, clusters: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Assignment, statistics and top senders per cluster; ``clusters`` gives an assignment made before."""
     s = materialize(senders, "cluster-senders")
-    clusters = CL.cluster_senders(s, n_clusters)
+    if clusters is None:
+        clusters = CL.cluster_senders(s, n_clusters)
     return {"clusters": clusters, "stats": CL.cluster_stats(clusters, s),
             "top": CL.top_per_cluster(clusters, s, 5)}
 
 
+def cluster_report(parts: dict[str, DataFrame]) -> DataFrame:
+    """Statistics and top senders of :func:`analyze_clusters` as one long table."""
+    stats = to_long(parts["stats"], "stats", ["senders", "total_emails", "total_unread", "avg_open_rate", "avg_ignorance"],
+                    "cluster")
+    top = parts["top"].select(F.concat(F.lit("top in cluster "), F.col("cluster").cast("string")).alias("s"), "rank", "from",
+                              "total_volume", "open_rate", "ignorance_score")
+    long = to_long(top.withColumn("_i", F.struct("s", "from")).withColumn("from", F.to_json("_i")), "", ["total_volume",
+                   "open_rate", "ignorance_score"], "from", "rank")
+    pair = F.from_json("item", "s string, `from` string")
+    return stats.unionByName(long.select(pair["s"].alias("section"), "rank", pair["from"].alias("item"), "metric", "value"))
+
+
 def sender_report(senders: DataFrame, pattern: str) -> DataFrame:
     return SN.sender_lookup(senders, pattern)

@@ -46,8 +46,9 @@ def get_session(master: str | None = None, app: str = "inboxlens",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local runs, tests) a private folder is
-    created and registered as the checkpoint directory.
+    Only a local master may do without: a private folder is then created and
+    registered as the checkpoint directory. On a cluster a missing setting is
+    an error, as executors would write to folders that nobody else sees.
     """
     try:
         sc = spark.sparkContext
@@ -59,6 +60,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if sc is not None and not sc.master.startswith("local") or sc is None or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="inboxlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc is None:
         return d

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inboxlens.schemas import CACHE, CACHE_MAP
-from inboxlens.sources.tables import spread
 
 log = logging.getLogger(__name__)
 
@@ -36,7 +35,7 @@ def load_cache(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
         if fmt == "parquet":
             df = spark.read.schema(CACHE).parquet(path)
         elif fmt == "json":
-            df = spark.read.schema(CACHE).json(path)
+            df = spark.read.schema(CACHE).option("mode", "DROPMALFORMED").json(path)
         elif fmt == "legacy":
             raw = spark.read.text(path, wholetext=True)
             entries = raw.select(F.explode(F.from_json("value", CACHE_MAP)).alias("id", "item"))
@@ -48,8 +47,8 @@ def load_cache(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
             log.warning("cache %s not found, starting empty", path)
             return empty_cache(spark)
         raise
-    # a single file (or the one-record legacy object) would otherwise feed all extraction from one task
-    return spread(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CACHE.fields]))
+    # a broken line or entry has no id
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CACHE.fields]).where(F.col("id").isNotNull())
 
 
 def save_cache(cache: DataFrame, path: str, fmt: str = "parquet") -> bool:

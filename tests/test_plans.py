@@ -2,6 +2,7 @@
 
 from inboxlens.fixtures import views as V
 from inboxlens.operators import content as CT
+from inboxlens.operators import metrics as MT
 from inboxlens.operators import senders as SN
 from inboxlens.sources import listing as SL
 from tests.conftest import SF001
@@ -41,15 +42,24 @@ def test_small_dimensions_broadcast(spark):
 def test_counts_gather_nothing_and_tokenise_once(spark):
     docs = V.mail_docs(spark, SF001)
     events = V.mail_events(spark, SF001)
-    gaz = CT.gazetteer_from_tables(spark, SF001, [("ORG", "newsletter")])
+    gaz = V.gazetteer(spark, SF001, [("ORG", "newsletter")])
     for df in (CT.keyword_counts(docs), CT.entity_counts(events, gaz), CT.intent_scores(events, "from", gaz)):
         p = _plan(df)
         assert "collect_list" not in p and "PythonUDF" not in p
     p = _plan(CT.top_intents(events, 3, "from", gaz))
-    assert p.count("Generate explode") == 1          # the words of each text are exploded once
     assert "Window" not in p                          # ranking is row-local
+    p = _plan(CT.top_intents(events, 3, "from"))
+    assert p.count("Generate explode") == 1          # the words of each text are exploded once
 
 
+def test_no_query_input_is_repartitioned_and_the_sender_table_is_not_sorted(spark):
+    s = SN.aggregate_and_score(V.mail_orders(spark, SF001))
+    p = _plan(s)
+    assert "RoundRobin" not in p and "rangepartitioning" not in p and p.count("Exchange hashpartitioning") == 1
+    p = _plan(MT.tier_overview(s))
+    assert p.count("Scan parquet") == 1
+    assert "rangepartitioning" not in _plan(SN.engagement_tiers(s))
+
 def test_cluster_topk_uses_group_limit(spark):
     from inboxlens.operators import clusters as CL
     s = SN.aggregate_and_score(V.mail_orders(spark, SF001))
