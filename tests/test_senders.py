@@ -17,10 +17,10 @@ def test_aggregate_and_score_f3(spark):
     assert s2["ignorance_score"] == pytest.approx(200.0)
 
 
-def test_aggregate_sorted_by_score_and_drops_undated(spark):
+def test_aggregate_drops_undated_and_sorts_by_score(spark):
     df = f3(spark).unionByName(spark.createDataFrame(
         [("sender3@example.com", "id6", True, False, False, False, False, False, None)], f3(spark).schema))
-    out = SN.aggregate_and_score(df).collect()
+    out = SN.sort_by_score(SN.aggregate_and_score(df)).collect()
     assert [r["from"] for r in out] == ["sender2@example.com", "sender1@example.com"]
 
 
