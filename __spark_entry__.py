@@ -29,7 +29,7 @@ from inboxlens.session import shared_dir
 from inboxlens.sources import cache as SC
 from inboxlens.sources import listing as SL
 from inboxlens.sources import senders_io as SIO
-from inboxlens.streaming import AuditPaths, start_incremental_audit
+from inboxlens.streaming import AuditPaths, current_senders, start_incremental_audit
 
 # The training-data operators live in one optional subpackage; without it everything else still works.
 try:
@@ -295,10 +295,10 @@ def q_s1(spark, sf):
     V.cache_rows(late).unionByName(refetch).write.mode("overwrite").json(f"{root}/incoming/b2")
     # one micro-batch takes as many files as the first delivery has (a file list, not the data)
     per_batch = max(1, len(spark.read.json(f"{root}/incoming/b1").inputFiles()))
-    paths = AuditPaths(f"{root}/incoming/*", f"{root}/snapshot", f"{root}/senders", f"{root}/checkpoint")
+    paths = AuditPaths(f"{root}/incoming/*", f"{root}/snapshot", f"{root}/senders", f"{root}/checkpoint", buckets=16)
     start_incremental_audit(spark, paths, "json", as_of=V.ORDERS_AS_OF,
                             max_files_per_trigger=per_batch).awaitTermination()
-    return _r(SIO.load_senders(spark, paths.senders, "parquet"))
+    return _r(current_senders(spark, paths))
 
 
 def q_b1(spark, sf):

@@ -59,6 +59,28 @@ def aggregate_and_score(messages: DataFrame, weight: str | None = None) -> DataF
     return scored.select(*SENDERS.fieldNames())
 
 
+_FLAGS = ("unread", "starred", "important", "social", "updates", "promotions")
+
+
+def sender_counts(messages: DataFrame, *keys: str) -> DataFrame:
+    """Counts that can be added up: per ``keys`` and sender the dated messages, their flags, and the sum of ages."""
+    dated = F.col("age_days").isNotNull()
+    return messages.where(F.col("from").isNotNull()).groupBy(*keys, "from").agg(
+        F.count(F.when(dated, F.col("id"))).alias("total_volume"),
+        *[F.count_if(dated & F.col(f)).alias(f"{f}_count") for f in _FLAGS],
+        F.sum(F.col("age_days").cast("long")).alias("age_sum"), F.count("age_days").alias("ages"))
+
+
+def score_counts(counts: DataFrame) -> DataFrame:
+    """The sender table from any number of :func:`sender_counts` parts."""
+    sums = counts.groupBy("from").agg(*[F.sum(c).alias(c) for c in (
+        "total_volume", *(f"{f}_count" for f in _FLAGS), "age_sum", "ages")]).where(F.col("total_volume") > 0)
+    total = F.col("total_volume").cast("double")
+    sums = sums.withColumn("avg_recency_days", F.try_divide(F.col("age_sum").cast("double"), F.col("ages").cast("double")))
+    sums = sums.withColumn("open_rate", F.try_divide(total - F.col("unread_count"), total) * F.lit(100.0))
+    return sums.withColumn("ignorance_score", total * (F.lit(100.0) - F.col("open_rate"))).select(*SENDERS.fieldNames())
+
+
 def with_tier(senders: DataFrame) -> DataFrame:
     """Adds ``tier`` (high/medium/low/zero, null for open rates in (0, 1))."""
     return senders.withColumn("tier", engagement_tier("open_rate"))
@@ -169,7 +191,7 @@ def top_senders_for_patterns(senders: DataFrame, n: int = 5, by: str = "volume")
 
 
 __all__ = [
-    "aggregate_and_score", "with_tier", "engagement_tiers", "top_noise_makers", "audit_summary",
+    "aggregate_and_score", "sender_counts", "score_counts", "with_tier", "engagement_tiers", "top_noise_makers", "audit_summary",
     "sort_by_score", "never_opened", "over_volume", "high_volume", "filter_matches",
     "unsubscribe_candidates", "review_candidates", "top_engaged", "tier_listing", "sender_lookup",
     "top_senders_for_patterns",
