@@ -25,7 +25,9 @@ SPACE = "▁"
 #: Characters compared in the suffix order: four words of four. Longer pieces are an error.
 WORD, WORDS = 4, 4
 #: Different segments whose ids a task remembers from batch to batch.
-KNOWN = 1 << 19
+KNOWN = 1 << 18
+#: Bytes of text encoded at a time, and edges turned into Python numbers at a time: bounds on memory only.
+TEXT_BYTES, EDGES = 2 << 20, 1 << 16
 
 
 @dataclass
@@ -187,17 +189,18 @@ class Encoder:
         for b in begins.tolist():
             last[b] = -1
         memo, size, over = self.memo, self.size, self.size + 1
-        for start, end, rank in zip(starts[by].tolist(), ends[by].tolist(), ranks[by].tolist()):
-            before = last[start]
-            if before >= 0:
-                key = before * over + rank
-                ok = memo.get(key)
-                if ok is None:
-                    ok = memo[key] = before == size or rank == size or side_by_side(m, before, rank)
-                if ok:
+        for part in np.split(by, range(EDGES, len(by), EDGES)):
+            for start, end, rank in zip(starts[part].tolist(), ends[part].tolist(), ranks[part].tolist()):
+                before = last[start]
+                if before >= 0:
+                    key = before * over + rank
+                    ok = memo.get(key)
+                    if ok is None:
+                        ok = memo[key] = before == size or rank == size or side_by_side(m, before, rank)
+                    if ok:
+                        last[end] = rank
+                elif before == -1:
                     last[end] = rank
-            elif before == -1:
-                last[end] = rank
         lengths, ids = [len(x) for x in m.pieces], m.ids
         flat: list[int] = []
         counts = []
@@ -300,7 +303,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", *, path: str = MOD
     def work(batches):
         encoder = Encoder(m)
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, TEXT_BYTES):
                 texts = [x or "" for x in b.column(1).to_pylist()]
                 ids, at = encoder.encode(texts)
                 back = [decode(ids[i:j].tolist(), m) == t for t, i, j in zip(texts, at[:-1].tolist(), at[1:].tolist())]
