@@ -8,7 +8,11 @@ its piece and the one before it side by side. That gives the ids that merging in
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
+import sys
+import types
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +28,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters compared in the suffix order: four words of four. Longer pieces are an error.
 WORD, WORDS = 4, 4
-#: Different segments whose ids a task remembers from batch to batch.
+#: Different segments whose ids a worker remembers from batch to batch (and twice as many pairs of pieces).
 KNOWN = 1 << 18
 #: Bytes of text encoded at a time, and edges turned into Python numbers at a time: bounds on memory only.
 TEXT_BYTES, EDGES = 2 << 20, 1 << 16
@@ -129,12 +133,27 @@ def side_by_side(m: Model, left: int, right: int) -> bool:
             bound, right = right + 1, b[0]
 
 
+class _Neighbours(dict):
+    """Answers of ``side_by_side`` by left rank * (number of ranks + 1) + right rank; an unknown character's rank is
+    the number of ranks, and it never merges."""
+
+    def __init__(self, m: Model):
+        super().__init__()
+        self.m, self.size = m, len(m.pieces)
+
+    def __missing__(self, key: int) -> bool:
+        left, right = divmod(key, self.size + 1)
+        ok = self[key] = self.size in (left, right) or side_by_side(self.m, left, right)
+        return ok
+
+
 class Encoder:
     """Encodes segments; remembers those it has seen, up to ``KNOWN``."""
 
     def __init__(self, m: Model):
         self.m, self.size = m, len(m.pieces)
-        self.memo: dict[int, bool] = {}
+        self.memo = _Neighbours(m)
+        self.touching = {x[i:i + 2] for x in m.pieces for i in range(len(x) - 1)}
         usable = [r for r, h in enumerate(m.halves) if h is not None]
         chars = sorted({c for x in m.pieces for c in x})
         self.code = np.zeros(0x110000, np.uint64)
@@ -151,8 +170,8 @@ class Encoder:
 
     def forget(self):
         self.known: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.parts: dict[str, int] = {}
+        self.segment_ids, self.part_ids = _Lists(), _Lists()
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, rank) of every occurrence of every piece, sorted by start."""
@@ -185,29 +204,25 @@ class Encoder:
         starts = np.concatenate([starts, unknown])
         ends, ranks = np.concatenate([ends, unknown + 1]), np.concatenate([ranks, np.full(len(unknown), self.size)])
         by = np.argsort(starts)
-        last = [-2] * (len(points) + 1)                   # the piece that ends there; -2 not reached, -1 a beginning
+        memo, size, over = self.memo, self.size, self.size + 1
+        last = [-2] * (len(points) + 1)                   # rank that ends there * over; -2 not reached, -1 a beginning
         for b in begins.tolist():
             last[b] = -1
-        memo, size, over = self.memo, self.size, self.size + 1
         for part in np.split(by, range(EDGES, len(by), EDGES)):
             for start, end, rank in zip(starts[part].tolist(), ends[part].tolist(), ranks[part].tolist()):
                 before = last[start]
                 if before >= 0:
-                    key = before * over + rank
-                    ok = memo.get(key)
-                    if ok is None:
-                        ok = memo[key] = before == size or rank == size or side_by_side(m, before, rank)
-                    if ok:
-                        last[end] = rank
+                    if memo[before + rank]:
+                        last[end] = rank * over
                 elif before == -1:
-                    last[end] = rank
+                    last[end] = rank * over
         lengths, ids = [len(x) for x in m.pieces], m.ids
         flat: list[int] = []
         counts = []
         for b, e, extra in zip(begins.tolist(), (begins + sizes).tolist(), marks):
             own: list[int] = []
             while e > b:
-                r = last[e]
+                r = last[e] // over
                 if r == size:
                     e -= 1
                     own += [m.byte_ids[x] for x in reversed(text[e].encode())]
@@ -221,10 +236,38 @@ class Encoder:
             counts.append(len(own))
         return np.array(flat, np.int32), np.array(counts, np.int64)
 
+    def _cut(self, segment: str) -> list[str]:
+        """The segment in parts that no merge can cross: between two characters that no piece has side by side."""
+        out, last, touching = [], 0, self.touching
+        for i in range(max(len(segment) - len(segment.lstrip(SPACE)), 1), len(segment)):
+            if segment[i - 1:i + 1] not in touching:
+                out.append(segment[last:i])
+                last = i
+        out.append(segment[last:])
+        return out
+
+    def _learn(self, segments: list[str]) -> None:
+        """Encode new segments by way of their different parts."""
+        parts, unseen, rows = self.parts, [], []
+        for s in segments:
+            row = []
+            for x in self._cut(s):
+                k = parts.get(x)
+                if k is None:
+                    k = parts[x] = len(parts)
+                    unseen.append(x)
+                row.append(k)
+            rows.append(row)
+        if unseen:
+            self.part_ids.append(*self._encode(unseen))
+        self.segment_ids.append(*self.part_ids.gather(rows))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each begins."""
         if len(self.known) > KNOWN:
             self.forget()
+        if len(self.memo) > 2 * KNOWN:
+            self.memo.clear()
         known, new, rows = self.known, [], []
         for t in texts:
             row = []
@@ -234,22 +277,33 @@ class Encoder:
                     k = known[s] = len(known)
                     new.append(s)
                 row.append(k)
-            rows.append(np.array(row, np.int64))
+            rows.append(row)
         if new:
-            flat, counts = self._encode(new)
-            self.flat.append(flat)
-            self.counts.append(counts)
-        if not self.flat:
-            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        self.flat, self.counts = [np.concatenate(self.flat)], [np.concatenate(self.counts)]
-        flat, counts = self.flat[0], self.counts[0]
-        at = np.concatenate([[0], np.cumsum(counts)])
-        all_rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        own = counts[all_rows]
+            self._learn(new)
+        flat, counts = self.segment_ids.gather(rows)
+        return flat, np.concatenate([[0], np.cumsum(counts)])
+
+
+class _Lists:
+    """Many short lists of ids, one after the other."""
+
+    def __init__(self):
+        self.flat, self.counts = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def append(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+
+    def gather(self, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of list numbers the ids of these lists joined, all rows in one array; and how many each has."""
+        sizes = np.array([len(r) for r in rows], np.int64)
+        every = np.fromiter((k for r in rows for k in r), np.int64, int(sizes.sum()))
+        own = self.counts[every]
         ends = np.cumsum(own)
-        pick = np.repeat(at[all_rows] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
-        borders = np.cumsum([0, *(len(r) for r in rows)])
-        return flat[pick], np.concatenate([[0], ends])[borders]
+        at = np.cumsum(self.counts) - self.counts
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.repeat(at[every] - (ends - own), own) + np.arange(total)]
+        borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+        return flat, np.diff(borders)
 
 
 def _run(n: int, runs: dict) -> list[int]:
@@ -287,6 +341,14 @@ def decode(ids: list[int], m: Model) -> str:
     return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def _encoder(m: Model, name: str) -> Encoder:
+    """This worker process's encoder for the model: what one task has learnt serves the next."""
+    store = sys.modules.setdefault("_inboxlens_encoders", types.ModuleType("_inboxlens_encoders"))
+    if not hasattr(store, name):
+        setattr(store, name, Encoder(m))
+    return getattr(store, name)
+
+
 def encode_documents(docs: DataFrame, text_col: str = "text", *, path: str = MODEL_PATH) -> DataFrame:
     """``docs`` with token_ids (array of int), n_tokens and round_trip (whether decoding gives the text again).
 
@@ -295,13 +357,14 @@ def encode_documents(docs: DataFrame, text_col: str = "text", *, path: str = MOD
     encoded; every row stays, repeated ones too. Columns that are called like the new ones are replaced.
     """
     m = load(path)
+    name = hashlib.sha256(pickle.dumps(m)).hexdigest()
     rows = docs.drop("token_ids", "n_tokens", "round_trip")
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{text_col}`").alias("t"))
     made = T.StructType([packed.schema["row"], T.StructField("token_ids", T.ArrayType(T.IntegerType())),
                          T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
     def work(batches):
-        encoder = Encoder(m)
+        encoder = _encoder(m, name)
         for whole in batches:
             for b in slices(whole, 1, TEXT_BYTES):
                 texts = [x or "" for x in b.column(1).to_pylist()]
