@@ -30,7 +30,7 @@ WEIGHT = 0.5
 #: Added to every word's count.
 ADDED = 0.1
 #: Bytes of text in a batch, tokens whose bigrams a shard holds.
-BATCH_BYTES, SHARD_TOKENS = 16 << 20, 2_000_000
+BATCH_BYTES, SHARD_TOKENS = 9 << 20, 2_000_000
 #: Quantised log10 probabilities: CODES steps down to LEAST.
 CODES, LEAST = 65535, -14.0
 
@@ -97,12 +97,14 @@ def _text_rows(batches):
              pa.array([_squeeze(toks)])], names=["batch", "ids", "held", "starts", "toks"])
 
 
-def _pairs(toks: np.ndarray, starts: np.ndarray, gids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different bigrams of a batch (context number << 32 | word number), and for each token which one it ends."""
-    number = gids[toks]
-    before = np.concatenate([[gids[0]], number[:-1]])
+def _keys(toks: np.ndarray, starts: np.ndarray, gids: np.ndarray) -> np.ndarray:
+    """For each token of a batch the bigram that it ends: context number << 32 | word number."""
+    out = gids[toks]
+    before = np.concatenate([gids[:1], out[:-1]])
     before[starts[:-1]] = gids[0]
-    return np.unique((before << np.uint64(32)) | number, return_inverse=True)
+    before <<= np.uint64(32)
+    out |= before
+    return out
 
 
 def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -111,12 +113,19 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _unpack(row) -> tuple:
-    """Tokens, starts, word numbers and counts by local number, held-out flags of a batch's row."""
+    """Tokens, starts, word numbers and counts by local number of a batch's row."""
     toks, starts = _spread(row["toks"], np.uint32), _spread(row["starts"], np.uint64).astype(np.int64)
-    idx = np.asarray(row["idx"], np.int64)
-    gids, counts = np.zeros(len(idx), np.uint64), np.zeros(len(idx))
-    gids[idx], counts[idx] = np.asarray(row["gid"], np.int64).astype(np.uint64), np.asarray(row["c"], np.float64)
-    return toks, starts, gids, counts, np.asarray(row["held"], bool)
+    places = np.asarray(row["places"], np.int64)
+    gids, counts = np.zeros(len(places), np.uint64), np.zeros(len(places))
+    idx = places >> 32
+    gids[idx], counts[idx] = (places & 0xFFFFFFFF).astype(np.uint64), np.asarray(row["counts"], np.float64)
+    return toks, starts, gids, counts
+
+
+def _context_counts(pairs: np.ndarray, gids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each bigram of a batch how often its context occurs in training texts."""
+    by = np.argsort(gids)
+    return counts[by[np.searchsorted(gids[by], pairs >> np.uint64(32))]]
 
 
 class Trie:
@@ -209,9 +218,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         raise ValueError("too many different words for 32-bit numbers")
     n, v = stats["n"] or 0, stats["v"]
     shards = max(1, round(n / SHARD_TOKENS))
+    # Local and global number in one value; both lists are filled row by row, so they have the same order.
+    place = F.shiftleft(F.col("idx").cast("long"), 32).bitwiseOR(F.col("gid"))
     own = word_rows.select("batch", "idx", "word").join(numbered, "word").groupBy("batch").agg(
-        F.collect_list(F.struct("idx", "gid", "c")).alias("w"))
-    own = own.select("batch", "w.idx", "w.gid", "w.c")
+        F.collect_list(place).alias("places"), F.collect_list("c").alias("counts"))
     ids = T.ArrayType(rows.schema["doc_id"].dataType)
     texts = rows.mapInArrow(_text_rows, T.StructType([
         T.StructField("batch", T.LongType()), T.StructField("ids", ids), T.StructField("held", T.ArrayType(T.BooleanType())),
@@ -221,11 +231,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     def send(batches):
         for b in batches:
             for row in _rows(b):
-                toks, starts, gids, counts, held_flags = _unpack(row)
-                pairs, of = _pairs(toks, starts, gids)
-                train = np.repeat(~held_flags, np.diff(starts))
-                seen = np.bincount(of[train], minlength=len(pairs)).astype(np.uint32)
-                total = _context_counts(toks, starts, counts, of, len(pairs)).astype(np.float32)
+                toks, starts, gids, counts = _unpack(row)
+                keys = _keys(toks, starts, gids)
+                pairs = np.unique(keys)
+                learnt, n_learnt = np.unique(keys[np.repeat(~np.asarray(row["held"], bool), np.diff(starts))],
+                                             return_counts=True)
+                del keys, toks
+                seen = np.zeros(len(pairs), np.uint32)
+                seen[np.searchsorted(pairs, learnt)] = n_learnt
+                total = _context_counts(pairs, gids, counts).astype(np.float32)
                 where = _shard_of(pairs, shards)
                 by = np.argsort(where, kind="stable")
                 cuts = np.searchsorted(where[by], np.arange(shards + 1))
@@ -237,7 +251,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                              pa.array([_squeeze(np.diff(pairs[mine], prepend=np.uint64(0)))]), pa.array([_squeeze(seen[mine])]),
                              pa.array([_squeeze(total[mine])])], names=["shard", "batch", "pairs", "n", "total"])
 
-    sent = ready.select("batch", "held", "starts", "toks", "idx", "gid", "c").mapInArrow(
+    # Both readers take all columns of `ready`, so that its shuffles are written once and used twice.
+    sent = ready.mapInArrow(
         send, "shard int, batch long, pairs binary, n binary, total binary")
     answers = sent.groupBy("shard").applyInPandas(_count_shard, "batch long, shard int, codes binary")
     answers = answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "codes")).alias("answers"))
@@ -249,8 +264,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     def finish(batches):
         for b in batches:
             for i, row in enumerate(_rows(b)):
-                toks, starts, gids, counts, _ = _unpack(row)
-                pairs, of = _pairs(toks, starts, gids)
+                toks, starts, gids, counts = _unpack(row)
+                keys = _keys(toks, starts, gids)
+                pairs = np.unique(keys)
+                of = np.searchsorted(pairs, keys).astype(np.uint32)
+                del keys
                 where = _shard_of(pairs, shards)
                 by = np.argsort(where, kind="stable")
                 cuts = np.searchsorted(where[by], np.arange(shards + 1))
@@ -259,7 +277,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                     codes[by[cuts[a["shard"]]:cuts[a["shard"] + 1]]] = _spread(a["codes"], np.uint32)
                 part = np.where(codes > 0, 10.0 ** ((codes.astype(np.float64) - 1) / CODES * LEAST), 0.0)
                 base = (counts[toks] + ADDED) / (n + ADDED * (v + 1))
-                seen_before = _context_counts(toks, starts, counts, of, len(pairs))[of] > 0
+                seen_before = (_context_counts(pairs, gids, counts) > 0)[of]
                 prob = np.where(seen_before, part[of] + (1 - WEIGHT) * base, base)
                 add = lambda x: np.add.reduceat(x, starts[:-1])
                 size = np.diff(starts)
@@ -273,15 +291,6 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     return whole.mapInArrow(finish, made)
 
 
-def _context_counts(toks: np.ndarray, starts: np.ndarray, counts: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """For each bigram of a batch how often its context occurs in training texts."""
-    before = np.concatenate([[0], toks[:-1]])
-    before[starts[:-1]] = 0
-    out = np.zeros(n)
-    out[of] = counts[before]
-    return out
-
-
 def _rows(b: pa.RecordBatch):
     """The rows of a record batch, one at a time; lists of numbers as arrays."""
     for i in range(len(b)):
