@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS, MIN_CONTAINMENT = 5, 0.8
 #: A window with a quotation shares no band with its template with this probability at most.
 MISS = 1e-5
+#: Templates of at most so many characters are sent to all executors; more are joined by a shuffle.
+BROADCAST_CHARS = 1 << 20
 #: Public license notices.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -124,6 +126,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tem
                                                         _signature(F.col("hashes"), bands(span, spans[span])).alias("b"))
         index = own if index is None else index.unionByName(own)
     index = index.select("license", "template", "grams", "of_span", F.posexplode("b").alias("of_band", "of_value"))
+    if sum(len(t) for _, t in (TEMPLATES if templates is None else templates)) <= BROADCAST_CHARS:
+        index = F.broadcast(index)
     found = marked.join(index, (F.col("span") == F.col("of_span")) & (F.col("band") == F.col("of_band"))
                         & (F.col("value") == F.col("of_value")))
     out = found.groupBy("row", "first_word", "span", "template").agg(
