@@ -20,8 +20,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated chunks of lines out of all documents but the first; every document stays."""
-    return lines.dedup_lines(docs).select(docs.columns)
+    """Take repeated chunks of lines out of all documents but the first; every document stays.
+
+    Boundaries depend on the lines of a passage only, and a line of LONG_WORDS or more words stands by itself.
+    """
+    return lines.dedup_lines(docs, window=1, alone_words=lines.LONG_WORDS).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

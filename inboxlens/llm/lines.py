@@ -30,12 +30,17 @@ def _rolling(hashes: Column, i: Column, window: int) -> Column:
     return total
 
 
-def _chunks(docs: DataFrame, text_col: str, window: int, modulus: int) -> DataFrame:
+def _chunks(docs: DataFrame, text_col: str, window: int, modulus: int, alone_words: int | None) -> DataFrame:
     """``docs`` as row (all columns), lines and ends (number of the last line of each chunk)."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines"))
     rows = rows.select("row", "lines", F.transform("lines", _line_hash).alias("hashes"))
-    ends = F.filter(F.sequence(F.lit(1), F.size("hashes")), lambda i: (i == F.size("hashes")) | (
+    if alone_words is None:
+        alone = lambda i: F.lit(False)
+    else:
+        rows = rows.withColumn("long", F.transform("lines", lambda x: F.regexp_count(x, F.lit(_WORDS)) >= alone_words))
+        alone = lambda i: F.element_at("long", i) | F.coalesce(F.try_element_at(F.col("long"), i + 1), F.lit(False))  # noqa: E731,E501
+    ends = F.filter(F.sequence(F.lit(1), F.size("hashes")), lambda i: (i == F.size("hashes")) | alone(i) | (
         F.pmod(_rolling(F.col("hashes"), i, window), F.lit(modulus)) == 0))
     return rows.select("row", "lines", F.when(F.col("lines").isNotNull(), ends).alias("ends"))
 
@@ -53,9 +58,12 @@ def _counts(body: Column, n_lines: Column, min_lines: int, min_words: int, long_
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW,
                 modulus: int = MODULUS, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS,
-                long_words: int = LONG_WORDS) -> DataFrame:
+                long_words: int = LONG_WORDS, alone_words: int | None = None) -> DataFrame:
     """``docs`` with shortened texts and three more columns: n_chunks, removed_chunks and removed_lines.
 
+    With ``alone_words`` a line of at least so many words is a chunk by itself, and with a ``window`` of 1 no boundary
+    depends on the line before a passage: then every later copy of such a line goes, whatever its neighbours are.
+
     Lines end at line feeds. Chunks are compared byte by byte among those of equal hash. Of equal chunks the one with
     the smallest id stays, then the one nearest to the start of its text; a null id comes after all others. Rows that
     share an id count as one document: they keep or lose the same chunks. Null texts stay null with 0 chunks; an empty
@@ -63,7 +71,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     like the new ones are replaced. Work and memory are by chunk: no group of equal chunks is brought together.
     """
     docs = docs.drop("n_chunks", "removed_chunks", "removed_lines")
-    rows = _chunks(docs, text_col, window, modulus)
+    rows = _chunks(docs, text_col, window, modulus, alone_words)
     bodies = rows.select(F.col(f"row.`{id_col}`").alias("id"), _bodies().alias("bodies"), "ends")
     one = bodies.select("id", F.posexplode_outer("bodies").alias("k", "body"), "ends").select(
         "id", "k", "body", (F.element_at("ends", F.col("k") + 1) - F.when(F.col("k") == 0, 0).otherwise(

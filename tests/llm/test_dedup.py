@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from inboxlens.llm import exact, graph, lines, sharding, simhash
 from tests.conftest import SF001
 from tests.llm.conftest import MESSY
@@ -138,6 +139,20 @@ def test_shared_passage_goes_from_all_but_the_first(spark):
         assert sum(x in shared for x in got[i]) <= 12                      # what is left stands at the edges
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_long_lines_go_whatever_their_neighbours_are(spark, n):
+    rnd = random.Random(n)
+    line = lambda words: " ".join(str(rnd.randrange(10**6)) for _ in range(words))
+    shared = [line(52) for _ in range(n)]
+    texts = [[line(9) for _ in range(rnd.randrange(1, 4))] + shared + [line(9) for _ in range(rnd.randrange(1, 4))] for _ in range(12)]
+    df = spark.createDataFrame([(i, "\n".join(t), "en", "s") for i, t in enumerate(texts)],
+                               "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in corpus_pipeline.line_dedup(spark, df, None).collect()}
+    assert got[0] == texts[0]
+    for i in range(1, 12):
+        assert got[i] == [x for x in texts[i] if x not in shared]
+
+
 def test_lines_odd_inputs(spark, messy, nothing):
     out = lines.dedup_lines(messy)
     got = out.collect()
