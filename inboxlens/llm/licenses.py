@@ -37,6 +37,34 @@ TEMPLATES = [
                      "provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    *[(f"{short}-{v}", text.format(short=short.replace("CC-", "CC "), name=name, v=v, port=port))
+      for short, name in (("CC-BY", "Attribution"), ("CC-BY-SA", "Attribution-ShareAlike"),
+                          ("CC-BY-NC", "Attribution-NonCommercial"), ("CC-BY-ND", "Attribution-NoDerivatives"),
+                          ("CC-BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                          ("CC-BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+      for v, port in (("4.0", "International"), ("3.0", "Unported"))
+      for text in ("Licensed under {short} {v}.", "Licensed under a Creative Commons {name} {v} {port} License.")],
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+                "this work."),
+    ("CC0-1.0", "Released under CC0 1.0 Universal."),
+    # Versions of one family differ in few words: short enough that another version falls below MIN_CONTAINMENT.
+    *[(f"{short}-{v}", text.format(name=name, v=v, whole=v.removesuffix(".0")))
+      for short, name, versions in (("GPL", "GNU", ("2.0", "3.0")), ("LGPL", "GNU Lesser", ("2.1", "3.0")),
+                                    ("AGPL", "GNU Affero", ("3.0",)))
+      for v in versions
+      for text in ("{name} General Public License, version {whole}.", "the {name} General Public License v{v}.",
+                   "under the terms of the {name} General Public License as published by the Free Software Foundation, "
+                   "either version {whole} of the License")],
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License 2.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                "License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
 ]
 
 

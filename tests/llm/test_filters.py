@@ -99,6 +99,27 @@ def test_license_long_template_far_into_a_long_text(spark):
     assert licenses.bands(1, 1) >= 1 and licenses.bands(64, 33) > licenses.bands(64, 64)
 
 
+def test_every_license_line_of_documents_gives_a_row(spark):
+    lines = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+             "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+             "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").where("text is not null")
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()}
+    for line, name in lines.items():
+        want = {(r["doc_id"], name) for r in docs.where(F.col("text").contains(line)).collect()}
+        assert want and want <= got
+
+
+def test_each_template_is_found_under_its_own_name(spark):
+    rows = [(k, f"before it. {t} After it.") for k, (_, t) in enumerate(licenses.TEMPLATES)]
+    got = {(r["doc_id"], r["license"], r["template"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(k, n, k) for k, (n, _) in enumerate(licenses.TEMPLATES)} <= got
+    # Beside its own name a notice gives nothing by the templates after the first ten.
+    assert all(n == licenses.TEMPLATES[k][0] for k, n, t in got if t >= 10)
+    names = {n for _, n, _ in got}
+    assert {"CC-BY-SA-4.0", "CC-BY-NC-4.0", "LGPL-2.1", "AGPL-3.0", "GPL-2.0", "BSD-2-Clause", "ISC", "Unlicense"} <= names
+
+
 def _contaminated_brute(rows, items):
     out = set()
     for i, text in rows:
