@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: A boundary follows a line where the rolling hash over WINDOW line hashes is 0 modulo MODULUS.
 WINDOW, MODULUS = 2, 3
 #: Chunks that count: of at least so many lines and words, or of at least LONG_WORDS words on any number of lines.
@@ -30,11 +32,11 @@ def _rolling(hashes: Column, i: Column, window: int) -> Column:
     return total
 
 
-def _chunks(docs: DataFrame, text_col: str, window: int, modulus: int, alone_words: int | None) -> DataFrame:
-    """``docs`` as row (all columns), lines and ends (number of the last line of each chunk)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines"))
-    rows = rows.select("row", "lines", F.transform("lines", _line_hash).alias("hashes"))
+def _chunks(rows: DataFrame, text_col: str, window: int, modulus: int, alone_words: int | None) -> DataFrame:
+    """``rows`` (a column ``row`` and others), lines and ends (number of the last line of each chunk)."""
+    names = rows.columns
+    rows = rows.withColumn("lines", F.split(F.col(f"row.`{text_col}`"), "\n", -1))
+    rows = rows.withColumn("hashes", F.transform("lines", _line_hash))
     if alone_words is None:
         alone = lambda i: F.lit(False)
     else:
@@ -42,7 +44,7 @@ def _chunks(docs: DataFrame, text_col: str, window: int, modulus: int, alone_wor
         alone = lambda i: F.element_at("long", i) | F.coalesce(F.try_element_at(F.col("long"), i + 1), F.lit(False))  # noqa: E731,E501
     ends = F.filter(F.sequence(F.lit(1), F.size("hashes")), lambda i: (i == F.size("hashes")) | alone(i) | (
         F.pmod(_rolling(F.col("hashes"), i, window), F.lit(modulus)) == 0))
-    return rows.select("row", "lines", F.when(F.col("lines").isNotNull(), ends).alias("ends"))
+    return rows.select(*names, "lines", F.when(F.col("lines").isNotNull(), ends).alias("ends"))
 
 
 def _bodies() -> Column:
@@ -65,28 +67,35 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depends on the line before a passage: then every later copy of such a line goes, whatever its neighbours are.
 
     Lines end at line feeds. Chunks are compared byte by byte among those of equal hash. Of equal chunks the one with
-    the smallest id stays, then the one nearest to the start of its text; a null id comes after all others. Rows that
-    share an id count as one document: they keep or lose the same chunks. Null texts stay null with 0 chunks; an empty
+    the smallest id stays, then the one nearest to the start of its text; a null id comes after all others. Every row is a
+    document of its own: of rows that share an id (or have none) one, by a hash of the text, comes first. Null texts stay null with 0 chunks; an empty
     text is one empty line and stays; every row stays, also one whose text becomes empty. Input columns that are called
     like the new ones are replaced. Work and memory are by chunk: no group of equal chunks is brought together.
     """
     docs = docs.drop("n_chunks", "removed_chunks", "removed_lines")
-    rows = _chunks(docs, text_col, window, modulus, alone_words)
-    bodies = rows.select(F.col(f"row.`{id_col}`").alias("id"), _bodies().alias("bodies"), "ends")
-    one = bodies.select("id", F.posexplode_outer("bodies").alias("k", "body"), "ends").select(
-        "id", "k", "body", (F.element_at("ends", F.col("k") + 1) - F.when(F.col("k") == 0, 0).otherwise(
+    # Written with a number for each row: ids may repeat or be null, and equal rows are rows of their own.
+    keyed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                                    F.monotonically_increasing_id().alias("key")), "line-rows")
+    cut = lambda rows: _chunks(rows, text_col, window, modulus, alone_words)
+    # Rows of one id are told apart by their texts first, so that the result does not depend on their order.
+    owner = F.struct(F.col(f"row.`{id_col}`").isNull().alias("last"), F.col(f"row.`{id_col}`").alias("id"),
+                     F.xxhash64(f"row.`{text_col}`").alias("of"), F.col("key"))
+    bodies = cut(keyed).select(owner.alias("owner"), _bodies().alias("bodies"), "ends")
+    one = bodies.select("owner", F.posexplode_outer("bodies").alias("k", "body"), "ends").select(
+        "owner", "k", "body", (F.element_at("ends", F.col("k") + 1) - F.when(F.col("k") == 0, 0).otherwise(
             F.element_at("ends", F.greatest("k", F.lit(1))))).alias("n_lines"))
     one = one.where(_counts(F.col("body"), F.col("n_lines"), min_lines, min_words, long_words))
-    one = one.select("id", "k", "n_lines", "body", F.xxhash64("body").alias("h"))
+    one = one.select("owner", "k", "body", F.xxhash64("body").alias("h"))
     # Only what shares its hash with another occurrence is compared by its bytes.
     again = one.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     several = one.join(again, "h", "left_semi")
-    place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("k").alias("k"))
+    place = F.struct("owner", "k")
     first = several.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = (several.join(first.select("h", "body", "first"), ["h", "body"])
-            .where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("k") == F.col("first.k"))))
-            .groupBy("id").agg(F.collect_set("k").alias("gone")))
-    joined = rows.join(gone, rows["row"][id_col].eqNullSafe(gone["id"]), "left").select("row", "lines", "ends", "gone")
+    gone = (several.join(first.select("h", "body", F.col("first.owner.key").alias("first_key"), F.col("first.k").alias("first_k")),
+                         ["h", "body"])
+            .where((F.col("owner.key") != F.col("first_key")) | (F.col("k") != F.col("first_k")))
+            .groupBy(F.col("owner.key").alias("key")).agg(F.collect_set("k").alias("gone")))
+    joined = cut(keyed.join(gone, "key", "left"))
     kept = F.array_join(F.filter(_bodies(), lambda _, k: ~F.coalesce(F.array_contains("gone", k), F.lit(False))), "\n")
     lost = F.aggregate(F.transform("gone", lambda k: F.element_at("ends", k + 1) - F.when(k == 0, 0).otherwise(
         F.element_at("ends", F.greatest(k, F.lit(1))))), F.lit(0), lambda a, x: a + x)

@@ -153,6 +153,23 @@ def test_long_lines_go_whatever_their_neighbours_are(spark, n):
         assert got[i] == [x for x in texts[i] if x not in shared]
 
 
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    rnd = random.Random(4)
+    line = lambda: " ".join(str(rnd.randrange(10**6)) for _ in range(60))
+    shared, rows = line(), []
+    for i, source in ((1, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e")):
+        own = [line() for _ in range(3)]
+        rows.append((i, "\n".join([*own[:len(rows) % 3], shared, *own[len(rows) % 3:]]), source))
+    rows += [(9, rows[0][1], "f")] * 2                                    # two equal rows, copies of the first
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = defaultdict(list)
+    for r in lines.dedup_lines(df, window=1, alone_words=50).collect():
+        got[r["source"]].append(r["text"])
+    assert got["a"] == [rows[0][1]] and got["f"] == ["", ""]
+    for _, text, source in rows[1:5]:
+        assert got[source] == ["\n".join(x for x in text.split("\n") if x != shared)]
+
+
 def test_lines_odd_inputs(spark, messy, nothing):
     out = lines.dedup_lines(messy)
     got = out.collect()
