@@ -28,16 +28,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; documents without an id stay."""
-    goes = simhash.near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicate rows one stays: that of the smallest id, a null id after all others."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = materialize(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("key")), "near-rows")
+    # Rows of one id are told apart by their texts, then by their number.
+    place = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("id"),
+                     F.xxhash64("row.text").alias("of"), F.col("key"))
+    found = simhash.near_duplicates(keyed.select(place.alias("place"), F.col("row.text").alias("text")), "place")
+    goes = found.where("doc_id.key != component_id.key").select("doc_id.key")
+    return keyed.join(goes, "key", "left_anti").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that quote a test item, question and answer."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drop the rows that quote a test item, question and answer, and no others of their id."""
+    # A row quotes by its text alone: rows of equal id and text go or stay together.
+    key = F.struct(F.col("doc_id"), F.sha2(F.col("text"), 256).alias("digest"))
+    found = decontaminate.contaminated(docs.select(key.alias("key"), "text"),
+                                       spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key")
     goes = found.select(F.col("doc_id").alias("quoting")).distinct()
-    return docs.join(goes, F.col("doc_id").eqNullSafe(F.col("quoting")), "left_anti").select(docs.columns)
+    return docs.join(goes, key == F.col("quoting"), "left_anti").select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

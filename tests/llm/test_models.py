@@ -139,6 +139,27 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, docs):
     assert {r["doc_id"]: r["token_ids"] for r in out.collect()} == {i: sp.encode(t) for i, t in want.items()}
 
 
+def _table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", str(k)) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string").repartition(3)
+
+
+def test_decontamination_keeps_clean_rows_of_a_dirty_id(spark):
+    item = max((r["text"] for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()), key=len)
+    rows = [(None, f"before it {item}"), (None, "a clean text"), (5, "another clean text"), (5, item), (6, None), (None, None)]
+    left = corpus_pipeline.decontamination(spark, _table(spark, rows), SF001)
+    assert left.columns == ["doc_id", "text", "lang", "source"]
+    assert sorted(r["source"] for r in left.collect()) == ["1", "2", "4", "5"]
+
+
+def test_near_dedup_leaves_one_row_of_each_group(spark):
+    rnd = random.Random(6)
+    a, b, c, d = (" ".join(str(rnd.randrange(10**6)) for _ in range(300)) for _ in range(4))
+    rows = [(None, a), (None, a.replace(" ", "  ")), (3, b), (3, c), (2, b), (8, d), (8, d), (None, d)]
+    left = [(r["doc_id"], " ".join(r["text"].split())) for r in corpus_pipeline.near_dedup(spark, _table(spark, rows), SF001).collect()]
+    assert sorted(left, key=repr) == sorted([(None, a), (2, b), (3, c), (8, d)], key=repr)
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, messy, nothing):
     for table in (messy, nothing):
         rows = table
