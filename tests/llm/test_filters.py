@@ -78,6 +78,19 @@ def test_pii_checksums_and_context(spark, nothing):
     assert pii.spans(nothing).count() == 0
 
 
+def test_iban_ends_where_its_number_ends(spark):
+    rows = [("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00"),
+            ("GB82WEST12345698765432 A fee", "GB82WEST12345698765432"), ("DE89370400440532013000 2024-01-01", "DE89370400440532013000"),
+            ("NO93 8601 1117 947 12 PCS", "NO93 8601 1117 947"), ("MT84MALT011000012345MTLCAST001S EUR 5", "MT84MALT011000012345MTLCAST001S"),
+            ("FR14 2004 1010 0505 0001 3M02 606 DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606"),
+            ("DE8937040044053201300 0X", None), ("DE89 3704 0044 0532 0130 01 BIC", None)]
+    found = pii.spans(spark.createDataFrame(rows, "text string, want string")).collect()
+    for r in found:
+        values = [r["text"][s["start"]:s["end"]] for s in r["pii"] if s["kind"] == "iban"]
+        assert values[:1] == ([r["want"]] if r["want"] else []), r["text"]
+    assert sum(s["kind"] == "iban" for r in found for s in r["pii"]) == 7
+
+
 def test_license_scan_equals_all_windows(spark, docs, messy, nothing):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF001}/documents.parquet'")
