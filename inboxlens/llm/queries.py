@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inboxlens.session import shared_dir
+
 from . import decontaminate, exact, langid, licenses, lines, lm, pieces, pii, sharding, simhash
 from .common import doc_bucket, documents
 
 
 def op1_sharding(spark, sf_dir):
     docs = documents(spark, sf_dir)
+    shards = shared_dir(spark, "shards")
+    sharding.write_shards(docs, shards, 40, F.octet_length("text"))
+    # The digest is taken from the written shards; slot is the place of a record in its shard.
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return sharding.shard(rows, 40, F.col("size")).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"))
+    return sharding.read_shards(spark, shards, docs).select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_exact_dedup(spark, sf_dir):

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -57,3 +58,10 @@ def shard(records: DataFrame, shards: int, size: Column, *, seed: int = 42,
 def write_shards(records: DataFrame, path: str, shards: int, size: Column, **options) -> None:
     """Write whole records under ``path``, a folder ``shard=k`` each; ``slot`` gives the order within a shard."""
     shard(records, shards, size, **options).drop("bucket").write.partitionBy("shard").mode("overwrite").parquet(path)
+
+
+def read_shards(spark, path: str, records: DataFrame) -> DataFrame:
+    """What ``write_shards`` wrote of ``records``: their columns after shard and slot; no files give no rows."""
+    columns = records.drop("shard", "slot", "bucket").schema.fields
+    schema = T.StructType([T.StructField("slot", T.LongType()), *columns, T.StructField("shard", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path).select("shard", "slot", *[F.col(f"`{c.name}`") for c in columns])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inboxlens.llm import exact, graph, lines, sharding, simhash
+from inboxlens.llm import exact, graph, lines, queries, sharding, simhash
 from tests.conftest import SF001
 from tests.llm.conftest import MESSY
 
@@ -67,6 +68,20 @@ def test_sharding_odd_inputs(spark, messy, nothing, tmp_path):
     assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [6, 6, 6]
 
 
+def test_op1_takes_its_digest_from_written_shards(spark, tmp_path, monkeypatch, nothing):
+    monkeypatch.setattr(queries, "shared_dir", lambda *a: str(tmp_path / "shards"))
+    out = queries.op1_sharding(spark, SF001)
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    assert _rows(written, *docs.columns) == _rows(docs, *docs.columns)     # whole records, texts and all
+    want = [(r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"])
+            for r in written.collect()]
+    assert _rows(out, "doc_id", "size", "text_crc32", "shard", "slot") == sorted(want, key=repr)
+    sharding.write_shards(nothing, str(tmp_path / "none"), 40, F.octet_length("text"))
+    none = sharding.read_shards(spark, str(tmp_path / "none"), nothing)
+    assert none.columns == ["shard", "slot", *nothing.columns] and none.count() == 0
+
+
 # --- exact ------------------------------------------------------------------
 
 KEYS = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
