@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from bisect import bisect_left
 from dataclasses import dataclass, field
 
@@ -65,6 +66,8 @@ class Index:
     terms: dict
     postings: list
     width: int
+    #: Items without a threshold (their words repeat so much that shingles may go with every word), by each term.
+    direct: dict = field(default_factory=dict)
 
     @staticmethod
     def build(items: list[Item], df: dict, n: int, average: float) -> Index:
@@ -78,14 +81,24 @@ class Index:
                 x.weights[t] = idf * tf * (K1 + 1) / (tf + norm)
                 lists.setdefault(t, []).append((k, x.weights[t]))
             x.threshold = _threshold(x)
+        bounded = [x.threshold > 0 for x in items]
         terms = {t: i for i, t in enumerate(lists)}
         postings = []
         for t in terms:
-            own = [k for k, _ in lists[t]], [w / items[k].threshold for k, w in lists[t]]
-            postings.append((*own, max(own[1]), [max(own[1][i:i + BLOCK]) for i in range(0, len(own[1]), BLOCK)]))
+            own = [k for k, _ in lists[t] if bounded[k]], [w / items[k].threshold for k, w in lists[t] if bounded[k]]
+            postings.append((*own, max(own[1], default=0.0), [max(own[1][i:i + BLOCK]) for i in range(0, len(own[1]), BLOCK)]))
         for x in items:
-            x.weights = {terms[t]: w / x.threshold for t, w in x.weights.items()}
-        return Index(items, terms, postings, max([64, *(2 * len(x.question + x.answer) for x in items)]))
+            x.weights = {terms[t]: w / (x.threshold or 1.0) for t, w in x.weights.items()}
+        direct: dict[int, list] = {}
+        for k, x in enumerate(items):
+            for t in x.weights if not bounded[k] else ():
+                direct.setdefault(t, []).append(k)
+        return Index(items, terms, postings, max([64, *(2 * len(x.question + x.answer) for x in items)]), direct)
+
+    def unbounded(self, query: set[int]) -> list[tuple[int, float]]:
+        """Items without a threshold that share a term with a passage of these terms, with their scores."""
+        found = sorted({k for t in query for k in self.direct.get(t, ())}) if self.direct else []
+        return [(k, sum(w for t, w in self.items[k].weights.items() if t in query)) for k in found]
 
     def search(self, query: list[int]) -> list[tuple[int, float]]:
         """All items (number and score) that a passage of these terms scores at their threshold or above."""
@@ -131,9 +144,19 @@ def _threshold(x: Item) -> float:
 
 
 def split_item(item_id, text: str) -> Item | None:
-    """Question and answer of an item's text; an item without words is None."""
-    plain = lambda s: re.sub(r"[\W_]+", " ", s.lower()).split()
-    sentences = [w for w in (plain(s) for s in re.split(r"(?<=[.!?])\s+", text or "")) if w]
+    """Question and answer of an item's text, cut as ``sentences`` does; an item without words is None."""
+    plain = lambda s: "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in s.lower()).split()
+    return make_item(item_id, [plain(s) for s in re.split(r"(?<=[.!?])\s+", text or "")])
+
+
+def sentences(text: Column) -> Column:
+    """The words of each sentence (see ``words``); a sentence ends at white space after a full stop, ! or ?."""
+    cut = F.split(text, r"(?<=[.!?])[\s\x1c-\x1f\x{85}\p{Z}]+", -1)
+    return F.filter(F.transform(cut, words), lambda s: s != "")
+
+
+def make_item(item_id, sentences: list[list]) -> Item | None:
+    sentences = [w for w in sentences if w]
     if not sentences:
         return None
     if len(sentences) == 1:
@@ -148,13 +171,17 @@ def _candidates(tids: np.ndarray, cells: np.ndarray, index: Index) -> np.ndarray
     make up for the rest.
     """
     rare_of, need = index_rare(index)
+    near = np.empty(0, np.int64)
+    if index.direct:
+        near = cells[np.isin(tids, np.array(list(index.direct)))]
+        near = np.unique(np.concatenate([near, near - 1]))
     keep = np.flatnonzero(tids >= 0)
     t, c = tids[keep], cells[keep]
     offsets, items, weights = rare_of
     count = offsets[t + 1] - offsets[t]
     t, c, count = t[count > 0], c[count > 0], count[count > 0]
     if not len(t):
-        return np.empty(0, np.int64)
+        return near
     pos = np.repeat(offsets[t] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     cell, item, w, term = np.repeat(c, count), items[pos], weights[pos], np.repeat(t, count)
     cell = np.concatenate([cell, cell - 1])
@@ -167,7 +194,7 @@ def _candidates(tids: np.ndarray, cells: np.ndarray, index: Index) -> np.ndarray
     heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     total = np.add.reduceat(w, heads)
     ok = total >= need[key[heads] % len(index.items)] - 1e-9
-    return np.unique(key[heads][ok] // len(index.items) - 1)
+    return np.union1d(key[heads][ok] // len(index.items) - 1, near)
 
 
 def index_rare(index: Index):
@@ -175,6 +202,8 @@ def index_rare(index: Index):
     by_term: list[list] = [[] for _ in index.terms]
     need = np.ones(len(index.items))
     for k, x in enumerate(index.items):
+        if x.threshold <= 0:
+            continue
         common = 0.0
         for t, w in sorted(x.weights.items(), key=lambda tw: tw[1]):
             if common + w <= _COMMON:
@@ -207,7 +236,8 @@ def passages(texts: pa.Array, index: Index) -> list[list[tuple]]:
         b = min(a + 2 * index.width, int(starts[doc + 1]))
         if a >= b:
             continue
-        got = index.search(sorted({t for t in tids[a:b].tolist() if t >= 0}))
+        query = {t for t in tids[a:b].tolist() if t >= 0}
+        got = index.search(sorted(query)) + index.unbounded(query)
         if got:
             have = shingle_sets(flat.slice(a, b - a).to_pylist(), {min(len(p), SHINGLE_WORDS) for k, _ in got for p in (
                 index.items[k].question, index.items[k].answer) if p})
@@ -234,17 +264,21 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", *
     parts = math.ceil((rows.agg(F.sum("bytes").alias("b")).first()["b"] or 0) / index_bytes)
     if not parts:
         return
-    tokens = rows.select(F.split(words(F.col("text")), " ").alias("w"))
+    # Cut like the documents, in Spark: both sides then have the same words whatever the script.
+    rows = rows.withColumn("sentences", sentences(F.col("text")))
+    rows = rows.withColumn("w", F.split(F.array_join("sentences", " "), " "))
+    tokens = rows.select("w")
     stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("average")).first()
     df = tokens.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").count()
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     for k in range(parts):
-        own = [split_item(x["item_id"], x["text"]) for x in rows.where(part == k).orderBy("item_id", "text").collect()]
+        own = [make_item(x["item_id"], [s.split(" ") for s in x["sentences"]])
+               for x in rows.where(part == k).orderBy("item_id", "text").collect()]
         own = [x for x in own if x]
-        here = rows.where(part == k).select(F.explode(F.array_distinct(F.split(words(F.col("text")), " "))).alias("term"))
+        here = rows.where(part == k).select(F.explode(F.array_distinct("w")).alias("term"))
         known = {x["term"]: x["count"] for x in df.join(here.distinct(), "term", "left_semi").collect()}
         if own:
-            yield Index.build(own, {t: known.get(t, 1) for x in own for t in x.question + x.answer}, stats["n"],
+            yield Index.build(own, {t: known[t] for x in own for t in x.question + x.answer}, stats["n"],
                               stats["average"])
 
 

@@ -165,6 +165,18 @@ def test_decontamination_against_every_pair(spark, docs, pdocs, benchmark):
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+def test_decontamination_of_any_script_and_of_repeated_words(spark):
+    texts = ["\u0939\u093f\u0928\u094d\u0926\u0940 \u092e\u0947\u0902 \u092f\u0939 \u090f\u0915 \u0932\u0902\u092c\u093e \u092a\u094d\u0930\u0936\u094d\u0928 \u0939\u0948? \u0939\u093e\u0901 \u091c\u0940.",
+             "Le cafe\u0301 de la gare e\u0301tait ferme\u0301 hier soir. Pourquoi donc cela?", "go go go go go go go.", "la la la la la la la la. no no no no no no."]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(k, f"{'before ' * 100}{t} {'after ' * 200}") for k, t in enumerate(texts)]
+    rows += [(10, "go on and let it go"), (11, "la la la la la la"), (12, None)]
+    for more in (0, 200):     # with other items in the index, too
+        known = items.union(spark.createDataFrame([(100 + k, f"other{k} item{k} with{k} words{k} in{k} it{k}.") for k in range(more)], items.schema)) if more else items
+        got = D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, k) for k in range(4)}
+
+
 def test_decontamination_odd_inputs(spark, messy, nothing, benchmark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (3, "two words"), (None, "one. One!"), (4, "...")],
                                   "item_id long, text string")
