@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inboxlens.session import shared_dir
 
-from . import decontaminate, exact, langid, licenses, lines, lm, pieces, pii, sharding, simhash
+from . import centroids, decontaminate, exact, langid, licenses, lines, lm, minmax, phrases, pieces, pii, sharding, simhash
 from .common import doc_bucket, documents
 
 
@@ -64,9 +64,23 @@ def op8_language_id(spark, sf_dir):
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_centroid_clustering(spark, sf_dir):
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("checked")
+
+
+def op12_minhash_near_dedup(spark, sf_dir):
+    return minmax.near_duplicates(documents(spark, sf_dir))
+
+
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_exact_dedup, op3_decontamination, op4_lm_scoring, op5_line_dedup, op6_pii, op7_simhash_near_dedup,
-    op8_language_id, op9_license_scan, op10_sentencepiece)}
+    op8_language_id, op9_license_scan, op10_sentencepiece, op11_centroid_clustering, op12_minhash_near_dedup,
+    op13_phrase_collocations)}
 
 ORACLE_SQL = {"op2_exact_dedup": exact.oracle_sql(), "op5_line_dedup": lines.oracle_sql(),
-              "op9_license_scan": licenses.oracle_sql()}
+              "op9_license_scan": licenses.oracle_sql(), "op11_centroid_clustering": centroids.oracle_sql(),
+              "op12_minhash_near_dedup": minmax.oracle_sql(), "op13_phrase_collocations": phrases.oracle_sql()}
