@@ -23,10 +23,11 @@ def cut(texts: pa.Array, gaps: bytes, breaks: bytes = b"") -> Words:
 
     A byte of ``breaks``, like the end of a text, also ends a piece. Null counts as empty.
     """
-    texts = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
     places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[places[0]:places[-1]] if raw is not None else np.zeros(0, np.uint8)
+    data = data + ((data >= 65) & (data <= 90)).view(np.uint8) * np.uint8(32)
     places = places - places[0] if len(places) else np.zeros(1, np.int64)
     kind = np.zeros(256, np.uint8)
     kind[np.frombuffer(gaps, np.uint8)], kind[np.frombuffer(breaks, np.uint8)] = 1, 2
