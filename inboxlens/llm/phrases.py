@@ -14,17 +14,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop_strays, materialize, slices
-from .words import Words, cut
+from .words import Words, cut, word_hashes
 
 LONGEST, LEAST, TOP, INSIDE_PERCENT = 3, 10, 2000, 50
 #: Phrases of one trie: what is broadcast at a time.
 TRIE_PHRASES = 1 << 20
+#: Bytes of text that a worker cuts at a time; each word takes some hundred bytes meanwhile.
+TEXT_BYTES = 2 << 20
 GAPS, BREAKS = b" \t", b".,;:!?\n\v\f\r"
 UNDETERMINED = "und"
 SCALE = 1_000_000
@@ -85,14 +86,14 @@ class Trie:
                     self._room(at + int(steps[-1]) + (1 << 16))
                 if self.check[at] < 0 and (self.check[at + steps] < 0).all():
                     break
-                free = np.flatnonzero(self.check[at + 1:at + 4097] < 0)
-                at += 1 + (int(free[0]) if len(free) else 4096)
+                # Steps grow with the tries, so that a large family soon comes to where there is room.
                 tries += 1
+                at += 1 + tries * tries // 64
             self.base[own[f]] = at - family[0]
             self.check[at + steps] = own[f]
             slots[first[f]:first[f] + n[f]] = at + steps
             # Where families hardly fit any more none is tried again; single children fill the gaps.
-            start = at if tries > 16 else start
+            start += tries // 4
         single = first[n == 1]
         free = np.flatnonzero(self.check < 0)[:len(single)]
         if len(free) < len(single):
@@ -131,7 +132,7 @@ class Trie:
 def _cuts(batches):
     """Languages and words of slices of the batches (lang, text)."""
     for whole in batches:
-        for b in slices(whole, 1):
+        for b in slices(whole, 1, TEXT_BYTES):
             yield b.column(0), cut(b.column(1), GAPS, BREAKS)
 
 
@@ -196,14 +197,15 @@ def _followed(docs: DataFrame, phrases: DataFrame, words: DataFrame, depth: int,
                 at = at[words.pieces[at] == words.pieces[np.minimum(at + depth, len(words.codes) - 1)]]
                 if alone:                              # all phrases are in this trie: the last words must be one of them
                     at = at[here[at + 1] >= 0]
-                key, n = np.unique(here[at] * len(words.names) + words.codes[at + depth], return_counts=True)
-                h = np.array([xxhash.xxh64_intdigest(x) for x in words.names.to_pylist()], np.uint64).view(np.int64)
-                many = max(len(words.names), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(key // many, pa.int32()), pa.array(h[key % many] if len(key) else h[:0]), pa.array(n)],
-                                                 names=["number", "h", "n"])
-
-        found = docs.mapInArrow(work, "number int, h long, n long").groupBy("number", "h").agg(F.sum("n").alias("n"))
-        parts.append(materialize(found.where(F.col("n") >= least).select(F.lit(k).alias("block"), "number", "h"), "supports"))
+                # A key holds the phrase's number and 32 bits of the next word: words that share them only add candidates.
+                h = word_hashes(words.names)
+                key, n = np.unique(here[at] << 32 | h[words.codes[at + depth]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int32())], names=["key", "n"])
+
+        found = docs.mapInArrow(work, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+        found = found.select(F.lit(k).alias("block"), F.shiftright("key", 32).cast("int").alias("number"),
+                             F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), "n")
+        parts.append(materialize(found.where(F.col("n") >= least).drop("n"), "supports"))
         sent.unpersist()
     if not parts:
         return phrases.limit(0)
@@ -300,8 +302,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
 def _hashed(batches):
     for b in batches:
-        h = np.array([xxhash.xxh64_intdigest(x) for x in b.column("word").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), pa.array(h)], names=["lang", "word", "h"])
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), pa.array(word_hashes(b.column("word")))],
+                                         names=["lang", "word", "h"])
 
 
 def oracle_sql(relation: str = "documents", least: int = LEAST, top: int = TOP, inside_percent: int = INSIDE_PERCENT) -> str:

@@ -47,3 +47,17 @@ def cut(texts: pa.Array, gaps: bytes, breaks: bytes = b"") -> Words:
     pieces = np.cumsum(fresh | (kinds == 2))[starts]
     rows = np.searchsorted(places, starts, side="right") - 1
     return Words(coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, rows, pieces)
+
+
+def word_hashes(names: pa.Array) -> np.ndarray:
+    """32 bits of a polynomial hash of each word (none is empty), as whole numbers."""
+    names = names.cast(pa.large_string())
+    if not len(names):
+        return np.zeros(0, np.int64)
+    places = np.frombuffer(names.buffers()[1], np.int64)[names.offset:names.offset + len(names) + 1]
+    data = np.frombuffer(names.buffers()[2], np.uint8)[places[0]:places[-1]].astype(np.uint64) + np.uint64(1)
+    places = places - places[0]
+    powers = np.cumprod(np.full(int(np.diff(places).max()), 0x9E3779B97F4A7C15, np.uint64))
+    total = np.add.reduceat(data * powers[np.arange(len(data)) - np.repeat(places[:-1], np.diff(places))], places[:-1])
+    total = (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (total >> np.uint64(32)).astype(np.int64)
