@@ -9,6 +9,7 @@ states of all text positions on together, word by word, and counts the accepting
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -55,10 +56,11 @@ class Trie:
         self.base, self.check, self.accepts = self.base[:size], self.check[:size], self.accepts[:size]
 
     @classmethod
-    def of(cls, base: np.ndarray, check: np.ndarray, accepts: np.ndarray, names: pa.Array) -> Trie:
-        """A built trie from its parts; those, not the object, are broadcast, as workers may not have this module."""
+    def of(cls, base: bytes, check: bytes, accepts: bytes, names: bytes) -> Trie:
+        """A built trie from its compressed parts; these are broadcast, as workers may not have this module."""
         trie = cls.__new__(cls)
-        trie.base, trie.check, trie.accepts, trie.names = base, check, accepts, names
+        trie.base, trie.check, trie.accepts = (np.frombuffer(zlib.decompress(x), np.int32) for x in (base, check, accepts))
+        trie.names = pa.ipc.open_stream(zlib.decompress(names)).read_all()["name"].combine_chunks()
         return trie
 
     def _room(self, size: int) -> None:
@@ -129,6 +131,10 @@ class Trie:
             yield at, states
 
 
+def _small(a: np.ndarray) -> bytes:
+    return zlib.compress(a.tobytes(), 1)
+
+
 def _cuts(batches):
     """Languages and words of slices of the batches (lang, text)."""
     for whole in batches:
@@ -137,7 +143,7 @@ def _cuts(batches):
 
 
 def _tries(phrases: DataFrame, size: int):
-    """The phrases (lang, words) with number and block, and a function that builds a block's trie in a task and broadcasts it."""
+    """The phrases (lang, words) with number and block, and a function that broadcasts a block's trie; each is built in a task."""
     blocks = max(1, math.ceil(phrases.count() / size))
     block = F.pmod(F.xxhash64("lang", "words"), F.lit(blocks)).cast("int")
     own = W.partitionBy("block").orderBy("lang", "words")
@@ -149,17 +155,15 @@ def _tries(phrases: DataFrame, size: int):
         names = pa.BufferOutputStream()
         with pa.ipc.new_stream(names, pa.schema([("name", pa.large_string())])) as out:
             out.write(pa.RecordBatch.from_arrays([trie.names], names=["name"]))
-        return pd.DataFrame({"block": [key[0]], "base": [trie.base.tobytes()], "checks": [trie.check.tobytes()],
-                             "accepts": [trie.accepts.tobytes()], "names": [names.getvalue().to_pybytes()]})
+        return pd.DataFrame({"block": [key[0]], "base": [_small(trie.base)], "checks": [_small(trie.check)],
+                             "accepts": [_small(trie.accepts)], "names": [zlib.compress(names.getvalue(), 1)]})
+
+    built = materialize(numbered.groupBy("block").applyInPandas(
+        build, "block int, base binary, checks binary, accepts binary, names binary"), "tries")
 
     def trie(k: int):
-        rows = numbered.where(F.col("block") == k).groupBy("block").applyInPandas(
-            build, "block int, base binary, checks binary, accepts binary, names binary").collect()
-        if not rows:
-            return None
-        names = pa.ipc.open_stream(rows[0]["names"]).read_all()["name"].combine_chunks()
-        parts = (*(np.frombuffer(rows[0][x], np.int32) for x in ("base", "checks", "accepts")), names)
-        return phrases.sparkSession.sparkContext.broadcast(parts)
+        rows = built.where(F.col("block") == k).collect()
+        return phrases.sparkSession.sparkContext.broadcast(tuple(map(bytes, rows[0][1:]))) if rows else None
 
     return numbered, blocks, trie
 
@@ -206,7 +210,7 @@ def _followed(docs: DataFrame, phrases: DataFrame, words: DataFrame, depth: int,
         found = found.select(F.lit(k).alias("block"), F.shiftright("key", 32).cast("int").alias("number"),
                              F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), "n")
         parts.append(materialize(found.where(F.col("n") >= least).drop("n"), "supports"))
-        sent.unpersist()
+        sent.destroy()
     if not parts:
         return phrases.limit(0)
     supports = parts[0]
@@ -238,7 +242,7 @@ def count(docs: DataFrame, phrases: DataFrame, longest: int, size: int = TRIE_PH
 
         found = docs.mapInArrow(work, "number int, n long").groupBy("number").agg(F.sum("n").alias("f"))
         parts.append(materialize(found.select(F.lit(k).alias("block"), "number", "f"), "counts"))
-        sent.unpersist()
+        sent.destroy()
     if not parts:
         return phrases.limit(0).withColumn("f", F.lit(0).cast("long"))
     counts = parts[0]
