@@ -12,7 +12,6 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -38,22 +37,29 @@ class Trie:
     Symbols number the labels in ``names`` (a language, then words); ``accepts`` gives the phrase of a state or -1.
     """
 
-    def __init__(self, paths: list[list[str]], numbers: list[int]):
-        """``paths`` are different and no path is empty; ``numbers`` are the phrases' own."""
-        self.names = pa.array(sorted({x for p in paths for x in p}), pa.large_string())
-        ids = {x: i for i, x in enumerate(self.names.to_pylist())}
-        self._room(len(ids) + 2 * sum(map(len, paths)) + 16)
-        at, depth = np.zeros(len(paths), np.int64), 0
-        live = np.arange(len(paths))
-        while len(live):
-            syms = np.array([ids[paths[i][depth]] for i in live.tolist()], np.int64)
-            edges, own = np.unique(at[live] * (len(ids) + 1) + syms, return_inverse=True)
-            at[live] = self._place(edges // (len(ids) + 1), edges % (len(ids) + 1))[own]
-            depth += 1
-            live = live[[len(paths[i]) > depth for i in live.tolist()]]
+    def __init__(self, langs: pa.Array, words: pa.ListArray, numbers: np.ndarray):
+        """Phrases are different; each is a language and one word or more, and has a number."""
+        many, flat = pc.list_value_length(words).to_numpy(), words.flatten()
+        coded = pa.concat_arrays([langs.cast(pa.large_string()), flat.cast(pa.large_string())]).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        self.names = coded.dictionary.take(pa.array(order))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        codes = rank[coded.indices.to_numpy()]
+        paths = np.full((len(many), int(many.max(initial=0)) + 1), -1, np.int64)
+        paths[:, 0] = codes[:len(many)]
+        own = np.repeat(np.arange(len(many)), many)
+        paths[own, np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + 1] = codes[len(many):]
+        size = len(order) + 1
+        self._room(size + 2 * int((paths >= 0).sum()) + 16)
+        at, live = np.zeros(len(paths), np.int64), np.arange(len(paths))
+        for depth in range(paths.shape[1]):
+            live = live[paths[live, depth] >= 0]
+            edges, back = np.unique(at[live] * size + paths[live, depth], return_inverse=True)
+            at[live] = self._place(edges // size, edges % size)[back]
         self.accepts[at] = numbers
-        size = int(np.flatnonzero(self.check >= 0).max(initial=0)) + 1
-        self.base, self.check, self.accepts = self.base[:size], self.check[:size], self.accepts[:size]
+        used = int(np.flatnonzero(self.check >= 0).max(initial=0)) + 1
+        self.base, self.check, self.accepts = self.base[:used], self.check[:used], self.accepts[:used]
 
     @classmethod
     def of(cls, base: bytes, check: bytes, accepts: bytes, names: bytes) -> Trie:
@@ -82,20 +88,22 @@ class Trie:
             if n[f] == 1:
                 break
             family = syms[first[f]:first[f] + n[f]]
-            steps, at, tries = family - family[0], start, 0
+            steps, tries, span = family - family[0], 0, int(family[-1] - family[0])
+            # Small families are strewn over the array, large ones go where there was room for the last.
+            at = start if n[f] > 16 else f * 0x9E3779B1 % max(1, len(self.check) - span)
             while True:
-                if at + int(steps[-1]) >= len(self.check):
-                    self._room(at + int(steps[-1]) + (1 << 16))
-                if self.check[at] < 0 and (self.check[at + steps] < 0).all():
+                if at + span >= len(self.check):
+                    self._room(at + span + (1 << 16))
+                if at and self.check[at] < 0 and (self.check[at + steps] < 0).all():
                     break
-                # Steps grow with the tries, so that a large family soon comes to where there is room.
+                # Steps grow with the tries, so that a family soon comes to where there is room.
                 tries += 1
                 at += 1 + tries * tries // 64
             self.base[own[f]] = at - family[0]
             self.check[at + steps] = own[f]
             slots[first[f]:first[f] + n[f]] = at + steps
-            # Where families hardly fit any more none is tried again; single children fill the gaps.
-            start += tries // 4
+            if n[f] > 16:
+                start += tries // 4
         single = first[n == 1]
         free = np.flatnonzero(self.check < 0)[:len(single)]
         if len(free) < len(single):
@@ -150,15 +158,17 @@ def _tries(phrases: DataFrame, size: int):
     numbered = materialize(phrases.select("lang", "words", block.alias("block")).withColumn(
         "number", F.row_number().over(own) - 1), "phrases-numbered")
 
-    def build(key, rows):
-        trie = Trie([[a, *b] for a, b in zip(rows["lang"], rows["words"])], rows["number"].tolist())
+    def build(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        column = lambda c: rows[c].combine_chunks()
+        trie = Trie(column("lang"), column("words"), column("number").to_numpy())
         names = pa.BufferOutputStream()
         with pa.ipc.new_stream(names, pa.schema([("name", pa.large_string())])) as out:
             out.write(pa.RecordBatch.from_arrays([trie.names], names=["name"]))
-        return pd.DataFrame({"block": [key[0]], "base": [_small(trie.base)], "checks": [_small(trie.check)],
-                             "accepts": [_small(trie.accepts)], "names": [zlib.compress(names.getvalue(), 1)]})
+        return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int32()), "base": [_small(trie.base)], "checks": [_small(trie.check)],
+                         "accepts": [_small(trie.accepts)], "names": [zlib.compress(names.getvalue(), 1)]})
 
-    built = materialize(numbered.groupBy("block").applyInPandas(
+    built = materialize(numbered.groupBy("block").applyInArrow(
         build, "block int, base binary, checks binary, accepts binary, names binary"), "tries")
 
     def trie(k: int):

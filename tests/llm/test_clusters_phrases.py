@@ -235,11 +235,11 @@ def test_collocations_of_odd_texts(spark, messy, nothing, longest):
 
 def test_tries_find_all_phrases_and_no_others():
     rnd = random.Random(9)
-    paths = list({tuple(f"s{int(rnd.paretovariate(0.7)) % 400}" for _ in range(rnd.randrange(1, 5))) for _ in range(4000)})
-    trie = phrases.Trie([list(p) for p in paths], list(range(len(paths))))
+    paths = list({tuple(f"s{int(rnd.paretovariate(0.7)) % 400}" for _ in range(rnd.randrange(2, 6))) for _ in range(4000)})
+    trie = phrases.Trie(pa.array([p[0] for p in paths]), pa.array([list(p[1:]) for p in paths]), np.arange(len(paths)))
     ids = {x: i for i, x in enumerate(trie.names.to_pylist())}
     known = {p: i for i, p in enumerate(paths)}
-    for p in paths + [tuple(f"s{rnd.randrange(400)}" for _ in range(rnd.randrange(1, 5))) for _ in range(4000)]:
+    for p in paths + [tuple(f"s{rnd.randrange(400)}" for _ in range(rnd.randrange(1, 6))) for _ in range(4000)]:
         state = np.zeros(1, np.int64)
         for x in p:
             state = trie.step(state, np.array([ids.get(x, -1)]))
