@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inboxlens.session import materialize
 
-__all__ = ["doc_bucket", "drop_strays", "documents", "materialize", "slices"]
+__all__ = ["doc_bucket", "drop_strays", "documents", "flagged", "materialize", "repeated", "slices"]
 
 #: Largest number of text bytes that Python code in a task works on at once (one longer text is one slice).
 SLICE_BYTES = 8 << 20
@@ -31,6 +31,29 @@ def drop_strays(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Bits of the map of repeated hashes: what is broadcast are 2**FILTER_BITS / 64 rows of 16 bytes at most.
+FILTER_BITS = 24
+
+
+def repeated(hashes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(word, bits): a bit map of the hashes ``h`` that occur more than once; its size does not depend on the data."""
+    hot = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return hot.select(F.shiftright(slot, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def flagged(rows: DataFrame, h: Column, marks: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with a column ``often``: false for no row whose hash ``h`` is among the ``marks`` of :func:`repeated`."""
+    names = rows.columns
+    slot = h.bitwiseAND(F.lit((1 << bits) - 1))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_slot").bitwiseAND(F.lit(63)).cast("int"))
+    marks = marks.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    met = rows.withColumn("_slot", slot).withColumn("_at", F.shiftright("_slot", 6)).join(
+        F.broadcast(marks), F.col("_at") == F.col("_word"), "left")
+    return met.select(*[F.col(f"`{n}`") for n in names], F.coalesce(F.col("_bits").bitwiseAND(mask) != 0, F.lit(False)).alias("often"))
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of ``batch`` whose texts in ``column`` take about ``limit`` bytes at most."""
     if not batch.num_rows:

@@ -13,9 +13,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import drop_strays
+from .common import drop_strays, slices
 
 UNDETERMINED = "und"
 #: Bounds of the training sample: languages, rows of each language, characters of each row.
@@ -28,8 +27,13 @@ MIN_MARGIN = 0.005
 
 
 def letters(text: Column) -> Column:
-    """Lower case, every run of other characters than letters as one space; null counts as empty."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " "))
+    """Lower case, every run of other characters than letters as one space; null counts as empty.
+
+    Combining marks stay with the letters; a text without any letter becomes empty.
+    """
+    text = F.coalesce(text, F.lit(""))
+    kept = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
+    return F.when(text.rlike(r"\p{L}"), kept).otherwise("")
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
@@ -90,16 +94,16 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", *
     """
     new = ["lang_pred", "score", "rejected"]
     rows = docs.drop(*new)
-    kept = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
-    packed = rows.select(kept, letters(F.col(f"`{text_col}`")).alias("t"))
-
-    def work(batches):
-        for b in batches:
-            found = decide([(x or "").encode() for x in b.column(1).to_pylist()], model)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()),
-                 pa.array([x == UNDETERMINED or y < min_margin for x, y in found], pa.bool_())], names=["row", *new])
-
-    made = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()),
-                         T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return packed.mapInArrow(work, made).select("row.*", *new)
+
+    def work(texts: pa.Array) -> pa.Array:
+        found = []
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), 0):
+            found += decide([(x or "").encode() for x in part.column(0).to_pylist()], model)
+        return pa.StructArray.from_arrays(
+            [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()),
+             pa.array([x == UNDETERMINED or y < min_margin for x, y in found], pa.bool_())], names=new)
+
+    # Only the prepared texts go to Python; the rows they belong to stay where they are.
+    made = F.arrow_udf(work, "lang_pred string, score double, rejected boolean")
+    out = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), made(letters(F.col(f"`{text_col}`"))).alias("found"))
+    return out.select("row.*", "found.*")

@@ -1,7 +1,10 @@
 """Line deduplication by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last few lines sets the boundaries, so that the same lines are cut alike wherever
-they stand. A chunk that occurs more than once anywhere is removed from all places but the first.
+Several rolling hashes run over the hashes of the lines, one for each of their leading BITS bits and each direction. Such
+a hash sets a boundary between two lines unless its bit changes from the one to the other in its direction. So its chunks
+begin with a line of the one kind and end with a line of the other: a passage's own lines cut it, and it is cut alike
+wherever it stands. Two neighbouring lines are a chunk of some hash unless all their BITS bits agree. A line and its repetition
+are a chunk, too, and a line of many words is one by itself. A chunk that occurs more than once anywhere is removed from all places but the first.
 """
 
 from __future__ import annotations
@@ -9,126 +12,154 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import FILTER_BITS, flagged, materialize, repeated
 
-#: A boundary follows a line where the rolling hash over WINDOW line hashes is 0 modulo MODULUS.
-WINDOW, MODULUS = 2, 3
-#: Chunks that count: of at least so many lines and words, or of at least LONG_WORDS words on any number of lines.
-MIN_LINES, MIN_WORDS, LONG_WORDS = 2, 8, 50
+#: Bits of a line's hash that set boundaries (a multiple of 4): of 256 pairs of different lines one is never a chunk.
+BITS = 8
+#: Chunks that count: two lines of at least MIN_WORDS words, or a line of at least LONG_WORDS.
+MIN_WORDS, LONG_WORDS = 8, 50
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def _line_hash(line: Column) -> Column:
-    """32 bits of the line's digest."""
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
+def _kind(line: Column) -> Column:
+    """The leading BITS bits of a line's hash, as hexadecimal digits."""
+    return F.substring(F.md5(line), 1, BITS // 4)
 
 
-def _rolling(hashes: Column, i: Column, window: int) -> Column:
-    """Hash of the lines i-window+1 to i (from 1; what lies before the text counts as 0)."""
-    total = F.element_at(hashes, i)
-    for k in range(1, window):
-        total = total + F.coalesce(F.when(i > k, F.try_element_at(hashes, i - k)), F.lit(0)) * (31 ** k)
-    return total
+def _n_words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(_WORDS))
 
 
-def _chunks(rows: DataFrame, text_col: str, window: int, modulus: int, alone_words: int | None) -> DataFrame:
-    """``rows`` (a column ``row`` and others), lines and ends (number of the last line of each chunk)."""
-    names = rows.columns
-    rows = rows.withColumn("lines", F.split(F.col(f"row.`{text_col}`"), "\n", -1))
-    rows = rows.withColumn("hashes", F.transform("lines", _line_hash))
-    if alone_words is None:
-        alone = lambda i: F.lit(False)
-    else:
-        rows = rows.withColumn("long", F.transform("lines", lambda x: F.regexp_count(x, F.lit(_WORDS)) >= alone_words))
-        alone = lambda i: F.element_at("long", i) | F.coalesce(F.try_element_at(F.col("long"), i + 1), F.lit(False))  # noqa: E731,E501
-    ends = F.filter(F.sequence(F.lit(1), F.size("hashes")), lambda i: (i == F.size("hashes")) | alone(i) | (
-        F.pmod(_rolling(F.col("hashes"), i, window), F.lit(modulus)) == 0))
-    return rows.select(*names, "lines", F.when(F.col("lines").isNotNull(), ends).alias("ends"))
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def _bodies() -> Column:
-    """The text of each chunk, from lines and ends."""
-    start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))))
-    return F.transform("ends", lambda end, k: F.array_join(F.slice("lines", start(k) + 1, end - start(k)), "\n"))
+def _cut_alike(a: Column, b: Column, min_words: int) -> Column:
+    """Whether two neighbouring lines are a chunk that counts."""
+    return F.coalesce(((_kind(a) != _kind(b)) | (a == b)) & (_n_words(a) + _n_words(b) >= min_words), F.lit(False))
 
 
-def _counts(body: Column, n_lines: Column, min_lines: int, min_words: int, long_words: int) -> Column:
-    least = F.when(n_lines >= min_lines, F.least(F.lit(min_words), F.lit(long_words))).otherwise(F.lit(long_words))
-    return body.isNotNull() & (F.regexp_count(body, F.lit(_WORDS)) >= least)
+def _chunks(rows: DataFrame, min_words: int, long_words: int) -> DataFrame:
+    """(id, t1, t2, at, n, body) for the chunks that count: number of the first line, number of lines, text."""
+    lines = _lines(F.col("text"))
+    pairs = F.posexplode(F.zip_with(lines, F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))),
+                                    lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    one = rows.select("id", "t1", "t2", pairs.alias("at", "x")).select("id", "t1", "t2", "at", "x.a", "x.b")
+    a, b = F.col("a"), F.col("b")
+    made = F.array(F.when(_n_words(a) >= long_words, F.struct(F.lit(1).alias("n"), a.alias("body"))),
+                   F.when(_cut_alike(a, b, min_words), F.struct(F.lit(2).alias("n"), F.concat_ws("\n", a, b).alias("body"))))
+    return one.select("id", "t1", "t2", "at", F.explode(made).alias("c")).where(F.col("c").isNotNull()).select(
+        "id", "t1", "t2", "at", "c.n", "c.body")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW,
-                modulus: int = MODULUS, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS,
-                long_words: int = LONG_WORDS, alone_words: int | None = None) -> DataFrame:
-    """``docs`` with shortened texts and three more columns: n_chunks, removed_chunks and removed_lines.
+def _kept_lines(lines: Column, gone: Column) -> Column:
+    """``lines`` without those whose numbers (from 0, rising) are in ``gone``: the stretches between them."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g + 1))
+    ends = F.concat(gone, F.array(F.size(lines)))
+    return F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s)))
 
-    With ``alone_words`` a line of at least so many words is a chunk by itself, and with a ``window`` of 1 no boundary
-    depends on the line before a passage: then every later copy of such a line goes, whatever its neighbours are.
 
-    Lines end at line feeds. Chunks are compared byte by byte among those of equal hash. Of equal chunks the one with
-    the smallest id stays, then the one nearest to the start of its text; a null id comes after all others. Every row is a
-    document of its own: of rows that share an id (or have none) one, by a hash of the text, comes first. Null texts stay null with 0 chunks; an empty
-    text is one empty line and stays; every row stays, also one whose text becomes empty. Input columns that are called
-    like the new ones are replaced. Work and memory are by chunk: no group of equal chunks is brought together.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS,
+                long_words: int = LONG_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``docs`` with shortened texts and two more columns: removed_chunks and removed_lines.
+
+    Lines end at line feeds. Of equal chunks (compared byte by byte) the one with the smallest id stays, then the one
+    nearest to the start of its text; a null id comes after all others, rows of one id are ordered by a hash of their
+    texts. A line goes if it lies in a chunk that goes and in none that stays as the first of several; so the first
+    occurrence of any line always stays. Of rows that are equal in id and text one is first, and all chunks of the
+    others go. Null texts stay null; an empty text is one empty line and stays; every row stays, also one whose text
+    becomes empty. Further columns pass through; those called like the new ones are replaced.
+
+    Only hashes are counted over all chunks. Bodies move only of chunks whose hash is repeated (a bit map of
+    ``filter_bits`` bits, broadcast, lets few others through; more repeated hashes than that let more through and change
+    no result), one for each task and chunk. Chunks whose 128-bit hashes agree but not their bytes stay. Texts are shuffled
+    once, to meet the lines that go; no group of equal chunks is brought together.
     """
-    docs = docs.drop("n_chunks", "removed_chunks", "removed_lines")
-    # Written with a number for each row: ids may repeat or be null, and equal rows are rows of their own.
-    keyed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                                    F.monotonically_increasing_id().alias("key")), "line-rows")
-    cut = lambda rows: _chunks(rows, text_col, window, modulus, alone_words)
-    # Rows of one id are told apart by their texts first, so that the result does not depend on their order.
-    owner = F.struct(F.col(f"row.`{id_col}`").isNull().alias("last"), F.col(f"row.`{id_col}`").alias("id"),
-                     F.xxhash64(f"row.`{text_col}`").alias("of"), F.col("key"))
-    bodies = cut(keyed).select(owner.alias("owner"), _bodies().alias("bodies"), "ends")
-    one = bodies.select("owner", F.posexplode_outer("bodies").alias("k", "body"), "ends").select(
-        "owner", "k", "body", (F.element_at("ends", F.col("k") + 1) - F.when(F.col("k") == 0, 0).otherwise(
-            F.element_at("ends", F.greatest("k", F.lit(1))))).alias("n_lines"))
-    one = one.where(_counts(F.col("body"), F.col("n_lines"), min_lines, min_words, long_words))
-    one = one.select("owner", "k", "body", F.xxhash64("body").alias("h"))
-    # Only what shares its hash with another occurrence is compared by its bytes.
-    again = one.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    several = one.join(again, "h", "left_semi")
-    place = F.struct("owner", "k")
-    first = several.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = (several.join(first.select("h", "body", F.col("first.owner.key").alias("first_key"), F.col("first.k").alias("first_k")),
-                         ["h", "body"])
-            .where((F.col("owner.key") != F.col("first_key")) | (F.col("k") != F.col("first_k")))
-            .groupBy(F.col("owner.key").alias("key")).agg(F.collect_set("k").alias("gone")))
-    joined = cut(keyed.join(gone, "key", "left"))
-    kept = F.array_join(F.filter(_bodies(), lambda _, k: ~F.coalesce(F.array_contains("gone", k), F.lit(False))), "\n")
-    lost = F.aggregate(F.transform("gone", lambda k: F.element_at("ends", k + 1) - F.when(k == 0, 0).otherwise(
-        F.element_at("ends", F.greatest(k, F.lit(1))))), F.lit(0), lambda a, x: a + x)
-    text = F.when(F.col("gone").isNull(), F.col(f"row.`{text_col}`")).otherwise(kept)
-    return joined.select(
-        *[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
-        F.coalesce(F.size(F.when(F.col("ends").isNotNull(), F.col("ends"))), F.lit(0)).alias("n_chunks"),
-        F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0)).alias("removed_chunks"),
-        F.coalesce(lost, F.lit(0)).alias("removed_lines"))
-
-
-def oracle_sql(relation: str = "documents", window: int = WINDOW, modulus: int = MODULUS, min_lines: int = MIN_LINES,
-               min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> str:
-    """DuckDB statement for the rows (doc_id, text, n_chunks, removed_chunks, removed_lines); ids must be unique."""
-    roll = " + ".join([f"coalesce(lag(h, {k}) over (partition by doc_id order by i), 0) * {31 ** k}" if k else "h"
-                       for k in range(window)])
+    docs = docs.drop("removed_chunks", "removed_lines")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = F.col(f"row.`{text_col}`")
+    keyed = docs.select(row).select("row", F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(text).alias("t1"),
+                                    F.xxhash64(F.lit(1), text).alias("t2"))
+    key = ["id", "t1", "t2"]
+    equal = [F.col(f"g.{c}").eqNullSafe(F.col(f"k.{c}")) for c in key]
+    chunks = _chunks(keyed.select(*key, text.alias("text")), min_words, long_words)
+    marks = materialize(repeated(chunks.select(F.xxhash64("body").alias("h")), filter_bits), "lines-repeated")
+    hit = flagged(chunks.withColumn("h1", F.xxhash64("body")), F.col("h1"), marks, filter_bits).where("often")
+    hit = hit.select(*key, "at", "n", "body", "h1", F.xxhash64(F.lit(1), "body").alias("h2"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "t1", "t2", "at")
+    first = hit.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("many"), F.min("body").alias("b1"), F.max("body").alias("b2"),
+                                        F.min(place).alias("first")).where("many > 1 and b1 = b2")
+    first = materialize(first.select("h1", "h2", "first"), "lines-first")
+    seen = hit.drop("body").join(first, ["h1", "h2"]).withColumn("goes", place != F.col("first"))
+    # A document's own chunks and lines only; equal rows have them in the same places.
+    chunk = F.struct("at", "n")
+    lists = seen.groupBy(*key).agg(F.collect_set(F.when(F.col("goes"), chunk)).alias("out"),
+                                   F.collect_set(F.when(~F.col("goes"), chunk)).alias("in")).where(F.size("out") > 0)
+    covered = lambda c: F.flatten(F.transform(c, lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
+    lists = lists.select(*key, F.array_sort(F.array_except(covered("out"), covered("in"))).alias("gone"),
+                         F.size("out").alias("removed_chunks"))
+    singles, extras = _equal_rows(keyed, key)
+    joined = singles.alias("k").join(lists.alias("g"), equal[0] & equal[1] & equal[2], "left").select("row", "gone", "removed_chunks")
+    lines = _lines(text)
+    out = joined.select("row", F.when(F.size("gone") > 0, F.array_join(_kept_lines(lines, F.col("gone")), "\n")).otherwise(text).alias("new"),
+                        F.coalesce(F.col("removed_chunks"), F.lit(0)).alias("removed_chunks"),
+                        F.coalesce(F.size("gone"), F.lit(0)).alias("removed_lines"))
+    if extras is not None:
+        out = out.unionByName(_without_chunks(extras, text, min_words, long_words))
+    return out.select(*[F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
+                      "removed_chunks", "removed_lines")
+
+
+def _equal_rows(keyed: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """One row of each id and text, and the others; None if there are no others, as in tables with different ids."""
+    twins = materialize(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "lines-twins")
+    if twins.isEmpty():
+        return keyed, None
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"t.{c}")) for c in key]
+    meet = lambda how: keyed.alias("k").join(twins.alias("t"), same[0] & same[1] & same[2], how)
+    numbered = materialize(meet("left_semi").withColumn("number", F.monotonically_increasing_id()), "lines-equal")
+    first = numbered.groupBy(*key).agg(F.min("number").alias("number")).select("number")
+    one = numbered.join(first, "number", "left_semi").drop("number")
+    return meet("left_anti").unionByName(one), numbered.join(first, "number", "left_anti").select("row")
+
+
+def _without_chunks(rows: DataFrame, text: Column, min_words: int, long_words: int) -> DataFrame:
+    """``rows`` without the lines of any chunk that counts."""
+    lines = F.col("lines")
+    rows = rows.select("row", _lines(text).alias("lines"))
+    long = lambda x: _n_words(x) >= long_words
+    pair = lambda i: _cut_alike(F.get(lines, i), F.get(lines, i + 1), min_words)
+    rows = rows.select("row", "lines", F.transform(lines, lambda x, i: F.struct(long(x).alias("long"), pair(i).alias("pair"))).alias("c"))
+    before = lambda i: F.when(i > 0, F.get("c", i - 1)["pair"]).otherwise(F.lit(False))
+    kept = F.filter(lines, lambda _, i: ~(F.get("c", i)["long"] | F.get("c", i)["pair"] | before(i)))
+    gone = F.coalesce(F.size(lines) - F.size(kept), F.lit(0))
+    count = F.aggregate("c", F.lit(0), lambda s, c: s + c["long"].cast("int") + c["pair"].cast("int"))
+    return rows.select("row", F.array_join(kept, "\n").alias("new"), F.coalesce(count, F.lit(0)).alias("removed_chunks"),
+                       gone.alias("removed_lines"))
+
+
+def oracle_sql(relation: str = "documents", min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> str:
+    """DuckDB statement for the rows (doc_id, text, removed_chunks, removed_lines); ids must be unique."""
+    words = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
     return rf"""
 with l as (
-  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+  select doc_id, unnest(string_split(text, chr(10))) as a, generate_subscripts(string_split(text, chr(10)), 1) as i
   from {relation}),
-h as (select *, ('0x' || left(md5(line), 8))::bigint as h from l),
-b as (select *, ({roll}) % {modulus} = 0 as cut from h),
-g as (select *, coalesce(sum(cut::int) over (partition by doc_id order by i rows between unbounded preceding
-      and 1 preceding), 0) as k from b),
-c as (select doc_id, k, string_agg(line, chr(10) order by i) as body, count(*) as n_lines from g group by all),
-w as (select *, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) as words from c),
-e as (select doc_id, k, body from w where words >= {long_words} or (n_lines >= {min_lines} and words >= {min_words})),
-r as (select doc_id, k, row_number() over (partition by body order by doc_id, k) as r from e),
-f as (select w.*, coalesce(r.r, 1) > 1 as gone from w left join r using (doc_id, k)),
-t as (select doc_id, string_agg(body, chr(10) order by k) filter (not gone) as text, count(*)::int as n_chunks,
-      sum(gone::int)::int as removed_chunks, sum(case when gone then n_lines else 0 end)::int as removed_lines
-      from f group by doc_id)
+p as (select *, lead(a) over (partition by doc_id order by i) as b, {words.format("a")} as w from l),
+q as (select *, lead(w) over (partition by doc_id order by i) as v from p),
+c as (
+  select doc_id, i, 1 as n, a as body from q where w >= {long_words}
+  union all
+  select doc_id, i, 2, a || chr(10) || b from q
+  where b is not null and w + v >= {min_words} and (a = b or left(md5(a), {BITS // 4}) <> left(md5(b), {BITS // 4}))),
+r as (select *, row_number() over (partition by body order by doc_id, i) as r, count(*) over (partition by body) as many from c),
+x as (select doc_id, unnest(range(i, i + n)) as i, r > 1 as goes from r where many > 1),
+g as (select doc_id, i from x group by doc_id, i having bool_and(goes)),
+t as (
+  select l.doc_id, string_agg(a, chr(10) order by l.i) filter (g.i is null) as text, count(g.i)::int as removed_lines
+  from l left join g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id),
+k as (select doc_id, count(*)::int as removed_chunks from r where r > 1 group by doc_id)
 select d.doc_id, case when d.text is null then null else coalesce(t.text, '') end as text,
-  coalesce(n_chunks, 0) as n_chunks, coalesce(removed_chunks, 0) as removed_chunks,
-  coalesce(removed_lines, 0) as removed_lines
-from {relation} d left join t using (doc_id)"""
+  coalesce(removed_chunks, 0) as removed_chunks, coalesce(removed_lines, 0) as removed_lines
+from {relation} d left join t using (doc_id) left join k using (doc_id)"""

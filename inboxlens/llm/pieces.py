@@ -28,8 +28,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters compared in the suffix order: four words of four. Longer pieces are an error.
 WORD, WORDS = 4, 4
-#: Different segments whose ids a worker remembers from batch to batch (and twice as many pairs of pieces).
-KNOWN = 1 << 18
+#: Different segments whose ids a worker remembers from batch to batch (and as many pairs of pieces).
+KNOWN = 1 << 19
 #: Bytes of text encoded at a time, and edges turned into Python numbers at a time: bounds on memory only.
 TEXT_BYTES, EDGES = 2 << 20, 1 << 16
 
@@ -266,7 +266,7 @@ class Encoder:
         """Ids of all texts one after the other, and where each begins."""
         if len(self.known) > KNOWN:
             self.forget()
-        if len(self.memo) > 2 * KNOWN:
+        if len(self.memo) > KNOWN:
             self.memo.clear()
         known, new, rows = self.known, [], []
         for t in texts:
@@ -358,23 +358,24 @@ def encode_documents(docs: DataFrame, text_col: str = "text", *, path: str = MOD
     """
     m = load(path)
     name = hashlib.sha256(pickle.dumps(m)).hexdigest()
-    rows = docs.drop("token_ids", "n_tokens", "round_trip")
-    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{text_col}`").alias("t"))
-    made = T.StructType([packed.schema["row"], T.StructField("token_ids", T.ArrayType(T.IntegerType())),
-                         T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
-
-    def work(batches):
-        encoder = _encoder(m, name)
-        for whole in batches:
-            for b in slices(whole, 1, TEXT_BYTES):
-                texts = [x or "" for x in b.column(1).to_pylist()]
-                ids, at = encoder.encode(texts)
-                back = [decode(ids[i:j].tolist(), m) == t for t, i, j in zip(texts, at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)),
-                     pa.array(np.diff(at)), pa.array(back)], names=made.names)
-
-    return packed.mapInArrow(work, made).select("row.*", "token_ids", "n_tokens", "round_trip")
+    new = ["token_ids", "n_tokens", "round_trip"]
+    rows = docs.drop(*new)
+
+    def work(column: pa.Array) -> pa.Array:
+        encoder, made = _encoder(m, name), []
+        for b in slices(pa.RecordBatch.from_arrays([column], names=["t"]), 0, TEXT_BYTES):
+            texts = [x or "" for x in b.column(0).to_pylist()]
+            ids, at = encoder.encode(texts)
+            back = [decode(ids[i:j].tolist(), m) == t for t, i, j in zip(texts, at[:-1].tolist(), at[1:].tolist())]
+            made.append(pa.StructArray.from_arrays(
+                [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(at), pa.int64()),
+                 pa.array(back, pa.bool_())], names=new))
+        return pa.concat_arrays(made)
+
+    # Only the texts go to Python; the rows they belong to stay where they are.
+    coded = F.arrow_udf(work, "token_ids array<int>, n_tokens long, round_trip boolean")
+    out = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), coded(F.col(f"`{text_col}`")).alias("coded"))
+    return out.select("row.*", "coded.*")
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "token_ids", column: str = "decoded", *,

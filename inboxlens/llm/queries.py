@@ -48,7 +48,7 @@ def op6_pii(spark, sf_dir):
 
 def op5_line_dedup(spark, sf_dir):
     return lines.dedup_lines(documents(spark, sf_dir)).select(
-        "doc_id", "text", "n_chunks", "removed_chunks", "removed_lines")
+        "doc_id", "text", "removed_chunks", "removed_lines")
 
 
 def op7_simhash_near_dedup(spark, sf_dir):

@@ -35,6 +35,8 @@ def test_language_odd_inputs(messy, nothing):
         assert (r["lang_pred"] == "und") == blank and (not blank or r["rejected"])
     assert {r["lang_pred"] for r in langid.identify(messy, {}).collect()} == {"und"}
     assert langid.identify(nothing, model).count() == 0 and langid.train(nothing) == {}
+    marks = messy.sparkSession.createDataFrame([("\u0301",), ("1 \u0301\u0902 2",), (" ",)], "text string")
+    assert {(r["lang_pred"], r["score"], r["rejected"]) for r in langid.identify(marks, model).collect()} == {("und", 0.0, True)}
     assert langid.decide([b"abc"], {"xx": b"abc", "yy": b"abc"}) == [("xx", 0.0)]      # a tie
 
 

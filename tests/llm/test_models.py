@@ -160,6 +160,20 @@ def test_near_dedup_leaves_one_row_of_each_group(spark):
     assert sorted(left, key=repr) == sorted([(None, a), (2, b), (3, c), (8, d)], key=repr)
 
 
+CLASHES = ["score", "lang_pred", "rejected", "removed_chunks", "removed_lines", "n_chunks", "quoting", "key", "row", "place", "found", "often"]
+
+
+def test_stages_pass_clashing_columns_through(spark):
+    """Input columns called like what the operators add keep their values."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF001)
+        assert out.columns == docs.columns, name
+        rows = out.select("doc_id", *CLASHES).collect()
+        assert len(rows) > 100 and all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in CLASHES), name
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, messy, nothing):
     for table in (messy, nothing):
         rows = table
