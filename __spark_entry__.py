@@ -24,10 +24,13 @@ from inboxlens.operators import metrics as MT
 from inboxlens.operators import refresh as RF
 from inboxlens.operators import rules as RL
 from inboxlens.operators import senders as SN
+from inboxlens.operators import shares as SH
 from inboxlens.plans import reports as RP
 from inboxlens.session import shared_dir
+from inboxlens.sources import bucketed as SB
 from inboxlens.sources import cache as SC
 from inboxlens.sources import listing as SL
+from inboxlens.sources import mailbox as MB
 from inboxlens.sources import senders_io as SIO
 from inboxlens.streaming import AuditPaths, current_senders, start_incremental_audit
 
@@ -295,7 +298,7 @@ def q_s1(spark, sf):
     V.cache_rows(late).unionByName(refetch).write.mode("overwrite").json(f"{root}/incoming/b2")
     # one micro-batch takes as many files as the first delivery has (a file list, not the data)
     per_batch = max(1, len(spark.read.json(f"{root}/incoming/b1").inputFiles()))
-    paths = AuditPaths(f"{root}/incoming/*", f"{root}/snapshot", f"{root}/senders", f"{root}/checkpoint", buckets=16)
+    paths = AuditPaths(f"{root}/incoming/*", f"{root}/log", f"{root}/checkpoint", target=20_000, every=2)
     start_incremental_audit(spark, paths, "json", as_of=V.ORDERS_AS_OF,
                             max_files_per_trigger=per_batch).awaitTermination()
     return _r(current_senders(spark, paths))
@@ -316,6 +319,48 @@ def q_b3(spark, sf):
     return RF.upsert(old, V.fetch_results(spark, sf, plan)).select("id", "fetched_at")
 
 
+def q_b3_feed(spark, sf):
+    return _refresh(spark, sf)["changes"]
+
+
+def _mail_service(spark, sf) -> dict:
+    """The mailbox of the refresh scenario behind a mail service; messages in status P can't be fetched."""
+    box = V.mailbox(spark, sf)
+    MB.register(spark, "mailbox", MB.ExportedMailbox)
+    return MB.export(box, V.fetch_results(spark, sf, box), shared_dir(spark, "mail-service"))
+
+
+def q_a6_source(spark, sf):
+    box = MB.listing(spark, "mailbox", **_mail_service(spark, sf))
+    lst = SL.bounded_listing(box, 2000, exclude_labels=("TRASH", "CATEGORY_PROMOTIONS"))
+    return lst.select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+def q_a6_bounds(spark, sf):
+    """Time bounds are pushed into the source, which skips the pages outside of them."""
+    box = MB.listing(spark, "mailbox", **_mail_service(spark, sf))
+    some = box.where((F.col("ts") >= F.lit("1997-03-01").cast("timestamp")) & (F.col("ts") < F.lit("1997-06-01").cast("timestamp")))
+    return some.select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.array_join("labelIds", ",").alias("labels"))
+
+
+def q_a6_stream(spark, sf):
+    """The listing as a stream, page by page, into a table."""
+    options, path = _mail_service(spark, sf), shared_dir(spark, "listing-stream")
+    pages = spark.readStream.format("mailbox").options(**options).load()
+    q = pages.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(
+        availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(MB.LISTING).parquet(f"{path}/rows").select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+def q_j1_source(spark, sf):
+    """The audit with listing and fetch through the mail service's data source."""
+    options = _mail_service(spark, sf)
+    found = RP.audit(MB.listing(spark, "mailbox", **options), V.earlier_cache(spark, sf),
+                     lambda plan: MB.fetch(spark, plan, "mailbox", requests=8, **options), as_of=V.ORDERS_AS_OF)
+    return _r(found["senders"])
+
+
 def q_b4(spark, sf):
     return _refresh(spark, sf)["removed"].select("id")
 
@@ -340,6 +385,24 @@ def q_d3(spark, sf):
         removed.select("id", F.lit(False).alias("listed")))
 
 
+def q_d_bucketed(spark, sf):
+    """D1 to D3 over a cache kept in buckets by id: only the listing is shuffled."""
+    cache = SB.load_bucketed(spark, SB.save_bucketed(V.earlier_cache(spark, sf), 8))
+    return SB.listing_state(V.mailbox(spark, sf), cache)
+
+
+def q_e_running(spark, sf):
+    return _r(SH.running_shares(_senders_v1(spark, sf)))
+
+
+def q_e_holders(spark, sf):
+    return _r(SH.smallest_holders(_senders_v1(spark, sf), 80.0).select("from", "total_volume", "place"))
+
+
+def q_e_cube(spark, sf):
+    return _r(SH.engagement_cube(V.mail_orders(spark, sf)))
+
+
 def q_d4(spark, sf):
     top = SN.top_senders_for_patterns(_senders_v2(spark, sf), 5, "volume").select("from")
     return CT.sender_snippets(V.mail_events(spark, sf)).join(F.broadcast(top), "from").select("from", "id")
@@ -551,6 +614,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b1_stale_entries": q_b1,
     "b2_fetch_plan": q_b2,
     "b3_upsert_fetched": q_b3,
+    "b3b_change_feed": q_b3_feed,
+    "a6b_mailbox_source": q_a6_source,
+    "a6c_mailbox_time_bounds": q_a6_bounds,
+    "a6d_mailbox_stream": q_a6_stream,
+    "j1b_audit_mailbox_source": q_j1_source,
     "b4_prune_cache": q_b4,
     "c1_get_header": q_c1,
     "c2_process_messages": q_c2,
@@ -569,6 +637,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d1_listing_cache_inner": q_d1,
     "d2_listing_cache_left": q_d2,
     "d3_cache_listing_semi_anti": q_d3,
+    "d1d2d3_bucketed_cache": q_d_bucketed,
+    "e14_running_shares": q_e_running,
+    "e14b_smallest_holders": q_e_holders,
+    "e15_tier_category_month": q_e_cube,
     "d4_top_senders_snippets": q_d4,
     "d5_first_subject": q_d5,
     "d6_cluster_metrics_join": q_d6,

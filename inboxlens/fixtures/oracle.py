@@ -28,11 +28,20 @@ def clean_sql(x: str) -> str:
 
 
 # Written apart from the patterns of the operators.
-_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sept|sep|oct|nov|dec)[a-z]*"
-MONEY_RX = (r"(?i)(?:[$€£]\s?[0-9][0-9,]*(?:\.[0-9]+)?|\b[0-9][0-9,]*(?:\.[0-9]+)?\s?(?:dollars|usd|euros|euro|eur)\b)")
-DATE_RX = (r"(?i)\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|" + _MONTH
-           + r"\.? [0-9]{1,2}(?:, [0-9]{4})?|[0-9]{1,2} " + _MONTH + r"(?: [0-9]{4})?"
-           r"|(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)|today|tomorrow|yesterday)\b")
+_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+_FULL = "(?:" + "|".join(_MONTHS) + ")"
+_SHORT = "(?:" + "|".join(m[:3] for m in _MONTHS if m != "May") + "|Sept)"
+_MON = rf"(?:{_FULL}|{_SHORT}\.|{_SHORT}\b)"
+_NTH = "[0-9][0-9]?(?:st|nd|rd|th)?"
+_AMOUNT = r"[0-9][0-9,]*(?:\.[0-9]+)?(?: ?(?:thousand|million|billion|trillion|bn|k|m)\b)?"
+_ISO = "(?:" + "|".join(["USD", "EUR", "GBP", "JPY", "CHF", "CAD", "AUD", "INR", "CNY"]) + ")"
+_COIN = "(?:" + "|".join(x + "s?" for x in ("dollar", "euro", "pound", "cent", "rupee", "franc")) + "|yen|yuan)"
+MONEY_RX = rf"(?i)(?:(?:\b(?:US|A|C))?[£$€₹¥]\s?{_AMOUNT}|\b{_ISO}\s?{_AMOUNT}|\b{_AMOUNT}\s?(?:{_COIN}|{_ISO})\b)"
+DATE_RX = ("(?i)\\b(?:" + "|".join([
+    "[0-9]{4}-[0-9]{2}-[0-9]{2}\\b", "[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\\b", _MON + " " + _NTH + "\\b,? [0-9]{4}\\b",
+    _MON + " " + _NTH + "\\b", _NTH + " (?:of )?" + _MON + ",? [0-9]{4}\\b", _NTH + " (?:of )?(?:" + _FULL + "\\b|" + _SHORT
+    + "\\.|" + _SHORT + "\\b)", _MON + " [0-9]{4}\\b",
+    "(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|today|tomorrow|yesterday)\\b"]) + ")")
 
 
 ORDER_FLAGS = """o_orderstatus <> 'F' AS unread, o_orderpriority = '1-URGENT' AS starred,
@@ -84,7 +93,9 @@ MAIL_CUSTOMERS = """SELECT 'k' || CAST(c_custkey AS VARCHAR) AS id, lower(c_mkts
        c_name || ' of ' || upper(n_name[1]) || lower(n_name[2:]) || ' met Supplier#' ||
        lpad(CAST(c_nationkey AS VARCHAR), 9, '0') || ' and took Brand#' || CAST(c_nationkey + 1 AS VARCHAR) || ' for ' ||
        CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR) || ' Dollars at the ' || upper(c_mktsegment[1]) ||
-       lower(c_mktsegment[2:]) || ' trade fair of the year on ' || CAST(c_custkey % 28 + 1 AS VARCHAR) || ' March 2024' AS snippet
+       lower(c_mktsegment[2:]) || ' trade fair of the year on ' || CAST(c_custkey % 28 + 1 AS VARCHAR) || ' March 2024' ||
+       '. Market 24 and decision 3 cost USD ' || CAST(c_custkey AS VARCHAR) || ',000, $1.2 million, 5k EUR or 30 pounds by the ' ||
+       CAST(c_custkey % 10 + 4 AS VARCHAR) || 'th of May 2024, Sept. ' || CAST(c_custkey % 28 + 1 AS VARCHAR) || ' or June 2025' AS snippet
 FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 CUSTOMER_GAZETTEER = """(SELECT 'PERSON' AS label, c_name AS surface FROM customer

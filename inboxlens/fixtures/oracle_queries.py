@@ -122,9 +122,36 @@ J1 = REFRESH + f""",
  s AS ({O.senders_from('m')})
 SELECT {SC} FROM s"""
 
+FEED = REFRESH + """
+SELECT id, CASE WHEN id NOT IN (SELECT id FROM lst) THEN 'removed' WHEN id NOT IN (SELECT id FROM got) THEN 'kept'
+            WHEN id IN (SELECT id FROM old) THEN 'replaced' ELSE 'added' END AS change FROM cache2"""
+
+LISTED = f"""SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts,
+  array_to_string({O.ORDER_LABELS}, ',') AS labels, o_orderdate FROM orders WHERE {O.MAILBOX_WHERE}"""
+
 D1 = f"""SELECT o.id, o."from" FROM ({O.v4_extract(O.CACHED_WHERE)}) o
 WHERE o.id IN (SELECT 'o' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE {O.MAILBOX_WHERE})"""
 
+D_BUCKETED = f"""SELECT coalesce(l.id, o.id) AS id, l.id IS NOT NULL AS listed, o.id IS NOT NULL AS cached, o.fetched_at
+FROM (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE {O.MAILBOX_WHERE}) l
+FULL JOIN ({O.v4_extract(O.CACHED_WHERE)}) o ON l.id = o.id"""
+
+RUNNING = """
+SELECT "from", total_volume, row_number() OVER w AS place, CAST(sum(total_volume) OVER w AS BIGINT) AS running,
+       round(CAST(sum(total_volume) OVER w AS DOUBLE) / sum(total_volume) OVER () * 100.0, 6) AS share_pct
+FROM s WINDOW w AS (ORDER BY total_volume DESC, "from" ROWS UNBOUNDED PRECEDING)"""
+
+CUBE = f"""WITH m AS ({O.mail_orders()}),
+ s AS ({O.senders_from('m')}),
+ t AS (SELECT "from", coalesce({O.TIER}, 'none') AS tier FROM s),
+ c AS (SELECT t.tier, strftime(m.ts, '%Y-%m') AS month, m.unread,
+              unnest(list_filter(['any', CASE WHEN updates THEN 'updates' END, CASE WHEN promotions THEN 'promotions' END,
+                CASE WHEN social THEN 'social' END, CASE WHEN important THEN 'important' END], lambda x: x IS NOT NULL)) AS category
+       FROM m JOIN t USING ("from") WHERE age_days IS NOT NULL)
+SELECT tier, category, month, CAST(grouping(tier, category, month) AS INTEGER) AS level, count(*) AS emails,
+       CAST(count_if(unread) AS BIGINT) AS unread, round(100.0 - count_if(unread) / CAST(count(*) AS DOUBLE) * 100.0, 6) AS open_rate
+FROM c GROUP BY GROUPING SETS ((tier, category, month), (tier, category), (category, month), (tier, month), (tier), (category), ())"""
+
 D2 = f"""SELECT l.id, o.id IS NOT NULL AS cached, o.fetched_at
 FROM (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE {O.MAILBOX_WHERE}) l
 LEFT JOIN ({O.v4_extract(O.CACHED_WHERE)}) o ON l.id = o.id"""
@@ -436,7 +463,18 @@ SELECT 'top in cluster ' || CAST(cluster AS VARCHAR), rank, "from", metric, valu
     "b2_fetch_plan": REFRESH + "\nSELECT id, reason FROM plan",
     "b3_upsert_fetched": REFRESH + "\nSELECT id, fetched_at FROM cache2",
     "b4_prune_cache": REFRESH + "\nSELECT id FROM cache2 WHERE id NOT IN (SELECT id FROM lst)",
+    "d1d2d3_bucketed_cache": D_BUCKETED,
+    "e14_running_shares": O.with_v1(RUNNING),
+    "e14b_smallest_holders": O.with_v1(f"""SELECT "from", total_volume, place FROM ({RUNNING}) r,
+  (SELECT sum(total_volume) AS a FROM s) WHERE running > 0 AND running - total_volume < 0.8 * a"""),
+    "e15_tier_category_month": CUBE,
     "j1_audit": J1,
+    "j1b_audit_mailbox_source": J1,
+    "b3b_change_feed": FEED,
+    "a6b_mailbox_source": A6,
+    "a6c_mailbox_time_bounds": f"""SELECT id, ts, labels FROM ({LISTED})
+WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1997-06-01'""",
+    "a6d_mailbox_stream": f"SELECT id, ts FROM ({LISTED})",
     "d1_listing_cache_inner": D1,
     "d2_listing_cache_left": D2,
     "d3_cache_listing_semi_anti": D3,

@@ -103,15 +103,18 @@ def mail_docs(spark: SparkSession, sf_dir: str, whole_subject: bool = False) ->
 
 
 def mail_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5 messages: one per customer, whose snippet names a person, a place, a firm, a product, an event, an
-    amount and a date."""
+    """V5 messages: one per customer, whose snippet names a person, a place, a firm, a product, an event, amounts
+    and dates in several forms, and words that only begin like a month."""
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     day = (F.col("c_custkey") % 28 + 1).cast("string")
     snippet = F.concat(
         F.col("c_name"), F.lit(" of "), F.initcap("n_name"), F.lit(" met Supplier#"),
         F.lpad(F.col("c_nationkey").cast("string"), 9, "0"), F.lit(" and took Brand#"),
         (F.col("c_nationkey") + 1).cast("string"), F.lit(" for "), F.floor(F.abs("c_acctbal")).cast("string"),
-        F.lit(" Dollars at the "), F.initcap("c_mktsegment"), F.lit(" trade fair of the year on "), day, F.lit(" March 2024"))
+        F.lit(" Dollars at the "), F.initcap("c_mktsegment"), F.lit(" trade fair of the year on "), day, F.lit(" March 2024"),
+        F.lit(". Market 24 and decision 3 cost USD "), F.col("c_custkey").cast("string"),
+        F.lit(",000, $1.2 million, 5k EUR or 30 pounds by the "), (F.col("c_custkey") % 10 + 4).cast("string"),
+        F.lit("th of May 2024, Sept. "), day, F.lit(" or June 2025"))
     return c.select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("id"),
                     F.concat(F.lower("c_mktsegment"), F.lit("@example.com")).alias("from"), snippet.alias("snippet"))
 

@@ -125,12 +125,20 @@ def top_keywords(messages: DataFrame, k: int = 10) -> DataFrame:
 # entities (dictionary and pattern based)
 # ---------------------------------------------------------------------------
 
-# Fixed patterns for amount and date mentions.
-MONEY_PATTERN = r"(?i)[$€£]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:dollars|usd|euros?|eur)\b"
-DATE_PATTERN = (r"(?i)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}"
-                r"|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.? \d{1,2}(?:, \d{4})?"
-                r"|\d{1,2} (?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*(?: \d{4})?"
-                r"|(?:mon|tues|wednes|thurs|fri|satur|sun)day|today|tomorrow|yesterday)\b")
+# Patterns for amount and date mentions, put together from the fixed values below.
+_NUMBER = r"\d[\d,]*(?:\.\d+)?"
+_MAGNITUDE = r"(?:\s?(?:k|m|bn|thousand|million|billion|trillion)\b)?"
+_CODE = r"(?:usd|eur|gbp|jpy|chf|cad|aud|inr|cny)"
+_UNIT = r"(?:dollars?|euros?|pounds?|cents?|yen|rupees?|francs?|yuan)"
+MONEY_PATTERN = (rf"(?i)(?:\b(?:us|c|a))?[$€£¥₹]\s?{_NUMBER}{_MAGNITUDE}|\b{_CODE}\s?{_NUMBER}{_MAGNITUDE}"
+                 rf"|\b{_NUMBER}{_MAGNITUDE}\s?(?:{_CODE}|{_UNIT})\b")
+# A month in full or by its first letters, and nothing else that begins like one.
+_MONTH = (r"(?:january|february|march|april|may|june|july|august|september|october|november|december"
+          r"|(?:jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec)\b\.?)")
+_DAY = r"\d{1,2}(?:st|nd|rd|th)?"
+DATE_PATTERN = (rf"(?i)\b(?:\d{{4}}-\d{{2}}-\d{{2}}\b|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b|{_MONTH} {_DAY}\b(?:,? \d{{4}}\b)?"
+                rf"|{_DAY} (?:of )?{_MONTH}(?![a-z])(?:,? \d{{4}}\b)?|{_MONTH} \d{{4}}\b"
+                r"|(?:(?:mon|tues|wednes|thurs|fri|satur|sun)day|today|tomorrow|yesterday)\b)")
 
 
 def _ngrams_of(tok, n):

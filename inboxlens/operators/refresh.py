@@ -52,22 +52,36 @@ def _stamp(alias: str):
     return F.coalesce(F.unix_micros(iso_timestamp("fetched_at")), F.lit(-(2 ** 62))).alias(alias)
 
 
-def upsert(cache: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Replace or add every fetched message; other cached rows stay as they are.
+def changes(cache: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The cache after ``fetched`` came in, each row with what became of it: ``added``, ``replaced`` or ``kept``.
 
-    The newer fetch of an id wins, whichever side holds it (``fetched`` on
-    equal stamps), so a delivery that arrives late cannot undo a newer one. A
-    message whose fetch failed (absent from ``fetched``) keeps its old,
-    possibly stale copy. ``fetched`` is read twice: give a written table if it
-    is dear to compute. Only ids and stamps of either side meet the other's rows.
+    One full outer join on ``id``: both sides are read and shuffled once, bodies and all. The newer fetch of an id wins,
+    whichever side holds it (``fetched`` on equal stamps), so a delivery that arrives late cannot undo a newer one. A
+    message whose fetch failed (absent from ``fetched``) keeps its old, possibly stale copy. The join leaves the rows
+    partitioned by id for what follows on the same key.
     """
     cols = [f.name for f in CACHE.fields]
-    f, c = latest_per_id(fetched.select(*cols)), cache.select(*cols)
-    kept = (c.withColumn("_c", _stamp("_c")).join(f.select("id", _stamp("_f")), "id", "left")
-            .where(F.col("_f").isNull() | (F.col("_c") > F.col("_f"))).select(*cols))
-    new = (f.withColumn("_f", _stamp("_f")).join(c.select("id", _stamp("_c")), "id", "left")
-           .where(F.col("_c").isNull() | (F.col("_f") >= F.col("_c"))).select(*cols))
-    return kept.unionByName(new)
+    body = F.struct(*cols[1:])
+    c = cache.select(*cols).select("id", body.alias("_old"), _stamp("_c"))
+    f = latest_per_id(fetched.select(*cols)).select("id", body.alias("_new"), _stamp("_f"))
+    taken = F.col("_f").isNotNull() & (F.col("_c").isNull() | (F.col("_f") >= F.col("_c")))
+    change = F.when(~taken, "kept").when(F.col("_c").isNull(), "added").otherwise("replaced")
+    row = F.when(taken, F.col("_new")).otherwise(F.col("_old"))
+    joined = c.join(f, "id", "full_outer").select("id", row.alias("_row"), change.alias("change"))
+    return joined.select("id", *[F.col("_row")[x].alias(x) for x in cols[1:]], "change")
+
+
+def upsert(cache: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Replace or add every fetched message; other cached rows stay as they are (see :func:`changes`)."""
+    return changes(cache, fetched).drop("change")
+
+
+def newer(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The rows of ``new`` (an id once) that ``old`` has no newer copy of; of ``old`` only ids and stamps are needed."""
+    cols = [f.name for f in CACHE.fields]
+    held = old.select("id", _stamp("_c"))
+    return (new.select(*cols).withColumn("_f", _stamp("_f")).join(held, "id", "left")
+            .where(F.col("_c").isNull() | (F.col("_f") >= F.col("_c"))).select(*cols))
 
 
 def prune(cache: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,4 +94,4 @@ def stale_entries(cache: DataFrame, ttl_days: int = DEFAULT_CACHE_TTL_DAYS, as_o
     return with_staleness(cache, ttl_days, as_of).select("id", "fetched_at", "stale")
 
 
-__all__ = ["with_staleness", "fetch_plan", "latest_per_id", "upsert", "prune", "stale_entries"]
+__all__ = ["with_staleness", "fetch_plan", "latest_per_id", "changes", "upsert", "newer", "prune", "stale_entries"]

@@ -40,7 +40,8 @@ def audit(listing: DataFrame, cache: DataFrame, fetch, as_of=None, refresh: bool
     is the mailbox ``(id, ts, labelIds)`` and bounded first, newest messages
     that pass the label filters; ``senders_out`` names a folder to which the
     sender table is written as CSV. Returns the new cache (pruned to the
-    listing), the removed entries, the message table and the sender table.
+    listing), the removed entries, the change feed (each id ``added``,
+    ``replaced``, ``kept`` or ``removed``), the message table and the sender table.
 
     Listing, plan and fetched rows are each written once under the shared
     folder, so every message is fetched once whatever reads the result. The
@@ -60,7 +61,8 @@ def audit(listing: DataFrame, cache: DataFrame, fetch, as_of=None, refresh: bool
     if not allow_prune_all and listing.isEmpty():
         messages = MS.extract(cache.limit(0), as_of)
         found = {"plan": listing.select("id", F.lit("missing").alias("reason")), "fetched": cache.limit(0),
-                 "cache": cache, "removed": cache.limit(0), "messages": messages,
+                 "cache": cache, "removed": cache.limit(0), "changes": cache.select("id", F.lit("kept").alias("change")),
+                 "messages": messages,
                  "senders": SN.aggregate_and_score(messages), "path": None}
     else:
         found = _refreshed(listing, cache, fetch, as_of, refresh, ttl_days, out_dir or shared_dir(spark, "audit-cache"))
@@ -74,12 +76,14 @@ def _refreshed(listing: DataFrame, cache: DataFrame, fetch, as_of, refresh: bool
     plan = materialize(RF.fetch_plan(listing, cache, refresh, ttl_days, as_of), "audit-plan")
     fetched = materialize(fetch(plan), "audit-fetched")
     listed = listing.groupBy("id").agg(F.count(F.lit(1)).alias("_listed"))
-    flagged = (RF.upsert(cache, fetched).join(listed, "id", "left")
+    # The cache's bodies are read once: changes() joins them to what was fetched, and the listing meets the same partitions.
+    flagged = (RF.changes(cache, fetched).join(listed, "id", "left")
                .withColumn("state", F.when(F.col("_listed").isNotNull(), F.lit("listed")).otherwise(F.lit("removed"))))
     flagged.write.mode("overwrite").partitionBy("state").parquet(path)
     snap = cache.sparkSession.read.parquet(path)
-    kept = snap.where(F.col("state") == "listed").drop("state", "_listed")
-    removed = snap.where(F.col("state") == "removed").drop("state", "_listed")
+    kept = snap.where(F.col("state") == "listed").drop("state", "_listed", "change")
+    removed = snap.where(F.col("state") == "removed").drop("state", "_listed", "change")
+    feed = snap.select("id", F.when(F.col("state") == "removed", F.lit("removed")).otherwise(F.col("change")).alias("change"))
     listed_rows = MS.extract(snap.where(F.col("state") == "listed"), as_of, keep=["_listed"])
     # the sender table weights each cached message by how often it is listed: an id
     # listed many times is never replicated into one task
@@ -87,7 +91,7 @@ def _refreshed(listing: DataFrame, cache: DataFrame, fetch, as_of, refresh: bool
     # the message table keeps one row per listing occurrence, as listed (computed only if used)
     messages = (listed_rows.withColumn("_occurrence", F.explode(F.sequence(F.lit(1), F.col("_listed").cast("int"))))
                 .drop("_occurrence", "_listed"))
-    return {"plan": plan, "fetched": fetched, "cache": kept, "removed": removed, "messages": messages,
+    return {"plan": plan, "fetched": fetched, "cache": kept, "removed": removed, "changes": feed, "messages": messages,
             "senders": senders, "path": path}
 
 

@@ -1,18 +1,9 @@
 """Incremental audit as a Structured Streaming job.
 
-Fetched messages arrive as files (one cache row each, JSON lines or Parquet).
-The message snapshot is cut into buckets by a hash of the id, and every
-micro-batch works on the buckets that its ids fall into:
-
-1. keep the newest fetch per id, within the batch and against the bucket,
-2. write the touched buckets, and their counts per sender, as this epoch's version,
-3. write a pointer table that names each bucket's current epoch,
-4. add the counts of all buckets up to the sender table of this epoch.
-
-Nothing that a reader or a retry may need is overwritten: an epoch writes into
-folders of its own and reads the pointers of an earlier one, so a retried batch
-gives the same version again. The sender table changes with one new folder;
-versions that no pointer names any more are removed one epoch later.
+Fetched messages arrive as files (one cache row each, JSON lines or Parquet). Every micro-batch is appended to a
+merge-on-read log of messages (:mod:`inboxlens.streaming.message_log`): it writes in proportion to its own rows, keeps the
+newest fetch of each id however late the other arrives, and changes the counts per sender by what goes and what comes.
+The sender table is read from these counts. A retried batch gives the same state again.
 """
 
 from __future__ import annotations
@@ -20,131 +11,39 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from inboxlens.operators import messages as MS
-from inboxlens.operators import refresh as RF
-from inboxlens.operators import senders as SN
-from inboxlens.schemas import CACHE, SENDERS
-
-BUCKETS = 64
+from inboxlens.schemas import CACHE
+from inboxlens.streaming import message_log as ML
 
 
 @dataclass
 class AuditPaths:
     source: str         # directory the fetched message files land in
-    snapshot: str       # root of the versioned message snapshot
-    senders: str        # root of the versioned sender tables
+    log: str            # root of the message log
     checkpoint: str     # streaming checkpoint of this query
-    buckets: int = BUCKETS  # parts of the snapshot; fixed for its life
-
-
-def _path(spark: SparkSession, name: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def _folders(spark: SparkSession, root: str, key: str) -> list[int]:
-    """The numbers n of the folders ``key=n`` under ``root`` (a listing of names, no data)."""
-    fs, path = _path(spark, root)
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{key}="))
-
-
-def _complete(spark: SparkSession, root: str) -> list[int]:
-    """Epochs under ``root`` that were written to their end."""
-    done = lambda e: _path(spark, f"{root}/epoch={e}/_SUCCESS")
-    return [e for e in _folders(spark, root, "epoch") if (x := done(e))[0].exists(x[1])]
-
-
-def _pointers(spark: SparkSession, paths: AuditPaths, before_epoch: int | None = None) -> dict[int, tuple[int, int, str]]:
-    """bucket -> (epoch of its rows, epoch of its counts or -1 for none, as_of of these); a row per bucket at most."""
-    root = f"{paths.snapshot}/pointers"
-    known = [e for e in _complete(spark, root) if before_epoch is None or e < before_epoch]
-    rows = spark.read.parquet(f"{root}/epoch={known[-1]}").collect() if known else []
-    return {r["bucket"]: (r["rows"], r["counts"], r["as_of"]) for r in rows}
-
-
-def _read(spark: SparkSession, paths: AuditPaths, kind: str, epochs: dict[int, int]) -> DataFrame | None:
-    """The named versions (bucket -> epoch) of rows or counts; None if there are none."""
-    folders = [f"{paths.snapshot}/{kind}/epoch={e}/bucket={k}" for k, e in sorted(epochs.items()) if e >= 0]
-    return spark.read.option("basePath", f"{paths.snapshot}/{kind}").parquet(*folders) if folders else None
-
+    target: int = ML.TARGET_ROWS  # rows of a bucket of the log before it is split
+    few: int = ML.FEW             # buckets that one compaction merges
+    every: int = ML.EVERY         # batches between compactions
 
-def _write(df: DataFrame, path: str) -> list[int]:
-    """Write ``df`` by bucket, in few files of even size; the buckets that got rows."""
-    df.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return _folders(df.sparkSession, path, "bucket")
+    def message_log(self) -> ML.MessageLog:
+        return ML.MessageLog(self.log, self.target, self.few, self.every)
 
 
-def latest_snapshot(spark: SparkSession, paths: AuditPaths, before_epoch: int | None = None) -> DataFrame:
-    """The newest snapshot (below ``before_epoch``), or an empty cache."""
-    rows = _read(spark, paths, "rows", {k: x[0] for k, x in _pointers(spark, paths, before_epoch).items()})
-    return spark.createDataFrame([], CACHE) if rows is None else rows.select(*CACHE.fieldNames())
+def latest_snapshot(spark: SparkSession, paths: AuditPaths) -> DataFrame:
+    """The messages as of the newest batch, or an empty cache."""
+    return ML.snapshot(spark, paths.message_log())
 
 
 def current_senders(spark: SparkSession, paths: AuditPaths) -> DataFrame:
-    """The sender table of the newest complete epoch, or an empty one."""
-    known = _complete(spark, paths.senders)
-    return spark.read.parquet(f"{paths.senders}/epoch={known[-1]}") if known else spark.createDataFrame([], SENDERS)
-
-
-def _remove_old(spark: SparkSession, paths: AuditPaths, epoch: int, used: list[dict]) -> None:
-    """Delete what neither this epoch's pointers nor those before name."""
-    def drop(name: str) -> None:
-        fs, path = _path(spark, name)
-        fs.delete(path, True)
-
-    for i, kind in enumerate(("rows", "counts")):
-        named = {(x[i], k) for pointers in used for k, x in pointers.items()}
-        for e in [e for e in _folders(spark, f"{paths.snapshot}/{kind}", "epoch") if e < epoch]:
-            held = _folders(spark, f"{paths.snapshot}/{kind}/epoch={e}", "bucket")
-            gone = [k for k in held if (e, k) not in named]
-            for k in gone:
-                drop(f"{paths.snapshot}/{kind}/epoch={e}/bucket={k}")
-            if len(gone) == len(held):
-                drop(f"{paths.snapshot}/{kind}/epoch={e}")
-    for root in (f"{paths.snapshot}/pointers", paths.senders):
-        for e in [e for e in _complete(spark, root) if e < epoch][:-1]:
-            drop(f"{root}/epoch={e}")
+    """The sender table as of the newest batch, or an empty one."""
+    return ML.sender_table(spark, paths.message_log())
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, epoch: int, paths: AuditPaths, as_of=None,
                 listing: DataFrame | None = None) -> None:
-    """One refresh step; safe to run again for the same ``epoch``.
-
-    The work is in proportion to the touched buckets and to the counts per
-    sender as long as ``as_of`` is given and stays the same. Ages depend on it:
-    counts made for another one are made anew from all rows, and without one
-    every time. With a ``listing`` all buckets are touched.
-    """
-    cols, stamp = CACHE.fieldNames(), str(as_of)
-    before = _pointers(spark, paths, epoch)
-    bucket = F.pmod(F.xxhash64("id"), F.lit(paths.buckets)).cast("int").alias("bucket")
-    batch = batch.select(*cols).where(F.col("id").isNotNull())
-    touched = {r["bucket"] for r in batch.select(bucket).distinct().collect()}      # at most the number of buckets
-    if listing is not None:
-        touched |= set(before)
-    old = _read(spark, paths, "rows", {k: before[k][0] for k in touched if k in before})
-    old = spark.createDataFrame([], CACHE) if old is None else old.select(*cols)
-    updated = RF.upsert(old, batch)
-    if listing is not None:
-        updated, _ = RF.prune(updated, listing)
-    filled = _write(updated.select(*cols, bucket), f"{paths.snapshot}/rows/epoch={epoch}")
-    at = {**{k: x[0] for k, x in before.items() if k not in touched}, **dict.fromkeys(filled, epoch)}
-    fresh = {k: e for k, e in at.items() if k in touched or as_of is None or before[k][2] != stamp}
-    rows, counted = _read(spark, paths, "rows", fresh), []
-    if rows is not None:
-        messages = MS.extract(rows.select(*cols, "bucket"), as_of, keep=["bucket"])
-        counted = _write(SN.sender_counts(messages, "bucket"), f"{paths.snapshot}/counts/epoch={epoch}")
-    now = {k: (e, (epoch if k in counted else -1) if k in fresh else before[k][1], stamp) for k, e in at.items()}
-    counts = _read(spark, paths, "counts", {k: x[1] for k, x in now.items()})
-    table = spark.createDataFrame([], SENDERS) if counts is None else SN.score_counts(counts)
-    table.write.mode("overwrite").parquet(f"{paths.senders}/epoch={epoch}")
-    pointers = spark.createDataFrame([(k, *x) for k, x in now.items()], "bucket int, rows long, counts long, as_of string")
-    pointers.coalesce(1).write.mode("overwrite").parquet(f"{paths.snapshot}/pointers/epoch={epoch}")
-    _remove_old(spark, paths, epoch, [before, now])
+    """One refresh step; safe to run again for the same ``epoch``. With a ``listing`` all other ids are removed."""
+    ML.append(spark, paths.message_log(), batch, epoch, as_of, listing)
 
 
 def start_incremental_audit(spark: SparkSession, paths: AuditPaths, fmt: str = "json", as_of=None,
@@ -158,11 +57,7 @@ def start_incremental_audit(spark: SparkSession, paths: AuditPaths, fmt: str = "
     stream = reader.load(paths.source)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()     # read for its buckets and for the upsert
-        try:
-            apply_batch(spark, batch, epoch, paths, as_of, listing)
-        finally:
-            batch.unpersist()
+        apply_batch(spark, batch, epoch, paths, as_of, listing)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", paths.checkpoint)
     if processing_time:

@@ -103,6 +103,20 @@ def test_entities_of_every_label_and_length(spark):
                    ("MONEY", "12 Euros"), ("MONEY", "40 usd")}
 
 
+@pytest.mark.parametrize("text,money,date", [
+    ("Market 24, Marble 12, decision 3, junk 5, Augustus 4, May flowers", [], []),
+    ("USD 25 and EUR12.50, or 30 pounds, 5k EUR, $1.2 million, £3bn, US$4 and 7 yen", ["USD 25", "EUR12.50", "30 pounds", "5k EUR",
+     "$1.2 million", "£3bn", "US$4", "7 yen"], []),
+    ("the 3rd of May 2024, 4 Sept. 2023, Sep 1st, June 2025, 1 jan, March 24, 1999", [], ["3rd of May 2024", "4 Sept. 2023", "Sep 1st",
+     "June 2025", "1 jan", "March 24, 1999"]),
+    ("due 2024-02-03 or 3/4/24 on Friday, not 20240203; today", [], ["2024-02-03", "3/4/24", "Friday", "today"]),
+    ("25 usdt, usdt 5, $ and 12 dollarsign; 5 marches, mayor 3", [], [])])
+def test_amounts_and_dates(spark, text, money, date):
+    m = spark.createDataFrame([("s", "1", text)], "from string, id string, snippet string")
+    got = {(r["label"], r["entity"]) for r in CT.message_entities(m).collect()}
+    assert got == {*(("MONEY", x) for x in money), *(("DATE", x) for x in date)}
+
+
 @pytest.mark.parametrize("size", [1, 1500])
 def test_intents_do_not_depend_on_the_dictionary_size_or_a_null_sender(spark, size):
     m = spark.createDataFrame([(None, "1", TEXT + " sale"), ("s", "2", TEXT + " sale")], "from string, id string, snippet string")

@@ -65,3 +65,13 @@ def test_cluster_topk_uses_group_limit(spark):
     s = SN.aggregate_and_score(V.mail_orders(spark, SF001))
     c = CL.cluster_senders(s, 3, starts=2)
     assert "WindowGroupLimit" in _plan(CL.top_per_cluster(c, s, 5))
+
+
+def test_audit_reads_the_cache_bodies_once(spark):
+    from inboxlens.operators import refresh as RF
+    cache = V.earlier_cache(spark, SF001)
+    fetched = V.fetch_results(spark, SF001, V.mailbox(spark, SF001))
+    p = RF.changes(cache, fetched)._jdf.queryExecution().executedPlan().toString()
+    bodies = [line for line in p.split("\n") if "FileScan" in line and "o_orderpriority" in line.split("ReadSchema")[-1]]
+    # One scan of the cache, one of what was fetched, one full outer join.
+    assert len(bodies) == 2 and p.count("FullOuter") == 1 and p.count("Join") == p.count("FullOuter") + p.count("LeftSemi")
