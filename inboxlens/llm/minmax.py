@@ -27,6 +27,8 @@ BAND_ROWS, MISS = 5, 1e-6
 SEED = 42
 #: Buckets with more sets than this are not paired: each is compared with one of its own, what that leaves apart is banded again.
 PAIRED = 32
+#: Bytes of text that a worker cuts at a time.
+TEXT_BYTES = 1 << 20
 SPACE = b" \t\n\v\f\r"
 
 
@@ -121,7 +123,7 @@ def _prints(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
 
     def work(batches):
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, TEXT_BYTES):
                 r, h = shingle_sets(b.column(1), words)
                 own, values = signatures(r, h, functions)
                 n = np.bincount(r, minlength=b.num_rows)
@@ -151,8 +153,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, numerator: int, d
     """The pairs (u, v) whose full shingle sets are similar enough; ``texts`` (node, text) has all their nodes."""
     def work(batches):
         for whole in batches:
-            for half in slices(whole, 2):
-                for b in slices(half, 3):
+            for half in slices(whole, 2, TEXT_BYTES):
+                for b in slices(half, 3, TEXT_BYTES):
                     m = b.num_rows
                     r, h = shingle_sets(pa.concat_arrays([b.column(2), b.column(3)]), words)
                     n = np.bincount(r, minlength=2 * m)
@@ -188,13 +190,23 @@ def links(nodes: DataFrame, texts, words: int = SHINGLE_WORDS, numerator: int =
     """Confirmed links (u, v) that connect all candidates of ``nodes`` (node, n, keys, bits).
 
     Buckets of up to ``paired`` sets are paired. In a larger one every set is compared with the bucket's smallest node;
-    when the links so far leave it in several parts, its sets are put into smaller buckets by a second shared band, then
-    by a third, and so on, in which only sets of different parts are compared. So no large group is ever paired, and a
-    group of near copies costs a comparison for each. ``texts`` gives the texts of a table of nodes.
+    when the links so far leave it in several parts, up to ``paired`` sets outside of its largest part are compared with
+    all others of other parts; if there are more, its sets are put into smaller buckets by a second shared band, then by a
+    third, and so on. So no large group is ever paired, and a group of near copies costs a comparison for each. ``texts`` gives the texts of a table of nodes.
     """
     most = most_differing(bits, numerator / denominator)
-    differing = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)  # noqa: E731,E501
     facts = nodes.select("node", F.col("n").alias("size"), "bits")
+
+    def alike(n1, n2, b1, b2):
+        """Two cheap tests that no similar pair fails (or, the second, one in 1e9), made before any text moves."""
+        differing = F.aggregate(F.zip_with(b1, b2, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        return (F.least(n1, n2) * denominator >= F.greatest(n1, n2) * numerator) & (differing <= most)
+
+    def confirm(pairs):
+        pairs = materialize(pairs, "pairs")
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        return materialize(_confirmed(pairs, texts(ends), words, numerator, denominator), "links")
+
     members = nodes.select("node", F.col("node").alias("root"), F.explode("keys").alias("key")).withColumn("last", F.col("key"))
     found = None
     while True:
@@ -203,23 +215,31 @@ def links(nodes: DataFrame, texts, words: int = SHINGLE_WORDS, numerator: int =
             F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").drop("r1", "r2")
         kept = materialize(members.join(buckets, "key"), "buckets")
         pairs, many = _pairs(kept, paired)
-        # Two cheap tests that no similar pair fails (or, the second, one in 1e9) before any text moves.
-        pairs = (pairs.join(facts.select(F.col("node").alias("u"), F.col("size").alias("n1"), F.col("bits").alias("b1")), "u")
-                 .join(facts.select(F.col("node").alias("v"), F.col("size").alias("n2"), F.col("bits").alias("b2")), "v")
-                 .where((F.least("n1", "n2") * denominator >= F.greatest("n1", "n2") * numerator) & (differing(F.col("b1"), F.col("b2")) <= most)))
-        pairs = materialize(pairs.select("u", "v"), "pairs")
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        made = materialize(_confirmed(pairs, texts(ends), words, numerator, denominator), "links")
+        c = F.col
+        pairs = (pairs.join(facts.select(c("node").alias("u"), c("size").alias("n1"), c("bits").alias("b1")), "u")
+                 .join(facts.select(c("node").alias("v"), c("size").alias("n2"), c("bits").alias("b2")), "v")
+                 .where(alike(c("n1"), c("n2"), c("b1"), c("b2"))).select("u", "v"))
+        made = confirm(pairs)
         found = made if found is None else found.unionByName(made)
         if many.isEmpty():
             return found
         parts = components(found)
-        many = many.drop("root").join(parts.withColumnRenamed("root", "part"), "node", "left")
-        many = many.select("key", "last", "node", F.coalesce("part", "node").alias("root"))
-        open_ = many.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
-        again = many.join(open_, "key").join(nodes.select("node", "keys"), "node")
+        many = many.select("key", "last", "node").join(parts.withColumnRenamed("root", "part"), "node", "left")
+        many = materialize(many.select("key", "last", "node", F.coalesce("part", "node").alias("root")), "large-buckets")
+        # The parts of a bucket; all but the largest are its strays.
+        open_ = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+            F.max_by("root", "n").alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
+        many = materialize(many.join(open_, "key").join(facts, "node"), "open-buckets")
+        if many.isEmpty():
+            return found
+        # Few strays are compared with every set of their bucket that is not in their part: ``paired`` for each set at most.
+        few = many.where(c("strays") <= paired)
+        x, y = few.where("root != main").alias("x"), few.alias("y")
+        met = x.join(y, (c("x.key") == c("y.key")) & (c("x.root") != c("y.root")) & alike(c("x.size"), c("y.size"), c("x.bits"), c("y.bits")))
+        found = found.unionByName(confirm(met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()))
+        again = many.where(c("strays") > paired).join(nodes.select("node", "keys"), "node")
         # Bands are taken in rising order, so that each set of shared bands makes one bucket.
-        again = again.select("node", "root", "key", F.explode(F.filter("keys", lambda k: k > F.col("last"))).alias("last"))
+        again = again.select("node", "root", "key", F.explode(F.filter("keys", lambda k: k > c("last"))).alias("last"))
         members = materialize(again.select("node", "root", F.xxhash64("key", "last").alias("key"), "last"), "bands-again")
         if members.isEmpty():
             return found
