@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_strays, materialize, slices
-from .graph import components
+from .graph import merged
 from .words import cut
 
 SHINGLE_WORDS = 2
@@ -185,9 +185,9 @@ def _pairs(kept: DataFrame, paired: int) -> tuple[DataFrame, DataFrame]:
     return small.unionByName(led).distinct(), many
 
 
-def links(nodes: DataFrame, texts, words: int = SHINGLE_WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR,
-          bits: int = 0, paired: int = PAIRED) -> DataFrame:
-    """Confirmed links (u, v) that connect all candidates of ``nodes`` (node, n, keys, bits).
+def parts_of(nodes: DataFrame, texts, words: int = SHINGLE_WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR,
+             bits: int = 0, paired: int = PAIRED) -> DataFrame:
+    """(node, root) of the components of all confirmed links of ``nodes`` (node, n, keys, bits), the roots left out.
 
     Buckets of up to ``paired`` sets are paired. In a larger one every set is compared with the bucket's smallest node;
     when the links so far leave it in several parts, up to ``paired`` sets outside of its largest part are compared with
@@ -208,7 +208,7 @@ def links(nodes: DataFrame, texts, words: int = SHINGLE_WORDS, numerator: int =
         return materialize(_confirmed(pairs, texts(ends), words, numerator, denominator), "links")
 
     members = nodes.select("node", F.col("node").alias("root"), F.explode("keys").alias("key")).withColumn("last", F.col("key"))
-    found = None
+    parts = more = None
     while True:
         buckets = members.groupBy("key").agg(
             F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.min_by("root", "node").alias("leader_root"),
@@ -220,10 +220,9 @@ def links(nodes: DataFrame, texts, words: int = SHINGLE_WORDS, numerator: int =
                  .join(facts.select(c("node").alias("v"), c("size").alias("n2"), c("bits").alias("b2")), "v")
                  .where(alike(c("n1"), c("n2"), c("b1"), c("b2"))).select("u", "v"))
         made = confirm(pairs)
-        found = made if found is None else found.unionByName(made)
+        parts = merged(parts, made if more is None else more.unionByName(made))
         if many.isEmpty():
-            return found
-        parts = components(found)
+            return parts
         many = many.select("key", "last", "node").join(parts.withColumnRenamed("root", "part"), "node", "left")
         many = materialize(many.select("key", "last", "node", F.coalesce("part", "node").alias("root")), "large-buckets")
         # The parts of a bucket; all but the largest are its strays.
@@ -231,18 +230,18 @@ def links(nodes: DataFrame, texts, words: int = SHINGLE_WORDS, numerator: int =
             F.max_by("root", "n").alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
         many = materialize(many.join(open_, "key").join(facts, "node"), "open-buckets")
         if many.isEmpty():
-            return found
+            return parts
         # Few strays are compared with every set of their bucket that is not in their part: ``paired`` for each set at most.
         few = many.where(c("strays") <= paired)
         x, y = few.where("root != main").alias("x"), few.alias("y")
         met = x.join(y, (c("x.key") == c("y.key")) & (c("x.root") != c("y.root")) & alike(c("x.size"), c("y.size"), c("x.bits"), c("y.bits")))
-        found = found.unionByName(confirm(met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()))
+        more = confirm(met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct())
         again = many.where(c("strays") > paired).join(nodes.select("node", "keys"), "node")
         # Bands are taken in rising order, so that each set of shared bands makes one bucket.
         again = again.select("node", "root", "key", F.explode(F.filter("keys", lambda k: k > c("last"))).alias("last"))
         members = materialize(again.select("node", "root", F.xxhash64("key", "last").alias("key"), "last"), "bands-again")
         if members.isEmpty():
-            return found
+            return merged(parts, more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SHINGLE_WORDS,
@@ -274,9 +273,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         meet = hashed.join(wanted, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("of1") == F.col("w1")) & (F.col("of2") == F.col("w2")))
         return meet.groupBy("node").agg(F.max("text").alias("text"))
 
-    found = links(nodes.select("node", "n", "keys", "bits"), texts, words, numerator, denominator,
-                  2 * math.ceil(band_rows * bands / 2), paired)
-    roots = components(found)
+    roots = parts_of(nodes.select("node", "n", "keys", "bits"), texts, words, numerator, denominator,
+                     2 * math.ceil(band_rows * bands / 2), paired)
     named = nodes.join(roots, "node", "left").select("node", "d1", "d2", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("d1", "d2", "component_id")

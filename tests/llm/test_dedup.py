@@ -320,3 +320,14 @@ def test_components_of_paths_stars_and_loops(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 200)}}
     with pytest.raises(RuntimeError):
         graph.components(df, limit=1)
+
+
+def test_links_that_come_in_parts_give_the_same_components(spark):
+    """Merging link tables one by one ends at the components of all of them; a batch without news changes nothing."""
+    rnd = random.Random(3)
+    batches = [[(rnd.randrange(300), rnd.randrange(300)) for _ in range(60)] for _ in range(3)]
+    parts = None
+    for batch in [[], *batches, batches[0], [(7, 7)]]:
+        parts = graph.merged(parts, spark.createDataFrame(batch, "u long, v long"))
+    whole = graph.components(spark.createDataFrame([x for b in batches for x in b], "u long, v long"))
+    assert sorted(map(tuple, parts.select("node", "root").collect())) == sorted(map(tuple, whole.collect()))
