@@ -19,7 +19,7 @@ BITS = 8
 #: Chunks that count: two lines of at least MIN_WORDS words, or a line of at least LONG_WORDS.
 MIN_WORDS, LONG_WORDS = 8, 50
 
-_WORDS = r"[^\x20\x09-\x0D]+"
+_GAP = r"\x20\x09-\x0D"
 
 
 def _kind(line: Column) -> Column:
@@ -27,8 +27,12 @@ def _kind(line: Column) -> Column:
     return F.substring(F.md5(line), 1, BITS // 4)
 
 
-def _n_words(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(_WORDS))
+def _has_words(text: Column, n: int) -> Column:
+    """Whether ``text`` has ``n`` words at least; reading ends with the n-th word."""
+    if n < 1:
+        return text.isNotNull()
+    word = rf"[^{_GAP}]++[{_GAP}]++"
+    return (F.length(text) >= 2 * n - 1) & text.rlike(rf"^[{_GAP}]*+(?:{word}){{{n - 1}}}[^{_GAP}]")
 
 
 def _lines(text: Column) -> Column:
@@ -37,7 +41,7 @@ def _lines(text: Column) -> Column:
 
 def _cut_alike(a: Column, b: Column, min_words: int) -> Column:
     """Whether two neighbouring lines are a chunk that counts."""
-    return F.coalesce(((_kind(a) != _kind(b)) | (a == b)) & (_n_words(a) + _n_words(b) >= min_words), F.lit(False))
+    return F.coalesce(_has_words(F.concat_ws("\n", a, b), min_words) & ((_kind(a) != _kind(b)) | (a == b)), F.lit(False))
 
 
 def _chunks(rows: DataFrame, min_words: int, long_words: int) -> DataFrame:
@@ -47,7 +51,7 @@ def _chunks(rows: DataFrame, min_words: int, long_words: int) -> DataFrame:
                                     lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     one = rows.select("id", "t1", "t2", pairs.alias("at", "x")).select("id", "t1", "t2", "at", "x.a", "x.b")
     a, b = F.col("a"), F.col("b")
-    made = F.array(F.when(_n_words(a) >= long_words, F.struct(F.lit(1).alias("n"), a.alias("body"))),
+    made = F.array(F.when(_has_words(a, long_words), F.struct(F.lit(1).alias("n"), a.alias("body"))),
                    F.when(_cut_alike(a, b, min_words), F.struct(F.lit(2).alias("n"), F.concat_ws("\n", a, b).alias("body"))))
     return one.select("id", "t1", "t2", "at", F.explode(made).alias("c")).where(F.col("c").isNotNull()).select(
         "id", "t1", "t2", "at", "c.n", "c.body")
@@ -128,7 +132,7 @@ def _without_chunks(rows: DataFrame, text: Column, min_words: int, long_words: i
     """``rows`` without the lines of any chunk that counts."""
     lines = F.col("lines")
     rows = rows.select("row", _lines(text).alias("lines"))
-    long = lambda x: _n_words(x) >= long_words
+    long = lambda x: _has_words(x, long_words)
     pair = lambda i: _cut_alike(F.get(lines, i), F.get(lines, i + 1), min_words)
     rows = rows.select("row", "lines", F.transform(lines, lambda x, i: F.struct(long(x).alias("long"), pair(i).alias("pair"))).alias("c"))
     before = lambda i: F.when(i > 0, F.get("c", i - 1)["pair"]).otherwise(F.lit(False))
