@@ -484,7 +484,7 @@ def q_f8(spark, sf):
 
 
 def q_h2(spark, sf):
-    t = CT.top_intents(V.mail_events(spark, sf), 1, "id", _gaz(spark, sf))
+    t = CT.top_intents(V.mail_events(spark, sf), 1, "id", _gaz(spark, sf), per_row=True)
     return t.select("id", "intent", "score")
 
 

@@ -28,14 +28,17 @@ def feature_table(senders: DataFrame) -> DataFrame:
     return senders.select("from", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
 
 
-def standardize(features: DataFrame) -> DataFrame:
-    """Each feature to mean 0 and population standard deviation 1; a constant column becomes 0."""
+def standardize(features: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each feature to mean 0 and population standard deviation 1; a constant column becomes 0.
+
+    The columns named in ``keep`` are carried along as they are, called ``_raw_`` and their name.
+    """
     stats = features.agg(*[x for c in FEATURES for x in (F.avg(c).alias(f"_m_{c}"),
                                                          F.stddev_pop(c).alias(f"_s_{c}"))])
     j = features.crossJoin(F.broadcast(stats))  # one row: fixed size
     return j.select("from", *[
         F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.lit(0.0)).alias(c)
-        for c in FEATURES])
+        for c in FEATURES], *[F.col(c).alias(f"_raw_{c}") for c in keep])
 
 
 def cluster_senders(senders: DataFrame, n_clusters: int = 5, **options) -> DataFrame:
@@ -72,9 +75,9 @@ def cluster_senders_with_costs(senders: DataFrame, n_clusters: int = 5, seed: in
         return empty, []
     if n_clusters == 1:
         return feats.select("from", F.lit(0).alias("cluster")), []
-    scaled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(standardize(feats))
-    raw = feats.select("from", F.col("open_rate").alias("_rate"), F.col("ignorance_score").alias("_score"))
-    scaled = scaled.select("from", "features").join(raw, "from").persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
+        standardize(feats, keep=("open_rate", "ignorance_score")))
+    scaled = scaled.select("from", "features", "_raw_open_rate", "_raw_ignorance_score").persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(s: int):
         model = KMeans(k=n_clusters, seed=s, maxIter=max_iter, featuresCol="features",
@@ -88,8 +91,8 @@ def cluster_senders_with_costs(senders: DataFrame, n_clusters: int = 5, seed: in
             results = list(pool.map(fit, range(seed, seed + starts)))
         best = min(results, key=lambda r: (r[0], r[1]))
         assigned = best[2].transform(scaled).select(
-            "from", F.col("raw_cluster").cast("int"), F.col("_rate").alias("open_rate"),
-            F.col("_score").alias("ignorance_score"))
+            "from", F.col("raw_cluster").cast("int"), F.col("_raw_open_rate").alias("open_rate"),
+            F.col("_raw_ignorance_score").alias("ignorance_score"))
         out = stable_ids(assigned)
         # written once so the k-means lineage is not replayed by every consumer
         return out.checkpoint(eager=True), [r[0] for r in results]

@@ -227,7 +227,7 @@ def intent_lexicon(spark: SparkSession) -> DataFrame:
 
 
 def intent_scores_wide(messages: DataFrame, key: str = "from", gazetteer: DataFrame | None = None,
-                       column: str = "snippet", content_features: bool = True) -> DataFrame:
+                       column: str = "snippet", content_features: bool = True, per_row: bool = False) -> DataFrame:
     """One row per key with the four intent scores as columns.
 
     score = lexicon hits over all the key's texts, +2 transactional when any
@@ -235,17 +235,30 @@ def intent_scores_wide(messages: DataFrame, key: str = "from", gazetteer: DataFr
     contains "newsletter" occurs. Texts are tokenised once and joined to the
     lexicon (a fixed ~300 rows); one aggregation (partial before the shuffle)
     yields all four scores, so no per-key grid or distinct is needed. A null
-    key is a key like any other.
+    key is a key like any other. ``per_row``: each row is a key of its own, as
+    for single messages; words are then counted within the row, and without a
+    gazetteer nothing is shuffled (with one, rows of a repeated key share the
+    newsletter bonus).
     """
     spark = messages.sparkSession
     if not content_features:
+        if per_row:
+            return messages.select(key, *[F.lit(0).cast("long").alias(i) for i in INTENT_ORDER])
         return messages.groupBy(key).agg(*[F.lit(0).cast("long").alias(i) for i in INTENT_ORDER])
     text = F.coalesce(F.col(column), F.lit(""))
     base = messages.select(key, words(text).alias("_w"), text.rlike(MONEY_PATTERN).alias("_money"))
-    toks = base.select(key, "_money", F.explode_outer("_w").alias("form"))
-    hits = toks.join(F.broadcast(intent_lexicon(spark)), "form", "left")
-    wide = hits.groupBy(key).agg(*[F.count_if(F.col("intent") == i).alias(f"_{i}") for i in INTENT_ORDER],
-                                 F.bool_or("_money").alias("_money"))
+    if per_row:
+        forms = {i: [f for f, of in intent_lexicon_rows() if of == i] for i in INTENT_ORDER}
+
+        def count(intent: str):
+            return F.size(F.filter("_w", lambda w: w.isin(*forms[intent])))
+
+        wide = base.select(key, "_money", *[count(i).alias(f"_{i}") for i in INTENT_ORDER])
+    else:
+        toks = base.select(key, "_money", F.explode_outer("_w").alias("form"))
+        hits = toks.join(F.broadcast(intent_lexicon(spark)), "form", "left")
+        wide = hits.groupBy(key).agg(*[F.count_if(F.col("intent") == i).alias(f"_{i}") for i in INTENT_ORDER],
+                                     F.bool_or("_money").alias("_money"))
     if gazetteer is None:
         wide = wide.withColumn("_news", F.lit(False))
     else:
@@ -261,22 +274,22 @@ def intent_scores_wide(messages: DataFrame, key: str = "from", gazetteer: DataFr
 
 
 def intent_scores(messages: DataFrame, key: str = "from", gazetteer: DataFrame | None = None,
-                  column: str = "snippet", content_features: bool = True) -> DataFrame:
+                  column: str = "snippet", content_features: bool = True, per_row: bool = False) -> DataFrame:
     """``(key, intent, intent_rank, score)``: the four scores of every key as rows."""
-    wide = intent_scores_wide(messages, key, gazetteer, column, content_features)
+    wide = intent_scores_wide(messages, key, gazetteer, column, content_features, per_row)
     stack = ", ".join(f"'{i}', {r}, `{i}`" for r, i in enumerate(INTENT_ORDER, 1))
     return wide.selectExpr(f"`{key}`", f"stack({len(INTENT_ORDER)}, {stack}) AS (intent, intent_rank, score)")
 
 
 def top_intents(messages: DataFrame, n: int = 3, key: str = "from", gazetteer: DataFrame | None = None,
-                column: str = "snippet", content_features: bool = True) -> DataFrame:
+                column: str = "snippet", content_features: bool = True, per_row: bool = False) -> DataFrame:
     """Top ``n`` intents per key by score (ties: promotional, transactional,
     informational, social). A key whose best score is 0 gets ``unknown`` / 0.
 
     Ranking is row-local: the four scores are sorted as an array, so no
     window or second shuffle is involved.
     """
-    wide = intent_scores_wide(messages, key, gazetteer, column, content_features)
+    wide = intent_scores_wide(messages, key, gazetteer, column, content_features, per_row)
     entries = F.array(*[F.struct((-F.col(i)).alias("k"), F.lit(r).alias("r"), F.lit(i).alias("intent"),
                                  F.col(i).alias("score")) for r, i in enumerate(INTENT_ORDER, 1)])
     best = F.greatest(*[F.col(i) for i in INTENT_ORDER])

@@ -180,12 +180,15 @@ def sender_lookup(senders: DataFrame, pattern: str, literal: bool = False) -> Da
 
 
 def top_senders_for_patterns(senders: DataFrame, n: int = 5, by: str = "volume") -> DataFrame:
-    """The ``n`` senders whose content gets analysed, by ``total_volume`` or ``ignorance``."""
+    """The ``n`` senders whose content gets analysed, by ``total_volume`` or ``ignorance``.
+
+    As any top-n, the ``n`` rows end in one task, which numbers them; ``n`` is the length of a report.
+    """
     if by not in ("volume", "ignorance"):
         raise ValueError("by must be 'volume' or 'ignorance'")
     metric = "total_volume" if by == "volume" else "ignorance_score"
     w = Window.orderBy(*_by(metric))
-    # rank kept so downstream reports can order by it; n is small, the limit is the feature
+    # rank kept so downstream reports can order by it
     return (senders.orderBy(*_by(metric)).limit(n)
             .withColumn("rank", F.row_number().over(w)))
 
