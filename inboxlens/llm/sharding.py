@@ -58,7 +58,8 @@ def shard(records: DataFrame, shards: int, size: Column, *, seed: int = 42,
     copies = copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     copies = rows.where(~F.col("often")).select("row", F.lit(1).cast("long").alias("copy")).unionByName(copies)
     bucket = F.pmod(F.xxhash64(F.lit(seed), "row", "copy"), F.lit(buckets))
-    scattered = materialize(copies.select(bucket.alias("bucket"), "copy", "row"), "scattered")
+    # Made twice rather than written: numbers of rows need no row to move, and the shuffle by bucket writes each once.
+    scattered = copies.select(bucket.alias("bucket"), "copy", "row")
     counts = _offsets(scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
     mixed = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("row", "copy"))).alias("rows"))
     mixed = mixed.sortWithinPartitions("bucket").select("bucket", F.shuffle("rows", seed).alias("rows"))
