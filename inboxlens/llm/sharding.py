@@ -1,6 +1,6 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 scatters the records over buckets by a seeded hash and writes them; the number of buckets follows from the
+Pass 1 scatters the records over buckets by a seeded hash (a shuffle writes them); the number of buckets follows from the
 total size, so that a bucket fits into a task's memory. Pass 2 shuffles every bucket (Spark's ``shuffle`` is an
 inside-out Fisher-Yates). The buckets in order are one uniformly shuffled sequence, which is cut into equal shards.
 """
