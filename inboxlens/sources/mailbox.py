@@ -20,7 +20,9 @@ import random
 import sys
 import time
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import Protocol
 
 import pyarrow as pa
@@ -44,6 +46,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LISTING = "id string, ts timestamp, labelIds array<string>"
 #: Ids of one request, requests repeated before a partition gives up, and the first and the longest wait in seconds.
 BATCH, RETRIES, FIRST_WAIT, LONGEST_WAIT = 100, 6, 0.5, 60.0
+#: Ids in a file of a fetch plan, which is a partition of the fetch, and bytes of a row group of exported messages.
+PLAN_ROWS, GROUP_BYTES = 100_000, 1 << 20
 
 
 class Busy(Exception):
@@ -239,12 +243,13 @@ def listing(spark: SparkSession, name: str, **options) -> DataFrame:
 def fetch(spark: SparkSession, plan: DataFrame, name: str, requests: int | None = None, **options) -> DataFrame:
     """Cache rows of the ids of ``plan``, each asked for once; ids that can't be fetched are absent.
 
-    The plan is written, in ``requests`` parts (by a hash of the id) if given; each part is a partition of the scan.
+    The plan is written in rising order of ids, in ``requests`` parts if given, so that a service finds ids asked for
+    together close to each other; each file of a part, PLAN_ROWS ids at most, is a partition of the scan.
     """
     path = shared_dir(spark, "fetch-plan")
     ids = plan.select("id").distinct()
-    ids = ids.repartition(requests, "id") if requests else ids
-    ids.write.parquet(path)
+    ids = ids.repartitionByRange(requests, "id") if requests else ids.repartitionByRange("id")
+    ids.sortWithinPartitions("id").write.option("maxRecordsPerFile", PLAN_ROWS).parquet(path)
     return spark.read.format(name).options(table="messages", plan=path, **options).load()
 
 
@@ -253,13 +258,20 @@ def fetch(spark: SparkSession, plan: DataFrame, name: str, requests: int | None
 # ---------------------------------------------------------------------------
 
 class ExportedMailbox:
-    """A mailbox exported to Parquet by :func:`export`: a page for each listing file, messages in folders by id."""
+    """A mailbox exported to Parquet by :func:`export`: a page for each listing file, messages in folders by a hash of the id.
+
+    Of the messages it knows the bounds of every row group and holds the last one read of each folder, so that ids in
+    rising order read each row group once.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
         self.fs, self.root = _files(self.path)
-        self.bucket: tuple[int, pa.Table] | None = None
         self.parts = int(options["parts"])
+        self.groups: dict[int, list[tuple[str, str, str, int]]] = {}
+        self.reach: dict[int, list[str]] = {}
+        self.opened: dict[int, tuple[str, pq.ParquetFile]] = {}
+        self.held: dict[int, tuple[tuple[str, int], pa.Table, dict[str, list[int]]]] = {}
 
     def pages(self) -> list[str]:
         return _part_files(f"{self.path}/listing")
@@ -282,12 +294,51 @@ class ExportedMailbox:
         by: dict[int, list[str]] = {}
         for i in ids:
             by.setdefault(_part_of(i, self.parts), []).append(i)
-        found = [pads.dataset(f"{self.root}/messages/part={k}", filesystem=self.fs, format="parquet").to_table(
-            columns=CACHE.fieldNames(), filter=pc.field("id").isin(own)) for k, own in by.items() if self._has(k)]
+        found = [rows for k, own in by.items() for rows in self._find(k, sorted(set(own)))]
         return pa.concat_tables(found) if found else to_arrow_schema(CACHE).empty_table()
 
-    def _has(self, k: int) -> bool:
-        return self.fs.get_file_info(f"{self.root}/messages/part={k}").type != pafs.FileType.NotFound
+    def _find(self, k: int, ids: list[str]) -> Iterator[pa.Table]:
+        """The messages of ``ids`` (rising) in folder ``k``."""
+        if k not in self.groups:
+            self.groups[k] = sorted(g for name in _part_files(f"{self.path}/messages/part={k}") for g in self._bounds_of(name))
+            self.reach[k] = list(accumulate((high for _, high, _, _ in self.groups[k]), max))
+        groups = self.groups[k]
+        for i in range(bisect_left(self.reach[k], ids[0]), len(groups)):
+            low, high, name, number = groups[i]
+            if low > ids[-1]:
+                return
+            at = bisect_left(ids, low)
+            if at < len(ids) and ids[at] <= high:
+                rows, places = self._group(k, name, number)
+                wanted = [p for x in ids[at:] for p in places.get(x, ())]
+                if wanted:
+                    yield rows.take(wanted)
+
+    def _open(self, name: str) -> pq.ParquetFile:
+        return pq.ParquetFile(self.fs.open_input_file(name))
+
+    def _bounds_of(self, name: str) -> Iterator[tuple[str, str, str, int]]:
+        """(first id, last id, file, number) of a file's row groups; without statistics every id may be there."""
+        with self._open(name) as f:
+            at = f.metadata.schema.names.index("id")
+            for i in range(f.metadata.num_row_groups):
+                s = f.metadata.row_group(i).column(at).statistics
+                known = s is not None and s.has_min_max
+                yield (s.min, s.max, name, i) if known else ("", chr(sys.maxunicode), name, i)
+
+    def _group(self, k: int, name: str, number: int) -> tuple[pa.Table, dict[str, list[int]]]:
+        """A row group and the places of each id in it."""
+        if k not in self.held or self.held[k][0] != (name, number):
+            if k not in self.opened or self.opened[k][0] != name:
+                if k in self.opened:
+                    self.opened.pop(k)[1].close()
+                self.opened[k] = name, self._open(name)
+            rows = self.opened[k][1].read_row_group(number, columns=CACHE.fieldNames()).select(CACHE.fieldNames())
+            places: dict[str, list[int]] = {}
+            for p, x in enumerate(rows["id"].to_pylist()):
+                places.setdefault(x, []).append(p)
+            self.held[k] = (name, number), rows, places
+        return self.held[k][1:]
 
 
 def _part_of(message_id: str, parts: int) -> int:
@@ -295,7 +346,7 @@ def _part_of(message_id: str, parts: int) -> int:
 
 
 def export(mailbox: DataFrame, messages: DataFrame, path: str, parts: int = 16) -> dict[str, str]:
-    """Write a mailbox ``(id, ts, labelIds)``, ranged by time into pages, and its cache rows by a hash of the id.
+    """Write a mailbox ``(id, ts, labelIds)``, ranged by time into pages, and its cache rows by a hash of the id, then by id.
 
     Gives the options with which :class:`ExportedMailbox` reads it.
     """
@@ -303,5 +354,7 @@ def export(mailbox: DataFrame, messages: DataFrame, path: str, parts: int = 16)
     mailbox.select("id", F.unix_micros("ts").alias("micros"), "labelIds").repartitionByRange("micros").sortWithinPartitions(
         "micros").write.parquet(f"{path}/listing")
     part = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(parts)).cast("int")
-    messages.select(*CACHE.fieldNames(), part.alias("part")).write.partitionBy("part").parquet(f"{path}/messages")
+    placed = messages.select(*CACHE.fieldNames(), part.alias("part")).repartitionByRange("part", "id")
+    placed.sortWithinPartitions("part", "id").write.option("parquet.block.size", GROUP_BYTES).partitionBy("part").parquet(
+        f"{path}/messages")
     return {"path": path, "parts": str(parts)}

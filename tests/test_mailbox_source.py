@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import pyarrow as pa
+import pyarrow.parquet  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,32 @@ def test_new_pages_come_as_a_stream(spark, tmp_dir):
         assert run() == sorted(i for p in sorted(PAGES)[:many] for i, _, _ in PAGES[p])
     with pytest.raises(Exception, match="only the listing is a stream"):
         spark.readStream.format("counted").options(seen=seen, table="messages").load().writeStream.format("noop").start().awaitTermination()
+
+
+def test_ids_are_asked_for_in_order_and_row_groups_read_once(spark, tmp_dir, monkeypatch):
+    """Every batch used to read whole folders of messages."""
+    monkeypatch.setattr(MB, "GROUP_BYTES", 4096)
+    monkeypatch.setattr(MB, "PLAN_ROWS", 70)
+    box = V.mailbox(spark, SF001)
+    sent = V.fetch_results(spark, SF001, box)
+    sent = sent.unionByName(sent.where("id like '%7'"))                # an id may be there twice
+    options = MB.export(box, sent, os.path.join(tmp_dir, "service"), parts=3)
+    plan = os.path.join(tmp_dir, "plan")
+    monkeypatch.setattr(MB, "shared_dir", lambda *_: plan)
+    MB.register(spark, "mailbox-test", MB.ExportedMailbox, batch=20)
+    got = MB.fetch(spark, box.select("id"), "mailbox-test", requests=2, **options)
+    want = sorted(map(str, sent.collect()))
+    assert sorted(map(str, got.collect())) == want
+    files = [pa.parquet.read_table(f)["id"].to_pylist() for f in MB._part_files(plan)]
+    assert len(files) > 4 and all(f == sorted(f) and len(f) <= 70 for f in files)
+    files.sort()
+    assert all(a[-1] < b[0] for a, b in zip(files, files[1:], strict=False))
+
+    read = []
+    mail = MB.ExportedMailbox(options)
+    plain = pa.parquet.ParquetFile.read_row_group
+    monkeypatch.setattr(pa.parquet.ParquetFile, "read_row_group", lambda f, i, **k: read.append(i) or plain(f, i, **k))
+    ids = sorted(r["id"] for r in box.collect())
+    rows = sum(mail.get(ids[i:i + 20]).num_rows for i in range(0, len(ids), 20))
+    assert rows == len(want) and 6 < len(read) <= sum(len(g) for g in mail.groups.values())
+    assert mail.get(["0", "zz"]).num_rows == 0
