@@ -102,13 +102,16 @@ def _prefix(depth: Column) -> Column:
 
 
 def in_buckets(rows: DataFrame, known: list[Bucket]) -> DataFrame:
-    """``rows`` with the bucket that each id falls into (depth, prefix, version, upto, and ``held``, its rows)."""
+    """``rows`` with the bucket that each id falls into (depth, prefix, version, upto, and ``held``, its rows).
+
+    The directory is broadcast: dealt by bucket, all rows of a log of few buckets would meet in as few tasks.
+    """
     spark = rows.sparkSession
     table = spark.createDataFrame([(b.depth, b.prefix, b.version, b.rows, b.upto) for b in known],
                                   "depth int, prefix long, version long, held long, upto long")
     depths = sorted({b.depth for b in known})
     placed = rows.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths])))
-    return placed.withColumn("prefix", _prefix(F.col("depth"))).join(table, ["depth", "prefix"])
+    return placed.withColumn("prefix", _prefix(F.col("depth"))).join(F.broadcast(table), ["depth", "prefix"])
 
 
 def _deltas(spark: SparkSession, log: MessageLog, seqs: list[int]) -> DataFrame:
@@ -134,9 +137,12 @@ def _pending(spark: SparkSession, log: MessageLog, known: list[Bucket], last: in
 
 
 def _newest(deltas: DataFrame) -> DataFrame:
-    """Of every id the row of the highest batch. A batch has an id once; a bucket that took it in holds the same row."""
+    """Of every id the row of the highest batch. A batch has an id once; a bucket that took it in holds the same row.
+
+    Rows are dealt by id first: a file's rows rarely share an id, and sorting them before the shuffle takes a file's memory.
+    """
     cols = [*CACHE.fieldNames()[1:], "gone"]
-    return deltas.groupBy("id").agg(F.max_by(F.struct(*cols), "seq").alias("r")).select("id", *[F.col(f"r.{c}") for c in cols])
+    return deltas.repartition("id").groupBy("id").agg(F.max_by(F.struct(*cols), "seq").alias("r")).select("id", *[F.col(f"r.{c}") for c in cols])
 
 
 def _merged(base: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -228,7 +234,7 @@ def compact(spark: SparkSession, log: MessageLog, at: State) -> State:
     made: list[Bucket] = []
     if chosen:
         rows = _merged(_base(spark, log, chosen), in_buckets(deltas, known).join(
-            spark.createDataFrame([(b.depth, b.prefix) for b in chosen], "depth int, prefix long"), ["depth", "prefix"],
+            F.broadcast(spark.createDataFrame([(b.depth, b.prefix) for b in chosen], "depth int, prefix long")), ["depth", "prefix"],
             "left_semi").select(*CACHE.fieldNames(), "gone", "seq"))
         # New depth of each chosen bucket: as many further bits as bring its parts below the target.
         deeper = {(b.depth, b.prefix): b.depth + max(0, math.ceil(math.log2(due[b.depth, b.prefix] / log.target))) for b in chosen}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inboxlens.operators import messages as MS
 from inboxlens.operators import refresh as RF
 from inboxlens.operators import senders as SN
+from inboxlens.schemas import CACHE
 from inboxlens.streaming import message_log as ML
 from tests.fixtures import cache_item
 
@@ -118,3 +119,24 @@ def test_change_feed_is_one_join(spark, swap):
         assert got == {("same", "added", "a"), ("new", "kept", "d"), ("old", "kept", "e"), ("late", "replaced", "c")}
     else:
         assert got == {("same", "kept", "a"), ("new", "added", "d"), ("old", "replaced", "e"), ("late", "kept", "c")}
+
+
+def test_rows_of_one_bucket_are_not_dealt_by_bucket(spark):
+    """With one bucket, as before the first compaction, all rows used to meet in one task."""
+    rows = spark.range(0, 4000, 1, 4).select(F.concat(F.lit("m"), "id").alias("id"))
+    for known in ([ML.Bucket(0, 0, -1, 0, -1)], [ML.Bucket(1, 0, 0, 5, 0), ML.Bucket(2, 2, -1, 0, 1), ML.Bucket(2, 3, 1, 7, 1)]):
+        placed = ML.in_buckets(rows, known)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(depth" not in plan
+        assert placed.count() == placed.select("id").distinct().count() == 4000
+        assert placed.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def test_deltas_are_dealt_by_id_before_they_are_sorted(spark):
+    cols = [F.lit(None).cast(f.dataType).alias(f.name) for f in CACHE.fields[1:]]
+    deltas = spark.range(0, 300, 1, 3).select(F.concat(F.lit("m"), F.col("id") % 200).alias("id"), *cols,
+                                              (F.col("id") >= 250).alias("gone"), F.col("id").alias("seq"))
+    newest = ML._newest(deltas)
+    steps = [x for x in newest._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x or "Aggregate" in x]
+    assert steps and "Exchange" in steps[-1]                           # the lowest step of all
+    assert newest.count() == 200 and newest.where("gone").count() == 50
