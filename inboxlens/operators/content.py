@@ -148,6 +148,27 @@ def _ngrams_of(tok, n):
     return F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
+#: Bits of the map of gazetteer entries: what is broadcast are 2**GRAM_BITS / 64 rows of 16 bytes at most.
+GRAM_BITS = 26
+
+
+def _gram_marks(gazetteer: DataFrame) -> DataFrame:
+    """(_at, _bits): a bit map of the hashes of ``_gram``; its size is bounded whatever the gazetteer's."""
+    slot = F.xxhash64("_gram").bitwiseAND(F.lit((1 << GRAM_BITS) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return (gazetteer.select(F.shiftright(slot, 6).alias("_at"), bit.alias("_bit"))
+            .groupBy("_at").agg(F.bit_or("_bit").alias("_bits")))
+
+
+def _marked(grams: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows whose ``_gram`` may be an entry: all that are one, and some others."""
+    names = grams.columns
+    slot = F.xxhash64("_gram").bitwiseAND(F.lit((1 << GRAM_BITS) - 1))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_slot").bitwiseAND(F.lit(63)).cast("int"))
+    met = grams.withColumn("_slot", slot).withColumn("_at", F.shiftright("_slot", 6)).join(F.broadcast(marks), "_at")
+    return met.where(F.col("_bits").bitwiseAND(mask) != 0).select(*names)
+
+
 def message_entities(messages: DataFrame, gazetteer: DataFrame | None = None,
                      column: str = "snippet") -> DataFrame:
     """``(from, id, label, entity)``, distinct per message.
@@ -156,10 +177,13 @@ def message_entities(messages: DataFrame, gazetteer: DataFrame | None = None,
     the gazetteer ``(label, surface)``, matched on n-grams of the cleaned text
     by an inner equi-join. The n-gram lengths are those of the gazetteer's own
     entries, however long, gathered in one row of different lengths. Rows with
-    other labels or without words are left out. No side is forced into a
-    broadcast: Spark decides by size.
+    other labels or without words are left out. Texts are dealt out evenly
+    first, as a few small files may hold very many of them. Most n-grams are no
+    entry: those that a broadcast bit map of bounded size rules out are not
+    shuffled. Neither side of the join is forced into a broadcast: Spark
+    decides by size.
     """
-    src = messages.select("from", "id", F.coalesce(F.col(column), F.lit("")).alias("_t"))
+    src = messages.select("from", "id", F.coalesce(F.col(column), F.lit("")).alias("_t")).hint("rebalance")
     patterns = F.array(*[F.struct(F.lit(label).alias("label"), F.regexp_extract_all("_t", F.lit(rx), 0).alias("v"))
                          for label, rx in (("MONEY", MONEY_PATTERN), ("DATE", DATE_PATTERN))])
     rows = (src.select("from", "id", F.explode(patterns).alias("_c"))
@@ -172,7 +196,7 @@ def message_entities(messages: DataFrame, gazetteer: DataFrame | None = None,
         lengths = g.agg(F.sort_array(F.collect_set("_n")).alias("_lengths"))
         tok = src.select("from", "id", words("_t").alias("_w")).crossJoin(F.broadcast(lengths))  # one row
         grams = F.flatten(F.transform("_lengths", lambda n: _ngrams_of(F.col("_w"), n)))
-        hits = (tok.select("from", "id", F.explode(grams).alias("_gram"))
+        hits = (_marked(tok.select("from", "id", F.explode(grams).alias("_gram")), _gram_marks(g))
                 .join(g.select("_label", "_surface", "_gram"), "_gram"))
         rows = rows.unionByName(hits.select("from", "id", F.col("_label").alias("label"),
                                             F.col("_surface").alias("entity")))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from inboxlens.functions.text import clean_text, common_words_filtered, keyword_tokens, subject_class
 from inboxlens.operators import content as CT
 from inboxlens.schemas import INTENT_KEYWORDS
@@ -108,3 +110,22 @@ def test_no_python_udf_in_content_plans(spark):
     for df in (CT.top_keywords(msgs), CT.top_intents(msgs, 3), CT.top_entities(msgs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_entities_of_a_small_file_are_dealt_out_and_few_ngrams_are_shuffled(spark):
+    """One file's texts used to be worked on in one task, and every n-gram of them met the gazetteer by a shuffle."""
+    texts = [(f"s{i % 3}@x", f"m{i}", f"Firm {i} met Acme Corp of Paris on 3 May 2024 for $5, then firm {i + 1}") for i in range(400)]
+    m = spark.createDataFrame(texts, "from string, id string, snippet string").coalesce(1)
+    g = spark.createDataFrame([("ORG", "Acme Corp"), ("GPE", "Paris"), ("GPE", "paris"), ("ORG", "Firm 7"), ("OTHER", "May")],
+                              "label string, surface string")
+    ents = CT.message_entities(m, g)
+    assert "REBALANCE_PARTITIONS_BY_NONE" in ents._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in ents.groupBy("label", "entity").count().collect())
+    assert got == [("DATE", "3 May 2024", 400), ("GPE", "Paris", 400), ("GPE", "paris", 400), ("MONEY", "$5", 400),
+                   ("ORG", "Acme Corp", 400), ("ORG", "Firm 7", 2)]
+    entries = spark.range(1000).select(F.concat(F.lit("entry "), "id").alias("_gram"))
+    grams = entries.unionByName(spark.range(20000).select(F.concat(F.lit("other "), "id").alias("_gram")))
+    left = CT._marked(grams, CT._gram_marks(entries))
+    assert left.where("_gram like 'entry%'").count() == 1000 and left.count() < 1100
+    top = CT.top_entities(m, g, 1)
+    assert "REBALANCE_PARTITIONS_BY_NONE" in top._jdf.queryExecution().executedPlan().toString() and top.count() == 12
