@@ -141,34 +141,44 @@ DATE_PATTERN = (rf"(?i)\b(?:\d{{4}}-\d{{2}}-\d{{2}}\b|\d{{1,2}}/\d{{1,2}}/\d{{2,
                 r"|(?:(?:mon|tues|wednes|thurs|fri|satur|sun)day|today|tomorrow|yesterday)\b)")
 
 
-def _ngrams_of(tok, n):
-    """Space-joined n-grams of an array column, as an array (empty when too short)."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tok) - n + 1),
-                        lambda i: F.array_join(F.slice(tok, i, n), " "))
-    return F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
+#: Bits of the maps of gazetteer entries and of their first words: what is broadcast are 2**bits / 64 rows of 16 bytes at most.
+GRAM_BITS, FIRST_BITS = 26, 20
 
 
-#: Bits of the map of gazetteer entries: what is broadcast are 2**GRAM_BITS / 64 rows of 16 bytes at most.
-GRAM_BITS = 26
-
-
-def _gram_marks(gazetteer: DataFrame) -> DataFrame:
+def _gram_marks(gazetteer: DataFrame, bits: int = GRAM_BITS) -> DataFrame:
     """(_at, _bits): a bit map of the hashes of ``_gram``; its size is bounded whatever the gazetteer's."""
-    slot = F.xxhash64("_gram").bitwiseAND(F.lit((1 << GRAM_BITS) - 1))
+    slot = F.xxhash64("_gram").bitwiseAND(F.lit((1 << bits) - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
     return (gazetteer.select(F.shiftright(slot, 6).alias("_at"), bit.alias("_bit"))
             .groupBy("_at").agg(F.bit_or("_bit").alias("_bits")))
 
 
-def _marked(grams: DataFrame, marks: DataFrame) -> DataFrame:
+def _marked(grams: DataFrame, marks: DataFrame, bits: int = GRAM_BITS) -> DataFrame:
     """The rows whose ``_gram`` may be an entry: all that are one, and some others."""
     names = grams.columns
-    slot = F.xxhash64("_gram").bitwiseAND(F.lit((1 << GRAM_BITS) - 1))
+    slot = F.xxhash64("_gram").bitwiseAND(F.lit((1 << bits) - 1))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_slot").bitwiseAND(F.lit(63)).cast("int"))
     met = grams.withColumn("_slot", slot).withColumn("_at", F.shiftright("_slot", 6)).join(F.broadcast(marks), "_at")
     return met.where(F.col("_bits").bitwiseAND(mask) != 0).select(*names)
 
 
+def _entry_grams(texts: DataFrame, g: DataFrame) -> DataFrame:
+    """``(from, id, _gram)``: the n-grams of ``_t`` that may be an entry ``_gram`` of ``g``, of ``_n`` words.
+
+    Only words that may begin an entry are followed further: an n-gram is put together for these alone, in each of the
+    lengths of the entries, which are gathered in one row.
+    """
+    firsts = g.select(F.substring_index("_gram", " ", 1).alias("_gram"))
+    lengths = g.agg(F.collect_set("_n").alias("_lengths"))
+    tok = texts.select("from", "id", words("_t").alias("_w"))
+    starts = _marked(tok.select("from", "id", "_w", F.posexplode("_w").alias("_i", "_gram")),
+                     _gram_marks(firsts, FIRST_BITS), FIRST_BITS).drop("_gram")
+    sized = (starts.crossJoin(F.broadcast(lengths))  # one row
+             .select("from", "id", "_w", "_i", F.explode("_lengths").alias("_n")).where("_i + _n <= size(_w)"))
+    grams = sized.select("from", "id", F.array_join(F.slice("_w", F.col("_i") + 1, F.col("_n")), " ").alias("_gram"))
+    return _marked(grams, _gram_marks(g))
+
+
 def message_entities(messages: DataFrame, gazetteer: DataFrame | None = None,
                      column: str = "snippet") -> DataFrame:
     """``(from, id, label, entity)``, distinct per message.
@@ -178,26 +188,26 @@ def message_entities(messages: DataFrame, gazetteer: DataFrame | None = None,
     by an inner equi-join. The n-gram lengths are those of the gazetteer's own
     entries, however long, gathered in one row of different lengths. Rows with
     other labels or without words are left out. Texts are dealt out evenly
-    first, as a few small files may hold very many of them. Most n-grams are no
-    entry: those that a broadcast bit map of bounded size rules out are not
-    shuffled. Neither side of the join is forced into a broadcast: Spark
-    decides by size.
+    first, as a few small files may hold very many of them. Most words begin no
+    entry and most n-grams are none: those that a broadcast bit map of bounded
+    size rules out are not put together or not shuffled. Neither side of the
+    join is forced into a broadcast: Spark decides by size. What the patterns
+    find is made distinct by itself first, so that they are searched in as many
+    tasks as there are cores and not in the few that the join's stage leaves
+    to them.
     """
     src = messages.select("from", "id", F.coalesce(F.col(column), F.lit("")).alias("_t")).hint("rebalance")
     patterns = F.array(*[F.struct(F.lit(label).alias("label"), F.regexp_extract_all("_t", F.lit(rx), 0).alias("v"))
                          for label, rx in (("MONEY", MONEY_PATTERN), ("DATE", DATE_PATTERN))])
     rows = (src.select("from", "id", F.explode(patterns).alias("_c"))
-               .select("from", "id", F.col("_c.label").alias("label"), F.explode("_c.v").alias("entity")))
+               .select("from", "id", F.col("_c.label").alias("label"), F.explode("_c.v").alias("entity"))
+               .dropDuplicates(["id", "label", "entity", "from"]))
     if gazetteer is not None:
         g = (gazetteer.where(F.col("label").isin(*ENTITY_LABELS))
              .select(F.col("label").alias("_label"), F.col("surface").alias("_surface"),
                      clean_text("surface").alias("_gram"), F.size(words("surface")).alias("_n"))
              .where(F.col("_n") > 0))
-        lengths = g.agg(F.sort_array(F.collect_set("_n")).alias("_lengths"))
-        tok = src.select("from", "id", words("_t").alias("_w")).crossJoin(F.broadcast(lengths))  # one row
-        grams = F.flatten(F.transform("_lengths", lambda n: _ngrams_of(F.col("_w"), n)))
-        hits = (_marked(tok.select("from", "id", F.explode(grams).alias("_gram")), _gram_marks(g))
-                .join(g.select("_label", "_surface", "_gram"), "_gram"))
+        hits = _entry_grams(src, g).join(g.select("_label", "_surface", "_gram"), "_gram")
         rows = rows.unionByName(hits.select("from", "id", F.col("_label").alias("label"),
                                             F.col("_surface").alias("entity")))
     return rows.where(F.length("entity") > 0).dropDuplicates(["id", "label", "entity", "from"])

@@ -129,3 +129,23 @@ def test_entities_of_a_small_file_are_dealt_out_and_few_ngrams_are_shuffled(spar
     assert left.where("_gram like 'entry%'").count() == 1000 and left.count() < 1100
     top = CT.top_entities(m, g, 1)
     assert "REBALANCE_PARTITIONS_BY_NONE" in top._jdf.queryExecution().executedPlan().toString() and top.count() == 12
+
+
+def test_ngrams_are_put_together_only_where_an_entry_may_begin(spark):
+    """Every n-gram of every text used to be put together; patterns were searched in the few tasks of the join's stage."""
+    m = spark.createDataFrame([("a", "1", "the acme corp of new new york, acme"), ("a", "2", None), ("b", "3", "corp acme new"),
+                               ("a", "4", "york $5 acme corp inc acme corp inc")], "from string, id string, snippet string")
+    g = spark.createDataFrame([("ORG", "Acme Corp", "acme corp", 2), ("ORG", "ACME corp inc", "acme corp inc", 3),
+                               ("GPE", "new york", "new york", 2), ("GPE", "York", "york", 1)],
+                              "label string, surface string, _gram string, _n int")
+    grams = CT._entry_grams(m.withColumn("_t", F.coalesce("snippet", F.lit(""))), g)
+    assert sorted(r._gram for r in grams.where("id = '4'").collect()) == ["acme corp"] * 2 + ["acme corp inc"] * 2 + ["york"]
+    assert grams.where("id = '3'").isEmpty()
+    money = spark.createDataFrame([("MONEY", "$5"), ("DATE", "acme"), ("MONEY", "5")], "label string, surface string")
+    ents = CT.message_entities(m, g.select("label", "surface").unionByName(money))
+    assert sorted(tuple(r) for r in ents.select("id", "label", "entity").collect()) == [
+        ("1", "DATE", "acme"), ("1", "GPE", "York"), ("1", "GPE", "new york"), ("1", "ORG", "Acme Corp"), ("3", "DATE", "acme"),
+        ("4", "DATE", "acme"), ("4", "GPE", "York"), ("4", "MONEY", "$5"), ("4", "MONEY", "5"), ("4", "ORG", "ACME corp inc"),
+        ("4", "ORG", "Acme Corp")]
+    plan = ents._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [id") == 2 and "transform(" not in plan
