@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_strays, materialize, slices
+from .common import drop_strays, flagged, marked, materialize, slices
 from .graph import merged
 from .words import cut
 
@@ -25,8 +25,10 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Values in a band, and the largest probability that a pair of just that similarity shares no band.
 BAND_ROWS, MISS = 5, 1e-6
 SEED = 42
-#: Buckets with more sets than this are not paired: each is compared with one of its own, what that leaves apart is banded again.
-PAIRED = 32
+#: Sets that the links with a bucket's first leave apart are compared with all of its sets up to this number, and banded again beyond it.
+PAIRED = 1024
+#: Bits of the map of each set's shingles.
+MAP_BITS = 2048
 #: Bytes of text that a worker cuts at a time.
 TEXT_BYTES = 1 << 20
 SPACE = b" \t\n\v\f\r"
@@ -107,6 +109,13 @@ def _low_bits(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
+def _maps(own: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each row of ``own`` a bit map of its hashes, 64 bits to a word."""
+    at = np.zeros((len(own), MAP_BITS), np.uint8)
+    at[np.searchsorted(own, rows), (hashes & np.uint64(MAP_BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(at, axis=1).view(np.uint64)
+
+
 def most_differing(bits: int, similarity: float, miss: float = 1e-9) -> int:
     """The number of differing low bits that a pair of this similarity passes with probability ``miss`` at most."""
     p, tail = (1 - similarity) / 2, 0.0
@@ -118,7 +127,7 @@ def most_differing(bits: int, similarity: float, miss: float = 1e-9) -> int:
 
 
 def _prints(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
-    """(doc_id, of1, of2, n, d1, d2, keys, bits): hashes of text and set, size of the set, band keys, low bits."""
+    """(doc_id, of1, of2, n, d1, d2, keys, bits, map): hashes of text and set, size of the set, band keys, low bits, bit map."""
     functions = math.ceil(rows * bands / 2)
 
     def work(batches):
@@ -133,16 +142,16 @@ def _prints(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                     d = xxhash.xxh3_128_intdigest(h[stops[i] - n[i]:stops[i]].tobytes(), SEED)
                     digest[i] = d >> 64, d & 0xFFFFFFFFFFFFFFFF
                 lists = []
-                for made in (_band_keys(values, rows, bands), _low_bits(values)):
+                for made in (_band_keys(values, rows, bands), _low_bits(values), _maps(own, r, h)):
                     ends = np.cumsum(np.where(n > 0, made.shape[1], 0))
                     lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(made.view(np.int64).ravel())))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(2), b.column(3), pa.array(n, pa.int64()), pa.array(digest[:, 0].view(np.int64)),
                      pa.array(digest[:, 1].view(np.int64)), *lists],
-                    names=["doc_id", "of1", "of2", "n", "d1", "d2", "keys", "bits"])
+                    names=["doc_id", "of1", "of2", "n", "d1", "d2", "keys", "bits", "map"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {kind}, of1 long, of2 long, n long, d1 long, d2 long, keys array<long>, bits array<long>")
+    return docs.mapInArrow(work, f"doc_id {kind}, of1 long, of2 long, n long, d1 long, d2 long, keys array<long>, bits array<long>, map array<long>")
 
 
 def _text_hashes(text: Column) -> list[Column]:
@@ -171,77 +180,88 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, numerator: int, d
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(work, "u long, v long")
 
 
-def _pairs(kept: DataFrame, paired: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v), u < v, to compare from ``kept`` (key, n, leader, node, root), and its large buckets.
+def _ones(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda t, x: t + F.bit_count(x))
+
 
-    Sets of a small bucket are paired; those of a large one only with its leader. Nodes of one root are joined already.
+def _alike(x: str, y: str, numerator: int, denominator: int, bits: int) -> Column:
+    """Cheap tests of two rows (size, held, map, bits) that no similar pair fails (or, the last, one in 1e9), made before any text moves.
+
+    Every bit that only one set's map has stands for a shingle that only this set has, which bounds what the two share.
     """
-    few = kept.where(F.col("n") <= paired)
-    a, b = few.alias("a"), few.alias("b")
-    small = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (
-        F.col("a.root") != F.col("b.root"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    many = kept.where(F.col("n") > paired)
-    led = many.where("node != leader and root != leader_root").select(F.col("leader").alias("u"), F.col("node").alias("v"))
-    return small.unionByName(led).distinct(), many
+    of = lambda at, name: F.col(f"{at}.{name}")
+    n1, n2 = of(x, "size"), of(y, "size")
+    both = _ones(F.zip_with(of(x, "map"), of(y, "map"), lambda a, b: a.bitwiseAND(b)))
+    shared = both + F.least(n1 - of(x, "held"), n2 - of(y, "held"))
+    differing = _ones(F.zip_with(of(x, "bits"), of(y, "bits"), lambda a, b: a.bitwiseXOR(b)))
+    return (F.least(n1, n2) * denominator >= F.greatest(n1, n2) * numerator) & (
+        shared * (numerator + denominator) >= (n1 + n2) * numerator) & (
+        differing <= most_differing(bits, numerator / denominator))
 
 
 def parts_of(nodes: DataFrame, texts, words: int = SHINGLE_WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR,
              bits: int = 0, paired: int = PAIRED) -> DataFrame:
-    """(node, root) of the components of all confirmed links of ``nodes`` (node, n, keys, bits), the roots left out.
+    """(node, root) of the components of all confirmed links of ``nodes`` (node, n, keys, bits, map), the roots left out.
 
-    Buckets of up to ``paired`` sets are paired. In a larger one every set is compared with the bucket's smallest node;
-    when the links so far leave it in several parts, up to ``paired`` sets outside of its largest part are compared with
-    all others of other parts; if there are more, its sets are put into smaller buckets by a second shared band, then by a
-    third, and so on. So no large group is ever paired, and a group of near copies costs a comparison for each. ``texts`` gives the texts of a table of nodes.
+    In a bucket every set is compared with the smallest node. When the links so far leave the bucket in several parts, up to
+    ``paired`` sets outside of its largest part are compared with all others of other parts; if there are more, its sets
+    are put into smaller buckets by a second shared band, then by a third, and so on. So no large group is ever paired, and
+    a group of near copies costs a comparison for each. Comparisons are made on sizes and bit maps where buckets meet; only
+    pairs that these cannot tell apart are confirmed. ``texts`` gives the texts of a table of nodes.
     """
-    most = most_differing(bits, numerator / denominator)
-    facts = nodes.select("node", F.col("n").alias("size"), "bits")
-
-    def alike(n1, n2, b1, b2):
-        """Two cheap tests that no similar pair fails (or, the second, one in 1e9), made before any text moves."""
-        differing = F.aggregate(F.zip_with(b1, b2, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        return (F.least(n1, n2) * denominator >= F.greatest(n1, n2) * numerator) & (differing <= most)
+    c = F.col
+    facts = nodes.select("node", c("n").cast("int").alias("size"), _ones(c("map")).alias("held"), "map", "bits")
 
     def confirm(pairs):
         pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         return materialize(_confirmed(pairs, texts(ends), words, numerator, denominator), "links")
 
-    members = nodes.select("node", F.col("node").alias("root"), F.explode("keys").alias("key")).withColumn("last", F.col("key"))
-    parts = more = None
+    def alike(x, y):
+        return _alike(x, y, numerator, denominator, bits)
+
+    members = nodes.select("node", c("node").alias("root"), F.explode("keys").alias("key")).withColumn("last", c("key"))
+    parts = None
     while True:
-        buckets = members.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.min_by("root", "node").alias("leader_root"),
-            F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").drop("r1", "r2")
+        buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.min_by("root", "node").alias("leader_root"),
+                                             F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").drop("r1", "r2")
         kept = materialize(members.join(buckets, "key"), "buckets")
-        pairs, many = _pairs(kept, paired)
-        c = F.col
-        pairs = (pairs.join(facts.select(c("node").alias("u"), c("size").alias("n1"), c("bits").alias("b1")), "u")
-                 .join(facts.select(c("node").alias("v"), c("size").alias("n2"), c("bits").alias("b2")), "v")
-                 .where(alike(c("n1"), c("n2"), c("b1"), c("b2"))).select("u", "v"))
-        made = confirm(pairs)
-        parts = merged(parts, made if more is None else more.unionByName(made))
-        if many.isEmpty():
-            return parts
-        many = many.select("key", "last", "node").join(parts.withColumnRenamed("root", "part"), "node", "left")
-        many = materialize(many.select("key", "last", "node", F.coalesce("part", "node").alias("root")), "large-buckets")
-        # The parts of a bucket; all but the largest are its strays.
-        open_ = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        led = kept.where("node != leader and root != leader_root").select(c("leader").alias("u"), c("node").alias("v")).distinct()
+        led = (led.join(facts.alias("x"), c("u") == c("x.node")).join(facts.alias("y"), c("v") == c("y.node"))
+               .where(alike("x", "y")).select("u", "v"))
+        made = confirm(led)
+        parts = merged(parts, made)
+        # The parts of a bucket; all but the largest are its strays. In a bucket of two all is said.
+        rooted = kept.where("n > 2").select("key", "last", "node", "leader").join(parts.withColumnRenamed("root", "part"), "node", "left")
+        rooted = rooted.select("key", "last", "node", "leader", F.coalesce("part", "node").alias("root"))
+        open_ = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
             F.max_by("root", "n").alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
-        many = materialize(many.join(open_, "key").join(facts, "node"), "open-buckets")
-        if many.isEmpty():
-            return parts
-        # Few strays are compared with every set of their bucket that is not in their part: ``paired`` for each set at most.
-        few = many.where(c("strays") <= paired)
+        many = materialize(rooted.join(open_, "key"), "open-buckets")
+        few = many.where(c("strays") <= paired).where("node != leader")
+        # A pair meets in the first of the buckets that its sets share here, and two strays meet once.
+        own = few.groupBy("node").agg(F.collect_set("key").alias("own")).join(facts, "node")
+        few = materialize(few.join(own, "node"), "met")
         x, y = few.where("root != main").alias("x"), few.alias("y")
-        met = x.join(y, (c("x.key") == c("y.key")) & (c("x.root") != c("y.root")) & alike(c("x.size"), c("y.size"), c("x.bits"), c("y.bits")))
+        met = y.join(x, (c("x.key") == c("y.key")) & (c("x.root") != c("y.root")) & (
+            (c("y.root") == c("y.main")) | (c("x.node") < c("y.node"))) & alike("x", "y") & (
+            F.array_min(F.array_intersect("x.own", "y.own")) == c("x.key")))
         more = confirm(met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct())
-        again = many.where(c("strays") > paired).join(nodes.select("node", "keys"), "node")
+        if not more.isEmpty():
+            parts = merged(parts, more)
+        again = many.where(c("strays") > paired).select("node", "root", "key", "last")
+        if again.isEmpty():
+            return parts
+        if not more.isEmpty():
+            moved = again.drop("root").join(parts.withColumnRenamed("root", "part"), "node", "left")
+            again = moved.select("node", F.coalesce("part", "node").alias("root"), "key", "last")
         # Bands are taken in rising order, so that each set of shared bands makes one bucket.
-        again = again.select("node", "root", "key", F.explode(F.filter("keys", lambda k: k > c("last"))).alias("last"))
+        again = again.join(nodes.select("node", "keys"), "node").select(
+            "node", "root", "key", F.explode(F.filter("keys", lambda k: k > c("last"))).alias("last"))
         members = materialize(again.select("node", "root", F.xxhash64("key", "last").alias("key"), "last"), "bands-again")
         if members.isEmpty():
-            return merged(parts, more)
+            return parts
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SHINGLE_WORDS,
@@ -263,17 +283,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(_prints(hashed, words, band_rows, bands), "minmax")
     full = prints.where("n > 0")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "of1", "of2")
-    one = F.min_by(F.struct(F.col("doc_id").alias("least"), "of1", "of2", "n", "keys", "bits"), place)
+    one = F.min_by(F.struct(F.col("doc_id").alias("least"), "of1", "of2", "n", "keys", "bits", "map"), place)
     nodes = full.groupBy("d1", "d2").agg(one.alias("one"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "one.*"), "minmax-nodes")
 
     def texts(ends):
         # One row of each set, found by its id and its text's hashes, so that copies of a text are dealt out evenly.
         wanted = nodes.join(ends, "node").select("node", "least", F.col("of1").alias("w1"), F.col("of2").alias("w2"))
-        meet = hashed.join(wanted, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("of1") == F.col("w1")) & (F.col("of2") == F.col("w2")))
+        # Only texts whose hash is among the wanted move (a bit map of bounded size lets few others through).
+        near = flagged(hashed, F.col("of1"), marked(wanted.select(F.col("w1").alias("h")))).where("often")
+        meet = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("of1") == F.col("w1")) & (F.col("of2") == F.col("w2")))
         return meet.groupBy("node").agg(F.max("text").alias("text"))
 
-    roots = parts_of(nodes.select("node", "n", "keys", "bits"), texts, words, numerator, denominator,
+    roots = parts_of(nodes.select("node", "n", "keys", "bits", "map"), texts, words, numerator, denominator,
                      2 * math.ceil(band_rows * bands / 2), paired)
     named = nodes.join(roots, "node", "left").select("node", "d1", "d2", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

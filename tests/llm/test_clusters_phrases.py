@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from inboxlens.llm import centroids, minmax, phrases, words
 from tests.conftest import SF001
@@ -245,3 +246,30 @@ def test_tries_find_all_phrases_and_no_others():
             state = trie.step(state, np.array([ids.get(x, -1)]))
         found = int(trie.accepts[state[0]]) if state[0] >= 0 else -1
         assert found == known.get(p, -1)
+
+
+def test_a_bit_map_rules_out_no_similar_pair_and_large_buckets_meet_few_others(spark):
+    """Large buckets of sets that are alike but not similar used to be confirmed pair by pair, with all their texts."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(k, tag):
+        w = list(base)
+        for i in rng.choice(200, k, replace=False):
+            w[i] = f"{tag}{i}"
+        return " ".join(w)
+
+    texts = [" ".join(base)] + [changed(4, f"near{k}x") for k in range(6)] + [changed(18, f"far{k}x") for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    r, h = minmax.shingle_sets(pa.array(texts), 2)
+    sets = [set(h[r == i].tolist()) for i in range(len(texts))]
+    linked = [(u, v) for v in range(len(texts)) for u in range(v) if 100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v])]
+    prints = minmax._prints(df.select("doc_id", "text", *minmax._text_hashes(F.col("text"))), 2, 5, 36)
+    facts = prints.select(F.col("doc_id").alias("node"), F.col("n").alias("size"), minmax._ones(F.col("map")).alias("held"), "map", "bits")
+    x, y = facts.alias("x"), facts.alias("y")
+    met = x.join(y, (F.col("x.node") < F.col("y.node")) & minmax._alike("x", "y", 80, 100, 180))
+    met = {(u, v) for u, v in met.select("x.node", "y.node").collect()}
+    assert linked and set(linked) <= met and len(met) < len(linked) + 0.02 * len(texts) ** 2
+    want = [min([i] + [u for u, v in linked if v == i]) if i else 0 for i in range(len(texts))]
+    got = {row.doc_id: row.component_id for row in minmax.near_duplicates(df).collect()}
+    assert len([i for i in got if got[i] == i]) > 30 and got == {i: want[i] for i in got}
