@@ -272,7 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document is the set of its different shingles of ``words`` words (A-Z in lower case, cut at white space; fewer words
     make one shingle). Documents with denominator * intersection >= numerator * union are linked; the component id is the
     smallest id that can be reached, and the document of that id is kept. A pair of exactly that similarity is missed with
-    probability ``miss``, a more similar one far more seldom; no other pair is linked. Equal sets are one node, so copies
+    probability ``miss``, a more similar one far more seldom (more often if it only shares a bucket with more than
+    ``paired`` strays, where it must share a second band); no other pair is linked. Equal sets are one node, so copies
     cost no comparison. Null, empty and blank texts have no shingle and are linked with nothing: such a row is its own
     component and kept. A null id never is a component id unless its component has no other; then the id is null and all
     rows are kept. Rows of one id may repeat and are kept together. An empty table gives no rows.
