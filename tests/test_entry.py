@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF001
 
-TABLES = ["orders", "events", "documents", "nation", "region", "customer", "supplier", "part", "benchmark"]
+TABLES = ["orders", "events", "documents", "nation", "region", "customer", "supplier", "part", "benchmark", "embeddings"]
 
 
 @pytest.fixture(scope="module")
