@@ -12,6 +12,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ SHINGLE_WORDS, MIN_OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
 #: Postings in a block of the index; bytes of test items in one index (more items make more indexes, one after another).
 BLOCK, INDEX_BYTES = 32, 4 << 20
+#: Bytes of text searched at a time, and postings of rare terms added up at a time: bounds on memory only.
+TEXT_BYTES, POSTINGS = 1 << 20, 1 << 18
 #: A score counts as reached from here, in thresholds. Common terms of an item may hold this share of its threshold.
 _REACHED, _COMMON = 1 - 1e-9, 0.4
 
@@ -95,6 +98,14 @@ class Index:
                 direct.setdefault(t, []).append(k)
         return Index(items, terms, postings, max([64, *(2 * len(x.question + x.answer) for x in items)]), direct)
 
+    @cached_property
+    def rare(self):
+        return index_rare(self)
+
+    @cached_property
+    def vocabulary(self) -> pa.Array:
+        return pa.array(list(self.terms))
+
     def unbounded(self, query: set[int]) -> list[tuple[int, float]]:
         """Items without a threshold that share a term with a passage of these terms, with their scores."""
         found = sorted({k for t in query for k in self.direct.get(t, ())}) if self.direct else []
@@ -170,31 +181,41 @@ def _candidates(tids: np.ndarray, cells: np.ndarray, index: Index) -> np.ndarray
     Of each item the terms are split: the common ones together hold a part of the threshold at most, so the others must
     make up for the rest.
     """
-    rare_of, need = index_rare(index)
+    (offsets, items, weights), need = index.rare
     near = np.empty(0, np.int64)
     if index.direct:
         near = cells[np.isin(tids, np.array(list(index.direct)))]
         near = np.unique(np.concatenate([near, near - 1]))
     keep = np.flatnonzero(tids >= 0)
     t, c = tids[keep], cells[keep]
-    offsets, items, weights = rare_of
     count = offsets[t + 1] - offsets[t]
     t, c, count = t[count > 0], c[count > 0], count[count > 0]
     if not len(t):
         return near
-    pos = np.repeat(offsets[t] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    cell, item, w, term = np.repeat(c, count), items[pos], weights[pos], np.repeat(t, count)
-    cell = np.concatenate([cell, cell - 1])
-    item, w, term = np.tile(item, 2), np.tile(w, 2), np.tile(term, 2)
-    key = (cell + 1) * len(index.items) + item
-    order = np.lexsort((term, key))
-    key, w, term = key[order], w[order], term[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (term[1:] != term[:-1])])
-    key, w = key[new], w[new]
-    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    total = np.add.reduceat(w, heads)
-    ok = total >= need[key[heads] % len(index.items)] - 1e-9
-    return np.union1d(key[heads][ok] // len(index.items) - 1, near)
+    # A window has the terms of its cell and the next. Ranges of windows [lo, hi) are added up one after another.
+    parts = (np.cumsum(count) - 1) // POSTINGS
+    cuts = np.unique(c[np.flatnonzero(parts[1:] != parts[:-1]) + 1])
+    found = [near]
+    for lo, hi in zip([c[0] - 1, *cuts.tolist()], [*cuts.tolist(), c[-1] + 1]):
+        own = slice(np.searchsorted(c, lo), np.searchsorted(c, hi, side="right"))
+        t_, c_, n = t[own], c[own], count[own]
+        pos = np.repeat(offsets[t_] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        cell, item, w, term = np.repeat(c_, n), items[pos], weights[pos], np.repeat(t_, n)
+        this, last = cell < hi, cell > lo
+        cell = np.concatenate([cell[this], cell[last] - 1])
+        item, w, term = (np.concatenate([x[this], x[last]]) for x in (item, w, term))
+        if not len(cell):
+            continue
+        key = (cell + 1) * len(index.items) + item
+        order = np.lexsort((term, key))
+        key, w, term = key[order], w[order], term[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (term[1:] != term[:-1])])
+        key, w = key[new], w[new]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.add.reduceat(w, heads)
+        ok = total >= need[key[heads] % len(index.items)] - 1e-9
+        found.append(key[heads][ok] // len(index.items) - 1)
+    return np.unique(np.concatenate(found))
 
 
 def index_rare(index: Index):
@@ -221,7 +242,7 @@ def passages(texts: pa.Array, index: Index) -> list[list[tuple]]:
     lists = pc.split_pattern(texts, " ")
     flat, starts = lists.flatten(), lists.offsets.to_numpy()
     starts = starts - starts[0]
-    tids = pc.fill_null(pc.index_in(flat, value_set=pa.array(list(index.terms))), -1).to_numpy()
+    tids = pc.fill_null(pc.index_in(flat, value_set=index.vocabulary), -1).to_numpy()
     counts = np.diff(starts)
     own = np.arange(len(flat)) - np.repeat(starts[:-1], counts)
     # A cell is half a window; each text has one cell more than it needs, so that windows don't run into the next.
@@ -297,7 +318,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     item_type = items.schema[item_id_col].dataType
     made = T.StructType([rows.schema["doc_id"], T.StructField("item_id", item_type), T.StructField("first_word", T.LongType()),
                          *[T.StructField(x, T.DoubleType()) for x in ("score", "question_overlap", "answer_overlap")]])
-    out = docs.sparkSession.createDataFrame([], made)
+    # Without items, an empty table that Spark makes by itself: no Python workers only for its rows.
+    out = docs.sparkSession.range(0).limit(0).select(*[F.lit(None).cast(x.dataType).alias(x.name) for x in made])
     for index in indexes(items, item_id_col, index_bytes=index_bytes):
         out = out.unionByName(rows.mapInArrow(_searcher(index, made), made))
     return out
@@ -306,7 +328,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def _searcher(index: Index, made: T.StructType):
     def work(batches):
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, TEXT_BYTES):
                 rows = []
                 for doc, found in enumerate(passages(b.column(1), index)):
                     best: dict = {}

@@ -28,10 +28,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters compared in the suffix order: four words of four. Longer pieces are an error.
 WORD, WORDS = 4, 4
-#: Different segments whose ids a worker remembers from batch to batch (and as many pairs of pieces).
-KNOWN = 1 << 19
+#: Different segments whose ids a worker remembers from batch to batch, the characters they may have, and pairs of pieces.
+KNOWN, KNOWN_CHARS, KNOWN_PAIRS = 1 << 19, 1 << 22, 1 << 19
 #: Bytes of text encoded at a time, and edges turned into Python numbers at a time: bounds on memory only.
-TEXT_BYTES, EDGES = 2 << 20, 1 << 16
+TEXT_BYTES, EDGES = 1 << 19, 1 << 16
 
 
 @dataclass
@@ -148,7 +148,7 @@ class _Neighbours(dict):
 
 
 class Encoder:
-    """Encodes segments; remembers those it has seen, up to ``KNOWN``."""
+    """Encodes segments; remembers those it has seen, up to ``KNOWN`` and ``KNOWN_CHARS``."""
 
     def __init__(self, m: Model):
         self.m, self.size = m, len(m.pieces)
@@ -172,6 +172,7 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.parts: dict[str, int] = {}
         self.segment_ids, self.part_ids = _Lists(), _Lists()
+        self.chars = 0
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, rank) of every occurrence of every piece, sorted by start."""
@@ -264,9 +265,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each begins."""
-        if len(self.known) > KNOWN:
+        if len(self.known) > KNOWN or self.chars > KNOWN_CHARS:
             self.forget()
-        if len(self.memo) > KNOWN:
+        if len(self.memo) > KNOWN_PAIRS:
             self.memo.clear()
         known, new, rows = self.known, [], []
         for t in texts:
@@ -279,6 +280,7 @@ class Encoder:
                 row.append(k)
             rows.append(row)
         if new:
+            self.chars += sum(map(len, new))
             self._learn(new)
         flat, counts = self.segment_ids.gather(rows)
         return flat, np.concatenate([[0], np.cumsum(counts)])

@@ -187,6 +187,43 @@ def test_decontamination_odd_inputs(spark, messy, nothing, benchmark):
     assert D.contaminated(nothing, items).count() == 0 and D.contaminated(messy, benchmark.limit(0)).count() == 0
 
 
+def test_postings_are_added_up_in_bounded_pieces(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    items = [D.Item(k, [f"rare{(k + j) % 40}" for j in range(12)], [f"answer{k % 7}"]) for k in range(2000)]
+    df = {}
+    for x in items:
+        for t in set(x.question + x.answer):
+            df[t] = df.get(t, 0) + 1
+    index = D.Index.build(items, df, len(items), 13)
+    texts = pa.array([" ".join(f"rare{(7 * d + i * i) % 40}" for i in range(40)) + " far" * 90 + f" answer{d % 7}" for d in range(400)])
+    empty = pa.array([" ".join(items[5].question + items[5].answer), ""])
+    D.passages(empty, index)
+    tracemalloc.start()
+    got = D.passages(texts, index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20, f"{peak >> 20} MB for {texts.nbytes >> 10} KB of text"
+    tids = pc.index_in(pa.array([w for t in texts.to_pylist() for w in t.split()]), value_set=index.vocabulary)
+    tids = tids.fill_null(-1).to_numpy()
+    cells = D.np.arange(len(tids)) // index.width
+    whole = None
+    for limit in (1 << 40, 1 << 18, 5000, 1):
+        monkeypatch.setattr(D, "POSTINGS", limit)
+        found = D._candidates(tids, cells, index).tolist()
+        whole = found if whole is None else whole
+        assert found == whole and found
+    assert len(got) == 400 and {k for k, *_ in D.passages(empty, index)[0]} >= {5}
+
+
+def test_decontamination_starts_no_workers_for_an_empty_table(spark, docs, benchmark):
+    for items in (benchmark, benchmark.limit(0)):
+        plan = D.contaminated(docs, items)._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan
+
+
 def test_block_max_wand_finds_all_above_the_threshold():
     import random
     rnd = random.Random(5)

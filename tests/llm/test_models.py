@@ -110,6 +110,19 @@ def test_encoding_tables(spark, messy, nothing):
     assert sorted(r["round_trip"] for r in marked) == [False, True]
 
 
+def test_encoder_remembers_a_bounded_number_of_characters():
+    m = pieces.load()
+    encoder = pieces.Encoder(m)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    rnd = random.Random(8)
+    for _ in range(12):                                 # segments without spaces, all different
+        texts = ["".join(rnd.choice("theoryand") for _ in range(5000)) for _ in range(100)]
+        ids, at = encoder.encode(texts)
+        assert ids[:at[1]].tolist() == sp.encode(texts[0]) and ids[at[-2]:].tolist() == sp.encode(texts[-1])
+        held = sum(map(len, encoder.known))
+        assert held <= (4 << 20) + 600_000, held
+
+
 def test_suffix_search_finds_every_occurrence():
     m = pieces.load()
     encoder = pieces.Encoder(m)
