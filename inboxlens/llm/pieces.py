@@ -2,8 +2,9 @@
 
 The different segments of a batch of texts are written one after the other and indexed by a suffix array. A binary search
 for every piece gives the range of its occurrences; these are the edges of a graph over text positions. Sorted by
-position they are relaxed from left to right: an edge is taken if its start is reached and the merge rules would leave
-its piece and the one before it side by side. That gives the ids that merging in order of score gives.
+position they are relaxed from left to right, in all segments at once: an edge is taken if its start is reached and the
+merge rules would leave its piece and the one before it side by side. That gives the ids that merging in order of score
+gives.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from .common import slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters compared in the suffix order: four words of four. Longer pieces are an error.
+#: Characters compared in the suffix order: four words of four, doubled twice. Longer pieces are an error.
 WORD, WORDS = 4, 4
 #: Different segments whose ids a worker remembers from batch to batch, the characters they may have, and pairs of pieces.
-KNOWN, KNOWN_CHARS, KNOWN_PAIRS = 1 << 19, 1 << 22, 1 << 19
+KNOWN, KNOWN_CHARS, KNOWN_PAIRS = 1 << 18, 1 << 21, 1 << 19
 #: Bytes of text encoded at a time, and edges turned into Python numbers at a time: bounds on memory only.
 TEXT_BYTES, EDGES = 1 << 19, 1 << 16
+#: Fewest edges or parts that are taken a step on together, and bits of the places for answers about pairs: bounds on time only.
+LEAST, PAIR_BITS = 64, 20
 
 
 @dataclass
@@ -135,17 +138,52 @@ def side_by_side(m: Model, left: int, right: int) -> bool:
 
 class _Neighbours(dict):
     """Answers of ``side_by_side`` by left rank * (number of ranks + 1) + right rank; an unknown character's rank is
-    the number of ranks, and it never merges."""
+    the number of ranks, and it never merges. A table in front of the answers serves arrays of keys."""
 
     def __init__(self, m: Model):
         super().__init__()
         self.m, self.size = m, len(m.pieces)
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.table = np.full(1 << PAIR_BITS, -1, np.int64)    # 2 * key + answer at the key's place; a later key replaces it
 
     def __missing__(self, key: int) -> bool:
         left, right = divmod(key, self.size + 1)
         ok = self[key] = self.size in (left, right) or side_by_side(self.m, left, right)
         return ok
 
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The answers for an array of keys."""
+        place = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        found = self.table[place]
+        missed = np.flatnonzero(found >> 1 != keys)
+        if len(missed):
+            asked, back = np.unique(keys[missed], return_inverse=True)
+            answers = asked * 2 + np.fromiter(map(self.__getitem__, asked.tolist()), np.int64, len(asked))
+            found[missed] = answers[back]
+            self.table[place[missed]] = found[missed]
+        return found & 1 == 1
+
+
+class _Numbers(dict):
+    """Numbers of texts in the order in which they were first asked for; ``new`` lists those that weren't known."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        k = self[text] = len(self)
+        self.new.append(text)
+        return k
+
+    def taken(self) -> list[str]:
+        """The texts that are new since the last call."""
+        new, self.new = self.new, []
+        return new
+
 
 class Encoder:
     """Encodes segments; remembers those it has seen, up to ``KNOWN`` and ``KNOWN_CHARS``."""
@@ -153,49 +191,112 @@ class Encoder:
     def __init__(self, m: Model):
         self.m, self.size = m, len(m.pieces)
         self.memo = _Neighbours(m)
-        self.touching = {x[i:i + 2] for x in m.pieces for i in range(len(x) - 1)}
         usable = [r for r, h in enumerate(m.halves) if h is not None]
-        chars = sorted({c for x in m.pieces for c in x})
+        # Codes of the characters: the space mark, others in longer pieces, then those that are only pieces themselves.
+        touching = {x[i:i + 2] for x in m.pieces for i in range(len(x) - 1)}
+        joined = [SPACE, *sorted({c for x in touching for c in x} - {SPACE})]
+        chars = [*joined, *sorted({c for x in m.pieces for c in x}.difference(joined))]
         self.code = np.zeros(0x110000, np.uint64)
         self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1, dtype=np.uint64)
+        # Whether some piece has two characters side by side; several space marks are not cut apart either.
+        self.touching = np.zeros((len(joined) + 1, len(joined) + 1), bool)
+        for x in [SPACE * 2, *touching]:
+            self.touching[tuple(self.code[[ord(c) for c in x]].astype(np.int64))] = True
         keys = np.zeros((len(usable), WORD * WORDS), np.uint64)
         for row, r in enumerate(usable):
             keys[row, :len(m.pieces[r])] = self.code[[ord(c) for c in m.pieces[r]]]
-        self.usable = np.array(usable, np.int64)
-        self.lengths = np.array([len(m.pieces[r]) for r in usable], np.int64)
-        filled = np.where(keys == 0, np.uint64(0xFFFF), keys)
-        self.low, self.high = _pack(keys), _pack(filled)
+        by = np.lexsort(_pack(keys)[::-1])
+        keys, self.usable = keys[by], np.array(usable, np.int64)[by]
+        self.lengths = np.array([len(m.pieces[r]) for r in self.usable], np.int64)
+        self.low, self.high = _pack(keys), _pack(np.where(keys == 0, np.uint64(0xFFFF), keys))
+        # By rank, the last entry for an unknown character.
+        self.length = np.array([*map(len, m.pieces), 1], np.int64)
+        self.ids, self.byte_ids = np.array([*m.ids, -1], np.int32), np.array(m.byte_ids, np.int32)
         self.split = re.compile(f"{SPACE}*[^{SPACE}{re.escape(m.breaks)}]+|{SPACE}+|[{re.escape(m.breaks)}]").findall
         self.forget()
 
     def forget(self):
-        self.known: dict[str, int] = {}
-        self.parts: dict[str, int] = {}
+        self.known, self.parts = _Numbers(), _Numbers()
         self.segment_ids, self.part_ids = _Lists(), _Lists()
         self.chars = 0
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, rank) of every occurrence of every piece, sorted by start."""
+        """(start, end, rank) of every occurrence of every piece."""
         padded = np.concatenate([codes, np.zeros(WORD * WORDS, np.uint64)])
         words = sum(padded[k:len(codes) + WORD * (WORDS - 1) + k] << np.uint64(16 * (WORD - 1 - k)) for k in range(WORD))
-        keys = [words[WORD * k:WORD * k + len(codes)] for k in range(WORDS)]
-        order = np.lexsort(keys[::-1])                    # the suffix array, to the length of the longest piece
-        keys = [k[order] for k in keys]
-        low, high = _search(keys, self.low, False), _search(keys, self.high, True)
+        order = _suffixes(words)
+        keys = [words[WORD * k:WORD * k + len(codes)][order] for k in range(WORDS)]
+        low, high = np.searchsorted(keys[0], self.low[0]), np.searchsorted(keys[0], self.high[0], "right")
+        for k in range(1, WORDS):                         # longer pieces, where the words before are equal
+            on = np.flatnonzero((self.lengths > WORD * k) & (low < high))
+            first, behind = low[on], high[on]
+            low[on] = _search(keys[k], self.low[k][on], first, behind, False)
+            high[on] = _search(keys[k], self.high[k][on], first, behind, True)
         count = high - low
-        starts = order[np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+        starts = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
         ends, ranks = starts + np.repeat(self.lengths, count), np.repeat(self.usable, count)
         return starts, ends, ranks
 
-    def _encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all segments one after the other, and how many each has."""
+    def _relax(self, begins: np.ndarray, sizes: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+               ranks: np.ndarray) -> np.ndarray:
+        """The rank that ends at each position; -2 if it is not reached, -1 at the beginning of a part."""
+        memo, over = self.memo, self.size + 1
+        last = np.full(int(sizes.sum()) + len(sizes), -2, np.int64)
+        last[begins] = -1
+        # Edges that start equally deep in different parts don't touch each other: they are relaxed at once, depth by
+        # depth, as long as there are many. What is left are the ends of long parts, one edge after the other.
+        depth = starts - np.repeat(begins, sizes + 1)[starts]
+        level = np.bincount(depth)
+        levels = int(np.argmax(np.append(level, 0) < LEAST))
+        levels = min(levels, 0xFFFF)
+        many = np.flatnonzero(depth < levels)
+        many = many[np.argsort(depth[many].astype(np.uint16), kind="stable")]
+        behind = np.cumsum(level[:levels])
+        for a, b in zip((behind - level[:levels]).tolist(), behind.tolist()):
+            part = many[a:b]
+            before, rank = last[starts[part]], ranks[part]
+            ok = before == -1
+            on = np.flatnonzero(before >= 0)
+            ok[on] = memo.of(before[on] * over + rank[on])
+            last[ends[part[ok]]] = rank[ok]
+        few = np.flatnonzero(depth >= levels)
+        if not len(few):
+            return last
+        few = few[np.argsort(starts[few])]
+        last = last.tolist()
+        for part in np.split(few, range(EDGES, len(few), EDGES)):
+            for start, end, rank in zip(starts[part].tolist(), ends[part].tolist(), ranks[part].tolist()):
+                before = last[start]
+                if before == -1 or (before >= 0 and memo[before * over + rank]):
+                    last[end] = rank
+        return np.array(last, np.int64)
+
+    def _tokens(self, begins: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The rank of the token that starts at each position, -1 if none does: all parts from their ends, step by step."""
+        token = np.full(len(last), -1, np.int64)
+        low, at = begins, begins + sizes
+        while len(at) >= LEAST:
+            rank = last[at]
+            at = at - self.length[rank]
+            token[at] = rank
+            on = at > low
+            low, at = low[on], at[on]
+        for b, e in zip(low.tolist(), at.tolist()):
+            while e > b:
+                rank = last[e]
+                e -= int(self.length[rank])
+                token[e] = rank
+        return token
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts one after the other, and how many each has."""
+        points, begins, sizes = _joined(parts)
         # Of several space marks all but the last are merged after everything else.
-        m, marks = self.m, [max(0, len(x) - len(x.lstrip(SPACE)) - 1) for x in segments]
-        segments = [x[k:] for x, k in zip(segments, marks)]
-        text = "\0".join(segments)
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        sizes = np.array([len(x) for x in segments], np.int64)
-        begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        twice = np.flatnonzero((points[:-1] == ord(SPACE)) & (points[1:] == ord(SPACE)))
+        marks = np.bincount(np.searchsorted(begins, twice, "right") - 1, minlength=len(parts))
+        if len(twice):
+            points, sizes = np.delete(points, twice), sizes - marks
+            begins = np.cumsum(sizes + 1) - (sizes + 1)
         # The separator is in no piece, so no edge crosses it; other characters that are in none are edges themselves.
         codes = self.code[points]
         unknown = codes == 0
@@ -204,64 +305,54 @@ class Encoder:
         starts, ends, ranks = self._edges(codes)
         starts = np.concatenate([starts, unknown])
         ends, ranks = np.concatenate([ends, unknown + 1]), np.concatenate([ranks, np.full(len(unknown), self.size)])
-        by = np.argsort(starts)
-        memo, size, over = self.memo, self.size, self.size + 1
-        last = [-2] * (len(points) + 1)                   # rank that ends there * over; -2 not reached, -1 a beginning
-        for b in begins.tolist():
-            last[b] = -1
-        for part in np.split(by, range(EDGES, len(by), EDGES)):
-            for start, end, rank in zip(starts[part].tolist(), ends[part].tolist(), ranks[part].tolist()):
-                before = last[start]
-                if before >= 0:
-                    if memo[before + rank]:
-                        last[end] = rank * over
-                elif before == -1:
-                    last[end] = rank * over
-        lengths, ids = [len(x) for x in m.pieces], m.ids
-        flat: list[int] = []
-        counts = []
-        for b, e, extra in zip(begins.tolist(), (begins + sizes).tolist(), marks):
-            own: list[int] = []
-            while e > b:
-                r = last[e] // over
-                if r == size:
-                    e -= 1
-                    own += [m.byte_ids[x] for x in reversed(text[e].encode())]
-                else:
-                    own.append(ids[r])
-                    e -= lengths[r]
-            if extra:
-                lone = bool(own) and own[-1] == m.runs[1]
-                own[len(own) - lone:] = reversed(_run(extra + lone, m.runs))
-            flat += reversed(own)
-            counts.append(len(own))
-        return np.array(flat, np.int32), np.array(counts, np.int64)
-
-    def _cut(self, segment: str) -> list[str]:
-        """The segment in parts that no merge can cross: between two characters that no piece has side by side."""
-        out, last, touching = [], 0, self.touching
-        for i in range(max(len(segment) - len(segment.lstrip(SPACE)), 1), len(segment)):
-            if segment[i - 1:i + 1] not in touching:
-                out.append(segment[last:i])
-                last = i
-        out.append(segment[last:])
-        return out
+        token = self._tokens(begins, sizes, self._relax(begins, sizes, starts, ends, ranks))
+        at = np.flatnonzero(token >= 0)
+        ids, count, first = self.ids[token[at]], np.ones(len(at), np.int64), np.searchsorted(at, begins)
+        odd = np.flatnonzero(token[at] == self.size)
+        wild = points[at[odd]].astype(np.int64)
+        width = count[odd] = 1 + (wild >= 0x80) + (wild >= 0x800) + (wild >= 0x10000)
+        runs = []
+        for part in np.flatnonzero(marks).tolist():
+            t, extra = int(first[part]), int(marks[part])
+            lone = int(ids[t] == self.m.runs[1])
+            runs.append((t, _run(extra + lone, self.m.runs)))
+            count[t] = len(runs[-1][1]) + 1 - lone
+        flat, place = np.repeat(ids, count), np.cumsum(count) - count
+        for k in range(4):                                # the bytes of unknown characters
+            on = np.flatnonzero(width > k)
+            x, w = wild[on], width[on]
+            byte = x >> 6 * (w - 1 - k)
+            byte = (byte & 0x3F) | 0x80 if k else np.where(w == 1, byte, byte | (0xF00 >> w) & 0xFF)
+            flat[place[odd[on]] + k] = self.byte_ids[byte]
+        for t, run in runs:
+            flat[place[t]:place[t] + len(run)] = run
+        return flat, np.add.reduceat(count, first)
+
+    def _cut(self, segments: list[str]) -> tuple[list[str], np.ndarray]:
+        """The segments in parts that no merge can cross, between two characters that no piece has side by side; and how
+        many parts each has."""
+        points, begins, sizes = _joined(segments)
+        codes = self.code[points]
+        codes[codes >= len(self.touching)] = 0
+        codes = codes.astype(np.int64)
+        new = np.concatenate([[True], ~self.touching[codes[:-1], codes[1:]]])
+        new[(begins + sizes)[:-1]] = False                # a separator
+        new[begins] = True
+        starts = np.flatnonzero(new)
+        first = np.searchsorted(starts, begins)
+        ends = np.append(starts[1:], len(points))
+        ends[first[1:] - 1] -= 1
+        text = "\0".join(segments)
+        return ([text[i:j] for i, j in zip(starts.tolist(), ends.tolist())],
+                np.diff(np.append(first, len(starts))))
 
     def _learn(self, segments: list[str]) -> None:
         """Encode new segments by way of their different parts."""
-        parts, unseen, rows = self.parts, [], []
-        for s in segments:
-            row = []
-            for x in self._cut(s):
-                k = parts.get(x)
-                if k is None:
-                    k = parts[x] = len(parts)
-                    unseen.append(x)
-                row.append(k)
-            rows.append(row)
-        if unseen:
+        texts, counts = self._cut(segments)
+        every = np.fromiter(map(self.parts.__getitem__, texts), np.int64, len(texts))
+        if unseen := self.parts.taken():
             self.part_ids.append(*self._encode(unseen))
-        self.segment_ids.append(*self.part_ids.gather(rows))
+        self.segment_ids.append(*self.part_ids.gather(every, counts))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each begins."""
@@ -269,20 +360,16 @@ class Encoder:
             self.forget()
         if len(self.memo) > KNOWN_PAIRS:
             self.memo.clear()
-        known, new, rows = self.known, [], []
+        number, every, counts = self.known.__getitem__, [], []
         for t in texts:
-            row = []
-            for s in self.split((" " + t).replace(" ", SPACE)) if t else ():
-                k = known.get(s)
-                if k is None:
-                    k = known[s] = len(known)
-                    new.append(s)
-                row.append(k)
-            rows.append(row)
-        if new:
+            before = len(every)
+            if t:
+                every.extend(map(number, self.split((" " + t).replace(" ", SPACE))))
+            counts.append(len(every) - before)
+        if new := self.known.taken():
             self.chars += sum(map(len, new))
             self._learn(new)
-        flat, counts = self.segment_ids.gather(rows)
+        flat, counts = self.segment_ids.gather(np.array(every, np.int64), np.array(counts, np.int64))
         return flat, np.concatenate([[0], np.cumsum(counts)])
 
 
@@ -295,10 +382,8 @@ class _Lists:
     def append(self, flat: np.ndarray, counts: np.ndarray) -> None:
         self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
 
-    def gather(self, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of list numbers the ids of these lists joined, all rows in one array; and how many each has."""
-        sizes = np.array([len(r) for r in rows], np.int64)
-        every = np.fromiter((k for r in rows for k in r), np.int64, int(sizes.sum()))
+    def gather(self, every: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists numbered ``every`` joined in one array; ``sizes`` of them at a time are a row: how many ids each has."""
         own = self.counts[every]
         ends = np.cumsum(own)
         at = np.cumsum(self.counts) - self.counts
@@ -308,6 +393,13 @@ class _Lists:
         return flat, np.diff(borders)
 
 
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all texts with a zero between them, where each text begins, and its size."""
+    points = np.frombuffer("\0".join(texts).encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return points, np.cumsum(sizes + 1) - (sizes + 1), sizes
+
+
 def _run(n: int, runs: dict) -> list[int]:
     """Ids of ``n`` space marks, merged from left to right."""
     parts: list[int] = []
@@ -322,17 +414,26 @@ def _pack(keys: np.ndarray) -> list[np.ndarray]:
     return [sum(keys[:, WORD * w + k] << np.uint64(16 * (WORD - 1 - k)) for k in range(WORD)) for w in range(WORDS)]
 
 
-def _search(keys: list[np.ndarray], wanted: list[np.ndarray], after: bool) -> np.ndarray:
-    """First place in the sorted rows ``keys`` that is not less than (after: greater than) each wanted row."""
-    low, high = np.zeros(len(wanted[0]), np.int64), np.full(len(wanted[0]), len(keys[0]), np.int64)
+def _suffixes(words: np.ndarray) -> np.ndarray:
+    """Order of the positions by the ``WORDS`` words from each on, by prefix doubling. The words behind the text are no
+    positions."""
+    step, rank = WORD, words
+    while True:
+        by = np.argsort(rank)
+        if step == WORD * WORDS:
+            return by
+        ordered, rank = rank[by], np.empty_like(rank)
+        rank[by] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]), dtype=np.uint64)
+        rank = rank[:-step] << np.uint64(32) | rank[step:]
+        step *= 2
+
+
+def _search(key: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray, after: bool) -> np.ndarray:
+    """First place in each part ``low`` to ``high`` of ``key``, which is sorted there, that is not less than (after:
+    greater than) what is wanted."""
     while (open_ := low < high).any():
-        mid = np.minimum((low + high) // 2, len(keys[0]) - 1)
-        less, same = np.zeros(len(low), bool), np.ones(len(low), bool)
-        for k, w in zip(keys, wanted):
-            x = k[mid]
-            less |= same & (x < w)
-            same &= x == w
-        right = open_ & (less | (same & after))
+        mid = np.minimum((low + high) // 2, len(key) - 1)
+        right = open_ & ((key[mid] <= wanted) if after else (key[mid] < wanted))
         low, high = np.where(right, mid + 1, low), np.where(open_ & ~right, mid, high)
     return low
 

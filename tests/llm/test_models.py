@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -123,6 +124,44 @@ def test_encoder_remembers_a_bounded_number_of_characters():
         assert held <= (4 << 20) + 600_000, held
 
 
+def test_encoding_takes_few_steps_of_python():
+    """Parts are relaxed together: not several lines of Python for every edge, of which a character has two or more."""
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(1, 15))) for _ in range(4000))]
+    encoder = pieces.Encoder(pieces.load())
+    encoder.encode(texts)                                # answers about pairs are learnt, segments forgotten
+    encoder.forget()
+    lines = Counter()
+
+    def trace(frame, event, _):
+        if frame.f_code.co_filename != pieces.__file__:
+            return None
+        lines[event] += 1
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        ids, _ = encoder.encode(texts)
+    finally:
+        sys.settrace(before)
+    assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH).encode(texts[0])
+    assert lines["line"] < 2 * len(texts[0]), lines
+
+
+@pytest.mark.parametrize("least", [1, 3, 10**9])
+def test_edges_relaxed_together_or_one_by_one(least, monkeypatch):
+    monkeypatch.setattr(pieces, "LEAST", least)
+    rnd = random.Random(10)
+    alphabets = ["theoryandsing", "ACGT", "日本語½ﬁ🤗é x", "   \n\t\0ab", "▁ a", "(){}=; ifreturn\r\n"]
+    texts = [*ODD, *("".join(rnd.choice(a) for _ in range(n)) for a in alphabets for n in (1, 2, 7, 60, 900) for _ in range(5))]
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    encoder = pieces.Encoder(pieces.load())
+    for batch in (texts, texts[:9], ["", ""], [texts[-1]], [" " * 30, "é" * 9]):
+        ids, at = encoder.encode(batch)
+        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [sp.encode(t) for t in batch]
+
+
 def test_suffix_search_finds_every_occurrence():
     m = pieces.load()
     encoder = pieces.Encoder(m)
