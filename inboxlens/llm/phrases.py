@@ -1,15 +1,16 @@
 """Phrase collocations, mined level by level with double-array tries.
 
-A phrase can be frequent only if all phrases inside it are (Apriori). So the candidates of k words are the places where a
-frequent phrase of k - 1 words is followed by a word; their supports are added up under hashes, which never gives too
-little. All candidates then stand in double-array tries of a bounded size that are broadcast one at a time: numpy moves the
-states of all text positions on together, word by word, and counts the accepting states; the tasks' counts are added up.
+A phrase can be frequent only if all phrases inside it are (Apriori). So for each length one pass over the documents sends
+the n-grams at places where two frequent phrases of a word less overlap; a bit map of fixed size tells them, which leaves out
+none. N-grams are dealt to blocks by their hashes. In a block, the candidates are those whose supports, added up under hashes,
+suffice, which never gives too little; they stand in double-array tries of a bounded size: numpy moves the states of all
+n-grams on together, word by word, and counts the accepting states. So a trie meets the n-grams of its block only, and the
+passes do not grow with the number of phrases.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_strays, materialize, slices
+from .common import drop_strays, marked, materialize, slices
 from .words import Words, cut, word_hashes
 
 LONGEST, LEAST, TOP, INSIDE_PERCENT = 3, 10, 2000, 50
-#: Phrases of one trie: what is broadcast at a time.
+#: Phrases of one trie at most, or somewhat more.
 TRIE_PHRASES = 1 << 20
+#: N-grams that a task adds up before it sends them, and places of phrases for each block.
+GRAMS, BLOCK_GRAMS = 1 << 20, 1 << 21
+#: Bits of the map of frequent phrases that is broadcast: 16 MB at most. A full map only drops fewer n-grams.
+MARK_BITS = 27
 #: Bytes of text that a worker cuts at a time; each word takes some hundred bytes meanwhile.
 TEXT_BYTES = 2 << 20
 GAPS, BREAKS = b" \t", b".,;:!?\n\v\f\r"
@@ -61,14 +66,6 @@ class Trie:
         used = int(np.flatnonzero(self.check >= 0).max(initial=0)) + 1
         self.base, self.check, self.accepts = self.base[:used], self.check[:used], self.accepts[:used]
 
-    @classmethod
-    def of(cls, base: bytes, check: bytes, accepts: bytes, names: bytes) -> Trie:
-        """A built trie from its compressed parts; these are broadcast, as workers may not have this module."""
-        trie = cls.__new__(cls)
-        trie.base, trie.check, trie.accepts = (np.frombuffer(zlib.decompress(x), np.int32) for x in (base, check, accepts))
-        trie.names = pa.ipc.open_stream(zlib.decompress(names)).read_all()["name"].combine_chunks()
-        return trie
-
     def _room(self, size: int) -> None:
         """Arrays of at least ``size`` states; slot 0 is the root and nobody's child."""
         old = getattr(self, "check", np.zeros(0, np.int32))
@@ -139,10 +136,6 @@ class Trie:
             yield at, states
 
 
-def _small(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
-
-
 def _cuts(batches):
     """Languages and words of slices of the batches (lang, text)."""
     for whole in batches:
@@ -150,115 +143,210 @@ def _cuts(batches):
             yield b.column(0), cut(b.column(1), GAPS, BREAKS)
 
 
-def _tries(phrases: DataFrame, size: int):
-    """The phrases (lang, words) with number and block, and a function that broadcasts a block's trie; each is built in a task."""
-    blocks = max(1, math.ceil(phrases.count() / size))
-    block = F.pmod(F.xxhash64("lang", "words"), F.lit(blocks)).cast("int")
-    own = W.partitionBy("block").orderBy("lang", "words")
-    numbered = materialize(phrases.select("lang", "words", block.alias("block")).withColumn(
-        "number", F.row_number().over(own) - 1), "phrases-numbered")
-
-    def build(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        column = lambda c: rows[c].combine_chunks()
-        trie = Trie(column("lang"), column("words"), column("number").to_numpy())
-        names = pa.BufferOutputStream()
-        with pa.ipc.new_stream(names, pa.schema([("name", pa.large_string())])) as out:
-            out.write(pa.RecordBatch.from_arrays([trie.names], names=["name"]))
-        return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int32()), "base": [_small(trie.base)], "checks": [_small(trie.check)],
-                         "accepts": [_small(trie.accepts)], "names": [zlib.compress(names.getvalue(), 1)]})
+def _unified(parts: list) -> tuple[pa.Array, list[np.ndarray]]:
+    """The different strings of all arrays, and for each array the number of each of its strings among them."""
+    coded = pa.concat_arrays([x.cast(pa.large_string()) for x in parts]).dictionary_encode()
+    return coded.dictionary, np.split(coded.indices.to_numpy().astype(np.int64), np.cumsum([len(x) for x in parts])[:-1])
 
-    built = materialize(numbered.groupBy("block").applyInArrow(
-        build, "block int, base binary, checks binary, accepts binary, names binary"), "tries")
 
-    def trie(k: int):
-        rows = built.where(F.col("block") == k).collect()
-        return phrases.sparkSession.sparkContext.broadcast(tuple(map(bytes, rows[0][1:]))) if rows else None
-
-    return numbered, blocks, trie
+def _sorted(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal rows stand together, and the places in it where other rows begin; values are below ``sizes``."""
+    key, size = columns[0], sizes[0]
+    for column, n in zip(columns[1:], sizes[1:]):
+        if size * n >= 1 << 62:
+            key, size = np.unique(key, return_inverse=True)[1], len(key)
+        key, size = key * n + column, size * n
+    order = np.argsort(key, kind="stable")
+    return order, np.flatnonzero(np.diff(key[order], prepend=-1))
 
 
 def _words(docs: DataFrame) -> DataFrame:
     """(lang, word, f): how often each word occurs in each language."""
+    def added(held):
+        (langs, of), (names, codes) = _unified([x[0] for x in held]), _unified([x[1] for x in held])
+        of, codes = np.concatenate(of), np.concatenate(codes)
+        order, first = _sorted([of, codes], [len(langs), len(names)])
+        n = np.add.reduceat(np.concatenate([x[2] for x in held])[order], first) if len(first) else first
+        return pa.RecordBatch.from_arrays(
+            [langs.take(pa.array(of[order[first]])).cast(pa.string()), names.take(pa.array(codes[order[first]])).cast(pa.string()),
+             pa.array(n, pa.int64())], names=["lang", "word", "n"])
+
     def work(batches):
+        held, many = [], 0
         for langs, words in _cuts(batches):
             coded = langs.dictionary_encode()
             of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             key, n = np.unique(of[words.rows] * len(words.names) + words.codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [coded.dictionary.take(pa.array(key // max(len(words.names), 1))),
-                 words.names.take(pa.array(key % max(len(words.names), 1))).cast(pa.string()), pa.array(n)], names=["lang", "word", "n"])
+            held.append((coded.dictionary.take(pa.array(key // max(len(words.names), 1))),
+                         words.names.take(pa.array(key % max(len(words.names), 1))), n))
+            many += len(key)
+            if many >= GRAMS:
+                yield added(held)
+                held, many = [], 0
+        if held:
+            yield added(held)
 
     return docs.mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
 
 
-def _followed(docs: DataFrame, phrases: DataFrame, words: DataFrame, depth: int, least: int, size: int) -> DataFrame:
-    """(lang, words): candidates of one more word than the ``phrases`` (all of ``depth`` words), by their supports."""
-    numbered, blocks, trie = _tries(phrases, size)
-    parts = []
-    for k in range(blocks):
-        sent = trie(k)
-        if sent is None:
-            continue
+def _seeds(langs: pa.Array) -> np.ndarray:
+    """What the hashes of a language's n-grams begin with; a language may be empty."""
+    return word_hashes(pc.binary_join_element_wise(langs.cast(pa.large_string()), pa.scalar(".", pa.large_string()),
+                                                   pa.scalar("", pa.large_string()))).astype(np.uint64)
+
+
+def _rolled(seeds: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+    """64 bits of a hash of each n-gram: ``seeds`` are of its language, ``hashes`` of its words one by one."""
+    h = seeds
+    for x in hashes:
+        h = (h * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def _hashed(batches):
+    for b in batches:
+        h = _rolled(_seeds(b.column("lang")), [word_hashes(b.column("word"))])
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), b.column("f"), pa.array(h.view(np.int64))],
+                                         names=["lang", "word", "f", "h"])
 
-        def work(batches, sent=sent, alone=blocks == 1):
-            t = Trie.of(*sent.value)
-            for langs, words in _cuts(batches):
-                *_, (at, states) = t.walk(words, langs, depth)
-                here = np.full(len(words.codes) + 1, -1, np.int64)
-                here[at] = t.accepts[states]
-                at = at[(at + depth < len(words.codes))]
-                at = at[words.pieces[at] == words.pieces[np.minimum(at + depth, len(words.codes) - 1)]]
-                if alone:                              # all phrases are in this trie: the last words must be one of them
-                    at = at[here[at + 1] >= 0]
-                # A key holds the phrase's number and 32 bits of the next word: words that share them only add candidates.
-                h = word_hashes(words.names)
-                key, n = np.unique(here[at] << 32 | h[words.codes[at + depth]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int32())], names=["key", "n"])
-
-        found = docs.mapInArrow(work, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
-        found = found.select(F.lit(k).alias("block"), F.shiftright("key", 32).cast("int").alias("number"),
-                             F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), "n")
-        parts.append(materialize(found.where(F.col("n") >= least).drop("n"), "supports"))
-        sent.destroy()
-    if not parts:
-        return phrases.limit(0)
-    supports = parts[0]
-    for p in parts[1:]:
-        supports = supports.unionByName(p)
-    last = words.select(F.col("lang").alias("of"), "word", "h")
-    found = supports.join(numbered, ["block", "number"]).join(last, (F.col("lang") == F.col("of")) & (supports["h"] == last["h"]))
-    return materialize(found.select("lang", F.concat("words", F.array("word")).alias("words")), "candidates")
-
-
-def count(docs: DataFrame, phrases: DataFrame, longest: int, size: int = TRIE_PHRASES) -> DataFrame:
-    """(lang, words, f): how often each of the ``phrases`` (lang, words) occurs in ``docs`` (lang, text)."""
-    numbered, blocks, trie = _tries(phrases, size)
-    parts = []
-    for k in range(blocks):
-        sent = trie(k)
-        if sent is None:
-            continue
 
-        def work(batches, sent=sent):
-            t = Trie.of(*sent.value)
-            total = np.zeros(int(t.accepts.max(initial=-1)) + 1, np.int64)
-            for langs, words in _cuts(batches):
-                for _, states in t.walk(words, langs, longest):
-                    here = t.accepts[states]
-                    total += np.bincount(here[here >= 0], minlength=len(total))
-            own = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own])], names=["number", "n"])
-
-        found = docs.mapInArrow(work, "number int, n long").groupBy("number").agg(F.sum("n").alias("f"))
-        parts.append(materialize(found.select(F.lit(k).alias("block"), "number", "f"), "counts"))
-        sent.destroy()
-    if not parts:
-        return phrases.limit(0).withColumn("f", F.lit(0).cast("long"))
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
-    return materialize(counts.join(numbered, ["block", "number"]).select("lang", "words", "f"), "counted")
+def _marks(level: DataFrame):
+    """A broadcast bit map of the hashes ``h`` of a level's phrases; what is broadcast is 2**MARK_BITS bits at most."""
+    bits = min(MARK_BITS, max(16, math.ceil(math.log2(16 * max(1, level.count())))))
+    found = marked(level.select("h"), bits).toArrow()
+    marks = np.zeros(1 << bits - 6, np.int64)
+    marks[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return level.sparkSession.sparkContext.broadcast(marks.tobytes())
+
+
+def _dealt(held: list, depth: int, blocks: int) -> pa.RecordBatch:
+    """The n-grams (languages, their numbers, names, codes of the words) added up and dealt to blocks by their hashes.
+
+    A row has the n-grams of a language in a block: their different words joined by blanks, the numbers of each one's words
+    among these (16 lower and upper bits apart, as the upper are mostly 0) and how often each occurs.
+    """
+    (langs, a), (names, b) = _unified([x[0] for x in held]), _unified([x[2] for x in held])
+    of = np.concatenate([own[x[1]] for own, x in zip(a, held)])
+    codes = [np.concatenate([own[x[3][j]] for own, x in zip(b, held)]) for j in range(depth)]
+    order, first = _sorted([of, *codes], [len(langs)] + [len(names)] * depth)
+    n = np.diff(first, append=len(order))
+    of, codes = of[order[first]], [c[order[first]] for c in codes]
+    hashes = word_hashes(names)
+    h = _rolled(_seeds(langs)[of], [hashes[c] for c in codes])
+    deal = (h >> np.uint64(32)).astype(np.int64) % blocks * len(langs) + of
+    order, first = _sorted([deal], [blocks * len(langs)])
+    own = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+    used, at = np.unique(np.stack([own * len(names) + c[order] for c in codes], 1), return_inverse=True)
+    begins = np.searchsorted(used, np.arange(len(first) + 1) * len(names))
+    at = at.reshape(-1, depth) - begins[own][:, None]
+    text = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), names.take(pa.array(used % len(names))).cast(pa.string()))
+    ends = np.append(first, len(order)).astype(np.int32)
+    packed = lambda x, size: pa.Array.from_buffers(pa.binary(), len(first), [
+        None, pa.py_buffer(ends * np.int32(size)), pa.py_buffer(np.ascontiguousarray(x))])
+    deal = deal[order[first]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(deal // len(langs), pa.int32()), langs.take(pa.array(deal % len(langs))).cast(pa.string()), pc.binary_join(text, " "),
+         packed((at & 0xFFFF).astype(np.uint16), 2 * depth), packed((at >> 16).astype(np.uint16), 2 * depth),
+         packed(n[order].astype(np.int32), 4)], names=["block", "lang", "names", "lower", "upper", "n"])
+
+
+def _followed(docs: DataFrame, level: DataFrame, depth: int, blocks: int) -> DataFrame:
+    """(block, lang, names, lower, upper, n): n-grams of ``depth`` words, at places where two phrases of the ``level`` overlap."""
+    sent = _marks(level)
+
+    def work(batches):
+        marks = np.frombuffer(sent.value, np.uint64)
+        low, held, many = np.uint64(64 * len(marks) - 1), [], 0
+        for langs, words in _cuts(batches):
+            last = len(words.codes) - depth + 1         # n-grams that begin here may still go over the end of their piece
+            if last < 1:
+                continue
+            coded = langs.dictionary_encode()
+            of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.rows]
+            hashes = word_hashes(words.names)[words.codes]
+            h = _rolled(_seeds(coded.dictionary)[of[:last + 1]], [hashes[j:last + 1 + j] for j in range(depth - 1)])
+            h &= low
+            known = (marks[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+            at = np.flatnonzero(known[:last] & known[1:] & (words.pieces[:last] == words.pieces[depth - 1:]))
+            held.append((coded.dictionary, of[at].astype(np.int32), words.names, [words.codes[at + j] for j in range(depth)]))
+            many += len(at)
+            if many >= GRAMS:
+                yield _dealt(held, depth, blocks)
+                held, many = [], 0
+        if many:
+            yield _dealt(held, depth, blocks)
+
+    return docs.mapInArrow(work, "block int, lang string, names string, lower binary, upper binary, n binary")
+
+
+def _candidates(h: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """Which n-grams can be frequent: the supports of all that share a hash, added up, reach ``least``."""
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]))
+    enough = np.add.reduceat(n[order], first) >= least
+    found = np.empty(len(h), bool)
+    found[order] = np.repeat(enough, np.diff(first, append=len(h)))
+    return found
+
+
+def _counted(rows: pa.Table, depth: int, least: int, size: int) -> pa.Table:
+    """(lang, words, f, h): the frequent phrases among the n-grams of a block, by tries of some ``size`` phrases."""
+    column = lambda c: rows[c].combine_chunks()
+    whole = lambda c, kind: np.frombuffer(b"".join(rows[c].to_pylist()), kind)
+    langs, (of,) = _unified([column("lang")])
+    split = pc.split_pattern(column("names").cast(pa.large_string()), " ")
+    names, (numbers,) = _unified([split.flatten()])
+    many = pc.binary_length(column("n")).to_numpy().astype(np.int64) // 4
+    begins = np.cumsum(pc.list_value_length(split).to_numpy().astype(np.int64))
+    begins = np.repeat(np.append(0, begins[:-1]), many)
+    codes = whole("lower", np.uint16).astype(np.int64) + (whole("upper", np.uint16).astype(np.int64) << 16)
+    codes = numbers[codes.reshape(-1, depth) + begins[:, None]]
+    n, of, hashes = whole("n", np.int32).astype(np.int64), np.repeat(of, many), word_hashes(names)
+    h = _rolled(_seeds(langs)[of], [hashes[codes[:, j]] for j in range(depth)])
+    some = np.flatnonzero(_candidates(h, n, least))
+    n, of, codes, h = n[some], of[some], codes[some], h[some]
+    order, first = _sorted([of, *codes.T], [len(langs)] + [len(names)] * depth)
+    first = order[first]
+    part = (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % max(1, math.ceil(len(first) / size))
+    found = []
+    for k in range(int(part.max(initial=-1)) + 1):
+        ours, phrases = part == k, first[part[first] == k]
+        if not len(phrases):
+            continue
+        words = names.take(pa.array(codes[phrases].ravel()))
+        trie = Trie(langs.take(pa.array(of[phrases])), pa.FixedSizeListArray.from_arrays(words, depth).cast(pa.list_(pa.large_string())),
+                    np.arange(len(phrases)))
+        f = count(trie, langs, of[ours], names, codes[ours], n[ours], len(phrases))
+        found.append((phrases[f >= least], f[f >= least]))
+    phrases, f = (np.concatenate([x[i] for x in found] + [np.zeros(0, np.int64)]) for i in (0, 1))
+    words = names.take(pa.array(codes[phrases].ravel())).cast(pa.string())
+    return pa.table({"lang": langs.take(pa.array(of[phrases])).cast(pa.string()),
+                     "words": pa.ListArray.from_arrays(pa.array(np.arange(len(phrases) + 1) * depth, pa.int32()), words),
+                     "f": pa.array(f, pa.int64()), "h": pa.array(h[phrases].view(np.int64))})
+
+
+def count(trie: Trie, langs: pa.Array, of: np.ndarray, names: pa.Array, codes: np.ndarray, n: np.ndarray, phrases: int) -> np.ndarray:
+    """How often each of the trie's ``phrases`` occurs among n-grams that occur ``n`` times each."""
+    depth = codes.shape[1]
+    own = np.repeat(np.arange(len(codes)), depth)
+    *_, (at, states) = trie.walk(Words(codes.ravel(), names, of[own], own), langs, depth)
+    here = trie.accepts[states]
+    total = np.zeros(phrases, np.int64)
+    np.add.at(total, here[here >= 0], n[at[here >= 0] // depth])
+    return total
+
+
+def _level(docs: DataFrame, level: DataFrame, depth: int, least: int, size: int) -> DataFrame:
+    """(lang, words, f, h): the frequent phrases of ``depth`` words, one more than those of the ``level`` (f, h) have.
+
+    One pass over the documents, whatever the number of phrases: n-grams are dealt to as many blocks as keep a block's
+    n-grams in bounds, and a block's tries meet its own n-grams only.
+    """
+    blocks = max(1, math.ceil((level.agg(F.sum("f")).first()[0] or 0) / BLOCK_GRAMS))
+    work = lambda rows: _counted(rows, depth, least, size)
+    return materialize(_followed(docs, level, depth, blocks).groupBy("block").applyInArrow(
+        work, "lang string, words array<string>, f long, h long"), "phrases")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, longest: int = LONGEST,
@@ -272,22 +360,20 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     the occurrences l and r of its parts; the lowest score counts, of equal ones the smallest k. Phrases inside a longer
     candidate of at least ``inside_percent`` % of their occurrences are left out. Ties in rank go to the more frequent, then
     the smaller phrase. Repeated rows count each; no documents, or none with a frequent phrase, give no rows. Counts up to
-    10**13 stay exact. The driver holds one trie of ``trie_phrases`` phrases at a time, and a pass over the documents counts
-    one trie: more candidates take more passes.
+    10**13 stay exact. The documents are read once for each length up to ``longest``. A task counts with one trie of about
+    ``trie_phrases`` phrases at a time; the driver holds a bit map of 2**MARK_BITS bits at most.
     """
     docs = drop_strays(docs, lang_col, text_col).toDF("lang", "text")
     docs = docs.select(F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang"), "text")
     words = materialize(_words(docs), "words")
     frequent = words.where(F.col("f") >= least)
-    hashed = frequent.mapInArrow(_hashed, "lang string, word string, h long")
-    level, levels = frequent.select("lang", F.array("word").alias("words")), []
-    for depth in range(1, longest):
-        level = _followed(docs, level, hashed, depth, least, trie_phrases)
-        levels.append(level)
-    candidates = levels[0]
+    level, levels = materialize(frequent.mapInArrow(_hashed, "lang string, word string, f long, h long"), "words-hashed"), []
+    for depth in range(2, longest + 1):
+        level = _level(docs, level, depth, least, trie_phrases)
+        levels.append(level.drop("h"))
+    counted = levels[0]
     for x in levels[1:]:
-        candidates = candidates.unionByName(x)
-    counted = count(docs, candidates, longest, trie_phrases).where(F.col("f") >= least)
+        counted = counted.unionByName(x)
     spaced = lambda x: F.array_join(x, " ")
     every = frequent.select("lang", F.col("word").alias("phrase"), "f").unionByName(
         counted.select("lang", spaced(F.col("words")).alias("phrase"), "f"))
@@ -314,12 +400,6 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                                              "cut.score")
 
 
-def _hashed(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), pa.array(word_hashes(b.column("word")))],
-                                         names=["lang", "word", "h"])
-
-
 def oracle_sql(relation: str = "documents", least: int = LEAST, top: int = TOP, inside_percent: int = INSIDE_PERCENT) -> str:
     """DuckDB statement for the rows at the usual longest phrase of 3 words."""
     return rf"""

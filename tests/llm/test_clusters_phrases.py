@@ -234,6 +234,33 @@ def test_collocations_of_odd_texts(spark, messy, nothing, longest):
         assert phrases.collocations(messy.where("doc_id < 4")).count() == 0
 
 
+def test_documents_are_read_once_for_each_length_whatever_the_number_of_tries(spark, docs):
+    """Each trie used to take a pass of its own over all documents, so the passes grew with the phrases."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = docs.select("lang", "text").mapInArrow(work, "lang string, text string")
+    got = phrases.collocations(df, trie_phrases=50).count()
+    assert got > 100 and seen.value == 3 * docs.count()
+
+
+def test_small_blocks_and_full_bit_maps_lose_no_phrase(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(rnd.choice(["en", "", None, "a"]), " ".join(rnd.choice("a b c d New York en .\n x; \u00e9t\u00e9".split(" ")) for _ in range(40)))
+            for _ in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    want = _collocations([(lang if lang != "" else "empty", t) for lang, t in rows], 3, 40)
+    want = sorted(("" if r[0] == "empty" else r[0], *r[1:]) for r in want)
+    for name, value in (("GRAMS", 30), ("BLOCK_GRAMS", 200), ("MARK_BITS", 6), ("TEXT_BYTES", 500)):
+        monkeypatch.setattr(phrases, name, value)
+    got = phrases.collocations(df, least=3, top=40, trie_phrases=7).select(COLLOCATIONS).collect()
+    assert len(want) > 100 and sorted(map(tuple, got)) == want
+
+
 def test_tries_find_all_phrases_and_no_others():
     rnd = random.Random(9)
     paths = list({tuple(f"s{int(rnd.paretovariate(0.7)) % 400}" for _ in range(rnd.randrange(2, 6))) for _ in range(4000)})
