@@ -25,8 +25,8 @@ from .words import Words, cut, word_hashes
 LONGEST, LEAST, TOP, INSIDE_PERCENT = 3, 10, 2000, 50
 #: Phrases of one trie at most, or somewhat more.
 TRIE_PHRASES = 1 << 20
-#: N-grams that a task adds up before it sends them, and places of phrases for each block.
-GRAMS, BLOCK_GRAMS = 1 << 20, 1 << 21
+#: Words of the n-grams that a task adds up before it sends them, and places of phrases for each block.
+GRAMS, BLOCK_GRAMS = 1 << 21, 1 << 21
 #: Bits of the map of frequent phrases that is broadcast: 16 MB at most. A full map only drops fewer n-grams.
 MARK_BITS = 27
 #: Bytes of text that a worker cuts at a time; each word takes some hundred bytes meanwhile.
@@ -146,15 +146,15 @@ def _cuts(batches):
 def _unified(parts: list) -> tuple[pa.Array, list[np.ndarray]]:
     """The different strings of all arrays, and for each array the number of each of its strings among them."""
     coded = pa.concat_arrays([x.cast(pa.large_string()) for x in parts]).dictionary_encode()
-    return coded.dictionary, np.split(coded.indices.to_numpy().astype(np.int64), np.cumsum([len(x) for x in parts])[:-1])
+    return coded.dictionary, np.split(coded.indices.to_numpy(), np.cumsum([len(x) for x in parts])[:-1])
 
 
 def _sorted(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal rows stand together, and the places in it where other rows begin; values are below ``sizes``."""
-    key, size = columns[0], sizes[0]
+    key, size = columns[0].astype(np.int64), sizes[0]
     for column, n in zip(columns[1:], sizes[1:]):
         if size * n >= 1 << 62:
-            key, size = np.unique(key, return_inverse=True)[1], len(key)
+            key, size = np.unique(key, return_inverse=True)[1].astype(np.int64), len(key)
         key, size = key * n + column, size * n
     order = np.argsort(key, kind="stable")
     return order, np.flatnonzero(np.diff(key[order], prepend=-1))
@@ -179,7 +179,7 @@ def _words(docs: DataFrame) -> DataFrame:
             key, n = np.unique(of[words.rows] * len(words.names) + words.codes, return_counts=True)
             held.append((coded.dictionary.take(pa.array(key // max(len(words.names), 1))),
                          words.names.take(pa.array(key % max(len(words.names), 1))), n))
-            many += len(key)
+            many += 2 * len(key)
             if many >= GRAMS:
                 yield added(held)
                 held, many = [], 0
@@ -223,8 +223,8 @@ def _marks(level: DataFrame):
 def _dealt(held: list, depth: int, blocks: int) -> pa.RecordBatch:
     """The n-grams (languages, their numbers, names, codes of the words) added up and dealt to blocks by their hashes.
 
-    A row has the n-grams of a language in a block: their different words joined by blanks, the numbers of each one's words
-    among these (16 lower and upper bits apart, as the upper are mostly 0) and how often each occurs.
+    A row has the n-grams of a language in a block, compressed: their numbers in the row's own list of words and how often each
+    occurs, in planes of bytes (first words, which rise, by their differences), then that list, joined by blanks.
     """
     (langs, a), (names, b) = _unified([x[0] for x in held]), _unified([x[2] for x in held])
     of = np.concatenate([own[x[1]] for own, x in zip(a, held)])
@@ -237,22 +237,33 @@ def _dealt(held: list, depth: int, blocks: int) -> pa.RecordBatch:
     deal = (h >> np.uint64(32)).astype(np.int64) % blocks * len(langs) + of
     order, first = _sorted([deal], [blocks * len(langs)])
     own = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
-    used, at = np.unique(np.stack([own * len(names) + c[order] for c in codes], 1), return_inverse=True)
-    begins = np.searchsorted(used, np.arange(len(first) + 1) * len(names))
-    at = at.reshape(-1, depth) - begins[own][:, None]
-    text = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), names.take(pa.array(used % len(names))).cast(pa.string()))
-    ends = np.append(first, len(order)).astype(np.int32)
-    packed = lambda x, size: pa.Array.from_buffers(pa.binary(), len(first), [
-        None, pa.py_buffer(ends * np.int32(size)), pa.py_buffer(np.ascontiguousarray(x))])
+    # As numbers of 32 bits, if they suffice: this is where most memory is taken.
+    own = own.astype(np.int32 if len(first) * len(names) < 1 << 31 else np.int64)
+    used, at = np.unique(np.stack([own * own.dtype.type(len(names)) + c[order] for c in codes], 1), return_inverse=True)
+    begins = np.searchsorted(used // len(names), np.arange(len(first) + 1))
+    values = np.empty((len(order), depth + 1), "<u4")
+    values[:, :depth] = at.reshape(-1, depth)
+    values[:, :depth] -= begins[own].astype(np.uint32)[:, None]
+    values[:, depth] = n[order]
+    del at, codes, h
+    text = pc.binary_join(pa.ListArray.from_arrays(
+        pa.array(begins, pa.int32()), names.take(pa.array(used % len(names))).cast(pa.string())), " ")
+    packed, sizes = [], []
+    for i, (x, y) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(order)])):
+        part = values[x:y].copy()
+        part[1:, 0] -= values[x:y - 1, 0]
+        raw = part.T.copy().view(np.uint8).reshape(depth + 1, y - x, 4).transpose(0, 2, 1).tobytes() + text[i].as_buffer().to_pybytes()
+        packed.append(pa.compress(raw, codec="zstd", asbytes=True))
+        sizes.append(len(raw))
     deal = deal[order[first]]
     return pa.RecordBatch.from_arrays(
-        [pa.array(deal // len(langs), pa.int32()), langs.take(pa.array(deal % len(langs))).cast(pa.string()), pc.binary_join(text, " "),
-         packed((at & 0xFFFF).astype(np.uint16), 2 * depth), packed((at >> 16).astype(np.uint16), 2 * depth),
-         packed(n[order].astype(np.int32), 4)], names=["block", "lang", "names", "lower", "upper", "n"])
+        [pa.array(deal // len(langs), pa.int32()), langs.take(pa.array(deal % len(langs))).cast(pa.string()),
+         pa.array(np.diff(first, append=len(order)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
+        names=["block", "lang", "grams", "bytes", "packed"])
 
 
 def _followed(docs: DataFrame, level: DataFrame, depth: int, blocks: int) -> DataFrame:
-    """(block, lang, names, lower, upper, n): n-grams of ``depth`` words, at places where two phrases of the ``level`` overlap."""
+    """(block, lang, grams, bytes, packed): n-grams of ``depth`` words, at places where two phrases of the ``level`` overlap."""
     sent = _marks(level)
 
     def work(batches):
@@ -270,14 +281,14 @@ def _followed(docs: DataFrame, level: DataFrame, depth: int, blocks: int) -> Dat
             known = (marks[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
             at = np.flatnonzero(known[:last] & known[1:] & (words.pieces[:last] == words.pieces[depth - 1:]))
             held.append((coded.dictionary, of[at].astype(np.int32), words.names, [words.codes[at + j] for j in range(depth)]))
-            many += len(at)
+            many += depth * len(at)
             if many >= GRAMS:
                 yield _dealt(held, depth, blocks)
                 held, many = [], 0
         if many:
             yield _dealt(held, depth, blocks)
 
-    return docs.mapInArrow(work, "block int, lang string, names string, lower binary, upper binary, n binary")
+    return docs.mapInArrow(work, "block int, lang string, grams long, bytes long, packed binary")
 
 
 def _candidates(h: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
@@ -292,17 +303,20 @@ def _candidates(h: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
 
 def _counted(rows: pa.Table, depth: int, least: int, size: int) -> pa.Table:
     """(lang, words, f, h): the frequent phrases among the n-grams of a block, by tries of some ``size`` phrases."""
-    column = lambda c: rows[c].combine_chunks()
-    whole = lambda c, kind: np.frombuffer(b"".join(rows[c].to_pylist()), kind)
-    langs, (of,) = _unified([column("lang")])
-    split = pc.split_pattern(column("names").cast(pa.large_string()), " ")
-    names, (numbers,) = _unified([split.flatten()])
-    many = pc.binary_length(column("n")).to_numpy().astype(np.int64) // 4
-    begins = np.cumsum(pc.list_value_length(split).to_numpy().astype(np.int64))
-    begins = np.repeat(np.append(0, begins[:-1]), many)
-    codes = whole("lower", np.uint16).astype(np.int64) + (whole("upper", np.uint16).astype(np.int64) << 16)
-    codes = numbers[codes.reshape(-1, depth) + begins[:, None]]
-    n, of, hashes = whole("n", np.int32).astype(np.int64), np.repeat(of, many), word_hashes(names)
+    parts, lists = [], []
+    for grams, bytes_, packed in zip(*(rows[c].to_pylist() for c in ("grams", "bytes", "packed"))):
+        raw = pa.decompress(packed, bytes_, codec="zstd", asbytes=True)
+        planes = np.frombuffer(raw, np.uint8, 4 * (depth + 1) * grams).reshape(depth + 1, 4, grams)
+        part = planes.transpose(0, 2, 1).copy().view("<u4").reshape(depth + 1, grams)
+        part[0] = np.cumsum(part[0], dtype=np.uint32)
+        parts.append(part)
+        lists.append(pc.split_pattern(pa.array([raw[planes.size:]], pa.large_binary()).view(pa.large_string()), " ").values)
+    langs, (of,) = _unified([rows["lang"].combine_chunks()])
+    of = np.repeat(of, [x.shape[1] for x in parts])
+    names, numbers = _unified(lists)
+    codes = np.concatenate([own[x[:depth]] for own, x in zip(numbers, parts)], 1).T
+    n, hashes = np.concatenate([x[depth] for x in parts]).astype(np.int64), word_hashes(names)
+    del parts, lists
     h = _rolled(_seeds(langs)[of], [hashes[codes[:, j]] for j in range(depth)])
     some = np.flatnonzero(_candidates(h, n, least))
     n, of, codes, h = n[some], of[some], codes[some], h[some]

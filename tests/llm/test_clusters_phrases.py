@@ -255,7 +255,7 @@ def test_small_blocks_and_full_bit_maps_lose_no_phrase(spark, monkeypatch):
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     want = _collocations([(lang if lang != "" else "empty", t) for lang, t in rows], 3, 40)
     want = sorted(("" if r[0] == "empty" else r[0], *r[1:]) for r in want)
-    for name, value in (("GRAMS", 30), ("BLOCK_GRAMS", 200), ("MARK_BITS", 6), ("TEXT_BYTES", 500)):
+    for name, value in (("GRAMS", 60), ("BLOCK_GRAMS", 200), ("MARK_BITS", 6), ("TEXT_BYTES", 500)):
         monkeypatch.setattr(phrases, name, value)
     got = phrases.collocations(df, least=3, top=40, trie_phrases=7).select(COLLOCATIONS).collect()
     assert len(want) > 100 and sorted(map(tuple, got)) == want
